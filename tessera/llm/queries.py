@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming_search, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, surrogates, warc
+from . import hamming_search, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, suffix_dedup, surrogates, warc
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cover(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,

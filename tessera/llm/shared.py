@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,3 +56,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out of all learning."""
     return F.crc32(doc_id.cast("string")) % 5
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files of finished steps: they are deleted once the driver's
+    collector finds that nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
