@@ -1,13 +1,65 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: language, near duplicates, personal data, mixture, packing.
 
-from tessera.llm import queries
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+All but the last return the columns of ``documents``. Between stages the rows are
+a Parquet table in the shared folder, so a lost executor costs one stage at most.
+"""
 
-STAGES: list = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import jaccard_join, language_id, mixing, packing, surrogates
+from tessera.llm.queries import tokenizer_file
+from tessera.llm.shared import table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go."""
+    return language_id.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities in the texts become surrogates."""
+    return surrogates.with_surrogates(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources appear by their target weights: rows are repeated, cut or left out."""
+    return mixing.mixed_documents(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in their sequences."""
+    return packing.pack(packing.pieces(docs, tokenizer_file(), with_ids=False))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+    ("sequences", sequences),
+]
+
+#: Trained networks, sampled joins and keyed surrogates are not SQL; stages are
+#: tested against plain versions of themselves instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = queries.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, name)
     return docs

@@ -180,37 +180,33 @@ def train(documents: DataFrame, docs_per_language: int = TRAIN_DOCS) -> ByteCNN
     return model
 
 
-_tables: dict[int, tuple] = {}
-
-
-def predict(documents: DataFrame, model: ByteCNN | None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default doc_id), lang_pred and score of every row."""
+def predict(documents: DataFrame, model: ByteCNN | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns (default doc_id), predicted language and score of every row."""
     spark = documents.sparkSession
     keep = keep or ["doc_id"]
     small_batches(spark)
-    at = len(keep)
+    at = keep.index("text") if "text" in keep else len(keep)
     shared = spark.sparkContext.broadcast(model)  # a few kB: the network's size is fixed
-    schema = documents.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = documents.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         tables = net.tables() if net is not None else None
         for batch in batches:
             texts = utf8(batch.column(at))
-            names, scores = ["und"] * len(texts), np.zeros(len(texts))
+            labels, scores = ["und"] * len(texts), np.zeros(len(texts))
             for a, b in slices(texts) if net is not None else ():
                 x, doc, size = windows(texts[a:b])
                 prob = net.probabilities(x, tables) * size[:, None]
                 total = np.zeros((b - a, len(net.labels)))
                 np.add.at(total, doc, prob)
                 best = total.argmax(axis=1)
-                n = np.array([max(len(t), 1) for t in texts[a:b]])
                 for i in range(b - a):
                     if has_letter(texts[a + i]):
-                        names[a + i], scores[a + i] = net.labels[best[i]], min(1.0, total[i, best[i]] / n[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(names), pa.array(scores)], names=schema.names)
+                        labels[a + i], scores[a + i] = net.labels[best[i]], min(1.0, total[i, best[i]] / len(texts[a + i]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores)], names=schema.names)
 
-    return documents.select(*keep, "text").mapInArrow(run, schema)
+    return documents.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(run, schema)
 
 
 def identify(documents: DataFrame) -> DataFrame:
@@ -222,6 +218,5 @@ def identify(documents: DataFrame) -> DataFrame:
 def accepted(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is known with ``min_score`` at least; columns unchanged."""
     columns = documents.columns
-    held = documents.select(*[F.col(c) for c in columns], F.col("text").alias("text_to_judge"))
-    scored = predict(held.drop("text").withColumnRenamed("text_to_judge", "text"), train(documents), keep=[c if c != "text" else "text" for c in columns])
-    return scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(columns)
+    scored = predict(documents, train(documents), keep=columns, names=("_lid_lang", "_lid_score"))
+    return scored.filter((F.col("_lid_lang") != "und") & (F.col("_lid_score") >= min_score)).select(columns)

@@ -139,14 +139,13 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The rows of the mix, with the columns of ``documents``: a document taken
     c times and r words more appears c times whole and once cut to its first r words."""
     columns = documents.columns
-    keyed = written(documents.withColumn("mix_row", F.monotonically_increasing_id()), "mix-rows")
-    takes = mix(keyed, key="mix_row", **options).select("mix_row", "size", "taken")
-    joined = keyed.join(takes, "mix_row").filter("taken > 0")
-    whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    keyed = written(documents.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+    takes = mix(keyed, key="_mix_row", **options).select("_mix_row", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    joined = keyed.join(takes, "_mix_row").filter("_mix_taken > 0")
+    whole, part = F.floor(F.col("_mix_taken") / F.col("_mix_size")).cast("int"), (F.col("_mix_taken") % F.col("_mix_size")).cast("int")
     first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, part), "")
-    uses = joined.withColumn("mix_use", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
-    text = F.when(F.col("mix_use") == 0, F.col("text")).otherwise(first_words)
-    out = uses.withColumn("text", text)
+    uses = joined.withColumn("_mix_use", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
+    out = uses.withColumn("text", F.when(F.col("_mix_use") == 0, F.col("text")).otherwise(first_words))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("mix_use") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(documents.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("_mix_use") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(documents.schema["n_chars"].dataType))
     return out.select(columns)
