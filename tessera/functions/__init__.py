@@ -1 +1,17 @@
+"""Scalar functions, and their registration for SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+SQL_FUNCTIONS = {
+    "kg_slug": "(name STRING) RETURNS STRING RETURN btrim(regexp_replace(lower(name), '[^a-z0-9]+', '-'), '-')",
+    "kg_normalize_entity": r"(name STRING) RETURNS STRING RETURN rtrim('.,;:', regexp_replace(lower(regexp_replace(name, r'(?U)^\s+|\s+$', '')), r'(?U)\s+', ' '))",
+    "kg_triple_id": "(s STRING, p STRING, o STRING, message_id STRING) RETURNS STRING RETURN substring(md5(concat_ws('|', s, p, o, concat('http://tessera.local/data/message/', message_id))), 1, 12)",
+}
+
+
+def register(spark: SparkSession) -> None:
+    """Make the functions known to this session's SQL."""
+    for name, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
