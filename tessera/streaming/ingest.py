@@ -1,0 +1,83 @@
+"""Continuous ingestion of session files.
+
+A file source offers new files; each micro-batch parses them, replaces their
+sessions in the tables, sends what cannot be read to dead letters, and writes the
+ledger last. Tables are partitioned by micro-batch and written with dynamic
+overwrite, so a batch that is replayed after a failure replaces itself: with the
+stream's checkpoint this gives every file exactly one effect. Readers see, per
+session, the rows of its latest batch.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
+
+from ..operators.incremental import LEDGER_SCHEMA, changed, without_subagents
+from ..sources import jsonl
+
+FILES_PER_BATCH = 1000
+TABLES = ("messages", "sessions", "ledger", "dead_letter")
+
+
+@dataclass
+class Store:
+    """Tables under one folder."""
+
+    spark: SparkSession
+    folder: str
+
+    def path(self, table: str) -> str:
+        return f"{self.folder}/{table}"
+
+    def append(self, df: DataFrame, table: str, batch: int) -> None:
+        rows = df.withColumn("batch", F.lit(batch).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path(table))
+
+    def read(self, table: str, schema: str | None = None) -> DataFrame:
+        try:
+            return self.spark.read.parquet(self.path(table))
+        except AnalysisException:
+            if schema is None:
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def current(self, table: str, key: str = "session") -> DataFrame:
+        """The rows of each session's latest batch."""
+        latest = F.max("batch").over(Window.partitionBy(key))
+        return self.read(table).withColumn("_latest", latest).filter("batch = _latest").drop("_latest", "batch")
+
+
+def process(files: DataFrame, store: Store, batch: int) -> None:
+    """One micro-batch of (source, text) rows into the store."""
+    sources = without_subagents(files.withColumn("sha256", F.sha2("text", 256)))
+    ledger = store.read("ledger", LEDGER_SCHEMA).filter(F.col("batch") < batch)
+    fresh = changed(sources, ledger).select("source", "text", "sha256").persist()
+    try:
+        entries = jsonl.entries(fresh.select("source", "text"))
+        store.append(jsonl.messages(entries), "messages", batch)
+        store.append(jsonl.sessions(entries), "sessions", batch)
+        bad = fresh.select("source", "sha256").join(entries.select("source").distinct(), "source", "left_anti")
+        store.append(bad.withColumn("reason", F.lit("no readable user or assistant line")), "dead_letter", batch)
+        store.append(fresh.select("source", "sha256"), "ledger", batch)
+    finally:
+        fresh.unpersist()
+
+
+def start(spark: SparkSession, inbox: str, store: Store, checkpoint: str, once: bool = True, files_per_batch: int = FILES_PER_BATCH) -> StreamingQuery:
+    """Watch ``inbox`` for session files; ``once`` takes what is there and stops."""
+    stream = (
+        spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_batch)
+        .load(inbox).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+    )
+    writer = stream.writeStream.foreachBatch(lambda df, n: process(df, store, n)).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+def tool_usage_windows(calls: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Extension: uses of each tool in event-time windows; rows later than ``late`` are left out."""
+    return calls.withWatermark("created", late).groupBy(F.window("created", length), "tool_name").agg(F.count(F.lit(1)).alias("uses")).select(F.col("window.start").alias("start"), "tool_name", "uses")
