@@ -1,3 +1,116 @@
-"""SQL for the corpus queries that SQL can express."""
+"""SQL for the corpus queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The rest (trained models, exact byte windows, packing, surrogates) is tested
+against brute force, held-out accuracy or a round trip.
+"""
+
+from __future__ import annotations
+
+from .hamming_search import K, QUERY_STEP
+from .jaccard_join import WORDS
+from .mixing import BLOCK_WORDS, SEED, SHARD_ROWS, WEIGHTS
+from .quality_rules import BOILERPLATE, BOILERPLATE_WORDS, MAX_LOSS_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NAVIGATION_WORDS, SHORT_LINE_WORDS, WINDOW
+from .warc import REVISIT_BYTES
+
+_WORDS = "regexp_extract_all(coalesce({0}, ''), '[^\\x20\\x09-\\x0D]+')"
+_STOCK = " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
+_SYMBOLS = "length(regexp_replace(coalesce({0}, ''), '[^#*$%&|<>]', '', 'g'))"
+
+OP2 = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))
+                                      WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id != b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 9 * common >= 4 * (x.n + y.n)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = d.doc_id), d.doc_id)) AS class_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links
+FROM documents d
+"""
+
+OP3 = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= {REVISIT_BYTES} GROUP BY 1)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN keeper IS NOT NULL AND payload_bytes >= {REVISIT_BYTES} AND page_id != keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id != keeper THEN keeper END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+OP4 = f"""
+WITH words AS (SELECT doc_id, text, {_WORDS.format("text")} AS w FROM documents),
+base AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, {_SYMBOLS.format("text")} AS n_symbols FROM words),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+windows AS (SELECT doc_id, i, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER o" for k in range(1, WINDOW))}) AS run, lead(word, {WINDOW - 1}) OVER o AS whole FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM windows WHERE whole IS NOT NULL) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM repeated) GROUP BY 1),
+raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS num FROM documents),
+measured AS (
+  SELECT doc_id, line, num, lower(line) AS low, {_WORDS.format("line")} AS w, {_SYMBOLS.format("line")} AS sym,
+         length(line) - length(replace(line, '|', '')) AS bars, length(line) - length(replace(line, '!', '')) AS bangs FROM raw),
+lines AS (
+  SELECT *, len(w) AS words, list_sum(list_transform(w, lambda x: length(x))) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY num) AS copy FROM measured WHERE len(w) > 0),
+judged AS (
+  SELECT *, 10 * sym > chars OR (words >= 3 AND bangs >= words) OR (words < {SHORT_LINE_WORDS} AND NOT regexp_matches(w[-1], '[.!?:;…"''\\)\\]”»。！？]$'))
+            OR (bars >= 2 AND words - bars <= {NAVIGATION_WORDS} * (bars + 1)) OR (words <= {BOILERPLATE_WORDS} AND ({_STOCK})) AS failed FROM lines),
+summed AS (
+  SELECT doc_id, count(*) FILTER (copy > 1) AS n_dup_lines, count(*) AS n_lines, count(*) FILTER (failed) AS n_lines_removed, coalesce(sum(chars) FILTER (failed), 0) AS chars_removed FROM judged GROUP BY 1),
+joined AS (
+  SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(chars_removed, 0)::BIGINT AS chars_removed
+  FROM base LEFT JOIN covered USING (doc_id) LEFT JOIN summed USING (doc_id)),
+failed AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM joined)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * chars_removed <= {MAX_LOSS_PERCENT} * word_chars AS kept, n_lines, n_lines_removed, chars_removed FROM failed
+"""
+
+_WEIGHT = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS)) + " END"
+OP8 = f"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS skey, len({_WORDS.format("text")}) AS size, md5('{SEED}|' || doc_id) AS lot,
+         ('0x' || substring(md5('{SEED}|' || doc_id), 1, 8))::BIGINT % greatest(1, ceil((SELECT count(*) FROM documents) / {SHARD_ROWS}.0))::BIGINT AS shard FROM documents),
+per AS (SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size, {_WEIGHT}::BIGINT AS weight FROM sized GROUP BY skey, source),
+steps AS (
+  SELECT *, source_size * 2 AS cap, row_number() OVER o AS pos,
+         (sum(source_size) OVER () * 3 - coalesce(sum(source_size * 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2)::BIGINT AS left2,
+         (sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS weight_left
+  FROM per WINDOW o AS (ORDER BY source_size * 2 / weight, source NULLS LAST)),
+fixed AS (SELECT pos AS f_at, left2 AS f_left2, weight_left AS f_weight FROM steps WHERE left2 * weight <= cap * weight_left * 2 ORDER BY pos LIMIT 1),
+targets AS (SELECT skey, source_size, CASE WHEN pos < f_at THEN cap::DOUBLE ELSE (weight * f_left2)::DOUBLE / (f_weight * 2)::DOUBLE END AS target FROM steps, fixed),
+cells AS (
+  SELECT shard, skey, c.cell_size, CASE WHEN t.source_size > 0 THEN t.target * c.cell_size / t.source_size ELSE 0 END AS cell_target
+  FROM (SELECT shard, skey, sum(size)::BIGINT AS cell_size FROM sized GROUP BY 1, 2) c JOIN targets t USING (skey)),
+seats AS (SELECT shard, skey, cell_target, unnest(range(1, ceil(cell_target / {BLOCK_WORDS} * 2)::BIGINT + 60)) AS seat FROM cells WHERE cell_target > 0),
+placed AS (
+  SELECT shard, skey, row_number() OVER (PARTITION BY shard ORDER BY cell_target / (seat * 2 - 1) DESC, skey, seat) AS place FROM seats),
+house AS (SELECT shard, round(sum(cell_target) / {BLOCK_WORDS})::BIGINT AS seats FROM cells GROUP BY 1),
+won AS (
+  SELECT c.shard, c.skey, c.cell_size, ceil(c.cell_size / {BLOCK_WORDS}.0)::BIGINT AS blocks, least(coalesce(q.quota, 0), ceil(c.cell_size / {BLOCK_WORDS}.0)::BIGINT * 2) AS quota
+  FROM cells c LEFT JOIN (SELECT p.shard, p.skey, count(*) AS quota FROM placed p JOIN house h USING (shard) WHERE p.place <= h.seats GROUP BY 1, 2) q USING (shard, skey) WHERE c.cell_size > 0),
+blocked AS (SELECT *, unnest(range(0, blocks)) AS block FROM won),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY shard, skey ORDER BY md5('{SEED}|' || skey || '|' || shard || '|' || block), block) AS place FROM blocked),
+copied AS (SELECT *, quota // blocks + CASE WHEN place <= quota % blocks THEN 1 ELSE 0 END AS copies, least({BLOCK_WORDS}, cell_size - block * {BLOCK_WORDS}) AS words FROM drawn),
+chosen AS (SELECT shard, skey, block, copies, coalesce(sum(copies * words) OVER (PARTITION BY shard, skey ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM copied),
+streamed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY shard, skey ORDER BY lot, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM sized)
+SELECT s.doc_id, s.size::BIGINT AS size, t.source_size, t.target,
+       CASE WHEN s.size > 0 THEN (b.before + b.copies * (s.begin_at + s.size - b.block * {BLOCK_WORDS})) - (a.before + a.copies * (s.begin_at - a.block * {BLOCK_WORDS})) ELSE 0 END::BIGINT AS taken
+FROM streamed s JOIN targets t USING (skey)
+LEFT JOIN chosen a ON a.shard = s.shard AND a.skey = s.skey AND a.block = s.begin_at // {BLOCK_WORDS}
+LEFT JOIN chosen b ON b.shard = s.shard AND b.skey = s.skey AND b.block = (s.begin_at + s.size - 1) // {BLOCK_WORDS}
+"""
+
+OP9 = f"""
+WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0 AND NOT isnan(x)) AS code FROM embeddings WHERE len(embedding) = 64),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id, len(list_filter(list_zip(q.code, r.code), lambda z: z[1] != z[2])) AS distance FROM codes q, codes r WHERE q.vec_id % {QUERY_STEP} = 0)
+SELECT query_id, rank::INT AS rank, vec_id, distance::BIGINT AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= {K}
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_jaccard_join": OP2,
+    "op3_warc": OP3,
+    "op4_quality_rules": OP4,
+    "op8_source_mixing": OP8,
+    "op9_exact_top_k": OP9,
+}
