@@ -19,11 +19,10 @@ def without_subagents(sources: DataFrame, column: str = "source") -> DataFrame:
     return sources.filter(~F.col(column).contains("/subagents/"))
 
 
-def translate_path(path, host: str, container: str, marker: str = "/projects/"):
-    """``path`` below ``marker`` moved from the host's to the container's prefix; others stay."""
+def translate_path(path, container: str, marker: str = "/projects/"):
+    """What follows the first ``marker`` in ``path``, below ``container``; paths without it stay."""
     at = F.instr(path, marker)
-    moved = F.concat(F.lit(container), F.substring(path, at + F.lit(len(marker) - 1), F.char_length(path)))
-    return F.when(path.startswith(host) & (at > 0), moved).otherwise(path)
+    return F.when(at > 0, F.concat(F.lit(container), F.substring(path, at + F.lit(len(marker) - 1), F.char_length(path)))).otherwise(path)
 
 
 def replace_sessions(old: DataFrame, new: DataFrame, key: str = "session") -> DataFrame:
