@@ -199,3 +199,7 @@ UNION ALL SELECT 2, a.subj_name || ' ' || a.predicate || ' ' || a.obj_name || '
 UNION ALL SELECT 3, a.subj_name || ' ' || a.predicate || ' ' || a.obj_name || ' ' || b.predicate || ' ' || b.obj_name || ' ' || c.predicate || ' ' || c.obj_name, c.obj_name FROM static_facts a JOIN static_facts b ON a.obj_name = b.subj_name JOIN static_facts c ON b.obj_name = c.subj_name WHERE a.subj_name = 'Supplier#000000001'""",
     "x_tool_usage_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS tool_name, count(*) AS uses FROM events GROUP BY 1, 2",
 }
+
+# The same questions, asked in SPARQL.
+ORACLES["s15_sparql_hubs"] = ORACLES["c15_hub_entities"]
+ORACLES["s17_sparql_platform_lists"] = ORACLES["c17_platform_lists"]

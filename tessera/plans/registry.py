@@ -15,6 +15,7 @@ from ..session import ship_package
 from ..sources import terminal
 from ..streaming import ingest
 from . import graph_model, graph_queries
+from .sparql import encoded, sparql
 from .star import Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -408,6 +409,31 @@ def f_stream_ingest(t: Star) -> DataFrame:
     return store.current("messages").select("session", "message_id", "role", "content")
 
 
+def term_rows(t: Star) -> DataFrame:
+    """Facts and the sessions' platforms as terms, for SPARQL."""
+    session = identifiers.iri("session", identifiers.slug(F.col("session").cast("string")))
+    platforms = t.sessions().select(session.alias("s"), F.lit(f"{identifiers.TERM}hasSourcePlatform").alias("p"), F.col("platform").alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"))
+    return encoded(graph_model.fact_rows(t.facts()).unionByName(platforms))
+
+
+PREFIXES = f"PREFIX kg: <{identifiers.TERM}> PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#> "
+
+
+@query
+def s15_sparql_hubs(t: Star) -> DataFrame:
+    return sparql(term_rows(t), PREFIXES + """SELECT ?label (COUNT(DISTINCT ?fact) AS ?degree) WHERE {
+      { ?fact a kg:KnowledgeTriple ; kg:tripleSubject ?e . ?e rdfs:label ?label . FILTER(LANG(?label) = "") } UNION
+      { ?fact a kg:KnowledgeTriple ; kg:tripleObject ?e . ?e rdfs:label ?label . FILTER(LANG(?label) = "") } }
+      GROUP BY ?label ORDER BY DESC(?degree) ?label LIMIT 20""")
+
+
+@query
+def s17_sparql_platform_lists(t: Star) -> DataFrame:
+    return sparql(term_rows(t), PREFIXES + """SELECT ?label (GROUP_CONCAT(DISTINCT ?p; separator=", ") AS ?platforms) (COUNT(DISTINCT ?p) AS ?platform_count) WHERE {
+      ?fact a kg:KnowledgeTriple ; kg:tripleSubject ?e ; kg:extractedInSession ?s . ?s kg:hasSourcePlatform ?p . ?e rdfs:label ?label . }
+      GROUP BY ?label HAVING(COUNT(DISTINCT ?p) > 1) ORDER BY DESC(?platform_count)""")
+
+
 @query
 def x_paths(t: Star) -> DataFrame:
     """Extension: paths of up to three edges from one supplier over static facts."""
