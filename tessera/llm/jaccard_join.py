@@ -161,9 +161,10 @@ class Forest:
 
     def join(self, item: int, others: np.ndarray) -> None:
         label, first = np.unique(self.label[others], return_index=True)
+        own = int(self.label[item])
         for lab, at in zip(label.tolist(), first.tolist(), strict=True):
-            mine = int(self.label[item])
-            if lab != mine:
+            if lab != own:
+                mine = int(self.label[item])
                 self.edges.append((item, int(others[at])))
                 small, big = sorted((mine, lab), key=lambda x: len(self.members[x]))
                 moved = self.members.pop(small)
