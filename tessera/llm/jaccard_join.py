@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small_batches, written
+from .shared import join_counted, small_batches, written
 from .textkit import mix64, shingles, slices, utf8
 
 WORDS = 5
@@ -352,7 +352,7 @@ def _verified(groups: DataFrame) -> DataFrame:
 
 def _with_tokens(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (doc_id, node, copies, group, m) with the node's tokens, read again from its document."""
-    joined = documents.select("doc_id", "text").join(wanted, "doc_id").select("text", "node", "copies", "group", "m")
+    joined = join_counted(documents.select("doc_id", "text"), wanted, "doc_id").select("text", "node", "copies", "group", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,7 +384,7 @@ def classes(documents: DataFrame, recall: float = RECALL) -> DataFrame:
     loose = components(candidate_edges(nodes, runs), "loose")
     loose = written(loose, "loose-components")
     grouped = loose.join(loose.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component").select("node", F.col("component").alias("group"), "m")
-    wanted = grouped.join(nodes.select("node", "doc_id", "copies"), "node")
+    wanted = written(grouped.join(nodes.select("node", "doc_id", "copies"), "node"), "wanted")
     sets = _with_tokens(documents, wanted)
     pairs = _in_blocks(sets.withColumn("m", F.col("m")), VERIFY)
     groups = pairs.select("group", "low", "high", "block", "node", "copies", "tokens").repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
@@ -409,6 +409,6 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """``documents`` with one document, that of the least id, of each class; columns unchanged."""
     decided = written(classes(documents), "classes")
     dropped = decided.filter("doc_id != class_id").select("doc_id").distinct()
-    kept = documents.join(dropped, "doc_id", "left_anti").select(documents.columns)
+    kept = join_counted(documents, dropped, "doc_id", "left_anti").select(documents.columns)
     repeated = decided.filter("doc_id = class_id and n_links > 0").groupBy("doc_id").count().filter("count > 1")
     return kept.dropDuplicates(["doc_id"]).select(documents.columns) if repeated.take(1) else kept

@@ -13,6 +13,8 @@ from ..session import ship_package
 
 #: Rows of an Arrow batch of texts; the bytes of one are cut further in Python.
 BATCH_ROWS = 256
+#: A side of a join is broadcast only if it was counted to have no more rows.
+BROADCAST_ROWS = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,6 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(df: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``df`` joined with a narrow ``side`` (a written table, so that counting is cheap):
+    by broadcast up to ``BROADCAST_ROWS`` counted rows, by shuffle beyond."""
+    return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Before Python stages: bound the rows of an Arrow batch, since texts may be
     very long, and see that workers can import this package."""
