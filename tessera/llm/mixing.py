@@ -4,11 +4,12 @@ DataFrame operations only. Each source gets a target of words (weights over a
 share of all words, capped at a multiple of the source, the excess reshared).
 Rows are dealt into shards by a seeded hash, so that a (shard, source) cell is
 of bounded size even where one source holds a third of all rows. In every shard
-the sources compete for the shard's blocks by the quotients target / (2s - 1);
-the seats won are the source's integer quota. A cell's words, in seeded order,
-form a stream cut into equal blocks; the quota is met by whole passes over the
-stream plus the blocks that come first by a seeded hash. A document takes the
-words of it that lie in chosen blocks.
+the sources compete for the shard's blocks by the quotients target / (2s - 1),
+targets counted in blocks; the seats won are the source's integer quota. A cell's
+words, in seeded order, form a stream cut into equal blocks, as many as come
+nearest to ``block`` words each; the quota is met by whole passes over the stream
+plus the blocks that come first by a seeded hash. A document takes the words of it
+that lie in chosen blocks.
 
 Edge cases: a null or blank text has size 0 and takes 0; a null source is a
 source of its own, ordered last; repeated rows are documents of their own; an
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import WORD, written
 
-#: Words of a block, and rows of a shard on average.
+#: Words of a block, about, and rows of a shard on average.
 BLOCK_WORDS = 128
 SHARD_ROWS = 25_000
 WEIGHTS = (3, 1, 2)
@@ -62,12 +63,12 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat:
     return steps.select("skey", "source_size", F.when(F.col("at") < F.col("from.at"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def quotas(cells: DataFrame, block: int) -> DataFrame:
+def quotas(cells: DataFrame) -> DataFrame:
     """Seats of each cell: in each shard the highest quotients target / (2s - 1) win.
 
-    A divisor method keeps the seats of a cell within
-    (n + 1) / 2 * target / total + 1/2 of target / block, so only the seats in
-    that range compete; those below it are won in any case.
+    ``cell_target`` is in blocks. A divisor method keeps the seats of a cell within
+    (n + 1) / 2 * target / total + 1/2 of its target, so only the seats in that
+    range compete; those below it are won in any case.
     """
     shard = Window.partitionBy("shard")
     contest = (
@@ -75,9 +76,9 @@ def quotas(cells: DataFrame, block: int) -> DataFrame:
         .withColumn("all_target", F.sum("cell_target").over(shard))
         .withColumn("n", F.count(F.lit(1)).over(shard))
         .withColumn("slack", F.col("cell_target") / F.col("all_target") * (F.col("n") + 1) / 2 + 1)
-        .withColumn("low", F.greatest(F.lit(0), F.floor(F.col("cell_target") / block - F.col("slack"))).cast("long"))
-        .withColumn("high", F.ceil(F.col("cell_target") / block + F.col("slack")).cast("long"))
-        .withColumn("open", F.round(F.col("all_target") / block).cast("long") - F.sum("low").over(shard))
+        .withColumn("low", F.greatest(F.lit(0), F.floor(F.col("cell_target") - F.col("slack"))).cast("long"))
+        .withColumn("high", F.ceil(F.col("cell_target") + F.col("slack")).cast("long"))
+        .withColumn("open", F.round("all_target").cast("long") - F.sum("low").over(shard))
     )
     seats = contest.withColumn("seat", F.explode(F.sequence(F.col("low") + 1, F.col("high"))))
     order = Window.partitionBy("shard").orderBy((F.col("cell_target") / (F.col("seat") * 2 - 1)).desc(), "skey", "seat")
@@ -103,29 +104,34 @@ def mix(documents: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, sha
     cells = (
         sized.groupBy("shard", "skey").agg(F.sum("size").alias("cell_size"))
         .join(targets, "skey")
-        .withColumn("cell_target", F.when(F.col("source_size") > 0, F.col("target") * F.col("cell_size") / F.col("source_size")).otherwise(0.0))
+        .withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("cell_size") / block)).cast("long"))
+        .withColumn("cell_target", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
     )
     cells = written(cells, "cells")
-    won = cells.filter(F.col("cell_size") > 0).join(quotas(cells, block), ["shard", "skey"]).withColumn("blocks", F.ceil(F.col("cell_size") / block).cast("long"))
     cell = Window.partitionBy("shard", "skey")
+    start_of = lambda j: F.expr(f"({j} * cell_size) div blocks")
     chosen = (
-        won.withColumn("quota", F.least(F.col("quota"), F.col("blocks") * repeat))
+        cells.filter(F.col("cell_size") > 0).join(quotas(cells), ["shard", "skey"], "left")
+        .withColumn("quota", F.least(F.coalesce("quota", F.lit(0)), F.col("blocks") * repeat))
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("place", F.row_number().over(cell.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "skey", F.col("shard").cast("string"), F.col("block").cast("string"))), "block")))
         .withColumn("copies", F.floor(F.col("quota") / F.col("blocks")) + F.when(F.col("place") <= F.col("quota") % F.col("blocks"), 1).otherwise(0))
-        .withColumn("words", F.least(F.lit(block).cast("long"), F.col("cell_size") - F.col("block") * block))
+        .withColumn("start", start_of("block"))
+        .withColumn("words", start_of("(block + 1)") - F.col("start"))
         .withColumn("before", F.coalesce(F.sum(F.col("copies") * F.col("words")).over(cell.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("shard", "skey", "block", "copies", "before")
+        .select("shard", "skey", "block", "start", "copies", "before")
     )
     stream = cell.orderBy("lot", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    block_of = lambda word: F.expr(f"(({word} + 1) * blocks - 1) div cell_size")
     placed = (
         sized.withColumn("begin", F.coalesce(F.sum("size").over(stream), F.lit(0)))
-        .withColumn("block_a", F.floor(F.col("begin") / block))
-        .withColumn("block_b", F.floor((F.col("begin") + F.col("size") - 1) / block))
+        .join(cells.select("shard", "skey", "blocks", "cell_size"), ["shard", "skey"])
+        .withColumn("block_a", F.when(F.col("size") > 0, block_of("begin")))
+        .withColumn("block_b", F.when(F.col("size") > 0, block_of("(begin + size - 1)")))
     )
-    first = chosen.select("shard", "skey", F.col("block").alias("block_a"), F.col("copies").alias("copies_a"), F.col("before").alias("before_a"))
-    last = chosen.select("shard", "skey", F.col("block").alias("block_b"), F.col("copies").alias("copies_b"), F.col("before").alias("before_b"))
-    until = lambda at, side: F.col(f"before_{side}") + F.col(f"copies_{side}") * (at - F.col(f"block_{side}") * block)
+    side = lambda x: chosen.select("shard", "skey", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "start", "copies", "before")])
+    first, last = side("a"), side("b")
+    until = lambda at, x: F.col(f"before_{x}") + F.col(f"copies_{x}") * (at - F.col(f"start_{x}"))
     taken = until(F.col("begin") + F.col("size"), "b") - until(F.col("begin"), "a")
     return (
         placed.join(first, ["shard", "skey", "block_a"], "left")

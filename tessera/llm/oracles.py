@@ -78,25 +78,26 @@ steps AS (
 fixed AS (SELECT pos AS f_at, left2 AS f_left2, weight_left AS f_weight FROM steps WHERE left2 * weight <= cap * weight_left * 2 ORDER BY pos LIMIT 1),
 targets AS (SELECT skey, source_size, CASE WHEN pos < f_at THEN cap::DOUBLE ELSE (weight * f_left2)::DOUBLE / (f_weight * 2)::DOUBLE END AS target FROM steps, fixed),
 cells AS (
-  SELECT shard, skey, c.cell_size, CASE WHEN t.source_size > 0 THEN t.target * c.cell_size / t.source_size ELSE 0 END AS cell_target
-  FROM (SELECT shard, skey, sum(size)::BIGINT AS cell_size FROM sized GROUP BY 1, 2) c JOIN targets t USING (skey)),
-seats AS (SELECT shard, skey, cell_target, unnest(range(1, ceil(cell_target / {BLOCK_WORDS} * 2)::BIGINT + 60)) AS seat FROM cells WHERE cell_target > 0),
-placed AS (
-  SELECT shard, skey, row_number() OVER (PARTITION BY shard ORDER BY cell_target / (seat * 2 - 1) DESC, skey, seat) AS place FROM seats),
-house AS (SELECT shard, round(sum(cell_target) / {BLOCK_WORDS})::BIGINT AS seats FROM cells GROUP BY 1),
+  SELECT shard, skey, c.cell_size, c.blocks, CASE WHEN t.source_size > 0 THEN t.target * c.blocks / t.source_size ELSE 0 END AS cell_target
+  FROM (SELECT shard, skey, sum(size)::BIGINT AS cell_size, greatest(1, round(sum(size) / {BLOCK_WORDS}.0))::BIGINT AS blocks FROM sized GROUP BY 1, 2) c JOIN targets t USING (skey)),
+seats AS (SELECT shard, skey, cell_target, unnest(range(1, ceil(cell_target * 2)::BIGINT + 60)) AS seat FROM cells WHERE cell_target > 0),
+placed AS (SELECT shard, skey, row_number() OVER (PARTITION BY shard ORDER BY cell_target / (seat * 2 - 1) DESC, skey, seat) AS place FROM seats),
+house AS (SELECT shard, round(sum(cell_target))::BIGINT AS seats FROM cells GROUP BY 1),
 won AS (
-  SELECT c.shard, c.skey, c.cell_size, ceil(c.cell_size / {BLOCK_WORDS}.0)::BIGINT AS blocks, least(coalesce(q.quota, 0), ceil(c.cell_size / {BLOCK_WORDS}.0)::BIGINT * 2) AS quota
+  SELECT c.shard, c.skey, c.cell_size, c.blocks, least(coalesce(q.quota, 0), c.blocks * 2) AS quota
   FROM cells c LEFT JOIN (SELECT p.shard, p.skey, count(*) AS quota FROM placed p JOIN house h USING (shard) WHERE p.place <= h.seats GROUP BY 1, 2) q USING (shard, skey) WHERE c.cell_size > 0),
 blocked AS (SELECT *, unnest(range(0, blocks)) AS block FROM won),
 drawn AS (SELECT *, row_number() OVER (PARTITION BY shard, skey ORDER BY md5('{SEED}|' || skey || '|' || shard || '|' || block), block) AS place FROM blocked),
-copied AS (SELECT *, quota // blocks + CASE WHEN place <= quota % blocks THEN 1 ELSE 0 END AS copies, least({BLOCK_WORDS}, cell_size - block * {BLOCK_WORDS}) AS words FROM drawn),
-chosen AS (SELECT shard, skey, block, copies, coalesce(sum(copies * words) OVER (PARTITION BY shard, skey ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM copied),
+copied AS (
+  SELECT *, quota // blocks + CASE WHEN place <= quota % blocks THEN 1 ELSE 0 END AS copies, (block * cell_size) // blocks AS start_at, ((block + 1) * cell_size) // blocks AS stop_at FROM drawn),
+chosen AS (
+  SELECT shard, skey, start_at, stop_at, copies, coalesce(sum(copies * (stop_at - start_at)) OVER (PARTITION BY shard, skey ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM copied),
 streamed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY shard, skey ORDER BY lot, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM sized)
 SELECT s.doc_id, s.size::BIGINT AS size, t.source_size, t.target,
-       CASE WHEN s.size > 0 THEN (b.before + b.copies * (s.begin_at + s.size - b.block * {BLOCK_WORDS})) - (a.before + a.copies * (s.begin_at - a.block * {BLOCK_WORDS})) ELSE 0 END::BIGINT AS taken
+       CASE WHEN s.size > 0 THEN (b.before + b.copies * (s.begin_at + s.size - b.start_at)) - (a.before + a.copies * (s.begin_at - a.start_at)) ELSE 0 END::BIGINT AS taken
 FROM streamed s JOIN targets t USING (skey)
-LEFT JOIN chosen a ON a.shard = s.shard AND a.skey = s.skey AND a.block = s.begin_at // {BLOCK_WORDS}
-LEFT JOIN chosen b ON b.shard = s.shard AND b.skey = s.skey AND b.block = (s.begin_at + s.size - 1) // {BLOCK_WORDS}
+LEFT JOIN chosen a ON a.shard = s.shard AND a.skey = s.skey AND s.size > 0 AND s.begin_at >= a.start_at AND s.begin_at < a.stop_at
+LEFT JOIN chosen b ON b.shard = s.shard AND b.skey = s.skey AND s.size > 0 AND s.begin_at + s.size - 1 >= b.start_at AND s.begin_at + s.size - 1 < b.stop_at
 """
 
 OP9 = f"""
