@@ -36,10 +36,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,6 +50,12 @@ def join_counted(df: DataFrame, side: DataFrame, on: str, how: str = "inner") ->
     return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
 
 
+def erase(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing will read again."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Before Python stages: bound the rows of an Arrow batch, since texts may be
     very long, and see that workers can import this package."""

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, small_batches, written
+from .shared import erase, new_path, release, small_batches, written
 from .textkit import _INVERSE, _PRIME, mix64, powers, utf8
 
 LENGTH = 200
@@ -138,7 +138,15 @@ def runs(mask: np.ndarray) -> np.ndarray:
     return np.stack([edge[0::2], edge[1::2] - 1], axis=1)
 
 
-_SECTION = "key long, anchor long, content long, start long, size int, lead int"
+#: ``place`` packs the start of a section, its size and the bytes before its anchor.
+_SECTION = "key long, anchor long, content long, place long"
+_BITS = 10
+
+
+def _unpacked(place) -> tuple:
+    """(start, size, lead) of a packed place; works on integers, arrays and columns' values."""
+    mask = (1 << _BITS) - 1
+    return place >> 2 * _BITS, place >> _BITS & mask, place & mask
 
 
 def _sectioned(keyed: DataFrame) -> DataFrame:
@@ -150,7 +158,7 @@ def _sectioned(keyed: DataFrame) -> DataFrame:
             found = [sections(t) for t in utf8(batch.column(1))]
             key = np.repeat(keys, [len(x[0]) for x in found])
             anchor, content, start, size, lead = (np.concatenate([x[i] for x in found]) for i in range(5))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(anchor), pa.array(content), pa.array(start), pa.array(size.astype(np.int32)), pa.array(lead.astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(anchor), pa.array(content), pa.array(start << 2 * _BITS | size << _BITS | lead)], names=names)
 
     return keyed.mapInArrow(run, _SECTION)
 
@@ -161,7 +169,7 @@ def _read_sections(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     A section of a split anchor gives two: the strings that hold ``CONTEXT`` bytes
     before the anchor, grouped by those, and the rest, which hold as many after it.
     """
-    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "copies", "start", "size", "lead", "different")).alias("wanted"))
+    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "copies", "place", "different")).alias("wanted"))
     joined = keyed.join(listed, "key").select("text", "wanted")
     schema = "group long, anchor long, content long, copies long, skip int, lead int, bytes binary"
 
@@ -170,7 +178,8 @@ def _read_sections(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for text, wanted in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 for w in wanted:
-                    raw, lead, base = text[w["start"] : w["start"] + w["size"]], w["lead"], (w["anchor"], w["content"], w["copies"])
+                    start, size, lead = _unpacked(w["place"])
+                    raw, base = text[start : start + size], (w["anchor"], w["content"], w["copies"])
                     if w["different"] <= SPLIT:
                         rows.append((w["anchor"], *base, 0, lead, raw))
                         continue
@@ -235,19 +244,27 @@ def cover(documents: DataFrame, with_text: bool = False) -> DataFrame:
     small_batches(spark)
     keyed = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     texts = keyed.select("key", "text")
-    placed = written(_sectioned(texts.filter(F.octet_length("text") >= LENGTH)), "sections")
-    counted = placed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start", "size", "lead")).alias("one"))
-    # map-side combined counts per anchor; a section is kept if its anchor occurs twice
-    by_anchor = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), F.sum("copies").alias("all_copies")).filter("all_copies > 1").drop("all_copies")
-    shared = written(counted.join(by_anchor, "anchor").select("anchor", "content", "copies", "different", "one.*"), "shared")
+    placed_at = new_path(spark, "sections")
+    placed = written(_sectioned(texts.filter(F.octet_length("text") >= LENGTH)), "sections", placed_at)
+    # one row per anchor, combined before the shuffle: how often it occurs, and whether its sections differ
+    by_anchor = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("copies"), F.min("content").alias("low"), F.max("content").alias("high"))
+    twice = by_anchor.filter("copies > 1").select("anchor", (F.col("low") == F.col("high")).alias("equal"))
+    repeated = written(placed.join(twice, "anchor").select("key", "anchor", "content", "place", "equal"), "repeated")
+    erase(spark, placed_at)
+    release(spark)
+    different = repeated.filter("not equal").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.first("key").alias("key"), F.first("place").alias("place"))
+    sizes = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))
+    shared = written(different.join(sizes, "anchor"), "shared")
     release(spark)
-    alone = shared.filter("different = 1").select("anchor", "content", F.lit(None).cast("binary").alias("spans"))
-    pieces = _read_sections(texts, shared.filter("different > 1"))
+    pieces = _read_sections(texts, shared)
     small_batches(spark, 2048)
-    hits = written(alone.unionByName(_merged(pieces)), "intervals")
+    hits = written(_merged(pieces), "intervals")
     release(spark)
     small_batches(spark)
-    covered = placed.join(hits, ["anchor", "content"]).groupBy("key").agg(F.collect_list(F.struct("start", "size", "spans")).alias("covered"))
+    # sections of an anchor whose sections are all equal are covered whole
+    whole = repeated.filter("equal").select("key", "place", F.lit(None).cast("binary").alias("spans"))
+    parts = repeated.filter("not equal").join(hits, ["anchor", "content"]).select("key", "place", "spans")
+    covered = whole.unionByName(parts).groupBy("key").agg(F.collect_list(F.struct("place", "spans")).alias("covered"))
     joined = keyed.join(covered, "key", "left").select("doc_id", "text", "covered")
     schema = documents.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     if with_text:
@@ -259,12 +276,13 @@ def cover(documents: DataFrame, with_text: bool = False) -> DataFrame:
             for text, covered in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 change = np.zeros(len(text) + 1, dtype=np.int64)
                 for c in covered or ():
+                    start, size, _ = _unpacked(c["place"])
                     if c["spans"] is None:
-                        found = np.array([[0, c["size"]]])
+                        found = np.array([[0, size]])
                     else:
                         found = np.frombuffer(c["spans"], dtype="<u2").reshape(-1, 2).astype(np.int64)
-                    np.add.at(change, c["start"] + found[:, 0], 1)
-                    np.add.at(change, c["start"] + found[:, 1], -1)
+                    np.add.at(change, start + found[:, 0], 1)
+                    np.add.at(change, start + found[:, 1], -1)
                 gone = np.cumsum(change[:-1]) > 0
                 kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if covered else text
                 rows.append((len(text), len(text) - len(kept), len(runs(gone)), hashlib.sha256(kept).hexdigest(), kept))
