@@ -17,9 +17,11 @@ their own; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,46 +37,99 @@ NODES = 4000
 #: Backtracks of the whole search before the incumbent solution is taken.
 BACKTRACKS = 64
 #: Word pieces that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 _encoders: dict[str, Callable] = {}
 
 
+class _Codes(dict):
+    """Numbers its keys in order of first use; ``new`` holds those not encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
+def _byte_letters() -> list[str]:
+    """The printable stand-in of each byte in byte-level BPE: itself, or from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, next_ = [], 256
+    for b in range(256):
+        out.append(chr(b if b in plain else next_))
+        next_ += b not in plain
+    return out
+
+
 class WordEncoder:
     """Exact token ids, with each distinct blank-separated word encoded once per worker.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words in order.
+    text are those of its words in order. It also lowers case and takes a run of
+    letters and a run of marks apart, so a word of Latin letters with marks after
+    it is its letters, in lower case, and its marks; for letters alone the BPE
+    model is asked directly.
     """
 
+    SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?%&$#*|]*)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _byte_letters()
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code, self.known = _Codes(), {}
         self.flat, self.begin = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        known, tokenize = self.known, self.tokenizer.model.tokenize
+        out: list[list[int]] = []
+        other = []
+        for word in words:
+            simple = self.SIMPLE.fullmatch(word)
+            if simple is None:
+                other.append(len(out))
+                out.append([])
+                continue
+            stem, marks = simple.groups()
+            stem = stem.lower() if stem.isascii() else stem.decode().lower().encode()
+            ids = known.get(stem)
+            if ids is None:
+                spelt = stem.decode() if stem.isascii() else "".join(self.letters[b] for b in stem)
+                ids = known[stem] = [t.id for t in tokenize(spelt)]
+            if marks:
+                more = known.get(marks)
+                if more is None:
+                    more = known[marks] = [t.id for t in tokenize(marks.decode())]
+                ids = ids + more
+            out.append(ids)
+        for i in range(0, len(other), 20_000):
+            part = other[i : i + 20_000]
+            for at, e in zip(part, self.tokenizer.encode_batch_fast([words[j].decode("utf-8", "replace") for j in part], add_special_tokens=False), strict=True):
+                out[at] = e.ids
+        return out
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, each closed by id 0, and where each text begins."""
         if len(self.code) > CACHE_WORDS:
             self._forget()
         split = [t.split() for t in texts]
         code = self.code
-        new = list({w for words in split for w in words if w not in code})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            ids = [e.ids for e in encoded]
+        codes = np.fromiter(map(code.__getitem__, chain.from_iterable(split)), dtype=np.int64)
+        new, code.new = code.new, []
+        if new:
+            ids = self._ids(new)
             lengths = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), dtype=np.uint32, count=int(lengths[-1]))])
-            at = len(code)
-            code.update(zip(part, range(at, at + len(part)), strict=True))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths[-1]))])
             self.begin = np.concatenate([self.begin, self.begin[-1] + lengths])
         size = np.diff(self.begin)
-        codes = np.fromiter((code[w] for words in split for w in words), dtype=np.int64)
         n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         # every text is closed by a virtual word whose one id is 0
         doc_end = np.cumsum(n_words)
