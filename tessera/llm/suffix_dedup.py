@@ -248,7 +248,8 @@ def cover(documents: DataFrame, with_text: bool = False) -> DataFrame:
     placed = written(_sectioned(texts.filter(F.octet_length("text") >= LENGTH)), "sections", placed_at)
     # one row per anchor, combined before the shuffle: how often it occurs, and whether its sections differ
     by_anchor = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("copies"), F.min("content").alias("low"), F.max("content").alias("high"))
-    twice = by_anchor.filter("copies > 1").select("anchor", (F.col("low") == F.col("high")).alias("equal"))
+    # written, so that the join's sides are both plain exchanges and a hot anchor's sections can be split
+    twice = written(by_anchor.filter("copies > 1").select("anchor", (F.col("low") == F.col("high")).alias("equal")), "anchors")
     repeated = written(placed.join(twice, "anchor").select("key", "anchor", "content", "place", "equal"), "repeated")
     erase(spark, placed_at)
     release(spark)
