@@ -242,7 +242,8 @@ def candidate_edges(nodes: DataFrame, runs: int) -> DataFrame:
     rows = nodes.select(F.explode("paths").alias("path"), "node", "s1", "s2", "n")
     found = []
     for depth in range(1, DEPTH + 1):
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        # written, so that the join's sides are both plain exchanges and a hot path's rows can be split
+        sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "sizes")
         rows = written(rows.join(sizes, "path"), "paths")
         found.append(_compare(rows.filter(F.col("m") <= BRUTE), "path"))
         large = rows.filter(F.col("m") > BRUTE)
@@ -256,8 +257,8 @@ def candidate_edges(nodes: DataFrame, runs: int) -> DataFrame:
         found.append(_compare(_in_blocks(large.join(like, "path"), BRUTE), "path", "low", "high"))
         if depth == DEPTH:
             break
-        unlike = large.join(judged.filter(F.col("like_share") < LIKE_SHARE), "path")
-        rows = _deeper(unlike.select("path", "node", "s1", "s2", "n").join(nodes.select("node", "sample"), "node").select("path", "node", "s1", "s2", "n", "sample"), runs)
+        unlike = written(large.join(judged.filter(F.col("like_share") < LIKE_SHARE), "path").select("path", "node", "s1", "s2", "n"), "unlike")
+        rows = _deeper(join_counted(nodes.select("node", "sample"), unlike, "node").select("path", "node", "s1", "s2", "n", "sample"), runs)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
