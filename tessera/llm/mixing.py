@@ -86,8 +86,8 @@ def quotas(cells: DataFrame) -> DataFrame:
     return won.groupBy("shard", "skey", "low").agg(F.count(F.when(F.col("place") <= F.col("open"), 1)).alias("more")).select("shard", "skey", (F.col("low") + F.col("more")).alias("quota"))
 
 
-def mix(documents: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, repeat: int = 2) -> DataFrame:
-    """``key``, size, source_size, target and taken of every row of ``documents``."""
+def _dealt(documents: DataFrame, key: str, block: int, shard_rows: int, seed: str, weights: tuple[int, ...], repeat: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per source the targets; every block with its copies; every row with its place in its cell's stream."""
     sized = written(
         documents.select(
             F.col(key).alias("key"),
@@ -115,11 +115,12 @@ def mix(documents: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, sha
         .withColumn("quota", F.least(F.coalesce("quota", F.lit(0)), F.col("blocks") * repeat))
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("place", F.row_number().over(cell.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "skey", F.col("shard").cast("string"), F.col("block").cast("string"))), "block")))
-        .withColumn("copies", F.floor(F.col("quota") / F.col("blocks")) + F.when(F.col("place") <= F.col("quota") % F.col("blocks"), 1).otherwise(0))
+        .withColumn("passes", F.floor(F.col("quota") / F.col("blocks")))
+        .withColumn("copies", F.col("passes") + F.when(F.col("place") <= F.col("quota") % F.col("blocks"), 1).otherwise(0))
         .withColumn("start", start_of("block"))
         .withColumn("words", start_of("(block + 1)") - F.col("start"))
         .withColumn("before", F.coalesce(F.sum(F.col("copies") * F.col("words")).over(cell.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("shard", "skey", "block", "start", "copies", "before")
+        .select("shard", "skey", "block", "start", "words", "passes", "copies", "before")
     )
     stream = cell.orderBy("lot", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     block_of = lambda word: F.expr(f"(({word} + 1) * blocks - 1) div cell_size")
@@ -129,6 +130,12 @@ def mix(documents: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, sha
         .withColumn("block_a", F.when(F.col("size") > 0, block_of("begin")))
         .withColumn("block_b", F.when(F.col("size") > 0, block_of("(begin + size - 1)")))
     )
+    return targets, chosen, placed
+
+
+def mix(documents: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, repeat: int = 2) -> DataFrame:
+    """``key``, size, source_size, target and taken of every row of ``documents``."""
+    targets, chosen, placed = _dealt(documents, key, block, shard_rows, seed, weights, repeat)
     side = lambda x: chosen.select("shard", "skey", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "start", "copies", "before")])
     first, last = side("a"), side("b")
     until = lambda at, x: F.col(f"before_{x}") + F.col(f"copies_{x}") * (at - F.col(f"start_{x}"))
@@ -141,17 +148,62 @@ def mix(documents: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, sha
     )
 
 
+def spans(documents: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, repeat: int = 2) -> DataFrame:
+    """``key``, whole and cuts of every row that the mix takes words of: how often the
+    document is taken whole, and each further run of its words, (first word, words), in order.
+
+    ``key`` must be unique. A row meets each of its blocks by a join of narrow rows;
+    a run of adjacent blocks is counted at the first of them that the document reaches.
+    """
+    _, chosen, placed = _dealt(documents, key, block, shard_rows, seed, weights, repeat)
+    run = Window.partitionBy("shard", "skey", "more", "run")
+    blocks = (
+        chosen.withColumn("more", F.col("copies") > F.col("passes"))
+        .withColumn("run", F.col("block") - F.row_number().over(Window.partitionBy("shard", "skey", "more").orderBy("block")))
+        .withColumn("run_block", F.min("block").over(run))
+        .withColumn("run_start", F.min("start").over(run))
+        .withColumn("run_end", F.max(F.col("start") + F.col("words")).over(run))
+        .select("shard", "skey", "block", "passes", "more", "run_block", "run_start", "run_end")
+    )
+    low = F.greatest(F.col("run_start") - F.col("begin"), F.lit(0))
+    high = F.least(F.col("run_end") - F.col("begin"), F.col("size"))
+    reached = F.col("more") & (F.col("block") == F.greatest("block_a", "run_block"))
+    met = (
+        placed.filter(F.col("size") > 0)
+        .select("key", "size", "shard", "skey", "begin", "block_a", F.explode(F.sequence("block_a", "block_b")).alias("block"))
+        .join(blocks, ["shard", "skey", "block"])
+        .filter((F.col("passes") > 0) & (F.col("block") == F.col("block_a")) | reached)
+        .select("key", "size", "passes", F.when(reached, F.struct(low.alias("first"), (high - low).alias("words"))).alias("cut"))
+    )
+    held = met.groupBy("key").agg(F.first("size").alias("size"), F.first("passes").alias("passes"), F.sort_array(F.collect_list("cut")).alias("cuts"))
+    full = F.coalesce(F.get("cuts", F.lit(0))["words"] == F.col("size"), F.lit(False))
+    return held.select(
+        F.col("key").alias(key),
+        (F.col("passes") + full.cast("int")).cast("int").alias("whole"),
+        F.when(full, F.slice("cuts", 1, 0)).otherwise(F.col("cuts")).alias("cuts"),
+    )
+
+
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """The rows of the mix, with the columns of ``documents``: a document taken
-    c times and r words more appears c times whole and once cut to its first r words."""
+    """The rows of the mix, with the columns of ``documents``: a document appears whole
+    as often as all of it is taken, and once more for each further run of its words that
+    lies in chosen blocks, cut to that run. A run keeps the white space between its words."""
     columns = documents.columns
     keyed = written(documents.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
-    takes = mix(keyed, key="_mix_row", **options).select("_mix_row", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    joined = keyed.join(takes, "_mix_row").filter("_mix_taken > 0")
-    whole, part = F.floor(F.col("_mix_taken") / F.col("_mix_size")).cast("int"), (F.col("_mix_taken") % F.col("_mix_size")).cast("int")
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, part), "")
-    uses = joined.withColumn("_mix_use", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
-    out = uses.withColumn("text", F.when(F.col("_mix_use") == 0, F.col("text")).otherwise(first_words))
+    takes = spans(keyed, key="_mix_row", **options).select("_mix_row", F.col("whole").alias("_mix_whole"), F.col("cuts").alias("_mix_cuts"))
+    joined = keyed.join(takes, "_mix_row")
+    text_of = lambda words, cut: F.array_join(F.slice(words, (cut["first"] + 1).cast("int"), cut["words"].cast("int")), "")
+    trimmed = lambda cut, text: F.when(cut["first"] > 0, F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")).otherwise(text)
+    # the words are an argument of the outer transform, so a text is taken apart once, however many runs it has
+    parts = F.flatten(
+        F.transform(
+            F.array(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))),
+            lambda words: F.transform("_mix_cuts", lambda cut: trimmed(cut, text_of(words, cut))),
+        )
+    )
+    none = F.array().cast("array<string>")
+    uses = joined.withColumn("_mix_use", F.explode(F.concat(F.array_repeat(F.lit(None).cast("string"), F.col("_mix_whole")), F.when(F.size("_mix_cuts") > 0, parts).otherwise(none))))
+    out = uses.withColumn("text", F.coalesce("_mix_use", "text"))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_mix_use") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(documents.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("_mix_use").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(documents.schema["n_chars"].dataType))
     return out.select(columns)

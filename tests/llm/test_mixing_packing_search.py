@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 import zlib
@@ -5,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import hamming_search, mixing, packing
 from tessera.llm.queries import tokenizer_file
@@ -99,6 +101,48 @@ def test_mixed_documents(clashing, rows_of):
     assert all(n <= 2 * words(rows_of[i][1]) for i, n in got.items())
 
 
+def plain_mixed(rows, block):
+    """(doc_id, words) of every row of the mix over one shard; rows are numbered in their order."""
+    md5 = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
+    sizes, target = fair_targets(rows)
+    streams = {s: [] for s in sizes}
+    for at in sorted(range(len(rows)), key=lambda at: md5("mix-1", at)):
+        streams[rows[at][3]] += [(at, j) for j in range(words(rows[at][1]))]
+    blocks = {s: max(1, math.floor(len(x) / block + 0.5)) for s, x in streams.items()}
+    skey = {s: "" if s is None else "=" + s for s in sizes}
+    seats = plain_seats({skey[s]: target[s] * blocks[s] / sizes[s] for s in sizes if sizes[s]}, 1)
+    out = []
+    for s, stream in streams.items():
+        n = blocks[s]
+        passes, more = divmod(min(seats[skey[s]], 2 * n), n)
+        extra = sorted(range(n), key=lambda b: md5("mix-1", skey[s], 0, b))[:more]
+        places = defaultdict(list)
+        for b in sorted(extra):
+            for at, j in stream[b * len(stream) // n : (b + 1) * len(stream) // n]:
+                places[at].append(j)
+        for at in {at for at, _ in stream}:
+            text = re.findall(r"[^\x20\x09-\x0D]+", rows[at][1])
+            out += [(rows[at][0], text)] * passes
+            starts = [j for j in places[at] if j - 1 not in places[at]]
+            out += [(rows[at][0], text[a : next(e for e in range(a, len(text) + 1) if e not in places[at])]) for a in starts]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [8, 128])
+def test_mixed_documents_are_the_chosen_blocks(spark, block):
+    """A hot source of long texts with a small share, and many equal sources: the words are those of the blocks."""
+    rows = [(i, "\n ".join(f"d{i}w{j}" for j in range(300 + 31 * i)), None, "hot" if i % 3 else f"s{i:02d}", 0) for i in range(20)]
+    rows += [(40, " lead  and tail \t", None, "hot", 0), (41, None, None, "hot", None), (42, " ", None, None, 1), (43, "one", None, "Aone", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    got = mixing.mixed_documents(df, block=block).collect()
+    text_of = {r[0]: r[1] for r in rows}
+    assert all(r.text in text_of[r.doc_id] for r in got)
+    want = plain_mixed(rows, block)
+    assert sorted((r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in got) == want
+    taken = sum(r.taken for r in mixing.mix(df.select(F.monotonically_increasing_id().alias("doc_id"), "text", "source"), block=block).collect())
+    assert sum(len(w) for _, w in want) == taken
+
+
 def pieces_of(rows):
     from tokenizers import Tokenizer
 
