@@ -209,34 +209,34 @@ def best_filling(room: int, lengths: list[int], left: list[int], nodes: int = NO
                 return True
         return False
 
-    def grow(space: int, top: int) -> bool:
-        """True once a filling without waste is known or the budget is spent."""
-        nonlocal budget
-        budget -= 1
-        if budget < 0:
-            return True
-        i = bisect_right(lengths, space, 0, top + 1) - 1
-        tried = False
-        while i >= 0:
-            if left[i] - used.get(i, 0) <= 0:
-                i -= 1
-                continue
-            if space - prefix[i + 1] >= found[0][0]:
-                break  # all that is left below cannot beat the incumbent
-            tried = True
+    enter = lambda space, top: [space, bisect_right(lengths, space, 0, top + 1) - 1, False]
+    # an explicit stack: a filling may have as many pieces as there is room
+    levels = [enter(room, len(lengths) - 1)]
+    budget -= 1
+    while levels:
+        space, i, tried = levels[-1]
+        while i >= 0 and left[i] - used.get(i, 0) <= 0:
+            i -= 1
+        # what is left below i must be able to beat the incumbent
+        if i >= 0 and space - prefix[i + 1] < found[0][0]:
+            if budget <= 0:
+                break
+            budget -= 1
+            levels[-1][1:] = i, True
             used[i] = used.get(i, 0) + 1
             chosen.append(lengths[i])
-            done = grow(space - lengths[i], i)
-            chosen.pop()
-            used[i] -= 1
-            if done:
-                return True
-            i -= 1
+            levels.append(enter(space - lengths[i], i))
+            continue
         if not tried and chosen and (space < found[0][0] and not dominated(space) or space == 0):
             found.insert(0, (space, list(chosen)))
-        return found[0][0] == 0
-
-    grow(room, len(lengths) - 1)
+        if found[0][0] == 0:
+            break
+        levels.pop()
+        if levels:
+            i = levels[-1][1]
+            chosen.pop()
+            used[i] -= 1
+            levels[-1][1] = i - 1
     return [x for _, x in found[:4]]
 
 

@@ -178,6 +178,24 @@ def test_packing(clashing, rows_of, nothing):
     assert packing.pack(packing.pieces(nothing, tokenizer_file(), with_ids=False)).count() == 0
 
 
+@pytest.mark.parametrize("histogram", [{1: 5000}, {2: 1500, 1: 3}, {2040: 2, 2: 1200, 1: 1100}])
+def test_many_pieces_of_one_sequence(histogram):
+    plan = packing.complete_bins(histogram)
+    packed = Counter()
+    for pattern, times in plan:
+        assert sum(n * m for n, m in pattern) <= 2048
+        for n, m in pattern:
+            packed[n] += m * times
+    assert packed == Counter(histogram)
+    assert sum(t for _, t in plan) == math.ceil(sum(n * c for n, c in histogram.items()) / 2048)
+
+
+def test_packing_of_empty_texts(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "").alias("text"))
+    rows = packing.pack(packing.pieces(df, tokenizer_file(), with_ids=False)).collect()
+    assert len(rows) == 5000 and check_packing(rows, sorted((r.doc_id, 0, 0, 1, r.ids_crc32) for r in rows)) == 3
+
+
 def test_ids(documents, rows_of):
     row = packing.pieces(documents.filter("doc_id = 3"), tokenizer_file()).first()
     assert zlib.crc32(np.array(row.ids, "<u4").tobytes()) == row.ids_crc32 and row.ids[-1] == 0
