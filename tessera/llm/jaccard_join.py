@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import join_counted, small_batches, written
@@ -369,8 +370,8 @@ def _with_tokens(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "node long, copies long, group long, m long, tokens binary")
 
 
-def classes(documents: DataFrame, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id and n_links of every row."""
+def _classed(documents: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id and n_links of every row, with its node and component (null for a row without part)."""
     spark = documents.sparkSession
     small_batches(spark)
     runs = runs_for(recall)
@@ -401,15 +402,51 @@ def classes(documents: DataFrame, recall: float = RECALL) -> DataFrame:
         .select("node", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
     )
     least = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    known = known.join(least, "component").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    known = known.join(least, "component").select("node", "component", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = rows.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("node")).alias("node")).join(known, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "node", "component", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def classes(documents: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id and n_links of every row."""
+    return _classed(documents, recall).select("doc_id", "class_id", "n_links")
+
+
+def _with_node(documents: DataFrame) -> DataFrame:
+    """``documents`` with the node of each row, null for a text without words."""
+    at, names = documents.columns.index("text"), [*documents.columns, "_node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(at))
+            for a, b in slices(texts):
+                x = nodes_of(texts[a:b], 0)
+                node = pa.array(x["node"], pa.int64(), mask=x["n"] == 0)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, node], names=names)
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_node", T.LongType())]))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """``documents`` with one document, that of the least id, of each class; columns unchanged."""
-    decided = written(classes(documents), "classes")
-    dropped = decided.filter("doc_id != class_id").select("doc_id").distinct()
-    kept = join_counted(documents, dropped, "doc_id", "left_anti").select(documents.columns)
-    repeated = decided.filter("doc_id = class_id and n_links > 0").groupBy("doc_id").count().filter("count > 1")
-    return kept.dropDuplicates(["doc_id"]).select(documents.columns) if repeated.take(1) else kept
+    """``documents`` with one row of each class, of the least id; columns unchanged.
+
+    A row is known by its id where no other row has it. Of repeated ids that are
+    linked to anything each row is known by its node: rows of other texts, like
+    rows with null doc_id, stay whatever befalls their namesakes.
+    """
+    decided = written(_classed(documents), "classes")
+    linked = decided.filter("n_links > 0")
+    repeated = decided.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_links").alias("links")).filter("rows > 1 and links > 0").select("doc_id")
+    dropped = linked.filter("doc_id != class_id").select("doc_id").distinct()
+    if not repeated.take(1):
+        return join_counted(documents, dropped, "doc_id", "left_anti").select(documents.columns)
+    repeated = written(repeated, "repeated-ids")
+    sole = join_counted(documents, dropped.union(repeated).distinct(), "doc_id", "left_anti").select(documents.columns)
+    keepers = linked.filter("doc_id = class_id").groupBy("component").agg(F.min("node").alias("keeper"))
+    fates = linked.join(repeated, "doc_id", "left_semi").join(keepers, "component")
+    fates = fates.select("doc_id", F.col("node").alias("_node"), ((F.col("doc_id") == F.col("class_id")) & (F.col("node") == F.col("keeper"))).alias("_keeps")).distinct()
+    # of equal rows of a kept node one stays; each unlinked row is in a lot of its own
+    known = _with_node(join_counted(documents, repeated, "doc_id", "left_semi").select(documents.columns))
+    lots = known.join(fates, ["doc_id", "_node"], "left").filter("_keeps is null or _keeps")
+    lots = lots.withColumn("_lot", F.when(F.col("_keeps"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return sole.unionByName(lots.dropDuplicates(["doc_id", "_node", "_lot"]).select(documents.columns))

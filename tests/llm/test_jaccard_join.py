@@ -101,3 +101,19 @@ def test_sketches_tell_like_from_unlike():
     s = jaccard_join.sketch(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
     agree = lambda a, b: 128 - int(np.bitwise_count(s[a] ^ s[b]).sum())
     assert agree(0, 1) >= jaccard_join.SKETCH_AGREE > agree(0, 2)
+
+
+def test_one_of_each_drops_only_copies(spark):
+    """Repeated ids: a row goes by its own text; null ids and unlinked namesakes stay."""
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
+    rows = [(1, text(1)), (1, text(1)), (2, text(1)), (2, text(2)), (None, text(1)), (None, text(3)), (None, text(3)), (3, text(4)), (3, text(5)), (3, None), (4, text(6)), (5, text(6) + " tail"), (5, text(7)), (6, text(8)), (6, ""), (7, text(9)), (7, text(9) + " end")]
+    rows += [(8, text(10)), (8, text(10)), (8, text(11))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(df).collect()), key=str)
+    gone = [(1, text(1)), (2, text(1)), (5, text(6) + " tail"), (8, text(10))]
+    want = list(rows)
+    for r in gone:
+        want.remove(r)
+    sevens = [r for r in got if r[0] == 7]
+    assert len(sevens) == 1 and sevens[0] in rows
+    assert [r for r in got if r[0] != 7] == sorted((r for r in want if r[0] != 7), key=str)
