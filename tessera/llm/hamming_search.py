@@ -144,11 +144,12 @@ def _runs(ends: np.ndarray):
 def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, bits: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and distance of the k nearest rows for every stated query.
 
-    ``bits`` is the vectors' size; by default that of the first vector.
+    ``bits`` is the vectors' size; by default the most frequent one, of equally frequent ones the larger.
     """
     spark = vectors.sparkSession
     if bits is None:
-        found = vectors.filter(F.size("embedding") > 0).select(F.size("embedding")).first()
+        sizes = vectors.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("bits")).count()
+        found = sizes.orderBy(F.col("count").desc(), F.col("bits").desc()).first()
         bits = found[0] if found else 64
     coded = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), code_words(F.col("embedding"), bits).alias("code")).filter("code is not null and vec_id is not null")
     rows = vectors.count()

@@ -273,3 +273,12 @@ def test_search_small_tables(spark):
     one = spark.createDataFrame([(0, [1.0] * 64), (3, [-1.0] * 64)], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, hamming_search.top_k(one).collect())) == [(0, 1, 0, 0), (0, 2, 3, 64)]
     assert hamming_search.top_k(one.limit(0)).count() == 0
+
+
+def test_search_by_the_most_frequent_size(spark):
+    """The size of whichever row comes first does not decide."""
+    rows = [(100, [1.0] * 3), (150, [1.0] * 3), *((i, [1.0 if (i >> b) & 1 else -1.0 for b in range(64)]) for i in range(3))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    assert sorted(map(tuple, hamming_search.top_k(df).collect())) == [(0, 1, 0, 0), (0, 2, 1, 1), (0, 3, 2, 1)]
+    tie = spark.createDataFrame([(0, [1.0] * 64), (50, [1.0] * 128)], "vec_id long, embedding array<float>").coalesce(1)
+    assert sorted(map(tuple, hamming_search.top_k(tie).collect())) == [(50, 1, 50, 0)]
