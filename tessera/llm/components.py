@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import erase, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """(node, component) for every node on an edge (a, b); component is the least node.
+    """(node, component) for every node on an edge (a, b), as a written table; component is the least node.
 
     Large star: each node hands its least neighbour to its larger neighbours.
     Small star: each node links itself and its smaller neighbours to the least.
@@ -32,9 +32,13 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = written(moved.unionByName(low.withColumnRenamed("m", "b")).distinct(), name)
+        last, stars = stars, written(moved.unionByName(low.withColumnRenamed("m", "b")).distinct(), name, rows=2 * before[0])
+        erase(last)
         now = _state(stars)
         if now == before:
             break
         before = now
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = written(out, f"{name}-components", rows=2 * before[0])
+    erase(stars)
+    return found

@@ -6,25 +6,35 @@ chooses sampled tokens by a hash under a threshold (1 / similarity tokens are
 expected); nodes that choose the same token share a bucket. A pair at the
 threshold misses all buckets of one run with probability 1/e, so runs are
 repeated until the target recall. Buckets of at most ``BRUTE`` nodes are compared
-pair by pair on 128-bit sketches. A larger bucket of unlike nodes is split again
-on further tokens, chosen in as many runs by a hash that depends on the path so
-far; a larger bucket of like nodes (a big group of near copies) cannot be split
-that way and is compared in pairs of blocks, as are those at the last depth.
+pair by pair on 128-bit sketches.
+
+A larger bucket is split again. Tokens that most of it has (a passage in a third
+of all texts, the body of a large group of near copies) would not split it, so
+they are found by the votes of ``LEADERS`` random members and left out of the
+further choice, which is dense enough for the tokens that remain to keep the
+recall. A node whose sample is common to the bucket in more than ``CORE`` of it has
+too little left to choose from: such nodes, near copies of each other, are
+compared in pairs of blocks, and with those that have more than ``ZONE``. At the
+last depth a large bucket is compared in pairs of blocks altogether, so none is
+ever capped.
 
 Buckets give only the edges of a spanning forest, never all pairs. Its connected
 components are then verified exactly: the shingle sets of a component are
 intersected by blocked products, which gives each node's links and, from true
 links alone, the final classes. So a link is found wherever its ends are in one
-component, and no link is reported that was not verified.
+component, and no link is reported that was not verified. Blocks are bounded by
+tokens (``VERIFY_TOKENS``); a group of b blocks ships each of its sets b times.
 
 Results per row: class_id (least doc_id of the class), n_links (rows, copies
 included, with similarity of at least the threshold).
 
 Edge cases: a text of fewer than ``WORDS`` words has one shingle, all its words; a
 text without words (null, empty, blank) links to nothing and is its own class;
-repeated rows are copies of each other; a row with null doc_id takes no part and
-has null class_id; an empty table gives no rows; further columns are ignored.
-Nodes are named by 64 bits of a set's hash.
+repeated rows are copies of each other; similarities that equal the threshold are
+links, and of equal candidates for a class_id the least is taken; a very long text
+is one set, worked on alone in memory of some 60 times its bytes; a row with null
+doc_id takes no part and has null class_id; an empty table gives no rows; further
+columns are ignored. Sets are told apart by 128 bits of hash, nodes by a number.
 """
 
 from __future__ import annotations
@@ -40,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import join_counted, small_batches, written
+from .shared import batches_of, erase, join_counted, small_batches, written
 from .textkit import mix64, shingles, slices, utf8
 
 WORDS = 5
@@ -49,13 +59,15 @@ RECALL = 0.9999
 SAMPLE = 64
 #: Most nodes of a bucket compared in one go; depth of splitting.
 BRUTE = 4096
-DEPTH = 3
-#: A bucket is of like nodes if this share of it resembles one of its nodes.
-LIKE_SHARE = 0.1
+DEPTH = 4
+#: Members that vote on the tokens common to a bucket.
+LEADERS = 9
+#: Shares of common tokens in a sample from which a node is compared with the core, and is core itself.
+ZONE, CORE = 0.4, 0.75
 #: Sketch bits that must agree: expected 115 of 128 at similarity 0.8, 64 at 0.
 SKETCH_AGREE = 98
-#: Most sets of a component intersected in one task.
-VERIFY = 512
+#: Tokens of a block of sets intersected with another in one task.
+VERIFY_TOKENS = 1 << 19
 _SKETCH = 128
 _MULTIPLIERS = mix64(np.arange(1, _SKETCH + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
@@ -77,9 +89,11 @@ def sketch(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def chosen(tokens: np.ndarray, per_set: np.ndarray, path: np.ndarray | int, runs: int) -> np.ndarray:
-    """Which sampled tokens any run chooses; ``per_set`` is the sample size of each token's set."""
-    limit = np.minimum(1 / float(SIMILARITY) / per_set, 1.0)
+def chosen(tokens: np.ndarray, per_set: np.ndarray, path: np.ndarray | int, runs: int, common: np.ndarray | int = 0) -> np.ndarray:
+    """Which sampled tokens any run chooses; ``per_set`` is the sample size of each token's set,
+    ``common`` how many of them cannot be chosen. A pair at the threshold shares
+    similarity * per_set tokens, and one of those open to choice is expected per run."""
+    limit = 1 / np.maximum(float(SIMILARITY) * per_set - common, 1.0)
     limit = (limit * (2.0**64 - 2048)).astype(np.uint64)
     hit = np.zeros(len(tokens), dtype=bool)
     for r in range(runs):
@@ -88,7 +102,7 @@ def chosen(tokens: np.ndarray, per_set: np.ndarray, path: np.ndarray | int, runs
     return hit
 
 
-_NODE_FIELDS = "n long, node long, node_b long, s1 long, s2 long, sample binary, paths array<long>"
+_NODE_FIELDS = "n long, h1 long, h2 long, s1 long, s2 long, sample binary, paths array<long>"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -113,7 +127,7 @@ def nodes_of(texts: list[bytes], runs: int) -> dict[str, np.ndarray | list]:
     bits = sketch(tokens, begin)
     raw = sample.astype("<u8").tobytes()
     return {
-        "n": n, "node": _signed(mix64(sums[0]) + n.astype(np.uint64)), "node_b": _signed(sums[1]), "s1": _signed(bits[:, 0]), "s2": _signed(bits[:, 1]),
+        "n": n, "h1": _signed(mix64(sums[0]) + n.astype(np.uint64)), "h2": _signed(sums[1]), "s1": _signed(bits[:, 0]), "s2": _signed(bits[:, 1]),
         "sample": [raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], "paths": paths,
         "tokens": tokens, "begin": begin,
     }
@@ -134,22 +148,47 @@ def _shingled(documents: DataFrame, runs: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _deeper(rows: DataFrame, runs: int) -> DataFrame:
-    """Paths one token longer for the rows (path, node, s1, s2, n, sample) of large buckets."""
-    names = ["path", "node", "s1", "s2", "n"]
+def _common(leaders: DataFrame) -> DataFrame:
+    """(path, common): the sampled tokens that most leaders of a bucket have, from rows (path, samples)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path = batch.column(0).to_numpy().view(np.uint64)
-            sample = [np.frombuffer(x, dtype="<u8") for x in batch.column(5).to_pylist()]
-            size = np.array([len(x) for x in sample])
-            row = np.repeat(np.arange(len(sample)), size)
-            tokens = np.concatenate(sample) if len(sample) else np.zeros(0, dtype=np.uint64)
-            hit = chosen(tokens, size[row], path[row], runs)
-            row, longer = row[hit], mix64(path[row[hit]] * np.uint64(0x9E3779B97F4A7C15) + tokens[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(longer)), *(batch.column(i).take(pa.array(row)) for i in range(1, 5))], names=names)
+            common = []
+            for samples in batch.column(1).to_pylist():
+                token, votes = np.unique(np.concatenate([np.frombuffer(x, dtype="<u8") for x in samples]), return_counts=True)
+                common.append(token[2 * votes > len(samples)].astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(common, pa.binary())], names=["path", "common"])
+
+    return leaders.mapInArrow(run, "path long, common binary")
 
-    return rows.mapInArrow(run, "path long, node long, s1 long, s2 long, n long")
+
+def _split(rows: DataFrame, runs: int) -> DataFrame:
+    """Rows (node, sample, path, s1, s2, n, common) of large buckets under the paths of their next choice
+    (kind 0), as core of their bucket (kind 1), and as its zone (kind 2)."""
+    names = ["kind", "path", "node", "s1", "s2", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path = batch.column(2).to_numpy().view(np.uint64)
+            sample = [np.frombuffer(x, dtype="<u8") for x in batch.column(1).to_pylist()]
+            size = np.array([len(x) for x in sample])
+            row, tokens = np.repeat(np.arange(len(sample)), size), np.concatenate(sample)
+            shared = dict(zip(path.tolist(), batch.column(6).to_pylist(), strict=True))
+            known = [mix64(np.frombuffer(x, dtype="<u8") ^ mix64(np.array([p], dtype=np.uint64))) for p, x in shared.items()]
+            common = np.isin(mix64(tokens ^ mix64(path)[row]), np.concatenate(known))
+            count = np.bincount(row[common], minlength=len(sample))
+            share = count / size
+            hit = chosen(tokens, size[row], path[row], runs, count[row]) & ~common & (share <= CORE)[row]
+            longer = mix64(path[row[hit]] * np.uint64(0x9E3779B97F4A7C15) + tokens[hit])
+            near = np.flatnonzero(share >= ZONE)
+            kind = np.concatenate([np.zeros(len(longer), dtype=np.int32), np.where(share[near] > CORE, 1, 2).astype(np.int32)])
+            pick = pa.array(np.concatenate([row[hit], near]))
+            columns = [pa.array(kind), pa.array(_signed(np.concatenate([longer, path[near]]))), batch.column(0).take(pick), *(batch.column(i).take(pick) for i in (3, 4, 5))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.select("node", "sample", "path", "s1", "s2", "n", "common").mapInArrow(run, "kind int, path long, node long, s1 long, s2 long, n long")
 
 
 class Forest:
@@ -231,39 +270,57 @@ def _compare(rows: DataFrame, *keys: str) -> DataFrame:
     return small.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(forest_edges, "a long, b long")
 
 
-def _in_blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(path, block pair) groups of at most 2 * ``size`` rows that cover all pairs of a bucket."""
-    blocks = F.ceil(F.col("m") / size).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def _in_core_blocks(near: DataFrame) -> DataFrame:
+    """Rows of kind 1 and 2 under pairs of blocks, at most 2 * ``BRUTE`` rows together, that
+    cover all pairs of a bucket with a row of kind 1 (its core) in them."""
+    counts = written(near.groupBy("path").agg(F.count_if(F.col("kind") == 1).alias("core"), F.count_if(F.col("kind") == 2).alias("zone")).filter("core > 0"), "cores")
+    own, other = F.ceil(F.col("core") / BRUTE).cast("int"), F.ceil(F.col("zone") / BRUTE).cast("int")
+    is_core, lot = F.col("kind") == 1, F.xxhash64("node")
+    dealt = (
+        join_counted(near, counts, "path")
+        .withColumn("block", F.when(is_core, F.pmod(lot, own)).otherwise(own + F.pmod(lot, F.greatest(other, F.lit(1)))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_core, own + other).otherwise(own) - 1)))
+    )
     return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
 
 def candidate_edges(nodes: DataFrame, runs: int) -> DataFrame:
-    """Spanning edges of all buckets of all runs, split and compared as above."""
+    """Spanning edges of all buckets of all runs, split and compared as above, as a written table."""
     rows = nodes.select(F.explode("paths").alias("path"), "node", "s1", "s2", "n")
-    found = []
+    expected = nodes.count() * (runs + 3)
+    found, tables = [], []
     for depth in range(1, DEPTH + 1):
         # written, so that the join's sides are both plain exchanges and a hot path's rows can be split
-        sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "sizes")
-        rows = written(rows.join(sizes, "path"), "paths")
+        sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "sizes", rows=expected)
+        rows = written(rows.join(sizes, "path"), "paths", rows=expected)
+        tables += [sizes, rows]
         found.append(_compare(rows.filter(F.col("m") <= BRUTE), "path"))
         large = rows.filter(F.col("m") > BRUTE)
-        leaders = large.groupBy("path").agg(F.min_by(F.struct("s1", "s2"), F.xxhash64("node")).alias("leader"))
-        agree = _SKETCH - F.bit_count(F.col("s1").bitwiseXOR(F.col("leader.s1"))) - F.bit_count(F.col("s2").bitwiseXOR(F.col("leader.s2")))
-        judged = large.join(leaders, "path").groupBy("path").agg(F.avg(F.when(agree >= SKETCH_AGREE, 1.0).otherwise(0.0)).alias("like_share"))
-        judged = written(judged, "buckets")
-        if not judged.take(1):
+        buckets = sizes.filter(F.col("m") > BRUTE)
+        if not buckets.take(1):
             break
-        like = judged if depth == DEPTH else judged.filter(F.col("like_share") >= LIKE_SHARE)
-        found.append(_compare(_in_blocks(large.join(like, "path"), BRUTE), "path", "low", "high"))
         if depth == DEPTH:
+            found.append(_compare(_in_core_blocks(large.withColumn("kind", F.lit(1))), "path", "low", "high"))
             break
-        unlike = written(large.join(judged.filter(F.col("like_share") < LIKE_SHARE), "path").select("path", "node", "s1", "s2", "n"), "unlike")
-        rows = _deeper(join_counted(nodes.select("node", "sample"), unlike, "node").select("path", "node", "s1", "s2", "n", "sample"), runs)
+        votes = large.groupBy("path").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"leader{i}") for i in range(LEADERS)])
+        leaders = written(votes.select("path", F.explode(F.array(*[f"leader{i}" for i in range(LEADERS)])).alias("node")), "leaders", rows=1)
+        samples = join_counted(nodes.select("node", "sample"), leaders, "node").groupBy("path").agg(F.collect_list("sample").alias("samples"))
+        common = written(_common(samples), "common", rows=1)
+        members = written(join_counted(large, common, "path"), "members", rows=expected)
+        split = written(_split(join_counted(nodes.select("node", "sample"), members, "node"), runs), "split", rows=expected)
+        found.append(_compare(_in_core_blocks(split.filter("kind > 0")), "path", "low", "high"))
+        rows = split.filter("kind = 0").drop("kind")
+        tables += [leaders, common, members, split]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    edges = written(out.distinct(), "edges", rows=expected)
+    erase(*tables)
+    return edges
+
+
+#: Sets of one side, and tokens, in one product.
+TILE, STEP = 512, 2048
 
 
 def links_of(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right: np.ndarray, within: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -271,12 +328,12 @@ def links_of(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right
 
     (copies linked to each set, spanning edges). ``within``: both are the same block.
     Intersections come from products of 0/1 matrices over slices of the tokens
-    that occur in two sets at least.
+    that occur in two sets at least, for ``TILE`` sets of the left at a time.
     """
     m = len(sets)
     size = np.array([len(x) for x in sets])
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), size)
+    owner = np.repeat(np.arange(m, dtype=np.int32), size)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     new = np.ones(len(flat), dtype=bool)
@@ -285,44 +342,43 @@ def links_of(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right
     shared = np.bincount(token)[token] > 1
     token, owner = token[shared], owner[shared]
     _, token = np.unique(token, return_inverse=True)
-    both = np.zeros((len(left), len(right)), dtype=np.float32)
-    lefts, rights = np.full(m, -1), np.full(m, -1)
-    lefts[left], rights[right] = np.arange(len(left)), np.arange(len(right))
-    step = 4096
-    for a in range(0, int(token[-1]) + 1 if len(token) else 0, step):
-        lo, hi = np.searchsorted(token, [a, a + step])
-        t, o = token[lo:hi] - a, owner[lo:hi]
-        x = np.zeros((len(left), step), dtype=np.float32)
-        y = x if within else np.zeros((len(right), step), dtype=np.float32)
-        x[lefts[o[lefts[o] >= 0]], t[lefts[o] >= 0]] = 1
-        if not within:
-            y[rights[o[rights[o] >= 0]], t[rights[o] >= 0]] = 1
-        both += x @ y.T
+    rights = np.full(m, -1)
+    rights[right] = np.arange(len(right))
+    links, forest = np.zeros(m, dtype=np.int64), Forest(m)
     num, den = SIMILARITY.numerator, SIMILARITY.denominator
-    inter = both.astype(np.int64)
-    linked = (num + den) * inter >= num * (size[left][:, None] + size[right][None])
-    if within:
-        np.fill_diagonal(linked, False)
-    links = np.zeros(m, dtype=np.int64)
-    links[left] += linked @ copies[right]
-    if not within:
-        links[right] += linked.T @ copies[left]
-    forest = Forest(m)
-    for i in np.flatnonzero(linked.any(axis=1)):
-        forest.join(int(left[i]), right[np.flatnonzero(linked[i])])
+    for at in range(0, len(left), TILE):
+        part = left[at : at + TILE]
+        lefts = np.full(m, -1)
+        lefts[part] = np.arange(len(part))
+        both = np.zeros((len(part), len(right)), dtype=np.float32)
+        for a in range(0, int(token[-1]) + 1 if len(token) else 0, STEP):
+            lo, hi = np.searchsorted(token, [a, a + STEP])
+            t, o = token[lo:hi] - a, owner[lo:hi]
+            x, y = np.zeros((len(part), STEP), dtype=np.float32), np.zeros((len(right), STEP), dtype=np.float32)
+            mine, theirs = lefts[o] >= 0, rights[o] >= 0
+            x[lefts[o[mine]], t[mine]] = 1
+            y[rights[o[theirs]], t[theirs]] = 1
+            both += x @ y.T
+        linked = both * (num + den) >= num * (size[part][:, None] + size[right][None])
+        if within:
+            linked[np.arange(len(part)), rights[part]] = False
+        links[part] += linked @ copies[right]
+        if not within:
+            links[right] += linked.T @ copies[part]
+        for i in np.flatnonzero(linked.any(axis=1)):
+            forest.join(int(part[i]), right[np.flatnonzero(linked[i])])
     return links, forest.edges
 
 
 def _verified(groups: DataFrame) -> DataFrame:
     """Rows (a, b, links) from rows (group, low, high, block, node, copies, tokens) sorted by group.
 
-    A group holds one block, or two, of at most ``VERIFY`` sets each.
+    A group holds one block, or two, of about ``VERIFY_TOKENS`` tokens each.
     """
 
-    def finish(held: list[tuple]) -> pa.RecordBatch:
-        unique = {row[4]: row for row in held}
-        rows = list(unique.values())
-        low, high = held[0][1], held[0][2]
+    def finish(held: dict[int, tuple]) -> pa.RecordBatch:
+        rows = list(held.values())
+        low, high = rows[0][1], rows[0][2]
         block = np.array([r[3] for r in rows])
         copies = np.array([r[5] for r in rows])
         sets = [np.frombuffer(r[6], dtype="<u8") for r in rows]
@@ -339,13 +395,14 @@ def _verified(groups: DataFrame) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held, group = {}, None
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                if held and held[0][:3] != row[:3]:
+                if held and group != row[:3]:
                     yield finish(held)
-                    held = []
-                held.append(row)
+                    held = {}
+                group = row[:3]
+                held.setdefault(row[4], row)  # repeated rows bring a node's tokens again
         if held:
             yield finish(held)
 
@@ -353,21 +410,30 @@ def _verified(groups: DataFrame) -> DataFrame:
 
 
 def _with_tokens(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (doc_id, node, copies, group, m) with the node's tokens, read again from its document."""
-    joined = join_counted(documents.select("doc_id", "text"), wanted, "doc_id").select("text", "node", "copies", "group", "m")
+    """``wanted`` (doc_id, h1, h2, node, copies, group, blocks) with the node's tokens, read again from its document."""
+    joined = join_counted(documents.select("doc_id", "text"), wanted, "doc_id").select("text", "h1", "h2", "node", "copies", "group", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()  # of repeated rows a task hands on one
         for batch in batches:
             texts = utf8(batch.column(0))
             for a, b in slices(texts):
                 x = nodes_of(texts[a:b], 0)
                 part = batch.slice(a, b - a)
-                right = x["node"] == part.column(1).to_numpy()
-                raw, begin = x["tokens"].astype("<u8").tobytes(), x["begin"].tolist()
-                tokens = pa.array([raw[8 * p : 8 * q] for p, q in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], tokens], names=["node", "copies", "group", "m", "tokens"]).filter(pa.array(right))
+                right = (x["h1"] == part.column(1).to_numpy()) & (x["h2"] == part.column(2).to_numpy())
+                node = part.column(3).to_pylist()
+                pick = [i for i in np.flatnonzero(right).tolist() if node[i] not in given and not given.add(node[i])]
+                begin = x["begin"].tolist()
+                tokens = pa.array([x["tokens"][begin[i] : begin[i + 1]].astype("<u8").tobytes() for i in pick], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(pick, pa.int64())) for c in part.columns[3:]), tokens], names=["node", "copies", "group", "blocks", "tokens"])
 
-    return joined.mapInArrow(run, "node long, copies long, group long, m long, tokens binary")
+    return joined.mapInArrow(run, "node long, copies long, group long, blocks int, tokens binary")
+
+
+def _in_blocks(sets: DataFrame) -> DataFrame:
+    """Each set under all pairs of blocks that its own block is in."""
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "tokens")
 
 
 def _classed(documents: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -377,34 +443,32 @@ def _classed(documents: DataFrame, recall: float = RECALL) -> DataFrame:
     runs = runs_for(recall)
     rows = written(_shingled(documents, runs), "shingled")
     named = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    nodes = written(
-        named.groupBy("node", "node_b").agg(
-            F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "sample", "paths")]
-        ),
-        "nodes",
-    )
-    loose = components(candidate_edges(nodes, runs), "loose")
-    loose = written(loose, "loose-components")
-    grouped = loose.join(loose.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component").select("node", F.col("component").alias("group"), "m")
-    wanted = written(grouped.join(nodes.select("node", "doc_id", "copies"), "node"), "wanted")
-    sets = _with_tokens(documents, wanted)
-    pairs = _in_blocks(sets.withColumn("m", F.col("m")), VERIFY)
-    groups = pairs.select("group", "low", "high", "block", "node", "copies", "tokens").repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
-    small_batches(spark, 64)  # token sets of long documents are large
-    checked = written(_verified(groups), "links")
-    small_batches(spark)
+    groups = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "sample", "paths")])
+    # numbers given once, in a table that is not made anew
+    nodes = written(groups.withColumn("node", F.monotonically_increasing_id()), "nodes", rows=rows.count())
+    edges = candidate_edges(nodes, runs)
+    loose = components(edges, "loose")
+    erase(edges)
+    members = loose.join(nodes.select("node", "doc_id", "h1", "h2", "n", "copies"), "node").withColumnRenamed("component", "group")
+    blocks = members.groupBy("group").agg(F.ceil(F.sum("n") / VERIFY_TOKENS).cast("int").alias("blocks"))
+    wanted = written(members.join(blocks, "group").drop("n"), "wanted", rows=nodes.count())
+    sets = _in_blocks(_with_tokens(documents, wanted)).repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
+    with batches_of(spark, 64):  # token sets of long documents are large
+        checked = written(_verified(sets), "links", rows=nodes.count())
     links = checked.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labels = components(checked.filter("b is not null").select("a", "b"), "classes")
     known = (
-        nodes.select("node", "doc_id", "copies")
+        nodes.select("node", "h1", "h2", "doc_id", "copies")
         .join(links, "node", "left")
         .join(labels, "node", "left")
-        .select("node", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
+        .select("node", "h1", "h2", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
     )
     least = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    known = known.join(least, "component").select("node", "component", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("node")).alias("node")).join(known, "node", "left")
-    return out.select("doc_id", "node", "component", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = known.join(least, "component").select("h1", "h2", "component", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    takes_part = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    out = rows.select("doc_id", *[F.when(takes_part, F.col(c)).alias(c) for c in ("h1", "h2")]).join(known, ["h1", "h2"], "left")
+    erase(loose, wanted)
+    return out.select("doc_id", F.col("h1").alias("node"), "component", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def classes(documents: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -413,7 +477,7 @@ def classes(documents: DataFrame, recall: float = RECALL) -> DataFrame:
 
 
 def _with_node(documents: DataFrame) -> DataFrame:
-    """``documents`` with the node of each row, null for a text without words."""
+    """``documents`` with a hash of each row's set, null for a text without words."""
     at, names = documents.columns.index("text"), [*documents.columns, "_node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +485,7 @@ def _with_node(documents: DataFrame) -> DataFrame:
             texts = utf8(batch.column(at))
             for a, b in slices(texts):
                 x = nodes_of(texts[a:b], 0)
-                node = pa.array(x["node"], pa.int64(), mask=x["n"] == 0)
+                node = pa.array(x["h1"], pa.int64(), mask=x["n"] == 0)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, node], names=names)
 
     return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_node", T.LongType())]))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +18,22 @@ from ..session import ship_package
 BATCH_ROWS = 256
 #: A side of a join is broadcast only if it was counted to have no more rows.
 BROADCAST_ROWS = 1_000_000
+#: Rows that a file of a narrow intermediate table holds at least, beyond two files a core.
+FILE_ROWS = 250_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set.
+    Only a session on one machine (tests) may name none; a temporary folder is
+    made and set then. On a cluster such a folder would be lost with its machine.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -36,12 +43,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    ``rows``: about how many narrow rows there will be. The table then gets no more
+    files than that needs, so that many shuffle partitions do not become many tiny files.
+    """
     spark = df.sparkSession
-    path = path or new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark, name)
+    out = df if rows is None else df.coalesce(max(2 * spark.sparkContext.defaultParallelism, math.ceil(rows / FILE_ROWS)))
+    out.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.table_path = path
+    return kept
 
 
 def join_counted(df: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -50,19 +64,32 @@ def join_counted(df: DataFrame, side: DataFrame, on: str, how: str = "inner") ->
     return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
 
 
-def erase(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder that nothing will read again."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def erase(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(df.table_path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Before Python stages: bound the rows of an Arrow batch, since texts may be
-    very long, and see that workers can import this package."""
+    very long, and see that workers can import this package. Every operator that
+    returns a lazy plan leaves the session at ``BATCH_ROWS``."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Another batch size for the actions inside, which must not be lazy."""
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        small_batches(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

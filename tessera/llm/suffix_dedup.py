@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import erase, new_path, release, small_batches, written
+from .shared import erase, release, small_batches, written
 from .textkit import _INVERSE, _PRIME, mix64, powers, utf8
 
 LENGTH = 200
@@ -244,14 +244,13 @@ def cover(documents: DataFrame, with_text: bool = False) -> DataFrame:
     small_batches(spark)
     keyed = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     texts = keyed.select("key", "text")
-    placed_at = new_path(spark, "sections")
-    placed = written(_sectioned(texts.filter(F.octet_length("text") >= LENGTH)), "sections", placed_at)
+    placed = written(_sectioned(texts.filter(F.octet_length("text") >= LENGTH)), "sections")
     # one row per anchor, combined before the shuffle: how often it occurs, and whether its sections differ
     by_anchor = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("copies"), F.min("content").alias("low"), F.max("content").alias("high"))
     # written, so that the join's sides are both plain exchanges and a hot anchor's sections can be split
     twice = written(by_anchor.filter("copies > 1").select("anchor", (F.col("low") == F.col("high")).alias("equal")), "anchors")
     repeated = written(placed.join(twice, "anchor").select("key", "anchor", "content", "place", "equal"), "repeated")
-    erase(spark, placed_at)
+    erase(placed)
     release(spark)
     different = repeated.filter("not equal").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.first("key").alias("key"), F.first("place").alias("place"))
     sizes = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))

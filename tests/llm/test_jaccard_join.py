@@ -58,7 +58,8 @@ def test_equals_brute_force(documents, rows_of):
 def test_near_copies_in_small_blocks(spark, monkeypatch):
     """Large buckets of like nodes go block by block, unlike ones are split: same links."""
     monkeypatch.setattr(jaccard_join, "BRUTE", 6)
-    monkeypatch.setattr(jaccard_join, "VERIFY", 4)
+    monkeypatch.setattr(jaccard_join, "VERIFY_TOKENS", 1200)
+    monkeypatch.setattr(jaccard_join, "TILE", 3)
     shared = " ".join(f"s{k}" for k in range(40))
     r = random.Random(9)
     rows = [(i, t) for i, t in enumerate(near_copies(30) + [shared + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(60)) for _ in range(30)])]
@@ -117,3 +118,25 @@ def test_one_of_each_drops_only_copies(spark):
     sevens = [r for r in got if r[0] == 7]
     assert len(sevens) == 1 and sevens[0] in rows
     assert [r for r in got if r[0] != 7] == sorted((r for r in want if r[0] != 7), key=str)
+
+
+def test_large_group_of_near_copies_among_texts_of_one_passage(spark, monkeypatch):
+    """A passage that 900 texts share and 5,000 near copies: classes of the copies, links as counted plainly."""
+    monkeypatch.setattr(jaccard_join, "BRUTE", 512)
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    copies = []
+    for i in range(5000):
+        words = list(base)
+        for k in range(i % 3):
+            words[20 + 30 * k] = f"e{r.randrange(10**6)}"
+        copies.append(" ".join(words))
+    passage = " ".join(f"s{k}" for k in range(40))
+    others = [passage + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(60)) for _ in range(900)]
+    others[1] = others[0] + " tail"
+    texts = copies + others
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sets = [shingle_set(t) for t in texts]
+    sample = [*range(0, 5000, 250), 5000, 5001, 5002]
+    assert [got[i][2] for i in sample] == [sum(9 * len(sets[i] & s) >= 4 * (len(sets[i]) + len(s)) for s in sets) - 1 for i in sample]
+    assert {c for i, c, n in got[:5000] if n} == {0} and [c for _, c, _ in got[5000:5003]] == [5000, 5000, 5002]
