@@ -2,19 +2,22 @@
 
 DataFrame operations only. Each source gets a target of words (weights over a
 share of all words, capped at a multiple of the source, the excess reshared).
-Rows are dealt into shards by a seeded hash, so that a (shard, source) cell is
-of bounded size even where one source holds a third of all rows. In every shard
-the sources compete for the shard's blocks by the quotients target / (2s - 1),
-targets counted in blocks; the seats won are the source's integer quota. A cell's
-words, in seeded order, form a stream cut into equal blocks, as many as come
-nearest to ``block`` words each; the quota is met by whole passes over the stream
-plus the blocks that come first by a seeded hash. A document takes the words of it
-that lie in chosen blocks.
+Rows are dealt into shards by a seeded hash of their content, so that a (shard, source)
+cell is of bounded size even where one source holds a third of all rows, and the mix
+does not depend on how rows are partitioned. In every shard the sources compete for
+the shard's blocks by the quotients target / (2s - 1), targets counted in blocks; the
+seats won are the source's integer quota. A cell's words, in seeded order, form a
+stream cut into equal blocks, as many as come nearest to ``block`` words each; a cell
+too small for ``FEWEST`` such blocks is cut into as many smaller ones, down to single
+words, so that quotas in whole blocks come near the targets of small sources too. The
+quota is met by whole passes over the stream plus the blocks that come first by a
+seeded hash. A document takes the words of it that lie in chosen blocks.
 
 Edge cases: a null or blank text has size 0 and takes 0; a null source is a
-source of its own, ordered last; repeated rows are documents of their own; an
-empty table gives an empty result; further columns are ignored, and columns
-whose names clash with working names are dropped first.
+source of its own, ordered last; repeated rows are documents of their own, numbered
+where they are equal and so dealt apart; ties of quotients go to the source of the
+lesser name; a very long text is one row with as many words, cut by blocks like any;
+an empty table gives an empty result; further columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, written
+from .shared import WORD, join_counted, written
 
 #: Words of a block, about, and rows of a shard on average.
 BLOCK_WORDS = 128
 SHARD_ROWS = 25_000
+#: Blocks of a cell at least, if it has as many words.
+FEWEST = 100
 WEIGHTS = (3, 1, 2)
 SEED = "mix-1"
 
@@ -86,28 +91,46 @@ def quotas(cells: DataFrame) -> DataFrame:
     return won.groupBy("shard", "skey", "low").agg(F.count(F.when(F.col("place") <= F.col("open"), 1)).alias("more")).select("shard", "skey", (F.col("low") + F.col("more")).alias("quota"))
 
 
-def _dealt(documents: DataFrame, key: str, block: int, shard_rows: int, seed: str, weights: tuple[int, ...], repeat: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per source the targets; every block with its copies; every row with its place in its cell's stream."""
-    sized = written(
-        documents.select(
-            F.col(key).alias("key"),
-            "source",
-            F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("skey"),
-            word_count(F.col("text")).alias("size"),
-            F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))).alias("lot"),
-        ),
-        "sized",
-    )
-    shards = max(1, math.ceil(sized.count() / shard_rows))
+def identity(*parts: Column) -> Column:
+    """What a row's lot is drawn by; null parts are left out."""
+    return F.md5(F.concat_ws("|", *parts))
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """Adds copy, the number of a row among those of one identity.
+
+    Counted by identity and part of the table, then over the parts, so that no task
+    holds all rows of one identity. Which of equal rows has which number is of no consequence.
+    """
+    repeated = written(sized.groupBy("same").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("same"), "repeated", rows=1)
+    if not repeated.take(1):
+        return sized.withColumn("copy", F.lit(0).cast("long"))
+    again = join_counted(sized, repeated, "same", "left_semi").withColumn("part", F.shiftright("row", 33))
+    before = Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = again.groupBy("same", "part").agg(F.count(F.lit(1)).alias("rows")).select("same", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    local = again.withColumn("local", F.row_number().over(Window.partitionBy("same", "part").orderBy("row")))
+    numbered = local.join(counts, ["same", "part"]).withColumn("copy", F.col("base") + F.col("local") - 1)
+    return join_counted(sized, repeated, "same", "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(numbered.select(*sized.columns, "copy"))
+
+
+def _dealt(rows: DataFrame, block: int, shard_rows: int, seed: str, weights: tuple[int, ...], repeat: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per source the targets; every block with its copies; every row with its place in its cell's stream.
+
+    ``rows``: key (handed on), row (unique), same (see ``identity``), source and size.
+    """
+    sized = written(rows.withColumn("skey", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))), "sized")
+    total = sized.count()
+    sized = _numbered(sized).withColumn("lot", identity(F.lit(seed), F.col("same"), F.col("copy").cast("string")))
+    shards = max(1, math.ceil(total / shard_rows))
     sized = sized.withColumn("shard", (F.conv(F.substring("lot", 1, 8), 16, 10).cast("long") % shards).cast("int"))
     targets = source_targets(sized, weights, repeat)
     cells = (
         sized.groupBy("shard", "skey").agg(F.sum("size").alias("cell_size"))
         .join(targets, "skey")
-        .withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("cell_size") / block)).cast("long"))
+        .withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("cell_size") / block), F.least(F.col("cell_size"), F.lit(FEWEST))).cast("long"))
         .withColumn("cell_target", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
     )
-    cells = written(cells, "cells")
+    cells = written(cells, "cells", rows=total)
     cell = Window.partitionBy("shard", "skey")
     start_of = lambda j: F.expr(f"({j} * cell_size) div blocks")
     chosen = (
@@ -122,7 +145,7 @@ def _dealt(documents: DataFrame, key: str, block: int, shard_rows: int, seed: st
         .withColumn("before", F.coalesce(F.sum(F.col("copies") * F.col("words")).over(cell.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .select("shard", "skey", "block", "start", "words", "passes", "copies", "before")
     )
-    stream = cell.orderBy("lot", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    stream = cell.orderBy("lot", "row").rowsBetween(Window.unboundedPreceding, -1)
     block_of = lambda word: F.expr(f"(({word} + 1) * blocks - 1) div cell_size")
     placed = (
         sized.withColumn("begin", F.coalesce(F.sum("size").over(stream), F.lit(0)))
@@ -135,7 +158,10 @@ def _dealt(documents: DataFrame, key: str, block: int, shard_rows: int, seed: st
 
 def mix(documents: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, repeat: int = 2) -> DataFrame:
     """``key``, size, source_size, target and taken of every row of ``documents``."""
-    targets, chosen, placed = _dealt(documents, key, block, shard_rows, seed, weights, repeat)
+    rows = documents.select(
+        F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), identity(F.col(key).cast("string"), F.md5("text"), F.col("source")).alias("same"), "source", word_count(F.col("text")).alias("size")
+    )
+    targets, chosen, placed = _dealt(rows, block, shard_rows, seed, weights, repeat)
     side = lambda x: chosen.select("shard", "skey", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "start", "copies", "before")])
     first, last = side("a"), side("b")
     until = lambda at, x: F.col(f"before_{x}") + F.col(f"copies_{x}") * (at - F.col(f"start_{x}"))
@@ -148,14 +174,14 @@ def mix(documents: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, sha
     )
 
 
-def spans(documents: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, repeat: int = 2) -> DataFrame:
-    """``key``, whole and cuts of every row that the mix takes words of: how often the
+def spans(rows: DataFrame, block: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, repeat: int = 2) -> DataFrame:
+    """row, whole and cuts of every row that the mix takes words of: how often the
     document is taken whole, and each further run of its words, (first word, words), in order.
 
-    ``key`` must be unique. A row meets each of its blocks by a join of narrow rows;
-    a run of adjacent blocks is counted at the first of them that the document reaches.
+    ``rows``: row, same, source and size. A row meets each of its blocks by a join of
+    narrow rows; a run of adjacent blocks is counted at the first of them that the document reaches.
     """
-    _, chosen, placed = _dealt(documents, key, block, shard_rows, seed, weights, repeat)
+    _, chosen, placed = _dealt(rows, block, shard_rows, seed, weights, repeat)
     run = Window.partitionBy("shard", "skey", "more", "run")
     blocks = (
         chosen.withColumn("more", F.col("copies") > F.col("passes"))
@@ -170,15 +196,15 @@ def spans(documents: DataFrame, key: str = "doc_id", block: int = BLOCK_WORDS, s
     reached = F.col("more") & (F.col("block") == F.greatest("block_a", "run_block"))
     met = (
         placed.filter(F.col("size") > 0)
-        .select("key", "size", "shard", "skey", "begin", "block_a", F.explode(F.sequence("block_a", "block_b")).alias("block"))
+        .select("row", "size", "shard", "skey", "begin", "block_a", F.explode(F.sequence("block_a", "block_b")).alias("block"))
         .join(blocks, ["shard", "skey", "block"])
         .filter((F.col("passes") > 0) & (F.col("block") == F.col("block_a")) | reached)
-        .select("key", "size", "passes", F.when(reached, F.struct(low.alias("first"), (high - low).alias("words"))).alias("cut"))
+        .select("row", "size", "passes", F.when(reached, F.struct(low.alias("first"), (high - low).alias("words"))).alias("cut"))
     )
-    held = met.groupBy("key").agg(F.first("size").alias("size"), F.first("passes").alias("passes"), F.sort_array(F.collect_list("cut")).alias("cuts"))
+    held = met.groupBy("row").agg(F.first("size").alias("size"), F.first("passes").alias("passes"), F.sort_array(F.collect_list("cut")).alias("cuts"))
     full = F.coalesce(F.get("cuts", F.lit(0))["words"] == F.col("size"), F.lit(False))
     return held.select(
-        F.col("key").alias(key),
+        "row",
         (F.col("passes") + full.cast("int")).cast("int").alias("whole"),
         F.when(full, F.slice("cuts", 1, 0)).otherwise(F.col("cuts")).alias("cuts"),
     )
@@ -189,21 +215,23 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     as often as all of it is taken, and once more for each further run of its words that
     lies in chosen blocks, cut to that run. A run keeps the white space between its words."""
     columns = documents.columns
-    keyed = written(documents.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
-    takes = spans(keyed, key="_mix_row", **options).select("_mix_row", F.col("whole").alias("_mix_whole"), F.col("cuts").alias("_mix_cuts"))
-    joined = keyed.join(takes, "_mix_row")
+    keyed = written(documents.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "mix-rows")
+    text = F.col("doc.text")
+    others = F.to_json(F.struct(*[F.col(f"doc.`{c}`").alias(c) for c in columns if c != "text"]))
+    sized = keyed.select("row", identity(F.md5(text), others).alias("same"), F.col("doc.source").alias("source"), word_count(text).alias("size"))
+    joined = keyed.join(spans(sized, **options), "row")
     text_of = lambda words, cut: F.array_join(F.slice(words, (cut["first"] + 1).cast("int"), cut["words"].cast("int")), "")
     trimmed = lambda cut, text: F.when(cut["first"] > 0, F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")).otherwise(text)
     # the words are an argument of the outer transform, so a text is taken apart once, however many runs it has
     parts = F.flatten(
         F.transform(
-            F.array(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))),
-            lambda words: F.transform("_mix_cuts", lambda cut: trimmed(cut, text_of(words, cut))),
+            F.array(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))),
+            lambda words: F.transform("cuts", lambda cut: trimmed(cut, text_of(words, cut))),
         )
     )
     none = F.array().cast("array<string>")
-    uses = joined.withColumn("_mix_use", F.explode(F.concat(F.array_repeat(F.lit(None).cast("string"), F.col("_mix_whole")), F.when(F.size("_mix_cuts") > 0, parts).otherwise(none))))
-    out = uses.withColumn("text", F.coalesce("_mix_use", "text"))
+    uses = joined.withColumn("use", F.explode(F.concat(F.array_repeat(F.lit(None).cast("string"), F.col("whole")), F.when(F.size("cuts") > 0, parts).otherwise(none))))
+    made = {"text": F.coalesce("use", text)}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_mix_use").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.select(columns)
+        made["n_chars"] = F.when(F.col("use").isNull(), F.col("doc.n_chars")).otherwise(F.char_length("use")).cast(documents.schema["n_chars"].dataType)
+    return uses.select(*[made.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from .hamming_search import K, QUERY_STEP
 from .jaccard_join import WORDS
-from .mixing import BLOCK_WORDS, SEED, SHARD_ROWS, WEIGHTS
+from .mixing import BLOCK_WORDS, FEWEST, SEED, SHARD_ROWS, WEIGHTS
 from .quality_rules import BOILERPLATE, BOILERPLATE_WORDS, MAX_LOSS_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NAVIGATION_WORDS, SHORT_LINE_WORDS, WINDOW
 from .warc import REVISIT_BYTES
 
@@ -66,9 +66,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 _WEIGHT = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS)) + " END"
 OP8 = f"""
-WITH sized AS (
-  SELECT doc_id, source, coalesce('=' || source, '') AS skey, len({_WORDS.format("text")}) AS size, md5('{SEED}|' || doc_id) AS lot,
-         ('0x' || substring(md5('{SEED}|' || doc_id), 1, 8))::BIGINT % greatest(1, ceil((SELECT count(*) FROM documents) / {SHARD_ROWS}.0))::BIGINT AS shard FROM documents),
+WITH keyed AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS skey, len({_WORDS.format("text")}) AS size, md5(concat_ws('|', doc_id::VARCHAR, md5(text), source)) AS same FROM documents),
+lots AS (SELECT *, md5('{SEED}|' || same || '|' || (row_number() OVER (PARTITION BY same) - 1)) AS lot FROM keyed),
+sized AS (SELECT *, ('0x' || substring(lot, 1, 8))::BIGINT % greatest(1, ceil((SELECT count(*) FROM documents) / {SHARD_ROWS}.0))::BIGINT AS shard FROM lots),
 per AS (SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size, {_WEIGHT}::BIGINT AS weight FROM sized GROUP BY skey, source),
 steps AS (
   SELECT *, source_size * 2 AS cap, row_number() OVER o AS pos,
@@ -79,7 +80,7 @@ fixed AS (SELECT pos AS f_at, left2 AS f_left2, weight_left AS f_weight FROM ste
 targets AS (SELECT skey, source_size, CASE WHEN pos < f_at THEN cap::DOUBLE ELSE (weight * f_left2)::DOUBLE / (f_weight * 2)::DOUBLE END AS target FROM steps, fixed),
 cells AS (
   SELECT shard, skey, c.cell_size, c.blocks, CASE WHEN t.source_size > 0 THEN t.target * c.blocks / t.source_size ELSE 0 END AS cell_target
-  FROM (SELECT shard, skey, sum(size)::BIGINT AS cell_size, greatest(1, round(sum(size) / {BLOCK_WORDS}.0))::BIGINT AS blocks FROM sized GROUP BY 1, 2) c JOIN targets t USING (skey)),
+  FROM (SELECT shard, skey, sum(size)::BIGINT AS cell_size, greatest(1, round(sum(size) / {BLOCK_WORDS}.0), least(sum(size), {FEWEST}))::BIGINT AS blocks FROM sized GROUP BY 1, 2) c JOIN targets t USING (skey)),
 seats AS (SELECT shard, skey, cell_target, unnest(range(1, ceil(cell_target * 2)::BIGINT + 60)) AS seat FROM cells WHERE cell_target > 0),
 placed AS (SELECT shard, skey, row_number() OVER (PARTITION BY shard ORDER BY cell_target / (seat * 2 - 1) DESC, skey, seat) AS place FROM seats),
 house AS (SELECT shard, round(sum(cell_target))::BIGINT AS seats FROM cells GROUP BY 1),
@@ -92,7 +93,7 @@ copied AS (
   SELECT *, quota // blocks + CASE WHEN place <= quota % blocks THEN 1 ELSE 0 END AS copies, (block * cell_size) // blocks AS start_at, ((block + 1) * cell_size) // blocks AS stop_at FROM drawn),
 chosen AS (
   SELECT shard, skey, start_at, stop_at, copies, coalesce(sum(copies * (stop_at - start_at)) OVER (PARTITION BY shard, skey ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM copied),
-streamed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY shard, skey ORDER BY lot, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM sized)
+streamed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY shard, skey ORDER BY lot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM sized)
 SELECT s.doc_id, s.size::BIGINT AS size, t.source_size, t.target,
        CASE WHEN s.size > 0 THEN (b.before + b.copies * (s.begin_at + s.size - b.start_at)) - (a.before + a.copies * (s.begin_at - a.start_at)) ELSE 0 END::BIGINT AS taken
 FROM streamed s JOIN targets t USING (skey)

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -102,13 +103,19 @@ def test_mixed_documents(clashing, rows_of):
 
 
 def plain_mixed(rows, block):
-    """(doc_id, words) of every row of the mix over one shard; rows are numbered in their order."""
+    """(doc_id, words) of every row of the mix over one shard; no two rows are equal."""
     md5 = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
     sizes, target = fair_targets(rows)
     streams = {s: [] for s in sizes}
-    for at in sorted(range(len(rows)), key=lambda at: md5("mix-1", at)):
+
+    def lot(row):
+        others = {k: v for k, v in zip(("doc_id", "lang", "source", "n_chars"), (row[0], *row[2:]), strict=True) if v is not None}
+        same = md5(*([] if row[1] is None else [md5(row[1])]), json.dumps(others, separators=(",", ":")))
+        return md5("mix-1", same, 0)
+
+    for at in sorted(range(len(rows)), key=lambda at: lot(rows[at])):
         streams[rows[at][3]] += [(at, j) for j in range(words(rows[at][1]))]
-    blocks = {s: max(1, math.floor(len(x) / block + 0.5)) for s, x in streams.items()}
+    blocks = {s: max(1, math.floor(len(x) / block + 0.5), min(len(x), mixing.FEWEST)) for s, x in streams.items()}
     skey = {s: "" if s is None else "=" + s for s in sizes}
     seats = plain_seats({skey[s]: target[s] * blocks[s] / sizes[s] for s in sizes if sizes[s]}, 1)
     out = []
@@ -139,8 +146,31 @@ def test_mixed_documents_are_the_chosen_blocks(spark, block):
     assert all(r.text in text_of[r.doc_id] for r in got)
     want = plain_mixed(rows, block)
     assert sorted((r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in got) == want
-    taken = sum(r.taken for r in mixing.mix(df.select(F.monotonically_increasing_id().alias("doc_id"), "text", "source"), block=block).collect())
-    assert sum(len(w) for _, w in want) == taken
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mixed_documents(df.repartition(7), block=block).collect()))
+
+
+def test_many_small_sources(spark):
+    """3,000 sources of two short documents: their words come near the targets."""
+    rows = [(i, " ".join(["w"] * (20 + i * 7 % 31)), None, f"s{i // 2:04d}", 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sizes, target = fair_targets(rows)
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[rows[r.doc_id][3]] += r.taken
+        assert r.taken <= 2 * r.size
+    assert sum(abs(taken[s] - target[s]) / target[s] for s in sizes) / len(sizes) < 0.02
+
+
+def test_equal_rows_and_any_partitioning(spark):
+    """Equal rows and rows without an id are dealt apart; partitions do not matter; working names may be columns."""
+    rows = [(None if i % 3 else 7, f"t{i % 4} " * (5 + i % 9), "s", "x", 1, "y") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row string, doc int, cuts string")
+    one, many = (sorted(map(tuple, mixing.mixed_documents(d, block=4, shard_rows=50).collect()), key=str) for d in (df.coalesce(1), df.repartition(9)))
+    assert one == many and len(one) > 300
+    assert mixing.mixed_documents(df).columns == df.columns
+    narrow = df.select("doc_id", "text", "source")
+    one, many = (sorted(map(tuple, mixing.mix(d, block=4, shard_rows=50).collect()), key=str) for d in (narrow.coalesce(1), narrow.repartition(9)))
+    assert one == many and sum(r[4] for r in one) == pytest.approx(1.5 * sum(r[1] for r in one), rel=0.05)
 
 
 def pieces_of(rows):
