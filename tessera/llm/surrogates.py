@@ -1,28 +1,39 @@
 """Personal data and secrets replaced by keyed surrogates of the same type and format.
 
 Detected entities: e-mail addresses, phone numbers, IPv4 addresses, payment card
-numbers, social security numbers, IBANs, secrets, and names after a title. A
-surrogate comes from a keyed permutation of all strings of the entity's format
-(a Feistel network, walked until it is inside the format's domain). Equal
-entities therefore get equal surrogates in the whole corpus (coreference), and
-different entities of one format different ones, with nothing to look up or to
-shuffle. Cards keep a right check digit, IBANs country and checksum, addresses
-octets in range; names keep script, case and the title's gender.
-
-Collision checks: in every document a surrogate must differ from its entity, from
-all entities of the document and from the other surrogates. A clash moves the
-entity to the next tweak of its permutation and is counted.
+numbers (issuer prefix and check digit right), social security numbers, IBANs,
+secrets, and names: after a title, after words that introduce a name, before an
+address in angle brackets, and then every further mention of such a name's words in
+the document.
+
+A surrogate comes from a keyed permutation of all strings of the entity's format: a
+Feistel network p, walked until it is inside the format's domain, used as
+p^-1(p(x) + 1), which is one cycle through the whole domain, so that nothing is
+its own surrogate. Equal entities therefore get equal surrogates in the whole corpus
+(coreference), and different entities of one type different ones (distinctness),
+with nothing to look up or to shuffle. Cards keep issuer and check digit, IBANs
+country and checksum, addresses octets in range; letters stay in their script. A
+word of a name is numbered among all words of its script, the number permuted and
+spelt in syllables, as many as that domain needs, with an ending for the gender that
+a title in the document shows; so one person has one surrogate under any title and
+bare, and two words never share one, at any number of names.
+
+Collision check: surrogates that equal another entity of the document, which is then
+replaced itself, are counted in n_clashes; they are left as they are, since moving
+one of them would break coreference with other documents.
 
 Edge cases: null text stays null with no entities; empty text stays empty;
 overlapping finds: the earlier, then the longer wins; repeated rows are treated
-each, alike; an empty table gives no rows; further columns are ignored by
-``redact`` and kept by ``with_surrogates``.
+each, alike; a very long text is handled whole, in memory of a few times its size;
+an empty table gives no rows; further columns are ignored by ``redact`` and kept by
+``with_surrogates``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +48,7 @@ from .shared import small_batches
 DEFAULT_KEY = b"tessera-surrogates"
 ROUNDS = 8
 
-EMAIL = re.compile(r"[\w.%+'-]*[\w%+]@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
+EMAIL = re.compile(r"[\w.%+'-]*[\w%+]@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NUMBER = re.compile(
     rf"(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))"
@@ -58,9 +69,21 @@ TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f",
     "Señor": "m", "Señora": "f", "Señorita": "f", "Don": "m", "Doña": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
 }
-PERSON = re.compile(r"\b(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? (?P<name>[^\W\d_a-zа-яα-ω][^\W\d_]{1,20}(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]{1,20}){0,2})")
+#: Words that introduce a name.
+INTRODUCTIONS = (
+    "my name is", "mein Name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут", "με λένε",
+    "name:", "full name:", "contact:", "author:", "signed:", "nom:", "auteur:", "nombre:", "autor:", "kontakt:", "имя:", "автор:", "όνομα:",
+)
+_WORD_OF_NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]{1,20}"
+_NAME = rf"(?P<name>{_WORD_OF_NAME}(?:[ -]{_WORD_OF_NAME}){{0,2}})"
+PERSON = re.compile(r"\b(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\.? {_NAME}")
+INTRODUCED = re.compile(r"(?<!\w)(?i:" + "|".join(map(re.escape, sorted(INTRODUCTIONS, key=len, reverse=True))) + rf") {_NAME}")
+ADDRESSED = re.compile(rf"(?<!\w){_NAME} <(?=[^<>\s@]+@[^<>\s@]+>)")
 _TITLE_HINT = re.compile("|".join(sorted(TITLES, key=len, reverse=True)))
+_INTRODUCTION_HINT = re.compile("(?i:" + "|".join(map(re.escape, sorted({x.rpartition(" ")[2] for x in INTRODUCTIONS}, key=len, reverse=True))) + ")")
 _DIGITS = re.compile(r"\d", re.ASCII)
+#: Prefixes of card issuers, kept in a surrogate.
+ISSUER = re.compile(r"4|5[0-8]|3[4-689]|30[0-5]|6011|64[4-9]|65|62|6[0-9]|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)")
 
 #: Alphabets by script: a character is replaced inside its own.
 ALPHABETS = (
@@ -69,14 +92,44 @@ ALPHABETS = (
 )
 _ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
 _HEX = "0123456789abcdef"
-#: Consonants, vowels and endings (masculine, feminine, neither) of names, by script.
-SYLLABLES = {
-    "latin": ("bcdfghjklmnprstvwz", "aeiou", {"m": "o", "f": "a", "": "e"}),
-    "cyrillic": ("бвгдзклмнпрстфхц", "аеиоу", {"m": "ов", "f": "ова", "": "ко"}),
-    "greek": ("βγδζθκλμνπρστφχ", "αειου", {"m": "ος", "f": "α", "": "ι"}),
+_lower = lambda first, last: "".join(c for c in map(chr, range(first, last)) if c.islower())
+#: Letters of names; consonants, vowels, vowels of the first syllable, and what follows the
+#: syllables (masculine, feminine, neither). A name belongs to the first that has all its letters.
+SPELLINGS = {
+    "ascii": (_lower(0x61, 0x7B), "bcdfghjklmnprstvwz", "aeiou", "aeiou", {"m": "no", "f": "na", "": "ne"}),
+    "latin": (_lower(0x61, 0x7B) + _lower(0xDF, 0x180), "bcdfghjklmnprstvwz", "aeiou", "áéíóú", {"m": "no", "f": "na", "": "ne"}),
+    "cyrillic": (_lower(0x430, 0x460), "бвгдзклмнпрстфхц", "аеиоу", "аеиоу", {"m": "нов", "f": "нова", "": "нко"}),
+    "greek": (_lower(0x390, 0x3CF), "βγδζθκλμνπρστφχ", "αειου", "αειου", {"m": "νος", "f": "να", "": "νι"}),
 }
 
 
+@lru_cache(maxsize=10_000)
+def alphabet_of(c: str) -> str:
+    """The characters that may stand for ``c``: those of its alphabet, or, outside the listed ones,
+    of its kind in its part of Unicode, so that no letter or digit of any script stays as it is."""
+    if c in _ALPHABET_OF or not c.isalnum():
+        return _ALPHABET_OF.get(c, c)
+    for width in (0x100, 0x1000, 0x20000):
+        first = ord(c) // width * width
+        kind = unicodedata.category(c)
+        near = "".join(x for x in map(chr, range(first, first + width)) if unicodedata.category(x) == kind and x not in _ALPHABET_OF)
+        if len(near) > 9:
+            return near
+    return near
+
+
+@lru_cache(maxsize=1000)
+def _syllables(letters: int, units: int, length: int) -> tuple[int, int]:
+    """(syllables, first number) of the words of ``length``: each length has room of its own among the
+    numbers that so many syllables can spell."""
+    count, used = 1, 0
+    for n in range(1, length + 1):
+        while used + letters**n > units**count:
+            count, used = count + 1, 0
+        used += letters**n
+    return count, used - letters**length
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -91,32 +144,40 @@ def _iban_ok(text: str) -> bool:
 
 
 class Permutation:
-    """A keyed bijection of range(size) for every tweak."""
+    """A keyed bijection of range(size) for every tweak that leaves no value where it is (if there are two)."""
 
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def _round(self, tweak: bytes, i: int, half: int, width: int) -> int:
         size = (width + 7) // 8
-        digest = hashlib.blake2b(tweak + bytes([0, i]) + half.to_bytes(size, "big"), key=self.key, digest_size=max(16, min(size, 64))).digest()
+        data = half.to_bytes(size, "big")
+        digest = b"".join(hashlib.blake2b(tweak + bytes([0, i]) + block.to_bytes(4, "big") + data, key=self.key, digest_size=64).digest() for block in range((size + 63) // 64))
         return int.from_bytes(digest, "big") & ((1 << width) - 1)
 
-    def __call__(self, value: int, size: int, tweak: bytes) -> int:
-        if size < 2:
-            return value
+    def _network(self, value: int, size: int, tweak: bytes, forward: bool) -> int:
         width = max(1, ((size - 1).bit_length() + 1) // 2)
         mask = (1 << width) - 1
         while True:
             left, right = value >> width, value & mask
-            for i in range(ROUNDS):
-                left, right = right, left ^ self._round(tweak, i, right, width)
+            if forward:
+                for i in range(ROUNDS):
+                    left, right = right, left ^ self._round(tweak, i, right, width)
+            else:
+                for i in reversed(range(ROUNDS)):
+                    left, right = right ^ self._round(tweak, i, left, width), left
             value = left << width | right
             if value < size:
                 return value
 
+    def __call__(self, value: int, size: int, tweak: bytes) -> int:
+        if size < 2:
+            return value
+        return self._network((self._network(value, size, tweak, True) + 1) % size, size, tweak, False)
+
     def text(self, text: str, tweak: bytes, alphabets: list[str] | None = None) -> str:
         """Permute ``text`` among all strings of its format: each character stays in its alphabet."""
-        alphabets = alphabets or [_ALPHABET_OF.get(c, c) for c in text]
+        alphabets = alphabets or [alphabet_of(c) for c in text]
         value, size = 0, 1
         for c, a in zip(text, alphabets, strict=True):
             value, size = value * len(a) + a.index(c), size * len(a)
@@ -134,72 +195,74 @@ class Surrogates:
         self.permute = Permutation(key)
         self.of = lru_cache(maxsize=100_000)(self._of)
 
-    def _of(self, kind: str, entity: str, turn: int = 0) -> str:
-        tweak = f"{kind}|{turn}".encode()
-        return getattr(self, f"_{kind.partition('_')[0]}")(entity, tweak, kind)
+    def _of(self, kind: str, entity: str) -> str:
+        return getattr(self, f"_{kind}")(entity, kind.encode())
 
-    def _email(self, entity: str, tweak: bytes, kind: str) -> str:
+    def _email(self, entity: str, tweak: bytes) -> str:
         """The whole address is permuted; the reserved domain keeps it from being anyone's."""
         return self.permute.text(entity, tweak) + ".example"
 
-    def _ip(self, entity: str, tweak: bytes, kind: str) -> str:
+    def _ip(self, entity: str, tweak: bytes) -> str:
         value = int.from_bytes(bytes(map(int, entity.split("."))), "big")
         return ".".join(map(str, self.permute(value, 1 << 32, tweak).to_bytes(4, "big")))
 
-    def _digits(self, entity: str, tweak: bytes, digits: str) -> str:
-        """``entity`` with its digits, in order, replaced by ``digits``."""
-        it = iter(digits)
-        return "".join(next(it) if c.isdigit() else c for c in entity)
-
-    def _phone(self, entity: str, tweak: bytes, kind: str) -> str:
+    def _phone(self, entity: str, tweak: bytes) -> str:
         m = re.match(r"\+\d{1,3}(?=\D)", entity)
         head = m[0] if m else ""
         return head + self.permute.text(entity[len(head) :], tweak + head.encode())
 
-    def _ssn(self, entity: str, tweak: bytes, kind: str) -> str:
+    def _ssn(self, entity: str, tweak: bytes) -> str:
         return self.permute.text(entity, tweak)
 
-    def _card(self, entity: str, tweak: bytes, kind: str) -> str:
+    def _card(self, entity: str, tweak: bytes) -> str:
         digits = re.sub(r"\D", "", entity)
-        n = len(digits)
-        if luhn(digits):
-            body = self.permute(int(digits[:-1]), 10 ** (n - 1), tweak + b"|valid%d" % n)
-            body = str(body).zfill(n - 1)
-            return self._digits(entity, tweak, next(body + c for c in "0123456789" if luhn(body + c)))
-        value = int(digits)
-        while True:  # walk until outside the valid numbers again
-            value = self.permute(value, 10**n, tweak + b"|other%d" % n)
-            if not luhn(str(value).zfill(n)):
-                return self._digits(entity, tweak, str(value).zfill(n))
-
-    def _iban(self, entity: str, tweak: bytes, kind: str) -> str:
+        head = ISSUER.match(digits)[0]
+        n = len(digits) - 1 - len(head)
+        body = head + str(self.permute(int(digits[len(head) : -1]), 10**n, tweak + b"|%s%d" % (head.encode(), n))).zfill(n)
+        it = iter(next(body + c for c in "0123456789" if luhn(body + c)))
+        return "".join(next(it) if c.isdigit() else c for c in entity)
+
+    def _iban(self, entity: str, tweak: bytes) -> str:
         compact = entity.replace(" ", "")
         account = self.permute.text(compact[4:], tweak + compact[:2].encode())
         check = 98 - int("".join(str(int(c, 36)) for c in account + compact[:2] + "00")) % 97
         it = iter(f"{compact[:2]}{check:02d}{account}")
         return "".join(c if c == " " else next(it) for c in entity)
 
-    def _secret(self, entity: str, tweak: bytes, kind: str) -> str:
+    def _secret(self, entity: str, tweak: bytes) -> str:
         if re.fullmatch(r"[0-9a-f]+", entity):
             return self.permute.text(entity, tweak + b"|hex", [_HEX] * len(entity))
         return self.permute.text(entity, tweak)
 
-    def _person(self, entity: str, tweak: bytes, kind: str) -> str:
-        """Each word becomes syllables that spell its permuted value, with the gender's ending."""
-        return "".join(w if w in " -" else self._name(w, tweak, kind.partition("_")[2]) for w in re.split(r"([ -])", entity))
-
-    def _name(self, word: str, tweak: bytes, gender: str) -> str:
+    def _name(self, word: str, tweak: bytes, gender: str = "") -> str:
         low = word.lower()
-        script = "cyrillic" if "Ѐ" <= low[0] <= "ӿ" else "greek" if "Ͱ" <= low[0] <= "Ͽ" else "latin"
-        consonants, vowels, endings = SYLLABLES[script]
-        raw = low.encode()
-        value = self.permute(int.from_bytes(raw, "big"), 1 << 8 * len(raw), tweak + b"|%d" % len(raw)) if len(raw) < 3 else int.from_bytes(hashlib.blake2b(raw, key=self.permute.key, digest_size=6, salt=tweak[-16:].ljust(16, b"\0")).digest(), "big")
-        out = ""
-        for _ in range(4):
+        for script, (letters, consonants, vowels, first, endings) in SPELLINGS.items():
+            if all(c in letters for c in low):
+                break
+        else:  # a script without syllables here
+            return self.permute.text(word, tweak)
+        value = 0
+        for c in low:
+            value = value * len(letters) + letters.index(c)
+        units = len(consonants) * len(vowels)
+        count, offset = _syllables(len(letters), units, len(low))
+        value = self.permute(offset + value, units**count, tweak + f"|{script}|{count}".encode())
+        out = []
+        for i in range(count):
             value, c = divmod(value, len(consonants))
             value, v = divmod(value, len(vowels))
-            out += consonants[c] + vowels[v]
-        return (out[:-1] + endings[gender]).capitalize()
+            out.append(consonants[c] + (vowels if i else first)[v])
+        name = "".join(out) + endings[gender]
+        return name.upper() if word.isupper() else name.capitalize() if word[0].isupper() else name
+
+    _name_m = lambda self, word, tweak: self._name(word, b"name", "m")
+    _name_f = lambda self, word, tweak: self._name(word, b"name", "f")
+
+    def person(self, name: str, genders: dict[str, str]) -> str:
+        """A surrogate of each word; ``genders``: as titles of the document show them."""
+        gender = next((genders[w] for w in re.split("[ -]", name.lower()) if genders.get(w)), "")
+        kind = f"name_{gender}" if gender else "name"
+        return "".join(w if w in " -" else self.of(kind, w) for w in re.split(r"([ -])", name))
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -212,7 +275,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             kind = m.lastgroup
             if kind == "card":
                 digits = re.sub(r"\D", "", m[0])
-                if not (luhn(digits) or len(digits) == 16):
+                if not luhn(digits) or not ISSUER.match(digits):
                     continue
             spans.append((m.start(), m.end(), kind))
         spans += [(m.start(), m.end(), "iban") for m in IBAN.finditer(text) if _iban_ok(m[0])]
@@ -221,8 +284,17 @@ def find(text: str) -> list[tuple[int, int, str]]:
             spans.append((m.start(group), m.end(group), "secret"))
     elif "=" in text or ":" in text:
         spans += [(m.start("value"), m.end("value"), "secret") for m in SECRET.finditer(text) if m["value"]]
+    people = []
     if _TITLE_HINT.search(text):
-        spans += [(m.start("name"), m.end("name"), f"person_{TITLES[m['title']]}") for m in PERSON.finditer(text)]
+        people += [(m.start("name"), m.end("name"), f"person_{TITLES[m['title']]}") for m in PERSON.finditer(text)]
+    if _INTRODUCTION_HINT.search(text):
+        people += [(m.start("name"), m.end("name"), "person_") for m in INTRODUCED.finditer(text)]
+    if "@" in text and "<" in text:
+        people += [(m.start("name"), m.end("name"), "person_") for m in ADDRESSED.finditer(text)]
+    if people:
+        words = {x for a, b, _ in people for w in re.split("[ -]", text[a:b]) for x in (w, w.upper())}
+        again = re.compile(r"(?<![\w@])(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?![\w@])")
+        spans += people + [(m.start(), m.end(), "person_") for m in again.finditer(text)]
     spans.sort(key=lambda s: (s[0], -s[1]))
     out, reach = [], 0
     for span in spans:
@@ -233,23 +305,26 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def replace(text: str, surrogates: Surrogates) -> tuple[str, Counter, int, int]:
-    """(text with surrogates, entities by type, distinct entities, clashes resolved)."""
+    """(text with surrogates, entities by type, distinct entities, surrogates that equal another entity)."""
     spans = find(text)
     if not spans:
         return text, Counter(), 0, 0
-    entities = {(kind, text[a:b]) for a, b, kind in spans}
-    taken, given, clashes = {e for _, e in entities}, {}, 0
-    for kind, entity in sorted(entities):
-        turn = 0
-        while (new := surrogates.of(kind, entity, turn)) in taken and turn < 1000:
-            turn, clashes = turn + 1, clashes + 1
-        taken.add(new)
-        given[kind, entity] = new
-    parts, at = [], 0
+    genders: dict[str, str] = {}
+    for a, b, kind in spans:
+        if kind.startswith("person_") and kind != "person_":
+            for w in re.split("[ -]", text[a:b].lower()):
+                genders.setdefault(w, kind.partition("_")[2])
+    given: dict[tuple[str, str], str] = {}
+    parts, at, counts = [], 0, Counter()
     for a, b, kind in spans:
-        parts += [text[at:a], given[kind, text[a:b]]]
+        kind, entity = kind.partition("_")[0], text[a:b]
+        if (kind, entity) not in given:
+            given[kind, entity] = surrogates.person(entity, genders) if kind == "person" else surrogates.of(kind, entity)
+        counts[kind] += 1
+        parts += [text[at:a], given[kind, entity]]
         at = b
-    return "".join([*parts, text[at:]]), Counter(kind.partition("_")[0] for _, _, kind in spans), len(entities), clashes
+    entities = {e for _, e in given}
+    return "".join([*parts, text[at:]]), counts, len(given), sum(new in entities for new in given.values())
 
 
 def _each(batches: Iterator[pa.RecordBatch], at: int, key: bytes, build) -> Iterator[pa.RecordBatch]:
