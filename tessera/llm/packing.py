@@ -2,16 +2,25 @@
 
 Documents become token pieces of at most ``capacity`` ids. Only the histogram of
 piece lengths (at most ``capacity`` numbers, whatever the corpus) reaches the
-driver. There, bin completion builds sequence patterns: around the largest
-length still left it enumerates fillings of the remaining room, skips dominated
-ones (a larger unused length could stand in for chosen ones without overflow),
-prunes by waste, and keeps the best filling so far as incumbent. A pattern is
-used as often as the histogram allows, so there are at most ``capacity``
-patterns. Back on the cluster a piece finds its slot by its rank among the
-pieces of its length.
+driver. There the best-fit decreasing packing, worked out on the histogram, is the
+first incumbent. If it takes more sequences than all tokens need, bin completion
+looks for better ones: depth first, a sequence is completed around the largest length
+still left by each undominated filling of the remaining room, least waste first. A
+filling is dominated if an unused length could stand in for several chosen ones, or
+for ones of less in sum, without overflow. Waste that would cost as many sequences as
+the incumbent prunes fillings and branches; a better packing becomes the incumbent. A
+pattern is used as often as the histogram allows, then also once. ``NODES`` and
+``BUDGET`` bound the search; what they leave open is how far from the fewest
+sequences a packing is, never whether it is one.
+
+Back on the cluster a piece finds its slot by its rank among the pieces of its
+length: pieces are numbered by length within the task that cuts them, and the
+counts of tasks added up, so equal lengths or ids gather nowhere.
 
 Edge cases: a null or empty text is the one id 0; repeated rows are documents of
-their own; an empty table gives no rows; further columns are ignored.
+their own; equal lengths are interchangeable; a very long text is cut into pieces by one
+task, in memory of a few times its size; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -19,23 +28,23 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from .shared import join_counted, small_batches, written
 from .textkit import utf8
 
 CAPACITY = 2048
-#: Nodes of the search for one pattern, after which its incumbent is taken.
+#: Nodes of the search for the fillings of one sequence, and of all together.
 NODES = 4000
-#: Backtracks of the whole search before the incumbent solution is taken.
-BACKTRACKS = 64
+BUDGET = 400_000
 #: Word pieces that a worker remembers.
 CACHE_WORDS = 600_000
 
@@ -153,11 +162,13 @@ def encoder(path: str) -> Callable:
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = True, key: str = "doc_id") -> DataFrame:
-    """One row per piece: key, piece, start, length, ids_crc32 and, if wanted, the ids."""
-    schema = f"{key} {documents.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    """One row per piece: key, piece, start, length, ids_crc32, document (a number of the row, unique in
+    the table), lot and place (task and number there among the pieces of the length) and, if wanted, the ids."""
+    schema = f"{key} {documents.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, document long, lot int, place long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
+        lot, rows, placed = TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -172,137 +183,153 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             at = begin[doc] + start
             raw = ids.astype("<u4")
             crc = [zlib.crc32(raw[a : a + m]) for a, m in zip(at.tolist(), length.tolist(), strict=True)]
+            order = np.argsort(length, kind="stable")
+            ranked = length[order]
+            place = np.empty_like(length)
+            place[order] = placed[ranked] + np.arange(len(ranked)) - np.searchsorted(ranked, ranked)
+            placed += np.bincount(length, minlength=capacity + 1)
             columns = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
-            if with_ids:
-                columns.append(pa.array([raw[a : a + m].astype(np.int64) for a, m in zip(at.tolist(), length.tolist(), strict=True)], pa.list_(pa.int64())))
+            columns += [pa.array((lot << 33) + rows + doc), pa.array(np.full(len(doc), lot, dtype=np.int32)), pa.array(place)]
+            rows += batch.num_rows
+            if with_ids:  # pieces follow each other as their ids do
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, begin[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     small_batches(documents.sparkSession)
     return documents.select(key, "text").mapInArrow(cut, schema)
 
 
-def best_filling(room: int, lengths: list[int], left: list[int], nodes: int = NODES) -> list[list[int]]:
-    """Undominated fillings of ``room`` from ``lengths`` (ascending, ``left`` of each), least waste first.
+Plan = list[tuple[list[tuple[int, int]], int]]
 
-    Depth first with larger lengths first. A branch is pruned when the room it
-    could still use cannot beat the incumbent's waste. An exact single fit
+
+def size_of(plan: Plan) -> int:
+    return sum(times for _, times in plan)
+
+
+def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Best-fit decreasing, for all pieces of a length at once: each goes where it leaves least room.
+
+    Sequences of equal content are one entry of the work list, kept by the room they have; a
+    length changes each entry it meets whole but for one, so there are few.
+    """
+    held: list[tuple[int, int, dict[int, int], int]] = []  # room, order, content, times
+    made = 0
+    for length in sorted((n for n, c in histogram.items() if c), reverse=True):
+        count = histogram[length]
+        while count:
+            at = bisect_left(held, (length,))
+            if at < len(held):
+                room, _, content, times = held.pop(at)
+            else:
+                room, content, times = capacity, {}, count
+            each = min(room // length, count)
+            full = min(times, count // each)
+            made += 2
+            if full < times and content:
+                insort(held, (room, made, content, times - full))
+            insort(held, (room - each * length, made + 1, content | {length: each}, full))
+            count -= each * full
+    return [(sorted(content.items(), reverse=True), times) for _, _, content, times in held]
+
+
+def dominated(chosen: list[int], waste: int, lengths: list[int], unused: list[int]) -> bool:
+    """Whether an unused length could stand in for chosen ones: for some of less in sum, or for
+    several of the same sum, with no more than ``waste`` of additional room."""
+    some, several = 1, 0  # bit s: some chosen lengths, two at least, add up to s
+    for x in chosen:
+        several |= several << x | (some & ~1) << x
+        some |= some << x
+    for x, n in zip(lengths, unused, strict=True):
+        if n and (several >> x & 1 or some >> max(1, x - waste) & ((1 << max(0, x - max(1, x - waste))) - 1)):
+            return True
+    return False
+
+
+def fillings(room: int, lengths: list[int], left: list[int], allowed: int, nodes: int = NODES) -> tuple[list[list[int]], int]:
+    """Undominated fillings of ``room`` that waste at most ``allowed``, least waste first, and the nodes looked at.
+
+    ``lengths`` ascend, with ``left`` of each. Depth first with larger lengths first, by an
+    explicit stack, since a filling may have as many pieces as there is room; a branch ends
+    where all that could still be chosen leaves more waste than allowed. An exact single fit
     dominates everything else.
     """
     at = bisect_left(lengths, room)
     if at < len(lengths) and lengths[at] == room and left[at]:
-        return [[room]]
-    found: list[tuple[int, list[int]]] = [(room, [])]
-    budget = nodes
-    used: dict[int, int] = {}
-    chosen: list[int] = []
-    prefix = [0]
+        return [[room]], 1
+    below = [0]
     for length, count in zip(lengths, left, strict=True):
-        prefix.append(prefix[-1] + length * count)
-
-    def dominated(waste: int) -> bool:
-        sums = {0}
-        for x in chosen[:6]:
-            sums |= {s + x for s in sums}
-        for s in sums - {0}:
-            i = bisect_right(lengths, s + waste) - 1
-            if i >= 0 and lengths[i] > s and left[i] - used.get(i, 0) > 0:
-                return True
-        return False
-
+        below.append(below[-1] + length * count)
+    left, chosen, found, budget = list(left), [], [], nodes
     enter = lambda space, top: [space, bisect_right(lengths, space, 0, top + 1) - 1, False]
-    # an explicit stack: a filling may have as many pieces as there is room
     levels = [enter(room, len(lengths) - 1)]
-    budget -= 1
-    while levels:
+    while levels and budget > 0:
         space, i, tried = levels[-1]
-        while i >= 0 and left[i] - used.get(i, 0) <= 0:
+        while i >= 0 and not left[i]:
             i -= 1
-        # what is left below i must be able to beat the incumbent
-        if i >= 0 and space - prefix[i + 1] < found[0][0]:
-            if budget <= 0:
-                break
+        if i >= 0 and space - below[i + 1] <= allowed:
             budget -= 1
             levels[-1][1:] = i, True
-            used[i] = used.get(i, 0) + 1
+            left[i] -= 1
             chosen.append(lengths[i])
             levels.append(enter(space - lengths[i], i))
             continue
-        if not tried and chosen and (space < found[0][0] and not dominated(space) or space == 0):
-            found.insert(0, (space, list(chosen)))
-        if found[0][0] == 0:
-            break
+        if not tried and space <= allowed and not dominated(chosen, space, lengths, left):
+            found.append((space, list(chosen)))
+            if not space and len(found) > 64:
+                break
         levels.pop()
         if levels:
             i = levels[-1][1]
             chosen.pop()
-            used[i] -= 1
+            left[i] += 1
             levels[-1][1] = i - 1
-    return [x for _, x in found[:4]]
-
+    found.sort(key=lambda f: f[0])
+    return [x for _, x in found], nodes - budget
 
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, backtracks: int = BACKTRACKS) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns ((length, copies), ...) with how often each is used, for the whole histogram.
 
-    Branch and bound: the first descent takes the best filling each time. Its
-    number of sequences is the incumbent; alternatives are tried, latest choice
-    first, while their waste could still save a sequence.
-    """
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, budget: int = BUDGET) -> Plan:
+    """Patterns ((length, copies), ...) with how often each is used, for the whole histogram."""
     total = sum(n * c for n, c in histogram.items())
     bound = math.ceil(total / capacity)
+    best = best_fit(histogram, capacity)
 
-    def descend(counts: dict[int, int], plan: list, branch: int) -> tuple[list, list]:
-        choices = []
+    def children(counts: dict[int, int], plan: Plan, waste: int) -> Iterator[tuple[dict[int, int], Plan, int]]:
+        nonlocal budget
         lengths = sorted(n for n, c in counts.items() if c)
-        while lengths:
-            top = lengths[-1]
-            counts[top] -= 1
-            fillings = best_filling(capacity - top, lengths, [counts[n] for n in lengths], nodes)
-            counts[top] += 1
-            pick = min(branch, len(fillings) - 1)
-            branch = 0
-            if len(fillings) > 1:
-                choices.append((len(plan), dict(counts), len(fillings)))
-                del choices[:-backtracks]
+        top = lengths[-1]
+        left = [counts[n] - (n == top) for n in lengths]
+        allowed = (size_of(best) - 1) * capacity - total - waste
+        options, used = fillings(capacity - top, lengths, left, allowed, min(nodes, budget))
+        budget -= 1 + used
+        for filling in options:
             pattern: dict[int, int] = {}
-            for n in [top, *fillings[pick]]:
+            for n in [top, *filling]:
                 pattern[n] = pattern.get(n, 0) + 1
-            times = min(counts[n] // m for n, m in pattern.items())
-            for n, m in pattern.items():
-                counts[n] -= m * times
-            plan.append((sorted(pattern.items(), reverse=True), times))
-            lengths = [n for n in lengths if counts[n]]
-        return plan, choices
-
-    size = lambda plan: sum(times for _, times in plan)
-    best, choices = descend(dict(histogram), [], 0)
-    for _ in range(backtracks):
-        if size(best) <= bound or not choices:
-            break
-        at, counts, options = choices.pop()
-        for branch in range(1, options):
-            done = best[:at]
-            spent = sum(times * (capacity - sum(n * m for n, m in pattern)) for pattern, times in done)
-            if spent > (size(best) - 1) * capacity - total:
-                break  # its waste alone already costs as many sequences
-            plan, _ = descend(dict(counts), list(done), branch)
-            if size(plan) < size(best):
-                best, choices = plan, []
-                break
+            spare = capacity - sum(n * m for n, m in pattern.items())
+            most = min(counts[n] // m for n, m in pattern.items())
+            for times in dict.fromkeys((most, 1)):
+                # the waste may have been too much since the incumbent changed
+                if waste + times * spare <= (size_of(best) - 1) * capacity - total:
+                    yield {n: c - pattern.get(n, 0) * times for n, c in counts.items()}, [*plan, (sorted(pattern.items(), reverse=True), times)], waste + times * spare
+
+    open_ = [children(dict(histogram), [], 0)] if size_of(best) > bound else []
+    while open_ and budget > 0 and size_of(best) > bound:
+        step = next(open_[-1], None)
+        if step is None:
+            open_.pop()
+        elif not any(step[0].values()):
+            if size_of(step[1]) < size_of(best):
+                best = step[1]
+        else:
+            open_.append(children(*step))
     return best
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", bucket_rows: int = 20_000) -> DataFrame:
-    """Adds sequence_id and offset to the rows of ``pieces()``.
-
-    ``cut`` is written to the shared folder first. Ranks are counted in two
-    levels, by (length, bucket), so a length that a third of all pieces share
-    is no single task's work.
-    """
+def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset to the rows of ``pieces()``, which are written to the shared folder first."""
     rows = written(cut, "pieces")
-    names = rows.columns
-    buckets = max(1, math.ceil(rows.count() / bucket_rows))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key, "piece"), F.lit(buckets)).cast("int"))
-    counts = written(rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    names = [n for n in rows.columns if n not in ("lot", "place")]
+    counts = written(rows.groupBy("length", "lot").agg(F.count(F.lit(1)).alias("n")), "lengths", rows=1)
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     slots = []  # length, first rank, copies, first sequence, offset in the pattern
     sequence, used = 0, dict.fromkeys(histogram, 0)
@@ -315,7 +342,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", bucket_r
         sequence += times
     slots.sort()
     table = np.array(slots, dtype=np.int64).reshape(-1, 5)
-    schema = rows.drop("bucket").schema.add("sequence_id", "long").add("offset", "long")
+    schema = rows.select(names).schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sort_key = table[:, 0] << 48 | table[:, 1]
@@ -328,8 +355,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", bucket_r
             offset = slot[:, 4] + within % slot[:, 2] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence_id), pa.array(offset)], names=schema.names)
 
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    group = Window.partitionBy("length", "bucket").orderBy(key, "piece", "ids_crc32")
-    ranked = rows.withColumn("place", F.row_number().over(group)).join(base, ["length", "bucket"])
-    return ranked.select(*names, (F.col("base") + F.col("place") - 1).alias("rank")).mapInArrow(place, schema)
+    before = Window.partitionBy("length").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+    base = written(counts.select("length", "lot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases", rows=1)
+    ranked = join_counted(rows, base, ["length", "lot"])
+    return ranked.select(*names, (F.col("base") + F.col("place")).alias("rank")).mapInArrow(place, schema)

@@ -58,7 +58,7 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return kept
 
 
-def join_counted(df: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def join_counted(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """``df`` joined with a narrow ``side`` (a written table, so that counting is cheap):
     by broadcast up to ``BROADCAST_ROWS`` counted rows, by shuffle beyond."""
     return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)

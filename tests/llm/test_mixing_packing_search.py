@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -188,6 +189,10 @@ def pieces_of(rows):
 
 def check_packing(rows, want):
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    return check_packing_places(rows)
+
+
+def check_packing_places(rows):
     held = defaultdict(list)
     for r in rows:
         held[r.sequence_id].append((r.offset, r.length))
@@ -202,7 +207,7 @@ def check_packing(rows, want):
 
 def test_packing(clashing, rows_of, nothing):
     twice = clashing.unionByName(clashing)
-    rows = packing.pack(packing.pieces(twice, tokenizer_file(), with_ids=False), bucket_rows=7).collect()
+    rows = packing.pack(packing.pieces(twice, tokenizer_file(), with_ids=False)).collect()
     used = check_packing(rows, pieces_of(rows_of * 2))
     assert used == math.ceil(sum(r.length for r in rows) / 2048)
     assert packing.pack(packing.pieces(nothing, tokenizer_file(), with_ids=False)).count() == 0
@@ -261,6 +266,68 @@ def fewest(items, capacity):
     return best
 
 
+def plain_best_fit(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fit = [r for r in rooms if r >= x]
+        if fit:
+            rooms.remove(min(fit))
+            rooms.append(min(fit) - x)
+        else:
+            rooms.append(capacity - x)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_incumbent_is_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    items = rng.integers(1, 60, 400).tolist()
+    plan = packing.best_fit(Counter(items), 100)
+    packed = Counter()
+    for pattern, times in plan:
+        assert sum(n * m for n, m in pattern) <= 100
+        for n, m in pattern:
+            packed[n] += m * times
+    assert packed == Counter(items)
+    assert packing.size_of(plan) == plain_best_fit(items, 100) >= packing.size_of(packing.complete_bins(Counter(items), 100))
+
+
+def test_fillings_are_all_undominated_ones():
+    """Against all fillings tested pair by pair: kept are those that nothing dominates."""
+    lengths, left, room = [2, 3, 5, 7, 8], [2, 1, 2, 1, 1], 14
+    every = {()}
+    for n, c in zip(lengths, left, strict=True):
+        every |= {tuple(sorted([*f, *[n] * k])) for f in every for k in range(c + 1) if sum(f) + n * k <= room}
+
+    def beaten(f):
+        for x in {n for n, c in zip(lengths, left, strict=True) if f.count(n) < c}:
+            for k in range(1, len(f) + 1):
+                for part in combinations(f, k):
+                    if sum(part) <= x <= sum(part) + room - sum(f) and (sum(part) < x or k > 1):
+                        return True
+            if x <= room - sum(f):
+                return True
+        return False
+
+    want = sorted((room - sum(f), f) for f in every if not beaten(f))
+    got, _ = packing.fillings(room, lengths, left, room)
+    assert sorted((room - sum(f), tuple(sorted(f))) for f in got) == want
+
+
+def test_better_than_best_fit():
+    """Best-fit decreasing takes three sequences where two do."""
+    items = Counter([4, 4, 3, 3, 3, 3])
+    assert packing.size_of(packing.best_fit(items, 10)) == 3 and packing.size_of(packing.complete_bins(items, 10)) == 2
+
+
+def test_rows_without_ids_are_told_apart(spark):
+    """Equal rows and null ids gather in no task: places are by task and length."""
+    df = spark.createDataFrame([(None, "a b c")] * 3000 + [(1, None)] * 500, "doc_id long, text string").repartition(6)
+    rows = packing.pack(packing.pieces(df, tokenizer_file())).collect()
+    assert len({r.document for r in rows}) == 3500 and all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    assert check_packing_places(rows) == math.ceil(sum(r.length for r in rows) / 2048)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_few_bins(seed):
     rng = np.random.default_rng(seed)
