@@ -7,34 +7,40 @@ r - 1 in the rest) every code within distance m*r + j has been seen (m segments)
 since a code that is farther in each would differ in more bits than that. The
 search of a query ends once k verified distances are within the covered distance.
 
-The stated queries (ids divisible by ``QUERY_STEP``) meet all rows in blocks: rows
-are dealt into blocks, queries into chunks, and each (block, chunk) pair is one
-group of bounded size that gives k rows per query; those are merged by query.
-Equal codes of a block are kept once, with their k smallest ids.
+The stated queries (ids divisible by ``QUERY_STEP``) meet all rows in blocks: rows are
+dealt into blocks of bounded size, each task indexes one block and reads the codes of
+the queries, chunk by chunk, from a table in the shared folder, so that neither rows
+nor queries are copied by a shuffle. A block gives k rows per query; those are merged
+by query. Equal codes of a block are kept once, with their k smallest ids.
 
 Edge cases: null, empty or odd-sized vectors have no code: they are not found and
 as queries get no rows; a null or NaN component counts as not positive; ties go to
 the smaller id; a query finds itself; repeated rows are found once per row; with
-fewer than k codes all are returned; an empty table gives no rows.
+fewer than k codes all are returned; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, written
+from .storage import read_table
 
 SEGMENT_BITS = 16
 K = 10
 QUERY_STEP = 50
-BLOCK_ROWS = 40_000
+#: Rows of a block at most and, so that all cores have some, at least; queries searched at once.
+BLOCK_ROWS = 500_000
+LEAST_ROWS = 5_000
 CHUNK_QUERIES = 4_000
 #: Verified pairs held at once.
 PAIRS = 1 << 20
@@ -63,21 +69,27 @@ def segments(codes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(codes).view("<u2").reshape(len(codes), -1).astype(np.int64)
 
 
-def search_block(query: np.ndarray, ids: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Block:
+    """The rows of a block by code and id, and an index of its different codes by each segment."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray):
+        order = np.lexsort((ids, *codes.T))
+        self.ids, codes = ids[order], codes[order]
+        new = np.ones(len(codes), dtype=bool)
+        new[1:] = (codes[1:] != codes[:-1]).any(axis=1)
+        self.first = np.flatnonzero(new)
+        self.copies = np.diff(np.append(self.first, len(codes)))
+        self.segments = segments(codes[self.first])
+        self.index = []
+        for s in range(self.segments.shape[1]):
+            by = np.argsort(self.segments[:, s], kind="stable")
+            self.index.append((by, np.searchsorted(self.segments[by, s], np.arange((1 << SEGMENT_BITS) + 1))))
+
+
+def search_block(query: np.ndarray, block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, id, distance) of the k nearest rows of a block for each query code."""
-    order = np.lexsort((ids, *codes.T))
-    ids, codes = ids[order], codes[order]
-    new = np.ones(len(codes), dtype=bool)
-    new[1:] = (codes[1:] != codes[:-1]).any(axis=1)
-    first = np.flatnonzero(new)
-    copies = np.diff(np.append(first, len(codes)))
-    distinct = codes[first]
-    seg, qseg = segments(distinct), segments(query)
-    m = seg.shape[1]
-    index = []
-    for s in range(m):
-        by = np.argsort(seg[:, s], kind="stable")
-        index.append((by, np.searchsorted(seg[by, s], np.arange((1 << SEGMENT_BITS) + 1))))
+    ids, first, copies, seg, index = block.ids, block.first, block.copies, block.segments, block.index
+    qseg, m = segments(query), seg.shape[1]
     bits = m * SEGMENT_BITS
     seen = np.zeros((len(query), bits + 1), dtype=np.int64)  # rows verified, by distance
     hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -152,24 +164,31 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, bits: in
         found = sizes.orderBy(F.col("count").desc(), F.col("bits").desc()).first()
         bits = found[0] if found else 64
     coded = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), code_words(F.col("embedding"), bits).alias("code")).filter("code is not null and vec_id is not null")
-    rows = vectors.count()
-    blocks, chunks = max(1, math.ceil(rows / BLOCK_ROWS)), max(1, math.ceil(rows / query_step / CHUNK_QUERIES))
-    side = lambda df, kind, block, chunk: df.select(F.lit(kind).alias("kind"), "vec_id", "code", block.alias("block"), chunk.alias("chunk"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # the id is part of the lot, so equal vectors spread over all blocks
-    data = side(coded.withColumn("chunk", every(chunks)), 0, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"), F.col("chunk"))
-    asked = coded.filter(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id", "code"])
-    ask = side(asked.withColumn("block", every(blocks)), 1, F.col("block"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(chunks)).cast("int"))
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        codes = lambda part: np.array(part["code"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(part), -1)
-        data, asked = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
-        if not len(data) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []}).astype("int64")
-        q, found, d = search_block(codes(asked), data["vec_id"].to_numpy(), codes(data), k)
-        return pd.DataFrame({"query_id": asked["vec_id"].to_numpy()[q], "vec_id": found, "distance": d.astype(np.int64)})
-
-    small_batches(spark, 10_000)
-    near = data.unionByName(ask).groupBy("block", "chunk").applyInPandas(group, "query_id long, vec_id long, distance long")
+    # repeated rows count once each, but no more than k of them can be found
+    rows = coded.groupBy("vec_id", "code").agg(F.count(F.lit(1)).alias("rows"))
+    rows = written(rows.select("vec_id", "code", F.explode(F.sequence(F.lit(1), F.least("rows", F.lit(k)).cast("int"))).alias("copy")), "codes")
+    queries = written(rows.filter((F.col("vec_id") % query_step == 0) & (F.col("copy") == 1)).select("vec_id", "code"), "queries", rows=1)
+    total, words = rows.count(), -(-bits // 64)
+    blocks = max(1, math.ceil(total / BLOCK_ROWS), min(spark.sparkContext.defaultParallelism, math.ceil(total / LEAST_ROWS)))
+    files = queries.inputFiles()
+
+    def codes_of(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), codes_of(b.column(1))) for b in batches if b.num_rows]
+        if not held:
+            return
+        block = Block(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        for file in files:
+            asked = read_table(file).combine_chunks()
+            for at in range(0, asked.num_rows, CHUNK_QUERIES):
+                part = asked.slice(at, CHUNK_QUERIES).to_batches()[0]
+                q, found, d = search_block(codes_of(part.column("code")), block, k)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(q)), pa.array(found), pa.array(d.astype(np.int64))], names=["query_id", "vec_id", "distance"])
+
+    small_batches(spark)
+    dealt = rows.repartition(blocks, F.xxhash64("vec_id", "code", "copy")).select("vec_id", "code")
+    near = dealt.mapInArrow(search, "query_id long, vec_id long, distance long")
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

@@ -25,6 +25,14 @@ def create(uri: str) -> BinaryIO:
     return system.open_output_stream(path)
 
 
+def read_table(uri: str):
+    """A Parquet file as an Arrow table."""
+    from pyarrow import parquet
+
+    system, path = _resolve(uri)
+    return parquet.read_table(path, filesystem=system, partitioning=None)
+
+
 class RangeReader:
     """Random reads; the last opened file stays open."""
 

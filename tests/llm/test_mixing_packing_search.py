@@ -352,7 +352,7 @@ def search_brute(rows, k, step):
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(40_000, 4_000), (60, 3)])
+@pytest.mark.parametrize("blocks", [(500_000, 4_000), (60, 3)])
 def test_search(spark, monkeypatch, blocks):
     monkeypatch.setattr(hamming_search, "BLOCK_ROWS", blocks[0])
     monkeypatch.setattr(hamming_search, "CHUNK_QUERIES", blocks[1])
@@ -360,6 +360,7 @@ def test_search(spark, monkeypatch, blocks):
     centres = rng.standard_normal((6, 64))
     rows = [(i, (centres[i % 6] + 0.6 * rng.standard_normal(64)).tolist()) for i in range(240)]
     rows += [(i, centres[0].tolist()) for i in range(300, 360)]
+    rows += [(400, centres[3].tolist())] * 20
     rows += [(500, None), (501, []), (550, [1.0] * 3), (None, centres[1].tolist()), (510, [None, *centres[2].tolist()[1:]]), (10, rows[10][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, hamming_search.top_k(df, k=7, query_step=10).collect()))
