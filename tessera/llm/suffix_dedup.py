@@ -21,16 +21,22 @@ is covered with all its occurrences. Three steps find them.
    ``LENGTH`` at a column are the repeated strings that end there.
 
 3. Cover. The intervals' strings are mapped back to all sections with their
-   content, and each document unites its covered runs.
+   content, and each text unites its covered runs.
 
-An anchor's sections are one group of bounded text each, equal ones held once;
-an anchor with over ``SPLIT`` different sections is split on ``CONTEXT`` more
-bytes before or after the anchor, one of which lies inside each string.
+What is decided by what: two sections are taken for equal if both their 64-bit hashes,
+of anchor and content, are; everything about sections that share an anchor but differ
+is decided by the transforms. An anchor's sections are one group of bounded text
+each, equal ones held once. A group of over ``SPLIT`` different sections is split by
+where in them a string starts: strings that start in one half of the range have more
+bytes in common with each other than the anchor, and are grouped by these; so on, by
+halves, down to single starts, where a group is one string and is only counted. So no
+group is ever merged that is larger, whatever a passage's surroundings are.
 
 Edge cases: null text is empty; texts under ``LENGTH`` bytes are never touched;
-repeated rows cover each other; long texts are cut into overlapping stretches so
-that memory stays bounded; an empty table gives no rows; further columns are
-ignored by ``cover``.
+repeated rows cover each other, and equal texts are covered once for all; there are
+no ties, since all occurrences go; long texts are cut into overlapping stretches so
+that memory stays bounded by a few times the text; an empty table gives no rows;
+further columns are ignored by ``cover``.
 """
 
 from __future__ import annotations
@@ -40,21 +46,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import erase, release, small_batches, written
+from .shared import batches_of, erase, join_counted, release, small_batches, written
 from .textkit import _INVERSE, _PRIME, mix64, powers, utf8
 
 LENGTH = 200
 ANCHOR = 32
-CONTEXT = (LENGTH - ANCHOR) // 2
 SPLIT = 20_000
 #: Bytes of a text anchored at once, sections of a shard, and sections merged at once.
 STRETCH = 1 << 20
 SHARD = 4096
 MERGE = 32_768
 _ROOM = LENGTH - ANCHOR
+#: Halvings of the range of starts, from -_ROOM to 0 before the anchor, until each is alone.
+LEVELS = 8
 COLUMNS = 2 * _ROOM + ANCHOR
 
 
@@ -89,6 +96,7 @@ def sections(text: bytes) -> tuple[np.ndarray, ...]:
 def shard_transform(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, members) of a shard, column by column, in the order of the reversed text before it."""
     symbols = np.empty_like(columns)
+    # stable sorts of symbols and shard numbers, here and in the merge, are counting passes (radix sorts of 8 and 16 bits)
     members = np.empty((len(columns) + 1, columns.shape[1]), dtype=np.int32)
     members[0] = np.arange(columns.shape[1])
     for j, column in enumerate(columns):
@@ -138,62 +146,120 @@ def runs(mask: np.ndarray) -> np.ndarray:
     return np.stack([edge[0::2], edge[1::2] - 1], axis=1)
 
 
-#: ``place`` packs the start of a section, its size and the bytes before its anchor.
+#: ``place`` packs 16 more bits of the text's hash, the start of a section, its size and the bytes before its anchor.
 _SECTION = "key long, anchor long, content long, place long"
-_BITS = 10
+
+
+def _packed(check, start, size, lead):
+    return check << 48 | start << 17 | size << 8 | lead
 
 
 def _unpacked(place) -> tuple:
-    """(start, size, lead) of a packed place; works on integers, arrays and columns' values."""
-    mask = (1 << _BITS) - 1
-    return place >> 2 * _BITS, place >> _BITS & mask, place & mask
+    """(check, start, size, lead) of packed places; works on integers and arrays."""
+    return place >> 48 & 0xFFFF, place >> 17 & 0x7FFFFFFF, place >> 8 & 0x1FF, place & 0xFF
+
+
+def _keyed(text: Column) -> list[Column]:
+    """key and check, 80 bits of hash that tell texts apart; rows of equal texts share them."""
+    return [F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).bitwiseAND(F.lit(0xFFFF)).alias("check")]
 
 
-def _sectioned(keyed: DataFrame) -> DataFrame:
+def _sectioned(texts: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in _SECTION.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            found = [sections(t) for t in utf8(batch.column(1))]
-            key = np.repeat(keys, [len(x[0]) for x in found])
+            found = [sections(t) for t in utf8(batch.column(2))]
+            if not found:
+                continue
+            key, check = (np.repeat(batch.column(i).to_numpy(), [len(x[0]) for x in found]) for i in (0, 1))
             anchor, content, start, size, lead = (np.concatenate([x[i] for x in found]) for i in range(5))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(anchor), pa.array(content), pa.array(start << 2 * _BITS | size << _BITS | lead)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(anchor), pa.array(content), pa.array(_packed(check, start, size, lead))], names=names)
 
-    return keyed.mapInArrow(run, _SECTION)
+    return texts.select("key", "check", "text").mapInArrow(run, _SECTION)
 
 
-def _read_sections(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted sections, with the group they are merged in.
+_PIECE = "group long, anchor long, content long, copies long, skip int, lead int, bytes binary, half int"
+_PIECE_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
 
-    A section of a split anchor gives two: the strings that hold ``CONTEXT`` bytes
-    before the anchor, grouped by those, and the rest, which hold as many after it.
-    """
-    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "copies", "place", "different")).alias("wanted"))
-    joined = keyed.join(listed, "key").select("text", "wanted")
-    schema = "group long, anchor long, content long, copies long, skip int, lead int, bytes binary"
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PIECE_TYPES)], names=[x.split()[0] for x in _PIECE.split(", ")])
+
+
+def bounds(level: int, half: int) -> tuple[int, int]:
+    """First and last start, from the anchor, of part ``half`` of the range of starts after ``level`` halvings."""
+    at = lambda i: (_ROOM + 1) * i >> level
+    return at(half) - _ROOM, at(half + 1) - 1 - _ROOM
+
+
+def halved(anchor: int, content: int, copies: int, skip: int, lead: int, raw: bytes, half: int, level: int) -> Iterator[tuple]:
+    """The two parts, at ``level``, of a piece whose strings start in part ``half`` of the level before."""
+    for part in (2 * half, 2 * half + 1):
+        low, high = bounds(level, part)
+        a, b = max(low + lead, 0), min(high + lead, len(raw) - LENGTH)
+        if a <= b:
+            # all strings that start from low to high have these bytes, wherever the section ends
+            core = raw[max(high, -_ROOM) + lead : low + lead + LENGTH]
+            group = hashlib.blake2b(part.to_bytes(2, "little") + core, digest_size=8, salt=anchor.to_bytes(8, "little", signed=True), person=b"%d" % level).digest()
+            yield int.from_bytes(group, "little", signed=True), anchor, content, copies, skip + a, lead - a, raw[a : b + LENGTH], part
+
+
+def _read_sections(texts: DataFrame, wanted: DataFrame, level: int = 0) -> DataFrame:
+    """The bytes of the wanted sections, one row each grouped by anchor or, at level 1, in halves."""
+    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "copies", "place")).alias("wanted"))
+    joined = texts.join(listed, "key").select("check", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()  # equal texts of a task hand on their sections once
         for batch in batches:
             rows = []
-            for text, wanted in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            for own, text, wanted in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for w in wanted:
-                    start, size, lead = _unpacked(w["place"])
-                    raw, base = text[start : start + size], (w["anchor"], w["content"], w["copies"])
-                    if w["different"] <= SPLIT:
-                        rows.append((w["anchor"], *base, 0, lead, raw))
+                    check, start, size, lead = _unpacked(w["place"])
+                    base = w["anchor"], w["content"], w["copies"]
+                    if check != own or base[:2] in given:
                         continue
-                    # strings start at 0..size - LENGTH; those up to `cut` hold the bytes before
-                    last, cut = len(raw) - LENGTH, lead - CONTEXT
-                    for side, a, b in (("before", 0, min(cut, last)), ("after", max(cut + 1, 0), last)):
-                        if a <= b:
-                            near = raw[lead - CONTEXT : lead] if side == "before" else raw[lead + ANCHOR : lead + ANCHOR + CONTEXT]
-                            group = hashlib.blake2b(side.encode() + near, digest_size=8, salt=w["anchor"].to_bytes(8, "little", signed=True)).digest()
-                            rows.append((int.from_bytes(group, "little", signed=True), *base, a, lead - a, raw[a : b + LENGTH]))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
+                    given.add(base[:2])
+                    raw = text[start : start + size]
+                    rows += halved(*base, 0, lead, raw, 0, 1) if level else [(w["anchor"], *base, 0, lead, raw, 0)]
+            yield _pieces(rows)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, _PIECE)
+
+
+def _halved(pieces: DataFrame, level: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _pieces([x for r in batch.to_pylist() for x in halved(*(r[c] for c in ("anchor", "content", "copies", "skip", "lead", "bytes", "half")), level)])
+
+    return pieces.mapInArrow(run, _PIECE)
+
+
+def _split(pieces: DataFrame) -> list[DataFrame]:
+    """Intervals of the groups of ``pieces`` (level 1), halved until none is above ``SPLIT``."""
+    hits = []
+    for level in range(1, LEVELS + 1):
+        pieces = written(pieces, f"halves{level}")
+        # a section that equal texts of several tasks handed on is one
+        once = pieces.groupBy("group", "anchor", "content").agg(F.first("copies").alias("copies"))
+        sizes = written(once.groupBy("group").agg(F.count(F.lit(1)).alias("different"), F.sum("copies").alias("all")), "halves")
+        if level == LEVELS:
+            alone = join_counted(pieces, sizes.filter(F.col("all") > 1), "group")
+            hits.append(alone.select("anchor", "content", F.struct(F.col("skip").alias("first"), (F.col("skip") + LENGTH).alias("stop")).alias("span")))
+            break
+        large = sizes.filter(F.col("different") > SPLIT).select("group")
+        hits.append(_merged(join_counted(pieces, large, "group", "left_anti")))
+        if not large.take(1):
+            break
+        pieces = _halved(join_counted(pieces, large, "group", "left_semi"), level + 1)
+    return [h if "spans" in h.columns else h.select("anchor", "content", _span_bytes("span").alias("spans")) for h in hits]
+
+
+def _span_bytes(span: str) -> Column:
+    """One (first, stop) as the bytes that ``spans`` holds: two little-endian 16-bit numbers."""
+    little = lambda x: F.concat(F.lpad(F.hex(x % 256), 2, "0"), F.lpad(F.hex(F.floor(x / 256).cast("int")), 2, "0"))
+    return F.unhex(F.concat(little(F.col(f"{span}.first")), little(F.col(f"{span}.stop"))))
 
 
 def _merged(pieces: DataFrame) -> DataFrame:
@@ -201,6 +267,9 @@ def _merged(pieces: DataFrame) -> DataFrame:
     schema = "anchor long, content long, spans binary"
 
     def finish(table: pa.Table) -> pa.RecordBatch:
+        seen: set[tuple] = set()  # sections that equal texts of several tasks handed on
+        names = zip(*(table.column(c).to_pylist() for c in ("group", "anchor", "content")), strict=True)
+        table = table.take(pa.array([i for i, x in enumerate(names) if x not in seen and not seen.add(x)]))
         raw, lead, skip = table.column("bytes").to_pylist(), table.column("lead").to_numpy(), table.column("skip").to_numpy()
         begin = _ROOM - lead.astype(np.int64)
         end = begin + np.array([len(x) for x in raw])
@@ -242,30 +311,36 @@ def cover(documents: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, with the kept bytes if wanted."""
     spark = documents.sparkSession
     small_batches(spark)
-    keyed = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = keyed.select("key", "text")
-    placed = written(_sectioned(texts.filter(F.octet_length("text") >= LENGTH)), "sections")
+    text = F.coalesce("text", F.lit(""))
+    keyed = documents.select("doc_id", *_keyed(text), text.alias("text"))
+    texts = keyed.select("key", "check", "text").filter(F.octet_length("text") >= LENGTH)
+    placed = written(_sectioned(texts), "sections")
     # one row per anchor, combined before the shuffle: how often it occurs, and whether its sections differ
     by_anchor = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("copies"), F.min("content").alias("low"), F.max("content").alias("high"))
     # written, so that the join's sides are both plain exchanges and a hot anchor's sections can be split
     twice = written(by_anchor.filter("copies > 1").select("anchor", (F.col("low") == F.col("high")).alias("equal")), "anchors")
     repeated = written(placed.join(twice, "anchor").select("key", "anchor", "content", "place", "equal"), "repeated")
-    erase(placed)
+    erase(placed, twice)
     release(spark)
-    different = repeated.filter("not equal").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.first("key").alias("key"), F.first("place").alias("place"))
+    different = repeated.filter("not equal").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "place")).alias("at"))
     sizes = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))
-    shared = written(different.join(sizes, "anchor"), "shared")
+    shared = written(different.join(sizes, "anchor").select("anchor", "content", "copies", "at.key", "at.place", "different"), "shared")
     release(spark)
-    pieces = _read_sections(texts, shared)
-    small_batches(spark, 2048)
-    hits = written(_merged(pieces), "intervals")
+    with batches_of(spark, 2048):
+        parts = [written(_merged(_read_sections(texts, shared.filter(F.col("different") <= SPLIT))), "intervals")]
+        if shared.filter(F.col("different") > SPLIT).take(1):
+            halves = _split(_read_sections(texts, shared.filter(F.col("different") > SPLIT), level=1))
+            parts += [written(x, "intervals") for x in halves]
+    hits = parts[0]
+    for more in parts[1:]:
+        hits = hits.unionByName(more)
+    erase(shared)
     release(spark)
-    small_batches(spark)
-    # sections of an anchor whose sections are all equal are covered whole
+    # sections of an anchor whose sections are all equal are covered whole; equal texts have equal lists
     whole = repeated.filter("equal").select("key", "place", F.lit(None).cast("binary").alias("spans"))
-    parts = repeated.filter("not equal").join(hits, ["anchor", "content"]).select("key", "place", "spans")
-    covered = whole.unionByName(parts).groupBy("key").agg(F.collect_list(F.struct("place", "spans")).alias("covered"))
-    joined = keyed.join(covered, "key", "left").select("doc_id", "text", "covered")
+    some = repeated.filter("not equal").join(hits, ["anchor", "content"]).select("key", "place", "spans")
+    covered = whole.unionByName(some).groupBy("key").agg(F.collect_set(F.struct("place", "spans")).alias("covered"))
+    joined = keyed.join(covered, "key", "left").select("doc_id", "check", "text", "covered")
     schema = documents.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     if with_text:
         schema = schema.add("kept", "binary")
@@ -273,10 +348,12 @@ def cover(documents: DataFrame, with_text: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, covered in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for own, text, covered in zip(batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 change = np.zeros(len(text) + 1, dtype=np.int64)
                 for c in covered or ():
-                    start, size, _ = _unpacked(c["place"])
+                    check, start, size, _ = _unpacked(c["place"])
+                    if check != own:
+                        continue
                     if c["spans"] is None:
                         found = np.array([[0, size]])
                     else:

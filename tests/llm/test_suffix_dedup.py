@@ -50,6 +50,37 @@ def test_split_anchors_and_short_stretches(monkeypatch, documents, rows_of):
     assert found(documents) == brute(rows_of)
 
 
+def test_one_passage_in_many_surroundings(spark, monkeypatch):
+    """A passage of 116 bytes and one of 160, each among many different texts: groups stay small, results are those of brute force."""
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 100)
+    r = np.random.default_rng(2)
+    noise = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    short, long = noise(116), noise(160)
+    tails = [noise(100) for _ in range(5)]
+    texts = [noise(120) + short + noise(120) for _ in range(300)] + [noise(30) + long + tails[i % 5] + noise(20) for i in range(300)]
+    rows = list(enumerate(texts))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+@pytest.mark.parametrize("level", range(1, suffix_dedup.LEVELS + 1))
+def test_halves_hold_every_start_once(level):
+    starts = [s for half in range(1 << level) for a, b in [suffix_dedup.bounds(level, half)] for s in range(a, b + 1)]
+    assert starts == list(range(-suffix_dedup._ROOM, 1))
+    for half in range(1 << level):
+        a, b = suffix_dedup.bounds(level, half)
+        parts = [suffix_dedup.bounds(level + 1, 2 * half + i) for i in (0, 1)]
+        assert parts[0][0] == a and parts[1][1] == b
+    assert level < suffix_dedup.LEVELS or all(a >= b for a, b in (suffix_dedup.bounds(level, h) for h in range(1 << level)))
+
+
+def test_many_copies_of_one_row(spark):
+    """Copies of a row share one list of sections: work grows with the rows, not with their square."""
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(3000))
+    rows = [(1, text)] * 1500 + [(2, text + " tail")] * 3 + [(3, "x" * 150)] * 3
+    got = Counter(found(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)))
+    assert got == Counter({row: n for row, n in zip(brute([rows[0], rows[0], rows[1500], rows[1500], rows[-1], rows[-1]])[::2], (1500, 3, 3), strict=True)})
+
+
 @pytest.mark.parametrize("shard", [1, 3, 7, 4096])
 def test_merged_shards_equal_window_counts(shard):
     """Aligned strings over few symbols: the merge finds exactly the windows that occur twice."""
