@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
 All but the last return the columns of ``documents``. Between stages the rows are
 a Parquet table in the shared folder, so a lost executor costs one stage at most.
+
+Edge cases: a null, empty or letterless text has no language and goes at the first
+stage; a row without doc_id takes no part in the near duplicates and stays; of
+repeated rows one stays; texts without a source are mixed as a source of their own;
+a very long text is one row of each stage until it is cut into pieces; ties go as
+each operator states; an empty table gives no rows; further columns are carried
+along, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,13 +41,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources appear by their target weights: rows are repeated, cut or left out."""
+    """Sources appear by their target weights: rows are repeated, cut to chosen blocks or left out."""
     return mixing.mixed_documents(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in their sequences."""
-    return packing.pack(packing.pieces(docs, tokenizer_file(), with_ids=False))
+    """Token pieces in their sequences, with their ids; ``document`` tells apart the uses the mixture makes of one doc_id."""
+    return packing.pack(packing.pieces(docs, tokenizer_file()))
 
 
 STAGES: list[tuple[str, Stage]] = [
