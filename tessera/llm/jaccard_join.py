@@ -445,7 +445,7 @@ def _classed(documents: DataFrame, recall: float = RECALL) -> DataFrame:
     named = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     groups = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "sample", "paths")])
     # numbers given once, in a table that is not made anew
-    nodes = written(groups.withColumn("node", F.monotonically_increasing_id()), "nodes", rows=rows.count())
+    nodes = written(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
     edges = candidate_edges(nodes, runs)
     loose = components(edges, "loose")
     erase(edges)
@@ -454,7 +454,7 @@ def _classed(documents: DataFrame, recall: float = RECALL) -> DataFrame:
     wanted = written(members.join(blocks, "group").drop("n"), "wanted", rows=nodes.count())
     sets = _in_blocks(_with_tokens(documents, wanted)).repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
     with batches_of(spark, 64):  # token sets of long documents are large
-        checked = written(_verified(sets), "links", rows=nodes.count())
+        checked = written(_verified(sets), "links")
     links = checked.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labels = components(checked.filter("b is not null").select("a", "b"), "classes")
     known = (

@@ -19,7 +19,7 @@ BATCH_ROWS = 256
 #: A side of a join is broadcast only if it was counted to have no more rows.
 BROADCAST_ROWS = 1_000_000
 #: Rows that a file of a narrow intermediate table holds at least, beyond two files a core.
-FILE_ROWS = 250_000
+FILE_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -205,9 +205,9 @@ def halved(anchor: int, content: int, copies: int, skip: int, lead: int, raw: by
             yield int.from_bytes(group, "little", signed=True), anchor, content, copies, skip + a, lead - a, raw[a : b + LENGTH], part
 
 
-def _read_sections(texts: DataFrame, wanted: DataFrame, level: int = 0) -> DataFrame:
-    """The bytes of the wanted sections, one row each grouped by anchor or, at level 1, in halves."""
-    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "copies", "place")).alias("wanted"))
+def _read_sections(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of the wanted sections: one row each, grouped by anchor, or those of a large group in halves (half 0 and 1)."""
+    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "copies", "place", "different")).alias("wanted"))
     joined = texts.join(listed, "key").select("check", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _read_sections(texts: DataFrame, wanted: DataFrame, level: int = 0) -> DataF
                         continue
                     given.add(base[:2])
                     raw = text[start : start + size]
-                    rows += halved(*base, 0, lead, raw, 0, 1) if level else [(w["anchor"], *base, 0, lead, raw, 0)]
+                    rows += halved(*base, 0, lead, raw, 0, 1) if w["different"] > SPLIT else [(w["anchor"], *base, 0, lead, raw, -1)]
             yield _pieces(rows)
 
     return joined.mapInArrow(run, _PIECE)
@@ -240,7 +240,6 @@ def _split(pieces: DataFrame) -> list[DataFrame]:
     """Intervals of the groups of ``pieces`` (level 1), halved until none is above ``SPLIT``."""
     hits = []
     for level in range(1, LEVELS + 1):
-        pieces = written(pieces, f"halves{level}")
         # a section that equal texts of several tasks handed on is one
         once = pieces.groupBy("group", "anchor", "content").agg(F.first("copies").alias("copies"))
         sizes = written(once.groupBy("group").agg(F.count(F.lit(1)).alias("different"), F.sum("copies").alias("all")), "halves")
@@ -252,7 +251,7 @@ def _split(pieces: DataFrame) -> list[DataFrame]:
         hits.append(_merged(join_counted(pieces, large, "group", "left_anti")))
         if not large.take(1):
             break
-        pieces = _halved(join_counted(pieces, large, "group", "left_semi"), level + 1)
+        pieces = written(_halved(join_counted(pieces, large, "group", "left_semi"), level + 1), f"halves{level}")
     return [h if "spans" in h.columns else h.select("anchor", "content", _span_bytes("span").alias("spans")) for h in hits]
 
 
@@ -322,15 +321,18 @@ def cover(documents: DataFrame, with_text: bool = False) -> DataFrame:
     repeated = written(placed.join(twice, "anchor").select("key", "anchor", "content", "place", "equal"), "repeated")
     erase(placed, twice)
     release(spark)
-    different = repeated.filter("not equal").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "place")).alias("at"))
+    # both of one row: aggregates that take the first take it together
+    different = repeated.filter("not equal").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.first("key").alias("key"), F.first("place").alias("place"))
     sizes = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))
-    shared = written(different.join(sizes, "anchor").select("anchor", "content", "copies", "at.key", "at.place", "different"), "shared")
+    shared = written(different.join(sizes, "anchor"), "shared")
     release(spark)
     with batches_of(spark, 2048):
-        parts = [written(_merged(_read_sections(texts, shared.filter(F.col("different") <= SPLIT))), "intervals")]
-        if shared.filter(F.col("different") > SPLIT).take(1):
-            halves = _split(_read_sections(texts, shared.filter(F.col("different") > SPLIT), level=1))
-            parts += [written(x, "intervals") for x in halves]
+        pieces = written(_read_sections(texts, shared), "pieces")
+        release(spark)
+        parts = [written(_merged(pieces.filter("half < 0")), "intervals")]
+        if pieces.filter("half >= 0").take(1):
+            parts += [written(x, "intervals") for x in _split(pieces.filter("half >= 0"))]
+        erase(pieces)
     hits = parts[0]
     for more in parts[1:]:
         hits = hits.unionByName(more)
