@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, written
 from .storage import read_table
+from .textkit import lean
 
 SEGMENT_BITS = 16
 K = 10
@@ -189,6 +190,6 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, bits: in
 
     small_batches(spark)
     dealt = rows.repartition(blocks, F.xxhash64("vec_id", "code", "copy")).select("vec_id", "code")
-    near = dealt.mapInArrow(search, "query_id long, vec_id long, distance long")
+    near = dealt.mapInArrow(lean(search), "query_id long, vec_id long, distance long")
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

@@ -51,7 +51,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .shared import batches_of, erase, join_counted, small_batches, written
-from .textkit import mix64, shingles, slices, utf8
+from .textkit import lean, mix64, shingles, slices, utf8
 
 WORDS = 5
 SIMILARITY = Fraction(4, 5)
@@ -145,7 +145,7 @@ def _shingled(documents: DataFrame, runs: int) -> DataFrame:
                 columns = [pa.array(x[c], pa.int64()) for c in names[1:6]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns, pa.array(x["sample"], pa.binary()), pa.array(x["paths"], pa.list_(pa.int64()))], names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def _common(leaders: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def _common(leaders: DataFrame) -> DataFrame:
                 common.append(token[2 * votes > len(samples)].astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(common, pa.binary())], names=["path", "common"])
 
-    return leaders.mapInArrow(run, "path long, common binary")
+    return leaders.mapInArrow(lean(run), "path long, common binary")
 
 
 def _split(rows: DataFrame, runs: int) -> DataFrame:
@@ -188,7 +188,7 @@ def _split(rows: DataFrame, runs: int) -> DataFrame:
             columns = [pa.array(kind), pa.array(_signed(np.concatenate([longer, path[near]]))), batch.column(0).take(pick), *(batch.column(i).take(pick) for i in (3, 4, 5))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.select("node", "sample", "path", "s1", "s2", "n", "common").mapInArrow(run, "kind int, path long, node long, s1 long, s2 long, n long")
+    return rows.select("node", "sample", "path", "s1", "s2", "n", "common").mapInArrow(lean(run), "kind int, path long, node long, s1 long, s2 long, n long")
 
 
 class Forest:
@@ -267,7 +267,7 @@ def forest_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(rows: DataFrame, *keys: str) -> DataFrame:
     small = rows.select(*keys, "node", "s1", "s2", "n")
-    return small.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(forest_edges, "a long, b long")
+    return small.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(forest_edges), "a long, b long")
 
 
 def _in_core_blocks(near: DataFrame) -> DataFrame:
@@ -406,7 +406,7 @@ def _verified(groups: DataFrame) -> DataFrame:
         if held:
             yield finish(held)
 
-    return groups.mapInArrow(run, "a long, b long, links long")
+    return groups.mapInArrow(lean(run), "a long, b long, links long")
 
 
 def _with_tokens(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def _with_tokens(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 tokens = pa.array([x["tokens"][begin[i] : begin[i + 1]].astype("<u8").tobytes() for i in pick], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(pick, pa.int64())) for c in part.columns[3:]), tokens], names=["node", "copies", "group", "blocks", "tokens"])
 
-    return joined.mapInArrow(run, "node long, copies long, group long, blocks int, tokens binary")
+    return joined.mapInArrow(lean(run), "node long, copies long, group long, blocks int, tokens binary")
 
 
 def _in_blocks(sets: DataFrame) -> DataFrame:
@@ -488,7 +488,7 @@ def _with_node(documents: DataFrame) -> DataFrame:
                 node = pa.array(x["h1"], pa.int64(), mask=x["n"] == 0)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, node], names=names)
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_node", T.LongType())]))
+    return documents.mapInArrow(lean(run), T.StructType([*documents.schema.fields, T.StructField("_node", T.LongType())]))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import fold, small_batches
-from .textkit import slices, utf8
+from .textkit import lean, slices, utf8
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -170,7 +170,7 @@ def train(documents: DataFrame, docs_per_language: int = TRAIN_DOCS) -> ByteCNN
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(rows, pa.binary())], names=["lang", "window"])
 
-    found = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(cut, "lang string, window binary").collect())
+    found = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(lean(cut), "lang string, window binary").collect())
     labels = sorted({lang for lang, _ in found})
     if not labels:
         return None
@@ -206,7 +206,7 @@ def predict(documents: DataFrame, model: ByteCNN | None, keep: list[str] | None
                         labels[a + i], scores[a + i] = net.labels[best[i]], min(1.0, total[i, best[i]] / len(texts[a + i]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores)], names=schema.names)
 
-    return documents.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(run, schema)
+    return documents.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(lean(run), schema)
 
 
 def identify(documents: DataFrame) -> DataFrame:

@@ -39,16 +39,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import join_counted, small_batches, written
-from .textkit import utf8
+from .textkit import kept, lean, utf8
 
 CAPACITY = 2048
 #: Nodes of the search for the fillings of one sequence, and of all together.
 NODES = 4000
 BUDGET = 400_000
-#: Word pieces that a worker remembers.
-CACHE_WORDS = 600_000
-
-_encoders: dict[str, Callable] = {}
+#: Words that a worker remembers; those met first stay, the frequent ones among them.
+CACHE_WORDS = 300_000
 
 
 class _Codes(dict):
@@ -91,14 +89,17 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
-        self._forget()
-
-    def _forget(self) -> None:
         self.code, self.known = _Codes(), {}
         self.flat, self.begin = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
+    def _remembered(self, known: dict, part: bytes, spelt: str) -> list[int]:
+        ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
+        if len(known) < CACHE_WORDS:
+            known[part] = ids
+        return ids
+
     def _ids(self, words: list[bytes]) -> list[list[int]]:
-        known, tokenize = self.known, self.tokenizer.model.tokenize
+        known = self.known
         out: list[list[int]] = []
         other = []
         for word in words:
@@ -112,11 +113,11 @@ class WordEncoder:
             ids = known.get(stem)
             if ids is None:
                 spelt = stem.decode() if stem.isascii() else "".join(self.letters[b] for b in stem)
-                ids = known[stem] = [t.id for t in tokenize(spelt)]
+                ids = self._remembered(known, stem, spelt)
             if marks:
                 more = known.get(marks)
                 if more is None:
-                    more = known[marks] = [t.id for t in tokenize(marks.decode())]
+                    more = self._remembered(known, marks, marks.decode())
                 ids = ids + more
             out.append(ids)
         for i in range(0, len(other), 20_000):
@@ -127,8 +128,6 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, each closed by id 0, and where each text begins."""
-        if len(self.code) > CACHE_WORDS:
-            self._forget()
         split = [t.split() for t in texts]
         code = self.code
         codes = np.fromiter(map(code.__getitem__, chain.from_iterable(split)), dtype=np.int64)
@@ -152,13 +151,19 @@ class WordEncoder:
         at = np.repeat(start[codes] - total[:-1], count) + np.arange(total[-1])
         begin = np.zeros(len(texts) + 1, dtype=np.int64)
         begin[1:] = total[doc_end + np.arange(1, len(texts) + 1)]
+        over = len(code) - max(CACHE_WORDS, len(code) - len(new))
+        if over > 0:  # the words met last are forgotten
+            for word in new[len(new) - over :]:
+                del code[word]
+            self.begin = self.begin[: len(code) + 1]
+            self.flat = self.flat[: self.begin[-1]]
         return flat[at], begin
 
 
 def encoder(path: str) -> Callable:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = True, key: str = "doc_id") -> DataFrame:
@@ -196,7 +201,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     small_batches(documents.sparkSession)
-    return documents.select(key, "text").mapInArrow(cut, schema)
+    return documents.select(key, "text").mapInArrow(lean(cut, keeps=tokenizer_path), schema)
 
 
 Plan = list[tuple[list[tuple[int, int]], int]]
@@ -358,4 +363,4 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
     base = written(counts.select("length", "lot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases", rows=1)
     ranked = join_counted(rows, base, ["length", "lot"])
-    return ranked.select(*names, (F.col("base") + F.col("place")).alias("rank")).mapInArrow(place, schema)
+    return ranked.select(*names, (F.col("base") + F.col("place")).alias("rank")).mapInArrow(lean(place), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fold, small_batches
-from .textkit import slices, utf8
+from .textkit import lean, slices, utf8
 
 DIMENSIONS = 2048
 LATENT = 64
@@ -114,7 +114,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
             rows = [trigram_counts([t])[0].astype("<f4").tobytes() for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "counts"])
 
-    rows = {r["doc_id"]: bytes(r["counts"]) for r in sample.mapInArrow(count, sample.select("doc_id").schema.add("counts", "binary")).toLocalIterator()}
+    rows = {r["doc_id"]: bytes(r["counts"]) for r in sample.mapInArrow(lean(count), sample.select("doc_id").schema.add("counts", "binary")).toLocalIterator()}
     if not rows:
         return None
     order = sorted(rows)
@@ -139,7 +139,7 @@ def score(documents: DataFrame, model: LatentVoter | None) -> DataFrame:
                     out[i : min(i + BLOCK, b)] = voter.score(texts[i : min(i + BLOCK, b)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=schema.names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:

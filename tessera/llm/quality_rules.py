@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import small_batches
-from .textkit import _INVERSE, _PRIME, Words, mix64, powers, slices, utf8, window_hashes
+from .textkit import _INVERSE, _PRIME, Words, lean, mix64, powers, slices, utf8, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -174,7 +174,7 @@ def judge(documents: DataFrame, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns[:5], pa.array(base_failed), pa.array(kept), *columns[5:]], names=names)
 
     small_batches(documents.sparkSession)
-    return documents.select(key, "text").mapInArrow(run, schema)
+    return documents.select(key, "text").mapInArrow(lean(run), schema)
 
 
 def clean(documents: DataFrame) -> DataFrame:
@@ -200,4 +200,4 @@ def clean(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(kept))
 
     small_batches(documents.sparkSession)
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import batches_of, erase, join_counted, release, small_batches, written
-from .textkit import _INVERSE, _PRIME, mix64, powers, utf8
+from .textkit import _INVERSE, _PRIME, lean, mix64, powers, utf8
 
 LENGTH = 200
 ANCHOR = 32
@@ -176,7 +176,7 @@ def _sectioned(texts: DataFrame) -> DataFrame:
             anchor, content, start, size, lead = (np.concatenate([x[i] for x in found]) for i in range(5))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(anchor), pa.array(content), pa.array(_packed(check, start, size, lead))], names=names)
 
-    return texts.select("key", "check", "text").mapInArrow(run, _SECTION)
+    return texts.select("key", "check", "text").mapInArrow(lean(run), _SECTION)
 
 
 _PIECE = "group long, anchor long, content long, copies long, skip int, lead int, bytes binary, half int"
@@ -225,7 +225,7 @@ def _read_sections(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows += halved(*base, 0, lead, raw, 0, 1) if w["different"] > SPLIT else [(w["anchor"], *base, 0, lead, raw, -1)]
             yield _pieces(rows)
 
-    return joined.mapInArrow(run, _PIECE)
+    return joined.mapInArrow(lean(run), _PIECE)
 
 
 def _halved(pieces: DataFrame, level: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _halved(pieces: DataFrame, level: int) -> DataFrame:
         for batch in batches:
             yield _pieces([x for r in batch.to_pylist() for x in halved(*(r[c] for c in ("anchor", "content", "copies", "skip", "lead", "bytes", "half")), level)])
 
-    return pieces.mapInArrow(run, _PIECE)
+    return pieces.mapInArrow(lean(run), _PIECE)
 
 
 def _split(pieces: DataFrame) -> list[DataFrame]:
@@ -303,7 +303,7 @@ def _merged(pieces: DataFrame) -> DataFrame:
         if held:
             yield finish(pa.Table.from_batches(held))
 
-    return pieces.repartition("group").sortWithinPartitions("group").mapInArrow(run, schema)
+    return pieces.repartition("group").sortWithinPartitions("group").mapInArrow(lean(run), schema)
 
 
 def cover(documents: DataFrame, with_text: bool = False) -> DataFrame:
@@ -369,4 +369,4 @@ def cover(documents: DataFrame, with_text: bool = False) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types[: len(schema.names) - 1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .shared import small_batches
+from .textkit import lean
 
 #: In production the key comes from a secret store; it is a parameter everywhere.
 DEFAULT_KEY = b"tessera-surrogates"
@@ -80,7 +81,7 @@ PERSON = re.compile(r"\b(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=T
 INTRODUCED = re.compile(r"(?<!\w)(?i:" + "|".join(map(re.escape, sorted(INTRODUCTIONS, key=len, reverse=True))) + rf") {_NAME}")
 ADDRESSED = re.compile(rf"(?<!\w){_NAME} <(?=[^<>\s@]+@[^<>\s@]+>)")
 _TITLE_HINT = re.compile("|".join(sorted(TITLES, key=len, reverse=True)))
-_INTRODUCTION_HINT = re.compile("(?i:" + "|".join(map(re.escape, sorted({x.rpartition(" ")[2] for x in INTRODUCTIONS}, key=len, reverse=True))) + ")")
+_INTRODUCTION_HINTS = sorted({x.lower() for x in INTRODUCTIONS if not any(y != x and y in x for y in INTRODUCTIONS)})
 _DIGITS = re.compile(r"\d", re.ASCII)
 #: Prefixes of card issuers, kept in a surrogate.
 ISSUER = re.compile(r"4|5[0-8]|3[4-689]|30[0-5]|6011|64[4-9]|65|62|6[0-9]|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)")
@@ -287,7 +288,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     people = []
     if _TITLE_HINT.search(text):
         people += [(m.start("name"), m.end("name"), f"person_{TITLES[m['title']]}") for m in PERSON.finditer(text)]
-    if _INTRODUCTION_HINT.search(text):
+    low = text.lower()
+    if any(x in low for x in _INTRODUCTION_HINTS):
         people += [(m.start("name"), m.end("name"), "person_") for m in INTRODUCED.finditer(text)]
     if "@" in text and "<" in text:
         people += [(m.start("name"), m.end("name"), "person_") for m in ADDRESSED.finditer(text)]
@@ -347,7 +349,7 @@ def redact(documents: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
     small_batches(documents.sparkSession)
-    return documents.select("doc_id", "text").mapInArrow(lambda b: _each(b, 1, key, build), schema)
+    return documents.select("doc_id", "text").mapInArrow(lean(lambda b: _each(b, 1, key, build)), schema)
 
 
 def with_surrogates(documents: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
@@ -364,4 +366,4 @@ def with_surrogates(documents: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     small_batches(documents.sparkSession)
-    return documents.mapInArrow(lambda b: _each(b, at, key, build), T.StructType(documents.schema.fields))
+    return documents.mapInArrow(lean(lambda b: _each(b, at, key, build)), T.StructType(documents.schema.fields))

@@ -6,7 +6,8 @@ bytes of a slice of documents at once, so no Python code runs per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,31 @@ _INVERSE = pow(_PRIME, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+#: What a worker keeps for the next task of the same kind, by kind.
+kept: dict[str, object] = {}
+
+
+def lean(run: Callable[[Batches], Batches], keeps: str = "") -> Callable[[Batches], Batches]:
+    """``run`` for workers that live on beside other stages: what tasks of other kinds kept
+    is let go at its start, and free memory goes back to the system at its end."""
+
+    def each(batches: Batches) -> Batches:
+        for kind in [k for k in kept if k != keeps]:
+            del kept[kind]
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return each
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a bijection that spreads every input bit."""
     x = x.astype(np.uint64, copy=True)

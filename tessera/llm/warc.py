@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import new_path, small_batches
 from .storage import RangeReader, create
-from .textkit import utf8
+from .textkit import lean, utf8
 
 REVISIT_BYTES = 1000
 FILE_BYTES = 64 << 20
@@ -125,7 +125,7 @@ def write(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T0
                 out.close()
 
     small_batches(spark)
-    joined.mapInArrow(store, INDEX_SCHEMA).write.parquet(f"{folder}/index")
+    joined.mapInArrow(lean(store), INDEX_SCHEMA).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
 
 
@@ -158,7 +158,7 @@ def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
 
     small_batches(index.sparkSession)
     stretch = F.floor(F.col("offset") / FILE_BYTES)
-    return index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset").mapInArrow(fetch, schema)
+    return index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset").mapInArrow(lean(fetch), schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
