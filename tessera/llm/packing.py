@@ -46,7 +46,7 @@ CAPACITY = 2048
 NODES = 4000
 BUDGET = 400_000
 #: Words that a worker remembers; those met first stay, the frequent ones among them.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 
 
 class _Codes(dict):
@@ -89,54 +89,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
-        self.code, self.known = _Codes(), {}
+        self.code = _Codes()
         self.flat, self.begin = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
-    def _remembered(self, known: dict, part: bytes, spelt: str) -> list[int]:
-        ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
-        if len(known) < CACHE_WORDS:
-            known[part] = ids
-        return ids
-
-    def _ids(self, words: list[bytes]) -> list[list[int]]:
-        known = self.known
-        out: list[list[int]] = []
+    def _learn(self) -> None:
+        """Ids of the words numbered since the last time, and of letters and marks that they consist of."""
+        code, base = self.code, len(self.begin) - 1
+        words, tokenize = code.new, self.tokenizer.model.tokenize
+        ids: list[list[int] | tuple[int, ...]] = []
         other = []
-        for word in words:
+        for word in words:  # grows by letters and marks not met before
             simple = self.SIMPLE.fullmatch(word)
             if simple is None:
-                other.append(len(out))
-                out.append([])
+                other.append(len(ids))
+                ids.append(())
                 continue
             stem, marks = simple.groups()
             stem = stem.lower() if stem.isascii() else stem.decode().lower().encode()
-            ids = known.get(stem)
-            if ids is None:
-                spelt = stem.decode() if stem.isascii() else "".join(self.letters[b] for b in stem)
-                ids = self._remembered(known, stem, spelt)
-            if marks:
-                more = known.get(marks)
-                if more is None:
-                    more = self._remembered(known, marks, marks.decode())
-                ids = ids + more
-            out.append(ids)
+            if stem == word:
+                ids.append([t.id for t in tokenize(stem.decode() if stem.isascii() else "".join(self.letters[b] for b in stem))])
+            else:
+                ids.append((code[stem], code[marks]) if marks else (code[stem],))
         for i in range(0, len(other), 20_000):
             part = other[i : i + 20_000]
             for at, e in zip(part, self.tokenizer.encode_batch_fast([words[j].decode("utf-8", "replace") for j in part], add_special_tokens=False), strict=True):
-                out[at] = e.ids
-        return out
+                ids[at] = e.ids
+        of = lambda c: ids[c - base] if c >= base else self.flat[self.begin[c] : self.begin[c + 1]].tolist()
+        ids = [[x for c in i for x in of(c)] if isinstance(i, tuple) else i for i in ids]
+        lengths = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths[-1]))])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + lengths])
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, each closed by id 0, and where each text begins."""
         split = [t.split() for t in texts]
         code = self.code
         codes = np.fromiter(map(code.__getitem__, chain.from_iterable(split)), dtype=np.int64)
-        new, code.new = code.new, []
-        if new:
-            ids = self._ids(new)
-            lengths = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths[-1]))])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + lengths])
+        if code.new:
+            self._learn()
         size = np.diff(self.begin)
         n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         # every text is closed by a virtual word whose one id is 0
@@ -151,12 +141,12 @@ class WordEncoder:
         at = np.repeat(start[codes] - total[:-1], count) + np.arange(total[-1])
         begin = np.zeros(len(texts) + 1, dtype=np.int64)
         begin[1:] = total[doc_end + np.arange(1, len(texts) + 1)]
-        over = len(code) - max(CACHE_WORDS, len(code) - len(new))
-        if over > 0:  # the words met last are forgotten
-            for word in new[len(new) - over :]:
+        if len(code) > CACHE_WORDS:  # the words met last are forgotten
+            for word in code.new[max(0, len(code.new) - (len(code) - CACHE_WORDS)) :]:
                 del code[word]
             self.begin = self.begin[: len(code) + 1]
             self.flat = self.flat[: self.begin[-1]]
+        code.new = []
         return flat[at], begin
 
 
