@@ -32,30 +32,50 @@ def _rows(df: DataFrame, subject, triples: list[tuple]) -> DataFrame:
     return df.select(F.explode(F.array(*parts)).alias("t")).select("t.*").filter("s is not null and o is not null")
 
 
-def fact_rows(facts: DataFrame) -> DataFrame:
-    """The statements of facts: entities and labels, direct edges, reified facts, mentions. A set.
+def _fact_parts(facts: DataFrame) -> list[tuple]:
+    """(rows, subject, statements) of each kind of statement; no two of them, or of their rows, say the same.
 
-    An entity's label is its least name (several names may have one slug).
+    ``facts`` are distinct by triple id. An entity's label is its least name (several
+    names may have one slug).
     """
     term = lambda name: f"{TERM}{name}"
     subject, object_ = iri("entity", F.col("subj")), iri("entity", F.col("obj"))
-    node = iri("triple", F.col("triple_id"))
-    message = message_iri(F.col("message_id").cast("string"))
     kinds = lambda name: F.lit(term(name))
-    reified = _rows(
-        facts, node,
-        [
-            (RDF_TYPE, kinds("KnowledgeTriple"), "iri"), (term("tripleSubject"), subject, "iri"), (term("tripleObject"), object_, "iri"),
-            (term("triplePredicateLabel"), F.col("predicate"), "text"), (term("extractedFrom"), message, "iri"),
-            (term("extractedInSession"), iri("session", slug(F.col("session").cast("string"))), "iri"),
-        ],
-    )
-    edges = _rows(facts.select("subj", "predicate", "obj").distinct(), subject, [(F.concat(F.lit(TERM), F.col("predicate")), object_, "iri")])
-    mentions = _rows(facts, message, [(term("mentionsTopic"), subject, "iri"), (term("mentionsTopic"), object_, "iri")])
-    named = facts.select(F.explode(F.array(F.struct(F.col("subj").alias("entity"), F.col("subj_name").alias("name")), F.struct(F.col("obj").alias("entity"), F.col("obj_name").alias("name")))).alias("e")).select("e.*")
-    entities = named.groupBy("entity").agg(F.min("name").alias("name"))
-    labels = _rows(entities, iri("entity", F.col("entity")), [(RDF_TYPE, kinds("Entity"), "iri"), (LABEL, F.col("name"), "text")])
-    return reified.unionByName(edges).unionByName(mentions).unionByName(labels).distinct()
+    both = lambda *columns: F.explode(F.array(*[F.struct(*[F.col(c).alias(c.replace("subj", "entity").replace("obj", "entity")) for c in (r, *(f"{r}{x}" for x in columns))]) for r in ("subj", "obj")])).alias("e")
+    reified = [
+        (RDF_TYPE, kinds("KnowledgeTriple"), "iri"), (term("tripleSubject"), subject, "iri"), (term("tripleObject"), object_, "iri"),
+        (term("triplePredicateLabel"), F.col("predicate"), "text"), (term("extractedFrom"), message_iri(F.col("message_id").cast("string")), "iri"),
+        (term("extractedInSession"), iri("session", slug(F.col("session").cast("string"))), "iri"),
+    ]
+    mentions = facts.select("message_id", both()).select("message_id", "e.entity").distinct()
+    entities = facts.select(both("_name")).groupBy("e.entity").agg(F.min("e.entity_name").alias("name"))
+    entity = iri("entity", F.col("entity"))
+    return [
+        (facts, iri("triple", F.col("triple_id")), reified),
+        (facts.select("subj", "predicate", "obj").distinct(), subject, [(F.concat(F.lit(TERM), F.col("predicate")), object_, "iri")]),
+        (mentions, message_iri(F.col("message_id").cast("string")), [(term("mentionsTopic"), entity, "iri")]),
+        (entities, entity, [(RDF_TYPE, kinds("Entity"), "iri"), (LABEL, F.col("name"), "text")]),
+    ]
+
+
+def fact_rows(facts: DataFrame) -> DataFrame:
+    """The statements of facts: entities and labels, direct edges, reified facts, mentions. A set."""
+    out, *more = (_rows(*part) for part in _fact_parts(facts))
+    for rows in more:
+        out = out.unionByName(rows)
+    return out
+
+
+def fact_row_count(facts: DataFrame) -> DataFrame:
+    """How many rows ``fact_rows`` has (triples), counted before they are spelt out."""
+    counted = [
+        rows.agg(sum((F.count(F.when(subject.isNotNull() & o.isNotNull(), 1)) for _, o, _ in statements), F.lit(0)).alias("n"))
+        for rows, subject, statements in _fact_parts(facts)
+    ]
+    out, *more = counted
+    for rows in more:
+        out = out.unionByName(rows)
+    return out.agg(F.sum("n").alias("triples"))
 
 
 def slug_collisions(facts: DataFrame) -> DataFrame:

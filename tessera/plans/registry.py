@@ -126,7 +126,7 @@ def c19_federated_description(t: Star) -> DataFrame:
 
 @query
 def c20_triple_count(t: Star) -> DataFrame:
-    return graph_queries.triple_count(graph_model.fact_rows(t.facts()))
+    return graph_model.fact_row_count(t.facts())
 
 
 @query
@@ -244,7 +244,7 @@ def b09_salvage(t: Star) -> DataFrame:
 @query
 def b10_parse_responses(t: Star) -> DataFrame:
     ship_package(t.spark)
-    facts = raw_responses(t).select("message_id", responses.parse_response(F.col("raw")).alias("facts"))
+    facts = responses.parsed(raw_responses(t), "message_id")
     return facts.select("message_id", F.size("facts").alias("n"), F.array_join(F.transform("facts", lambda f: F.concat_ws("|", f["subject"], f["predicate"], f["object"])), ";").alias("facts"))
 
 

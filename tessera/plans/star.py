@@ -42,28 +42,40 @@ class Star:
     def tool_calls(self) -> DataFrame:
         return self.table("events").select(F.col("event_id").alias("tool_id"), F.col("event_type").alias("tool_name"), F.col("user_id").alias("session"), F.col("ts").alias("created"), F.col("props").alias("description"))
 
+    def _named(self, table: str, key: str, name: str, role: str) -> DataFrame:
+        """Per key of a dimension: one key for all that share its name, the name and its slug, made once per name."""
+        names = self.table(table).groupBy(F.col(name).alias(f"{role}_name")).agg(F.min(key).alias(f"{role}_key"), F.collect_list(key).alias("keys"))
+        return names.select(f"{role}_key", f"{role}_name", slug(F.col(f"{role}_name")).alias(role), F.explode("keys").alias(key))
+
     def facts(self) -> DataFrame:
         """Knowledge facts: distinct by triple id (subject, predicate, object and message).
 
+        Facts are made distinct as three numbers, before they get their names and texts.
         Dimensions are small beside lineitem; Spark broadcasts them only below its
         size threshold.
         """
-        rows = (
+        subjects, objects = self._named("supplier", "s_suppkey", "s_name", "subj"), self._named("part", "p_partkey", "p_name", "obj")
+        keys = (
             self.table("lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
-            .join(self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.table("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(self.table("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+            .join(subjects.select("s_suppkey", "subj_key"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(objects.select("p_partkey", "obj_key"), F.col("l_partkey") == F.col("p_partkey"))
+            .select("l_orderkey", "subj_key", "obj_key").distinct()
+        )
+        own = lambda df, key, role: df.filter(F.col(key) == F.col(f"{role}_key")).select(f"{role}_key", f"{role}_name", role)
+        rows = (
+            keys.join(self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(own(subjects, "s_suppkey", "subj"), "subj_key").join(own(objects, "p_partkey", "obj"), "obj_key")
         )
         return rows.select(
-            F.col("s_name").alias("subj_name"),
+            "subj_name",
             F.lit("provides").alias("predicate"),
-            F.col("p_name").alias("obj_name"),
-            slug(F.col("s_name")).alias("subj"),
-            slug(F.col("p_name")).alias("obj"),
+            "obj_name",
+            "subj",
+            "obj",
             F.col("l_orderkey").alias("message_id"),
             F.col("o_custkey").alias("session"),
             F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("content"),
-        ).distinct().withColumn("triple_id", triple_id(F.col("subj_name"), F.col("predicate"), F.col("obj_name"), F.col("message_id").cast("string")))
+        ).withColumn("triple_id", triple_id(F.col("subj_name"), F.col("predicate"), F.col("obj_name"), F.col("message_id").cast("string")))
 
     def static_facts(self) -> DataFrame:
         """Facts outside messages: places, makers and kinds (subject, predicate, object)."""
