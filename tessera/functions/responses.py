@@ -87,8 +87,8 @@ def parse_response(raw: Column) -> Column:
 def parsed(answers: DataFrame, *keys: str, raw: str = "raw") -> DataFrame:
     """``keys`` and the validated facts of every answer (null: unreadable), as ``parse_response`` gives them.
 
-    For whole tables: every different name is judged once, as a plain column, and
-    the verdicts are joined to the facts. ``keys`` tell the answers apart.
+    For whole tables: facts are rows while they are judged, so that the filters are
+    plain columns of generated code. ``keys`` tell the answers apart.
     """
     read = answers.select(*keys, _candidates(F.col(raw), is_truncated(F.col(raw))).alias("found"))
     rows = read.select(*keys, F.col("found").isNotNull().alias("readable"), F.posexplode_outer("found").alias("at", "f"))
@@ -98,10 +98,7 @@ def parsed(answers: DataFrame, *keys: str, raw: str = "raw") -> DataFrame:
         F.when(F.col("f.predicate") != "", normalize_predicate(F.col("f.predicate"))).alias("predicate"),
         normalize_entity(F.col("f.object")).alias("object"),
     )
-    names = plain.select(F.explode(F.array("subject", "object")).alias("name")).distinct()
-    valid = names.filter(is_valid_entity(F.col("name")))
-    kept = plain.join(valid.withColumnRenamed("name", "subject").withColumn("subject_ok", F.lit(True)), "subject", "left").join(valid.withColumnRenamed("name", "object").withColumn("object_ok", F.lit(True)), "object", "left")
-    good = F.col("predicate").isNotNull() & F.col("subject_ok") & F.col("object_ok")
-    fact = F.when(good, F.struct("at", F.struct("subject", "predicate", "object").alias("fact")))
-    listed = kept.groupBy(*keys).agg(F.max("readable").alias("readable"), F.sort_array(F.collect_list(fact)).alias("facts"))
+    good = F.col("predicate").isNotNull() & is_valid_entity(F.col("subject")) & is_valid_entity(F.col("object"))
+    judged = plain.select(*keys, "readable", F.when(good, F.struct("at", F.struct("subject", "predicate", "object").alias("fact"))).alias("kept"))
+    listed = judged.groupBy(*keys).agg(F.max("readable").alias("readable"), F.sort_array(F.collect_list("kept")).alias("facts"))
     return listed.select(*keys, F.when(F.col("readable"), F.slice(F.transform("facts", lambda x: x["fact"]), 1, MAX_FACTS)).alias("facts"))

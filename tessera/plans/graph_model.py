@@ -33,7 +33,8 @@ def _rows(df: DataFrame, subject, triples: list[tuple]) -> DataFrame:
 
 
 def _fact_parts(facts: DataFrame) -> list[tuple]:
-    """(rows, subject, statements) of each kind of statement; no two of them, or of their rows, say the same.
+    """(rows, subject, statements, whether each row has a subject of its own) of each kind of statement;
+    no two of them, or of their rows, say the same.
 
     ``facts`` are distinct by triple id. An entity's label is its least name (several
     names may have one slug).
@@ -51,16 +52,16 @@ def _fact_parts(facts: DataFrame) -> list[tuple]:
     entities = facts.select(both("_name")).groupBy("e.entity").agg(F.min("e.entity_name").alias("name"))
     entity = iri("entity", F.col("entity"))
     return [
-        (facts, iri("triple", F.col("triple_id")), reified),
-        (facts.select("subj", "predicate", "obj").distinct(), subject, [(F.concat(F.lit(TERM), F.col("predicate")), object_, "iri")]),
-        (mentions, message_iri(F.col("message_id").cast("string")), [(term("mentionsTopic"), entity, "iri")]),
-        (entities, entity, [(RDF_TYPE, kinds("Entity"), "iri"), (LABEL, F.col("name"), "text")]),
+        (facts, iri("triple", F.col("triple_id")), reified, True),
+        (facts.select("subj", "predicate", "obj").distinct(), subject, [(F.concat(F.lit(TERM), F.col("predicate")), object_, "iri")], False),
+        (mentions, message_iri(F.col("message_id").cast("string")), [(term("mentionsTopic"), entity, "iri")], False),
+        (entities, entity, [(RDF_TYPE, kinds("Entity"), "iri"), (LABEL, F.col("name"), "text")], True),
     ]
 
 
 def fact_rows(facts: DataFrame) -> DataFrame:
     """The statements of facts: entities and labels, direct edges, reified facts, mentions. A set."""
-    out, *more = (_rows(*part) for part in _fact_parts(facts))
+    out, *more = (_rows(*part[:3]) for part in _fact_parts(facts))
     for rows in more:
         out = out.unionByName(rows)
     return out
@@ -70,7 +71,7 @@ def fact_row_count(facts: DataFrame) -> DataFrame:
     """How many rows ``fact_rows`` has (triples), counted before they are spelt out."""
     counted = [
         rows.agg(sum((F.count(F.when(subject.isNotNull() & o.isNotNull(), 1)) for _, o, _ in statements), F.lit(0)).alias("n"))
-        for rows, subject, statements in _fact_parts(facts)
+        for rows, subject, statements, _ in _fact_parts(facts)
     ]
     out, *more = counted
     for rows in more:
@@ -78,6 +79,31 @@ def fact_row_count(facts: DataFrame) -> DataFrame:
     return out.agg(F.sum("n").alias("triples"))
 
 
+def fact_row_summary(facts: DataFrame) -> DataFrame:
+    """Per predicate and kind of object of ``fact_rows``: rows (n), subjects, and the least object.
+
+    Each kind of statement is summed up where its facts are, without spelling out the rows.
+    """
+    sums = []
+    for rows, subject, statements, own in _fact_parts(facts):
+        for p, o, kind in statements if not own else []:
+            said = rows.select((F.lit(p) if isinstance(p, str) else p).alias("p"), F.lit("iri" if kind == "iri" else "literal").alias("o_kind"), subject.alias("s"), o.cast("string").alias("o")).filter("s is not null and o is not null")
+            sums.append(said.groupBy("p", "o_kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("subjects"), F.min("o").alias("least_object")))
+        if own:
+            each = []
+            for i, (p, o, kind) in enumerate(statements):
+                o = F.when(subject.isNotNull(), o.cast("string"))
+                each += [F.count(o).alias(f"n{i}"), F.min(o).alias(f"least{i}")]
+            summed = rows.agg(*each)
+            kinds = [F.struct(F.lit(p).alias("p"), F.lit("iri" if kind == "iri" else "literal").alias("o_kind"), F.col(f"n{i}").alias("n"), F.col(f"n{i}").alias("subjects"), F.col(f"least{i}").alias("least_object")) for i, (p, _, kind) in enumerate(statements)]
+            sums.append(summed.select(F.explode(F.array(*kinds)).alias("k")).select("k.*").filter("n > 0"))
+    out, *more = sums
+    for part in more:
+        out = out.unionByName(part)
+    # subjects of different kinds of statement are different resources
+    return out.groupBy("p", "o_kind").agg(F.sum("n").alias("n"), F.sum("subjects").alias("subjects"), F.min("least_object").alias("least_object"))
+
+
 def slug_collisions(facts: DataFrame) -> DataFrame:
     """Entities whose slug stands for several names."""
     named = facts.select(F.explode(F.array(F.struct(F.col("subj").alias("entity"), F.col("subj_name").alias("name")), F.struct(F.col("obj").alias("entity"), F.col("obj_name").alias("name")))).alias("e")).select("e.*")

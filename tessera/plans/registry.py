@@ -174,8 +174,7 @@ def a22_message_nodes(t: Star) -> DataFrame:
 
 @query
 def a23_reify_triples(t: Star) -> DataFrame:
-    rows = graph_model.fact_rows(t.facts())
-    return rows.groupBy("p", "o_kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("subjects"), F.min("o").alias("least_object"))
+    return graph_model.fact_row_summary(t.facts())
 
 
 @query
