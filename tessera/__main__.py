@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import extraction
+from .operators import batches, extraction, linking
 from .operators.incremental import LEDGER_SCHEMA, changed
 from .plans import graph_model
 from .plans.sparql import encoded, sparql
@@ -34,6 +34,16 @@ def arguments() -> argparse.ArgumentParser:
     watch.add_argument("store")
     watch.add_argument("checkpoint")
     watch.add_argument("--once", action="store_true", help="take what is there and stop")
+    link = commands.add_parser("link", help="link the entities of a store's facts to items of a catalogue (label, rank, qid, ...)")
+    link.add_argument("store")
+    link.add_argument("catalogue", help="Parquet table of candidates")
+    link.add_argument("--min-sessions", type=int, default=linking.MIN_SESSIONS)
+    link.add_argument("--threshold", type=float, default=linking.CONFIDENCE)
+    snapshot = commands.add_parser("snapshot", help="counts of a store's links")
+    snapshot.add_argument("store")
+    batch = commands.add_parser("batch", help="write requests about a store's messages for an offline batch run")
+    batch.add_argument("store")
+    batch.add_argument("out")
     listing = commands.add_parser("list", help="conversations of a zipped tree export")
     listing.add_argument("zip")
     export = commands.add_parser("export", help="write the statements about session files as N-Triples")
@@ -50,7 +60,7 @@ def arguments() -> argparse.ArgumentParser:
 def read_new(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
     """The session files to read: found, in order, less what the ledger knows, up to the limit."""
     store = Store(spark, options.store)
-    found = jsonl.find_sessions(spark, options.folder, options.include_subagents, options.sort)
+    found = jsonl.find_sessions(spark, options.folder, options.include_subagents, options.sort, with_text=True)
     if not options.force:
         found = changed(found, store.read("ledger", LEDGER_SCHEMA))
     order = {"name": [F.col("source")], "newest": [F.col("modified").desc(), F.col("source")], "oldest": [F.col("modified"), F.col("source")]}[options.sort]
@@ -66,16 +76,22 @@ def ingest(spark: SparkSession, options: argparse.Namespace) -> int:
         return 0
     last = store.read("ledger", LEDGER_SCHEMA).agg(F.max("batch")).first()[0]
     batch = 0 if last is None else last + 1
-    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(options.folder)
-    texts = paths.select(F.col("path").alias("source"), F.decode("content", "UTF-8").alias("text"))
-    files = texts.join(found.select("source"), "source", "left_semi")
-    process(files, store, batch)
+    process(found.select("source", "text"), store, batch)
     if not options.skip_extraction:
         new = store.read("messages").filter(F.col("batch") == batch)
         roles = extraction.EXTRACT_ROLES["claude-code"]
         asked = new.filter(F.col("role").isin(*roles)).select("message_id", "session", F.col("full_text").alias("content"))
-        provider = extraction.PROVIDERS[extraction.detect_provider()]
-        store.append(extraction.facts_of(extraction.extract(asked, provider=provider), asked), "facts", batch)
+        answers = extraction.extract_into(store, asked, batch, extraction.get_provider())
+        store.append(extraction.facts_of(answers, asked), "facts", batch)
+    return 0
+
+
+def link(spark: SparkSession, options: argparse.Namespace) -> int:
+    """Links from a table of candidates, kept in the store as its link table."""
+    store = Store(spark, options.store)
+    links = linking.link(store.current("facts"), spark.read.parquet(options.catalogue), None, options.min_sessions, options.threshold)
+    store.append(links, "links", 0)
+    store.read("links").drop("batch").orderBy("query_label").show(1000, truncate=False)
     return 0
 
 
@@ -84,6 +100,16 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.getActiveSession() or local_session()
     if options.command == "ingest":
         return ingest(spark, options)
+    if options.command == "link":
+        return link(spark, options)
+    if options.command == "snapshot":
+        links = Store(spark, options.store).read("links")
+        links.agg(F.count(F.lit(1)).alias("linked"), F.countDistinct("qid").alias("items"), (F.count(F.lit(1)) - F.countDistinct("qid")).alias("duplicates")).show()
+        return 0
+    if options.command == "batch":
+        messages = extraction.extractable(Store(spark, options.store).current("messages").withColumnRenamed("source", "source_file"))
+        batches.request_lines(messages).write.text(options.out)
+        return 0
     if options.command == "watch":
         start(spark, options.inbox, Store(spark, options.store), options.checkpoint, once=options.once).awaitTermination()
         return 0

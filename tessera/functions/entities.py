@@ -1,7 +1,8 @@
 """Normalising and judging entity names and predicates, as column expressions.
 
 Filters are ladders: the first rule that applies decides. Patterns carry ``(?U)``
-so that classes like ``\\w`` and ``\\d`` cover all of Unicode.
+so that classes like ``\\w`` and ``\\d`` cover all of Unicode. The patterns and their
+order are fixed values.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ FACT = T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "pred
 FACTS = T.ArrayType(FACT)
 #: Facts kept of one response, in the order given.
 MAX_FACTS = 10
-COMPLETE_OBJECT = r'\{\s*"subject"\s*:\s*"[^"]*"\s*,\s*"predicate"\s*:\s*"[^"]*"\s*,\s*"object"\s*:\s*"[^"]*"\s*\}'
+#: A whole fact in a broken list. The pattern, and the order in which readings are tried, are fixed values.
+COMPLETE_OBJECT = r'\{[^{}]*"subject"\s*:\s*"[^"]*"\s*,\s*"predicate"\s*:\s*"[^"]*"\s*,\s*"object"\s*:\s*"[^"]*"[^{}]*\}'
 
 
 def _count(text: Column, char: str) -> Column:
@@ -31,6 +32,15 @@ def is_truncated(raw: Column) -> Column:
     return F.coalesce((F.char_length(text) > 0) & (opened | unbalanced | F.right(text, F.lit(1)).isin(",", ":", '"', "{")), F.lit(False))
 
 
+def truncated(raw: str) -> bool:
+    """``is_truncated`` of one response."""
+    text = raw.rstrip()
+    if not text:
+        return False
+    opened = text.lstrip(" ").startswith("[") and not text.endswith("]")
+    return opened or text.count("[") > text.count("]") or text.count("{") > text.count("}") or text[-1] in ',:"{'
+
+
 def salvage(raw: Column) -> Column:
     """The complete objects of a truncated response."""
     return F.transform(F.regexp_extract_all(raw, F.lit(COMPLETE_OBJECT), F.lit(0)), lambda x: F.from_json(x, FACT))
@@ -54,7 +64,8 @@ def candidate_facts(raw: str | None, truncated: bool) -> list[dict] | None:
         if listed:
             parsed, ok = _strict(listed[0])
         if (not ok or parsed is None) and truncated:
-            parsed, ok = [json.loads(x) for x in re.findall(COMPLETE_OBJECT, raw) if _strict(x)[1]], True
+            parsed = [json.loads(x) for x in re.findall(COMPLETE_OBJECT, raw) if _strict(x)[1]] or None
+            ok = parsed is not None
         if not ok or parsed is None:
             return None
     if isinstance(parsed, dict):

@@ -29,95 +29,61 @@ WHITELIST = (
     "rag", "rdf", "owl", "uri", "url", "xml", "csv", "pdf", "svg", "png",
     "gif", "npm", "pip", "git", "aws", "gcp", "mcp", "rpa",
 )
-TWO_LETTER_TERMS = WHITELIST[:11]
+TWO_LETTER_TERMS = ("ai", "ui", "db", "os", "ip", "ci", "cd", "js", "ts", "go", "ml")
 #: File extensions of the extraction filter, and those of the link filter.
 EXTENSIONS = (
     "ts", "tsx", "js", "jsx", "py", "json", "yaml", "yml", "css", "html", "md", "sql", "sh", "env", "db", "sqlite", "txt",
     "png", "csv", "jsonl", "xml", "toml", "lock", "cfg", "ini", "log", "ttl", "rdf", "sparql", "ipynb", "whl", "gz",
     "tar", "zip", "jpg", "jpeg", "gif", "svg", "wasm", "map", "d.ts", "mjs", "cjs",
 )
-LINK_EXTENSIONS = (*EXTENSIONS[:34], "pyc", "appimage", "dmg", "exe", "npz", "rq")
+LINK_EXTENSIONS = (
+    "ts", "tsx", "js", "jsx", "py", "json", "yaml", "yml", "css", "html", "md", "sql", "sh", "env", "db", "sqlite", "txt",
+    "png", "csv", "jsonl", "xml", "toml", "lock", "cfg", "ini", "log", "ttl", "rdf", "sparql", "ipynb", "whl", "gz",
+    "tar", "zip", "pyc", "appimage", "dmg", "exe", "npz", "rq",
+)
 #: Words whose presence in a description speaks for a technical sense.
 TECH_KEYWORDS = (
     "software", "database", "framework", "library", "programming", "language", "tool", "platform", "application", "system",
     "service", "api", "protocol", "standard", "specification", "technology", "infrastructure", "container", "orchestration",
 )
 
-#: Spellings of a name and the name they stand for.
-ALIASES: dict[str, tuple[str, ...]] = {
-    "javascript": ("js",),
-    "typescript": ("ts",),
-    "python": ("py",),
-    "kubernetes": ("k8s",),
-    "tensorflow": ("tf",),
-    "google cloud platform": ("gcp",),
-    "amazon web services": ("aws",),
-    "machine learning": ("ml",),
-    "artificial intelligence": ("ai",),
-    "deep learning": ("dl",),
-    "natural language processing": ("nlp",),
-    "large language model": ("llm", "llms"),
-    "knowledge graph": ("kg",),
-    "retrieval augmented generation": ("rag",),
-    "continuous integration": ("ci/cd",),
-    "demilitarized zone": ("dmz",),
-    "opentelemetry": ("otlp", "otel", "@opentelemetry/sdk-node"),
-    "secure shell": ("ssh", "ssh overhead"),
-    "comma-separated values": ("csv", "csv data"),
-    "environment variable": ("env vars", "environment variables"),
-    "sql": ("sql", "sql client", "sql queries", "sql-over-tunnel"),
-    "database": ("db",),
-    "visual studio code": ("vscode", "vs code"),
-    "warp terminal": ("warp", "warp terminal", "warpdotdev/claude-code-warp", "warp native notification system", "warp notification", "native warp notification", "native warp terminal notifications"),
-    "react": ("react.js", "reactjs"),
-    "node.js": ("node.js", "nodejs"),
-    "next.js": ("nextjs", "next.js"),
-    "vue.js": ("vue.js", "vuejs"),
-    "postgresql": ("postgres",),
-    "mongodb": ("mongo",),
-    "graphql": ("graphql",),
-    "representational state transfer": ("rest api", "rest apis", "restful", "restful api"),
-    "api management": ("api gateway",),
-    "google cloud run": ("cloud run", "gcp cloud run"),
-    "google cloud functions": ("cloud functions", "cloud function"),
-    "aws lambda": ("lambda layers", "lambda"),
-    "amazon bedrock": ("bedrock", "bedrock agents"),
-    "serverless computing": ("serverless", "serverless services"),
-    "edge computing": ("edge computing",),
-    "oracle database": ("oracle db", "oracle server", "oracle db server", "oracle db tunneling", "port 1521"),
-    "sqlite": ("sqlite", "embedded sqlite"),
-    "websocket": ("websocket", "websockets", "websocket connection", "websocket server", "websocket library", "websocket tls", "websocket tunnels", "async websocket", "outbound websocket", "websocket (tls) text"),
-    "distributed computing": ("distributed systems",),
-    "docker": ("docker containers", "stateless containers"),
-    "json": ("json readability", "json string"),
-    "naive bayes classifier": ("naive bayes", "naive bayes model", "naive bayes applications", "naive bayes (enhanced kb)"),
-    "problog": ("problog", "problog inference", "problog (enhanced kb)", "problog kb", "problogs kb"),
-    "prolog": ("prolog", "prolog facts", "prolog fact", "prolog-based systems", "pure prolog"),
-    "claude ai": ("claude", "claude code", "@anthropic-ai/claude-code"),
-    "model context protocol": ("claude mcp", "mcp server", "mcp servers", "mcp adapter", "mcp adapters"),
-    "raspberry pi": ("raspberry pi", "raspberry pi rest api"),
-    "rock pi": ("rock pi #1", "rock pi #2"),
-    "fosfomycin": ("fosfomycin",),
-    "mayo clinic": ("mayo clinic", "mayioclinic"),
-    "microsoft word": ("word document",),
-    "answer set programming": ("asp/clingo", "clingo/asp", "asp"),
-    "clingo": ("clingo",),
-    "notion": ("notion mcp", "@notionhq/mcp-server", "@notionhq/notion-mcp-server", "makenotion/notion-mcp-server"),
-    "npm": ("npx",),
-    "tavily": ("tavily", "tavily-mcp"),
-    "terminal": ("apple terminal",),
-    "myconnect": ("myconnect", "myconnect client"),
-    "operating system command": ("osc 777 escape sequences",),
-    "analgesia": ("analgesia",),
-    "medication": ("medicamentos", "medications"),
-    "disease": ("disease",),
-    "database schema": ("schema",),
-    "software agent": ("subagent",),
-    "weather api": ("weather api",),
-    "prototype-based programming": ("prototype language",),
-    "enterprise resource planning": ("erp schema",),
-    "ddxplus": ("ddxplus", "ddxplus dataset", "ddxplus knowledge base"),
-    "weighted boolean formula": ("weighted boolean formula", "weighted boolean formulas"),
-    "context7": ("context7",),
-}
-CANONICAL = {alias: name for name, spellings in ALIASES.items() for alias in spellings}
+#: Spellings and the name each stands for. Fixed values.
+CANONICAL: dict[str, str] = {
+    "js": "javascript", "ts": "typescript", "py": "python", "k8s": "kubernetes", "tf": "tensorflow", "gcp": "google cloud platform",
+    "aws": "amazon web services", "ml": "machine learning", "ai": "artificial intelligence", "dl": "deep learning", "nlp": "natural language processing",
+    "llm": "large language model", "llms": "large language model", "kg": "knowledge graph", "rag": "retrieval augmented generation",
+    "ci/cd": "continuous integration", "dmz": "demilitarized zone", "otlp": "opentelemetry", "otel": "opentelemetry", "ssh": "secure shell",
+    "ssh overhead": "secure shell", "csv": "comma-separated values", "csv data": "comma-separated values", "env vars": "environment variable",
+    "sql": "sql", "db": "database", "vscode": "visual studio code", "vs code": "visual studio code", "warp": "warp terminal",
+    "warp terminal": "warp terminal", "react.js": "react", "reactjs": "react", "node.js": "node.js", "nodejs": "node.js", "nextjs": "next.js",
+    "next.js": "next.js", "vue.js": "vue.js", "vuejs": "vue.js", "postgres": "postgresql", "mongo": "mongodb", "graphql": "graphql",
+    "rest api": "representational state transfer", "rest apis": "representational state transfer", "restful": "representational state transfer",
+    "restful api": "representational state transfer", "api gateway": "api management", "cloud run": "google cloud run",
+    "gcp cloud run": "google cloud run", "cloud functions": "google cloud functions", "cloud function": "google cloud functions",
+    "lambda layers": "aws lambda", "lambda": "aws lambda", "bedrock": "amazon bedrock", "bedrock agents": "amazon bedrock",
+    "serverless": "serverless computing", "serverless services": "serverless computing", "edge computing": "edge computing",
+    "oracle db": "oracle database", "oracle server": "oracle database", "oracle db server": "oracle database", "oracle db tunneling": "oracle database",
+    "sqlite": "sqlite", "embedded sqlite": "sqlite", "websocket": "websocket", "websockets": "websocket", "websocket connection": "websocket",
+    "websocket server": "websocket", "websocket library": "websocket", "websocket tls": "websocket", "websocket tunnels": "websocket",
+    "async websocket": "websocket", "distributed systems": "distributed computing", "environment variables": "environment variable",
+    "docker containers": "docker", "stateless containers": "docker", "json readability": "json", "json string": "json",
+    "naive bayes": "naive bayes classifier", "naive bayes model": "naive bayes classifier", "naive bayes applications": "naive bayes classifier",
+    "naive bayes (enhanced kb)": "naive bayes classifier", "problog": "problog", "problog inference": "problog", "problog (enhanced kb)": "problog",
+    "problog kb": "problog", "problogs kb": "problog", "prolog": "prolog", "prolog facts": "prolog", "prolog fact": "prolog",
+    "prolog-based systems": "prolog", "pure prolog": "prolog", "claude": "claude ai", "claude code": "claude ai", "claude mcp": "model context protocol",
+    "mcp server": "model context protocol", "mcp servers": "model context protocol", "mcp adapter": "model context protocol",
+    "mcp adapters": "model context protocol", "raspberry pi": "raspberry pi", "raspberry pi rest api": "raspberry pi", "rock pi #1": "rock pi",
+    "rock pi #2": "rock pi", "fosfomycin": "fosfomycin", "mayo clinic": "mayo clinic", "mayioclinic": "mayo clinic", "word document": "microsoft word",
+    "asp/clingo": "answer set programming", "clingo/asp": "answer set programming", "asp": "answer set programming", "clingo": "clingo",
+    "notion mcp": "notion", "@notionhq/mcp-server": "notion", "@notionhq/notion-mcp-server": "notion", "@anthropic-ai/claude-code": "claude ai",
+    "@opentelemetry/sdk-node": "opentelemetry", "npx": "npm", "tavily": "tavily", "tavily-mcp": "tavily", "sql client": "sql", "sql queries": "sql",
+    "sql-over-tunnel": "sql", "apple terminal": "terminal", "myconnect": "myconnect", "myconnect client": "myconnect",
+    "warpdotdev/claude-code-warp": "warp terminal", "warp native notification system": "warp terminal", "warp notification": "warp terminal",
+    "native warp notification": "warp terminal", "native warp terminal notifications": "warp terminal", "makenotion/notion-mcp-server": "notion",
+    "osc 777 escape sequences": "operating system command", "analgesia": "analgesia", "medicamentos": "medication", "medications": "medication",
+    "disease": "disease", "schema": "database schema", "subagent": "software agent", "weather api": "weather api", "port 1521": "oracle database",
+    "prototype language": "prototype-based programming", "erp schema": "enterprise resource planning", "ddxplus": "ddxplus",
+    "ddxplus dataset": "ddxplus", "ddxplus knowledge base": "ddxplus", "weighted boolean formula": "weighted boolean formula",
+    "weighted boolean formulas": "weighted boolean formula", "outbound websocket": "websocket", "websocket (tls) text": "websocket",
+    "context7": "context7",
+}

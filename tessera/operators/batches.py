@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.responses import parse_response
-from .extraction import build_prompt
+from .extraction import build_prompt, facts_of
 
 TEMPERATURE = 0.2
 
@@ -40,6 +40,25 @@ def by_source(answers: DataFrame) -> DataFrame:
     return answers.groupBy("source_file").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.size("facts")).alias("facts"))
 
 
+def collect(lines: DataFrame, messages: DataFrame) -> DataFrame:
+    """Knowledge facts of batch answers, with the session and text of the messages they are about."""
+    answers = read_answers(lines, drop_empty=True).select("message_id", "facts")
+    return facts_of(answers, messages.withColumn("message_id", F.col("message_id").cast("string")))
+
+
+def collect_jobs(store, jobs: DataFrame, lines: DataFrame, messages: DataFrame, batch: int) -> DataFrame:
+    """Facts of finished jobs into ``store``, and the jobs' state after it.
+
+    ``jobs``: job_id, state, requests; ``lines``: job_id and value. Only jobs that
+    succeeded are collected; one without any readable answer has failed.
+    """
+    done = lines.join(jobs.filter("state = 'succeeded'").select("job_id"), "job_id", "left_semi")
+    store.append(collect(done, messages), "facts", batch)
+    answered = done.filter(F.get_json_object("value", "$.response.candidates[0].content.parts[0].text").isNotNull()).groupBy("job_id").agg(F.count(F.lit(1)).alias("answers"))
+    state = F.when(F.col("state") != "succeeded", F.col("state")).when(F.coalesce("answers", F.lit(0)) > 0, "collected").otherwise("failed")
+    return jobs.join(answered, "job_id", "left").select("job_id", state.alias("state"), "requests", F.coalesce("answers", F.lit(0)).cast("long").alias("answers"))
+
+
 def record_job(spark: SparkSession, path: str, job_id: str, state: str, requests: int) -> None:
     """Append the state of a job to the ledger at ``path``."""
     spark.range(1).select(F.lit(job_id).alias("job_id"), F.lit(state).alias("state"), F.lit(requests).cast("long").alias("requests"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.identifiers import content_hash, slug, triple_id
-from ..functions.responses import FACTS, parse_response
+from ..functions.responses import FACTS, candidate_facts, parsed, truncated
 from ..functions.vocabulary import ALL_PREDICATES
 from ..session import ship_package
 
@@ -56,73 +56,125 @@ def register_provider(name: str, factory: Callable[[], Provider]) -> None:
     PROVIDERS[name] = factory
 
 
+#: Settings that name a hosted model, and its provider, by priority.
+PROVIDER_KEYS = (("GEMINI_API_KEY", "gemini"), ("OPENAI_API_KEY", "openai"), ("ANTHROPIC_API_KEY", "anthropic"))
+
+
+def list_providers() -> list[str]:
+    return list(PROVIDERS)
+
+
 def detect_provider(environment: dict[str, str] | None = None) -> str:
-    """The provider named by TESSERA_PROVIDER, else the only offline one."""
-    return (environment or os.environ).get("TESSERA_PROVIDER", "scripted")
+    """The provider named by TESSERA_PROVIDER, else the first registered one whose key is set, else the offline one."""
+    known = os.environ if environment is None else environment
+    if known.get("TESSERA_PROVIDER"):
+        return known["TESSERA_PROVIDER"]
+    return next((name for key, name in PROVIDER_KEYS if known.get(key) and name in PROVIDERS), "scripted")
+
+
+def get_provider(name: str | None = None) -> Callable[[], Provider]:
+    name = (name or detect_provider()).lower()
+    if name not in PROVIDERS:
+        raise ValueError(f"unknown provider {name}; known: {', '.join(PROVIDERS)}")
+    return PROVIDERS[name]
+
+
+#: What is asked of a model; the text of the message follows.
+PROMPT_HEAD = (
+    "List the technical facts stated in the text as a JSON array of objects with the string fields "
+    '"subject", "predicate" and "object". Subjects and objects are names of one to three words in lower case. '
+    f"Predicates: {', '.join(ALL_PREDICATES)}. At most ten facts, the most important first. "
+    "Give [] if there are none.\nTEXT:\n"
+)
 
 
 def build_prompt(text, length: int = FIRST_LENGTH):
     """The request for facts of one message, as a column; the text comes last."""
-    head = (
-        "List the technical facts stated in the text as a JSON array of objects with the string fields "
-        '"subject", "predicate" and "object". Subjects and objects are names of one to three words in lower case. '
-        f"Predicates: {', '.join(ALL_PREDICATES)}. At most ten facts, the most important first. "
-        "Give [] if there are none.\nTEXT:\n"
-    )
-    return F.concat(F.lit(head), F.substring(text, 1, length))
+    return F.concat(F.lit(PROMPT_HEAD), F.substring(text, 1, length))
 
 
-def _ask(make: Callable[[], Provider], rate: float | None):
-    """Iterator of answers: one provider per partition, shrinking retries on failure."""
-    head = "Facts as JSON.\nTEXT:\n"
+def ask(provider: Provider, text: str, rate: float | None = None) -> tuple[str | None, int]:
+    """(the first readable answer about ``text`` or null, truncated answers met).
+
+    A failed call or an answer that cannot be read is asked again with less text, with
+    less still if the answer was cut off.
+    """
+    length, cut_off = FIRST_LENGTH, 0
+    for _ in range(ATTEMPTS):
+        try:
+            answer = provider.generate(PROMPT_HEAD + text[:length]).strip()
+        except Exception:  # a provider's failure costs this attempt only
+            length = RETRY_LENGTH
+            continue
+        finally:
+            if rate:
+                time.sleep(1 / rate)
+        was_cut = truncated(answer)
+        cut_off += was_cut
+        if candidate_facts(answer, was_cut) is not None:
+            return answer, cut_off
+        length = TRUNCATED_LENGTH if was_cut else RETRY_LENGTH
+    return None, cut_off
+
+
+def _asked(make: Callable[[], Provider], rate: float | None):
+    """Iterator of answers: one provider per partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = make()
+        provider = None
         for batch in batches:
-            answers = []
-            for text in batch["content"]:
-                answer = None
-                for length in (FIRST_LENGTH, RETRY_LENGTH, TRUNCATED_LENGTH)[:ATTEMPTS]:
-                    try:
-                        answer = provider.generate(head + text[:length])
-                    except Exception:  # a provider's failure costs this attempt only
-                        continue
-                    finally:
-                        if rate:
-                            time.sleep(1 / rate)
-                    opened, closed = answer.count("["), answer.count("]")
-                    if opened <= closed:
-                        break
-                answers.append(answer)
-            yield batch[["message_id"]].assign(raw=answers)
+            provider = provider or make()
+            answers = [ask(provider, text, rate) for text in batch["content"]]
+            yield batch[["message_id", "text_hash"]].assign(raw=[a for a, _ in answers], truncations=[n for _, n in answers])
 
     return run
 
 
+CACHE = f"message_id string, text_hash string, facts {FACTS.simpleString()}, truncations int"
+
+
 def extract(messages: DataFrame, cache: DataFrame | None = None, provider: Callable[[], Provider] = ScriptedProvider, concurrency: int | None = None, rate: float | None = None) -> DataFrame:
-    """(message_id, text_hash, facts) of every message long enough.
+    """(message_id, text_hash, facts, truncations) of every message long enough.
 
-    Answers in ``cache`` (message_id, text_hash, facts) are used where the text is
-    the same; only the rest reaches the provider, ``concurrency`` partitions at a
-    time, each at ``rate`` requests a second.
+    Answers in ``cache`` (the same columns) are used where the text is the same; only
+    the rest reaches the provider, ``concurrency`` partitions at a time, each at
+    ``rate`` requests a second. Every action on the result asks anew:
+    ``extract_into`` keeps the answers.
     """
     ship_package(messages.sparkSession)
     asked = messages.filter(F.char_length(F.btrim("content")) >= MIN_LENGTH).select("message_id", "content", content_hash(F.col("content")).alias("text_hash"))
+    hits = None
     if cache is not None:
-        known = cache.select("message_id", "text_hash")
-        hits = cache.join(asked.select("message_id", "text_hash"), ["message_id", "text_hash"], "left_semi").select("message_id", "text_hash", "facts")
-        asked = asked.join(known, ["message_id", "text_hash"], "left_anti")
+        hits = cache.join(asked.select("message_id", "text_hash"), ["message_id", "text_hash"], "left_semi").select("message_id", "text_hash", "facts", "truncations")
+        asked = asked.join(cache.select("message_id", "text_hash"), ["message_id", "text_hash"], "left_anti")
     if concurrency:
         asked = asked.repartition(concurrency)
-    schema = T.StructType([asked.schema["message_id"], T.StructField("raw", T.StringType())])
-    answers = asked.mapInPandas(_ask(provider, rate), schema)
-    fresh = answers.select("message_id", F.coalesce(parse_response(F.col("raw")), F.array().cast(FACTS)).alias("facts")).join(asked.select("message_id", "text_hash"), "message_id").select("message_id", "text_hash", "facts")
-    return fresh if cache is None else hits.unionByName(fresh)
+    schema = T.StructType([asked.schema["message_id"], T.StructField("text_hash", T.StringType()), T.StructField("raw", T.StringType()), T.StructField("truncations", T.IntegerType())])
+    answers = asked.mapInPandas(_asked(provider, rate), schema)
+    fresh = parsed(answers, "message_id", "text_hash", "truncations").select("message_id", "text_hash", F.coalesce("facts", F.array().cast(FACTS)).alias("facts"), "truncations")
+    return fresh if hits is None else hits.unionByName(fresh)
+
+
+def extract_into(store, messages: DataFrame, batch: int, provider: Callable[[], Provider] = ScriptedProvider, **options) -> DataFrame:
+    """``extract`` with the cache table of ``store``: new answers are written to it, once, as
+    ``batch``; then the answers about ``messages``, known and new, are read back."""
+    cache = store.read("cache", f"{CACHE}, batch long").filter(F.col("batch") != batch)
+    known = latest(cache, ["message_id", "text_hash"], "batch").drop("batch")
+    fresh = extract(messages.join(_same_text(messages, known), "message_id", "left_anti"), None, provider, **options)
+    store.append(fresh, "cache", batch)
+    everything = latest(store.read("cache"), ["message_id", "text_hash"], "batch").drop("batch")
+    wanted = messages.select("message_id", content_hash(F.col("content")).alias("text_hash"))
+    return everything.join(wanted, ["message_id", "text_hash"], "left_semi")
+
+
+def _same_text(messages: DataFrame, cache: DataFrame) -> DataFrame:
+    """Ids of messages whose present text the cache knows."""
+    return messages.select("message_id", content_hash(F.col("content")).alias("text_hash")).join(cache, ["message_id", "text_hash"], "left_semi").select("message_id")
 
 
-def latest(cache: DataFrame, key: str, at: str) -> DataFrame:
+def latest(cache: DataFrame, key: str | list[str], at: str) -> DataFrame:
     """Upsert reading of an append-only table: the last row of each key."""
-    order = Window.partitionBy(key).orderBy(F.col(at).desc())
+    order = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.col(at).desc())
     return cache.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
 
 

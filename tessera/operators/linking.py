@@ -95,26 +95,56 @@ def snapshot(labels: DataFrame, cache: DataFrame, threshold: float = CONFIDENCE)
     )
 
 
-def search(labels: DataFrame, provider: Callable[[], Callable[[str], list[dict]]], concurrency: int | None = None) -> DataFrame:
-    """Candidates from a search provider, one made per partition; failures give none."""
+def search(labels: DataFrame, provider: Callable[[], Callable], concurrency: int | None = None) -> DataFrame:
+    """Candidates from a search provider, one made per partition; failures give none.
+
+    Where ``labels`` has a column ``context`` (see ``contexts``), the provider is
+    called with the label and its context, as an agent needs it.
+    """
     ship_package(labels.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = provider()
+        find = None
         for batch in batches:
+            find = find or provider()
             rows = []
-            for label in batch["label"]:
+            for asked in batch.itertuples(index=False, name=None):
+                label = asked[0]
                 try:
-                    found = find(label)
+                    found = find(*asked)
                 except Exception:  # a failed lookup is an empty one
                     found = []
                 rows += [(label, i, x.get("id"), x.get("label"), x.get("description"), x.get("aliases", [])) for i, x in enumerate(found, 1)]
             yield pd.DataFrame(rows, columns=CANDIDATE.names)
 
-    asked = labels.select("label")
+    asked = labels.select("label", *["context"] * ("context" in labels.columns))
     return (asked.repartition(concurrency) if concurrency else asked).mapInPandas(run, CANDIDATE)
 
 
+LINK_CACHE = "label string, qid string, confidence double, description string, aliases array<string>"
+
+
+def link_into(store, facts: DataFrame, provider: Callable[[], Callable[[str], list[dict]]], batch: int, minimum: int = MIN_SESSIONS, threshold: float = CONFIDENCE, concurrency: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Linking with the cache table of ``store``: (links, counters).
+
+    Names that the cache does not know are searched once; the best candidate of each, or
+    null where there is none, is written to the cache as ``batch`` before anything
+    is read from it. Links (label, canonical, qid, confidence, same) are the cache's above the
+    threshold; ``canonical`` is the least label of the item, ``same`` whether it is another label.
+    """
+    names = frequent(label_sources(facts), minimum).filter(is_linkable_entity(F.col("canonical"))).select(F.col("canonical").alias("label"))
+    old = store.read("link_cache", f"{LINK_CACHE}, batch long").filter(F.col("batch") != batch)
+    misses = names.join(old.select(F.col("label").alias("known")), F.lower("label") == F.col("known"), "left_anti")
+    best = best_match(search(misses, provider, concurrency)).select(F.lower("query_label").alias("label"), "qid", "confidence", "description", "aliases")
+    lowered = misses.select(F.lower("label").alias("label")).distinct()
+    store.append(lowered.join(best, "label", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))), "link_cache", batch)
+    cache = store.read("link_cache").drop("batch").dropDuplicates(["label"])
+    split = cache_split(names, cache)
+    found = linked(split, threshold)
+    links = found.withColumn("canonical", F.min("label").over(Window.partitionBy("qid"))).select("label", "canonical", "qid", "confidence", (F.col("label") != F.col("canonical")).alias("same"))
+    return links, snapshot(names, cache, threshold)
+
+
 def link(facts: DataFrame, candidates: DataFrame, cache: DataFrame | None = None, minimum: int = MIN_SESSIONS, threshold: float = CONFIDENCE) -> DataFrame:
     """The whole of linking: frequent canonical names that a catalogue could hold, the
     cache's answers, the best candidates of the rest, above the threshold."""

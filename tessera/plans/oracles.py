@@ -165,10 +165,15 @@ ORACLES: dict[str, str] = {
     "b08_truncation_flags": w(FACTS, ITEMS) + "SELECT message_id, message_id % 4 = 3 AS truncated FROM responses",
     "b09_salvage": w(FACTS, ITEMS) + "SELECT message_id, (n - 1)::INT AS complete FROM responses WHERE message_id % 4 = 3",
     "b10_parse_responses": w(FACTS, ITEMS) + f"""SELECT message_id, len(f)::INT AS n, array_to_string(f, ';') AS facts FROM (
-  SELECT r.message_id, coalesce(i.f, []) AS f FROM responses r LEFT JOIN (
+  SELECT r.message_id, CASE WHEN r.message_id % 4 = 3 AND r.n = 1 THEN NULL ELSE coalesce(i.f, []) END AS f FROM responses r LEFT JOIN (
     SELECT message_id, list(item ORDER BY place)[1:10] AS f FROM (
       SELECT message_id, lower(subj_name) || '|dependsOn|' || obj_name AS item, subj_name, obj_name, row_number() OVER (PARTITION BY message_id ORDER BY lower(subj_name) || '","predicate":"depends on","object":"' || obj_name || '"}}') AS place, count(*) OVER (PARTITION BY message_id) AS n
       FROM facts) WHERE (message_id % 4 != 3 OR place < n) AND {valid('lower(subj_name)')} AND {valid('obj_name')} GROUP BY message_id) i USING (message_id))""",
+    "b11_extract": w(FACTS) + f"""SELECT a.message_id, substring(sha256(a.content), 1, 16) AS text_hash, least(10, count(b.obj))::INT AS facts, 0::INT AS truncations FROM (
+  SELECT message_id, 'In this order ' || max(content) || ' applies. ' || string_agg(lower(replace(subj_name, '#', ' ')) || ' provides ' || obj_name, '. ' ORDER BY lower(replace(subj_name, '#', ' ')) || ' provides ' || obj_name) AS content FROM facts GROUP BY message_id) a
+LEFT JOIN (SELECT message_id, trim(split_part(sentence, ' provides ', 1)) AS subj, trim(split_part(sentence, ' provides ', 2)) AS obj FROM (
+  SELECT message_id, unnest(string_split(substring('In this order ' || max(content) || ' applies. ' || string_agg(lower(replace(subj_name, '#', ' ')) || ' provides ' || obj_name, '. ' ORDER BY lower(replace(subj_name, '#', ' ')) || ' provides ' || obj_name), 1, 1500), '.')) AS sentence
+  FROM facts GROUP BY message_id) WHERE trim(split_part(sentence, ' provides ', 2)) != '') b ON a.message_id = b.message_id AND ({valid("b.subj")}) AND ({valid("b.obj")}) GROUP BY 1, 2""",
     "b12_cache_misses": w(MESSAGES) + "SELECT message_id, substring(sha256(content), 1, 16) AS text_hash FROM messages WHERE role IN ('user', 'assistant') AND length(trim(content, ' ')) >= 30 AND session % 3 != 0",
     "b_cap10": w(FACTS) + "SELECT session, triple_id, place::INT AS place FROM (SELECT session, triple_id, row_number() OVER (PARTITION BY session ORDER BY triple_id) AS place FROM facts) WHERE place <= 10",
     "b18_requests": w(MESSAGES) + "SELECT message_id, 8192::BIGINT AS max_tokens FROM messages WHERE role IN ('user', 'assistant') AND length(trim(content, ' ')) >= 30",
@@ -203,3 +208,5 @@ UNION ALL SELECT 3, a.subj_name || ' ' || a.predicate || ' ' || a.obj_name || '
 # The same questions, asked in SPARQL.
 ORACLES["s15_sparql_hubs"] = ORACLES["c15_hub_entities"]
 ORACLES["s17_sparql_platform_lists"] = ORACLES["c17_platform_lists"]
+
+ORACLES["b21_collect"] = f"SELECT 'file-' || (message_id % 7) AS source_file, count(*) AS messages, sum(n)::BIGINT AS facts FROM ({ORACLES['b10_parse_responses']}) WHERE n IS NOT NULL GROUP BY 1"

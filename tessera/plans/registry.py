@@ -253,7 +253,7 @@ def b11_extract(t: Star) -> DataFrame:
     message = F.concat_ws(" ", F.lit("In this order"), F.col("content"), F.lit("applies.")).alias("intro")
     per_message = t.facts().groupBy("message_id").agg(F.max(message).alias("intro"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", F.lower(F.replace("subj_name", F.lit("#"), F.lit(" "))), F.lit("provides"), "obj_name"))), ". ").alias("text"))
     asked = per_message.select("message_id", F.concat_ws(" ", "intro", "text").alias("content"))
-    return extraction.extract(asked).select("message_id", "text_hash", F.size("facts").alias("facts"))
+    return extraction.extract(asked).select("message_id", "text_hash", F.size("facts").alias("facts"), "truncations")
 
 
 @query

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import slug
 from ..functions.timestamps import mongo_time, utc_seconds
 from ..session import ship_package
+from .jsonl import session_graph
 
 TREE = "source string, user_name string, session_id string, title string, inserted_at string, updated_at string, seq int, node_id string, parent_node string, role string, content string, model string, timestamp string"
 LISTED = "source string, conv_index int, session_id string, title string, create_time string, modify_time string, seq int, response_id string, sender string, content string, response_time string, model string"
@@ -138,3 +139,13 @@ def response_messages(rows: DataFrame) -> DataFrame:
 def listing(messages: DataFrame, preview: int = 60) -> DataFrame:
     """Conversations with their number of messages, first and last time and the start of the first text."""
     return messages.groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.min("created").alias("first_at"), F.max("created").alias("last_at"), F.substring(F.min_by("content", "seq"), 1, preview).alias("preview")).orderBy("session")
+
+
+def tree_graph(rows: DataFrame, developer: str = "developer") -> DataFrame:
+    """The statements about tree exports, as long rows."""
+    return session_graph(tree_sessions(rows, developer), tree_messages(rows), developer)
+
+
+def response_graph(rows: DataFrame, developer: str = "developer") -> DataFrame:
+    """The statements about list exports, as long rows."""
+    return session_graph(response_sessions(rows), response_messages(rows), developer)

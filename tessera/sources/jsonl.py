@@ -9,6 +9,7 @@ skipped. Content is a text or a list of blocks; the JSON type is looked at first
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,10 +24,10 @@ TOOL_LENGTH = 500
 BLOCK = "type string, text string, id string, name string, tool_use_id string"
 
 
-def find_sessions(spark: SparkSession, folder: str, include_subagents: bool = False, sort: str = "name", limit: int | None = None) -> DataFrame:
-    """(source, modified, size, sha256) of the session files below ``folder``."""
+def find_sessions(spark: SparkSession, folder: str, include_subagents: bool = False, sort: str = "name", limit: int | None = None, with_text: bool = False) -> DataFrame:
+    """(source, modified, size, sha256) of the session files below ``folder``, with their text if wanted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(folder)
-    rows = files.select(F.col("path").alias("source"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    rows = files.select(F.col("path").alias("source"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), *[F.decode("content", "UTF-8").alias("text")] * with_text)
     if not include_subagents:
         rows = rows.filter(~F.col("source").contains("/subagents/"))
     order = {"name": [F.col("source").asc()], "newest": [F.col("modified").desc(), F.col("source")], "oldest": [F.col("modified").asc(), F.col("source")]}[sort]
@@ -132,27 +133,36 @@ def tool_results(entries: DataFrame) -> DataFrame:
 
 def graph_rows(entries: DataFrame, developer: str = "developer", platform: str = "claude-code") -> DataFrame:
     """The statements about sessions, messages, tools, models and the developer, as long rows. A set."""
-    spark = entries.sparkSession
+    return session_graph(sessions(entries, platform), messages(entries), developer, tool_calls(entries), tool_results(entries))
+
+
+def session_graph(s: DataFrame, m: DataFrame, developer: str = "developer", calls: DataFrame | None = None, results: DataFrame | None = None) -> DataFrame:
+    """The same for the sessions and messages of any platform; columns it does not have say nothing."""
+    spark = s.sparkSession
+    s = s.select(*[F.col(c) if c in s.columns else F.lit(None).cast("string").alias(c) for c in ("session", "platform", "created", "modified", "source_file", "project", "title")])
+    m = m.select(*[F.col(c) if c in m.columns else F.lit(None).cast("string").alias(c) for c in ("session", "message_id", "role", "created", "content", "parent_id", "model", "working_directory")])
     term = lambda x: f"{G.TERM}{x}"
     kind = lambda x: F.lit(term(x))
     dev = G.iri("developer", slug(F.lit(developer)))
-    s, m = sessions(entries, platform), messages(entries)
     session = G.iri("session", F.col("session"))
     message = G.message_iri(F.col("message_id"))
-    calls, results = tool_calls(entries), tool_results(entries)
     model = G.iri("model", slug(F.col("model")))
     project = G.iri("project", slug(F.col("project")))
     role = F.when(F.col("role") == "user", kind("UserMessage")).otherwise(kind("AssistantMessage"))
     tool = G.iri("toolcall", F.col("tool_id"))
     parts = [
         G._rows(spark.range(1), dev, [(G.RDF_TYPE, kind("Developer"), "iri"), (G.LABEL, F.lit(developer), "text")]),
-        G._rows(s, session, [(G.RDF_TYPE, kind("Session"), "iri"), (term("hasSourcePlatform"), F.col("platform"), "text"), (G.CREATED, F.col("created"), "time"), (G.MODIFIED, F.col("modified"), "time"), (term("hasSourceFile"), F.col("source_file"), "text"), (G.ASSOCIATED, dev, "iri"), (term("belongsToProject"), project, "iri")]),
+        G._rows(s, session, [(G.RDF_TYPE, kind("Session"), "iri"), (term("hasSourcePlatform"), F.col("platform"), "text"), (G.CREATED, F.col("created"), "time"), (G.MODIFIED, F.col("modified"), "time"), (term("hasSourceFile"), F.col("source_file"), "text"), (G.ASSOCIATED, dev, "iri"), (term("belongsToProject"), project, "iri"), (G.TITLE, F.col("title"), "text")]),
         G._rows(s.filter("project is not null"), project, [(G.RDF_TYPE, kind("Project"), "iri"), (G.LABEL, F.col("project"), "text")]),
         G._rows(models(m), model, [(G.RDF_TYPE, kind("AIModel"), "iri"), (term("hasModel"), F.col("model"), "text"), (G.LABEL, F.col("model"), "text")]),
         G._rows(models(m), session, [(G.ASSOCIATED, model, "iri")]),
-        G._rows(m, message, [(G.RDF_TYPE, role, "iri"), (term("hasMessageId"), F.col("message_id"), "text"), (term("usedInSession"), session, "iri"), (G.CONTAINER, session, "iri"), (G.CREATED, F.col("created"), "time"), (G.CONTENT, F.col("content"), "text"), (term("hasParentMessage"), G.message_iri(F.col("parent_id")), "iri"), (G.CREATOR, F.when(F.col("role") == "user", dev), "iri")]),
+        G._rows(m, message, [(G.RDF_TYPE, role, "iri"), (term("hasMessageId"), F.col("message_id"), "text"), (term("usedInSession"), session, "iri"), (G.CONTAINER, session, "iri"), (G.CREATED, F.col("created"), "time"), (G.CONTENT, F.col("content"), "text"), (term("hasParentMessage"), G.message_iri(F.col("parent_id")), "iri"), (G.CREATOR, F.when(F.col("role") == "user", dev), "iri"), (term("hasWorkingDirectory"), F.col("working_directory"), "text")]),
+    ]
+    parts += [] if calls is None else [
         G._rows(calls, tool, [(G.RDF_TYPE, kind("ToolCall"), "iri"), (term("hasToolName"), F.col("tool_name"), "text"), (term("usedInSession"), session, "iri"), (G.CREATED, F.col("created"), "time"), (G.DESCRIPTION, F.col("description"), "text")]),
         G._rows(calls, message, [(term("invokedTool"), tool, "iri")]),
+    ]
+    parts += [] if results is None else [
         G._rows(results, G.iri("toolresult", F.col("tool_id")), [(G.RDF_TYPE, kind("ToolResult"), "iri"), (G.CONTENT, F.col("content"), "text")]),
         G._rows(results, tool, [(term("hasToolResult"), G.iri("toolresult", F.col("tool_id")), "iri")]),
     ]
@@ -162,4 +172,14 @@ def graph_rows(entries: DataFrame, developer: str = "developer", platform: str =
     return out.distinct()
 
 
-Parser = Callable[[DataFrame], DataFrame]
+@dataclass(frozen=True)
+class SourceParser:
+    """What a platform brings: entries of (source, text) rows, and sessions and messages of entries."""
+
+    platform: str
+    entries: Callable[[DataFrame], DataFrame]
+    sessions: Callable[[DataFrame], DataFrame]
+    messages: Callable[[DataFrame], DataFrame]
+
+
+PARSER = SourceParser("claude-code", entries, sessions, messages)

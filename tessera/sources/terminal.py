@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.identifiers import slug
 from ..session import ship_package
+from .jsonl import session_graph
 
 EXCHANGE = "exchange_id string, conversation_id string, start_ts string, input string, working_directory string, output_status string, model_id string"
 CONVERSATION = "id long, conversation_id string, last_modified_at string"
@@ -89,3 +90,14 @@ def worth_keeping(messages: DataFrame, min_exchanges: int = MIN_EXCHANGES) -> Da
 def productive(sessions: DataFrame, facts: DataFrame, min_facts: int = MIN_FACTS) -> DataFrame:
     """Sessions whose extraction gave enough facts."""
     return sessions.join(facts.groupBy("session").count().filter(F.col("count") >= min_facts).select("session"), "session", "left_semi")
+
+
+def sessions(kept: DataFrame) -> DataFrame:
+    """Sessions of messages: first and last time."""
+    return kept.groupBy("session").agg(F.min("created").alias("created"), F.max("created").alias("modified")).withColumn("platform", F.lit("warp"))
+
+
+def graph(kept: DataFrame, developer: str = "developer", min_exchanges: int = MIN_EXCHANGES) -> DataFrame:
+    """The statements about the messages of sessions worth keeping, as long rows."""
+    good = kept.join(worth_keeping(kept, min_exchanges), "session", "left_semi")
+    return session_graph(sessions(good), good, developer)

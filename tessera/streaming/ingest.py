@@ -41,8 +41,8 @@ class Store:
     def read(self, table: str, schema: str | None = None) -> DataFrame:
         try:
             return self.spark.read.parquet(self.path(table))
-        except AnalysisException:
-            if schema is None:
+        except AnalysisException as error:  # a table that is there but cannot be read is an error
+            if schema is None or error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 

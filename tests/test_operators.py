@@ -69,7 +69,7 @@ def test_extract_and_cache(spark):
 
 
 def test_changed_text_is_asked_again(spark):
-    cache = spark.createDataFrame([("m0", "0" * 16, [])], "message_id string, text_hash string, facts array<struct<subject:string,predicate:string,object:string>>")
+    cache = spark.createDataFrame([("m0", "0" * 16, [], 0)], "message_id string, text_hash string, facts array<struct<subject:string,predicate:string,object:string>>, truncations int")
     assert [len(r.facts) for r in extraction.extract(messages(spark, [TEXT]), cache).collect()] == [1]
 
 
@@ -81,7 +81,7 @@ def test_retries_shrink(spark):
             self.sent = []
 
         def generate(self, prompt):
-            self.sent.append(prompt.count("x"))
+            self.sent.append(prompt.rpartition("TEXT:")[2].count("x"))
             if len(self.sent) == 1:
                 raise OSError("no answer")
             return "[{" if len(self.sent) == 2 else json.dumps([{"subject": "flask", "predicate": "uses", "object": f"size{'-'.join(map(str, self.sent))}"}])
@@ -217,3 +217,105 @@ def test_windows_of_a_stream_or_table(spark):
 
 def test_facts_schema():
     assert FACTS.elementType.names == ["subject", "predicate", "object"]
+
+
+class Recorder:
+    """Answers in order; keeps the lengths of the texts it was asked about."""
+
+    def __init__(self, *answers):
+        self.answers, self.lengths = list(answers), []
+
+    def generate(self, prompt):
+        assert prompt.startswith(extraction.PROMPT_HEAD)
+        self.lengths.append(len(prompt) - len(extraction.PROMPT_HEAD))
+        answer = self.answers.pop(0)
+        if answer is None:
+            raise TimeoutError
+        return answer
+
+
+FACT = '{"subject": "spark", "predicate": "uses", "object": "scala"}'
+
+
+@pytest.mark.parametrize(
+    ("answers", "lengths", "kept", "cut_off"),
+    [
+        ([f"[{FACT}]"], [1500], True, 0),
+        ([None, f"[{FACT}]"], [1500, 1000], True, 0),
+        (["no json", "still none", "[]"], [1500, 1000, 1000], True, 0),
+        ([f"[{FACT}, {{"], [1500], True, 1),
+        ([None, None, None], [1500, 1000, 1000], False, 0),
+        (["[{", "[{", "no"], [1500, 800, 800], False, 2),
+    ],
+)
+def test_retries(answers, lengths, kept, cut_off):
+    provider = Recorder(*answers)
+    answer, truncations = extraction.ask(provider, "x" * 4000)
+    assert (provider.lengths, answer is not None, truncations) == (lengths[: len(provider.lengths)], kept, cut_off)
+
+
+def test_answers_are_asked_for_once(spark, tmp_path):
+    def refuse():
+        raise AssertionError("the provider must not be asked")
+
+    store = ingest.Store(spark, str(tmp_path))
+    m = messages(spark, [TEXT, TEXT + " More text here."])
+    first = sorted(map(tuple, extraction.extract_into(store, m, 0).collect()))
+    assert len(first) == 2 and first == sorted(map(tuple, extraction.extract_into(store, m, 1, provider=refuse).collect()))
+    assert store.read("cache").filter("batch = 1").count() == 0
+
+
+def test_provider_order():
+    assert extraction.detect_provider({}) == "scripted" and extraction.detect_provider({"TESSERA_PROVIDER": "x"}) == "x"
+    extraction.register_provider("anthropic", extraction.ScriptedProvider)
+    try:
+        assert extraction.detect_provider({"OPENAI_API_KEY": "k", "ANTHROPIC_API_KEY": "k"}) == "anthropic" in extraction.list_providers()
+    finally:
+        del extraction.PROVIDERS["anthropic"]
+    with pytest.raises(ValueError, match="unknown provider"):
+        extraction.get_provider("none")
+
+
+def test_link_into(spark, tmp_path):
+    """Misses are searched once, empty answers are remembered, labels of one item share the least."""
+    store = ingest.Store(spark, str(tmp_path))
+    f = facts(spark, [("python", "uses", "golang", f"m{i}", f"s{i}") for i in range(3)] + [("python", "uses", "nothing", f"n{i}", f"s{i}") for i in range(3)])
+
+    def provider():
+        return lambda label: [] if label == "nothing" else [{"id": "Q1", "label": label, "description": "software", "aliases": []}]
+
+    def forbidden():
+        raise AssertionError("asked again")
+
+    links, counts = linking.link_into(store, f, provider, 0)
+    assert sorted((r.label, r.canonical, r.qid, r.same) for r in links.collect()) == [("golang", "golang", "Q1", False), ("python", "golang", "Q1", True)]
+    assert tuple(counts.first()) == (3, 3, 0, 2, 1)
+    assert {r.label: r.qid for r in store.read("link_cache").collect()} == {"python": "Q1", "golang": "Q1", "nothing": None}
+    again, _ = linking.link_into(store, f, lambda: lambda label: forbidden(), 1)
+    assert again.count() == 2 and store.read("link_cache").filter("batch = 1").count() == 0
+
+
+def test_search_with_context(spark):
+    labels = spark.createDataFrame([("spark", "appears in facts")], "label string, context string")
+    got = linking.search(labels, lambda: lambda label, context: [{"id": "Q1", "label": context}]).first()
+    assert (got.query_label, got.label) == ("spark", "appears in facts")
+
+
+def test_collect_jobs(spark, tmp_path):
+    store = ingest.Store(spark, str(tmp_path))
+    m = spark.createDataFrame([("m1", "s1", "text one"), ("m2", "s2", "text two")], "message_id string, session string, content string")
+    line = lambda i, text: json.dumps({"response": {"candidates": [{"content": {"parts": [{"text": text}]}}]}, "metadata": json.dumps({"message_id": i, "session_id": "s", "source_file": "f"})})
+    lines = spark.createDataFrame([("j1", line("m1", f"[{FACT}]")), ("j1", line("m2", "[]")), ("j2", "{}"), ("j3", line("m2", f"[{FACT}]"))], "job_id string, value string")
+    jobs = spark.createDataFrame([("j1", "succeeded", 2), ("j2", "succeeded", 1), ("j3", "running", 1)], "job_id string, state string, requests long")
+    states = {r.job_id: (r.state, r.answers) for r in batches.collect_jobs(store, jobs, lines, m, 0).collect()}
+    assert states == {"j1": ("collected", 2), "j2": ("failed", 0), "j3": ("running", 0)}
+    assert [(r.subj_name, r.session) for r in store.read("facts").collect()] == [("spark", "s1")]
+
+
+def test_a_broken_table_is_not_an_empty_one(spark, tmp_path):
+    store = ingest.Store(spark, str(tmp_path))
+    assert store.read("ledger", "source string").count() == 0
+    (tmp_path / "ledger").mkdir()
+    (tmp_path / "ledger" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        store.read("ledger", "source string").count()
