@@ -32,7 +32,7 @@ Edge cases: a text of fewer than ``WORDS`` words has one shingle, all its words;
 text without words (null, empty, blank) links to nothing and is its own class;
 repeated rows are copies of each other; similarities that equal the threshold are
 links, and of equal candidates for a class_id the least is taken; a very long text
-is one set, worked on alone in memory of some 60 times its bytes; a row with null
+is one set, made stretch by stretch and held whole, with 8 bytes a word; a row with null
 doc_id takes no part and has null class_id; an empty table gives no rows; further
 columns are ignored. Sets are told apart by 128 bits of hash, nodes by a number.
 """
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import batches_of, erase, join_counted, small_batches, written
+from .shared import batches_of, erase, join_counted, small_batches, unused, written
 from .textkit import lean, mix64, shingles, slices, utf8
 
 WORDS = 5
@@ -478,7 +478,7 @@ def classes(documents: DataFrame, recall: float = RECALL) -> DataFrame:
 
 def _with_node(documents: DataFrame) -> DataFrame:
     """``documents`` with a hash of each row's set, null for a text without words."""
-    at, names = documents.columns.index("text"), [*documents.columns, "_node"]
+    at, names = documents.columns.index("text"), [*documents.columns, unused(documents, "_node")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -488,7 +488,7 @@ def _with_node(documents: DataFrame) -> DataFrame:
                 node = pa.array(x["h1"], pa.int64(), mask=x["n"] == 0)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, node], names=names)
 
-    return documents.mapInArrow(lean(run), T.StructType([*documents.schema.fields, T.StructField("_node", T.LongType())]))
+    return documents.mapInArrow(lean(run), T.StructType([*documents.schema.fields, T.StructField(names[-1], T.LongType())]))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
@@ -508,9 +508,10 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     sole = join_counted(documents, dropped.union(repeated).distinct(), "doc_id", "left_anti").select(documents.columns)
     keepers = linked.filter("doc_id = class_id").groupBy("component").agg(F.min("node").alias("keeper"))
     fates = linked.join(repeated, "doc_id", "left_semi").join(keepers, "component")
-    fates = fates.select("doc_id", F.col("node").alias("_node"), ((F.col("doc_id") == F.col("class_id")) & (F.col("node") == F.col("keeper"))).alias("_keeps")).distinct()
+    node, keeps, lot = (unused(documents, c) for c in ("_node", "_keeps", "_lot"))
+    fates = fates.select("doc_id", F.col("node").alias(node), ((F.col("doc_id") == F.col("class_id")) & (F.col("node") == F.col("keeper"))).alias(keeps)).distinct()
     # of equal rows of a kept node one stays; each unlinked row is in a lot of its own
     known = _with_node(join_counted(documents, repeated, "doc_id", "left_semi").select(documents.columns))
-    lots = known.join(fates, ["doc_id", "_node"], "left").filter("_keeps is null or _keeps")
-    lots = lots.withColumn("_lot", F.when(F.col("_keeps"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
-    return sole.unionByName(lots.dropDuplicates(["doc_id", "_node", "_lot"]).select(documents.columns))
+    lots = known.join(fates, ["doc_id", node], "left").filter(F.col(keeps).isNull() | F.col(keeps))
+    lots = lots.withColumn(lot, F.when(F.col(keeps), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return sole.unionByName(lots.dropDuplicates(["doc_id", node, lot]).select(documents.columns))

@@ -11,8 +11,11 @@ For prediction, embedding and filters collapse into two tables over byte pairs,
 so a position costs two lookups and an addition.
 
 Edge cases: null text, or one without a letter: ``und`` with score 0; no labelled
-rows at all: ``und`` for everything; repeated rows are predicted each; an empty
-table gives no rows; other columns are never read by ``predict``.
+rows at all: ``und`` for everything; repeated rows are predicted each, and of rows
+that share an id and a language one, of the least text, can be learnt from; of
+equally likely languages the first by name is taken; a very long text is cut into
+windows and scored in one task, in memory of some 40 times its size; an empty table
+gives no rows; other columns are never read by ``predict``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fold, small_batches
+from .shared import fold, small_batches, unused
 from .textkit import lean, slices, utf8
 
 WINDOW = 256
@@ -156,7 +159,7 @@ def train(documents: DataFrame, docs_per_language: int = TRAIN_DOCS) -> ByteCNN
     ids = labelled.select("doc_id", "lang", lot.alias("lot")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= docs_per_language).select("doc_id").distinct()
     small_batches(spark)
     # at most docs_per_language ids of each language: the sample's bound is the broadcast's
-    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,5 +221,6 @@ def identify(documents: DataFrame) -> DataFrame:
 def accepted(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is known with ``min_score`` at least; columns unchanged."""
     columns = documents.columns
-    scored = predict(documents, train(documents), keep=columns, names=("_lid_lang", "_lid_score"))
-    return scored.filter((F.col("_lid_lang") != "und") & (F.col("_lid_score") >= min_score)).select(columns)
+    lang, score = unused(documents, "lang_pred"), unused(documents, "score")
+    scored = predict(documents, train(documents), keep=columns, names=(lang, score))
+    return scored.filter((F.col(lang) != "und") & (F.col(score) >= min_score)).select(columns)

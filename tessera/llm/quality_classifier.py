@@ -9,8 +9,11 @@ The sample is bounded: at most ``PER_CLASS`` labelled rows of each label outside
 fold 0, chosen by a hash of the id. All documents are scored.
 
 Edge cases: a null or empty text has no trigrams and scores the sample's share of
-label 1; without labelled rows all score 0.5; repeated rows are scored each; an
-empty table gives no rows; lang and source are never read.
+label 1; without labelled rows all score 0.5; repeated rows are scored each, and of
+rows that share an id the least text is learnt from, with the highest of its labels;
+neighbours of equal similarity at the last place count as the sort leaves them, always
+alike for one sample; a very long text is counted whole, in memory of a few times its
+size; an empty table gives no rows; lang and source are never read.
 """
 
 from __future__ import annotations
@@ -107,7 +110,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
         return None
     small_batches(spark)
     ids = spark.createDataFrame([(x,) for x in sorted(wanted)], documents.select("doc_id").schema)
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

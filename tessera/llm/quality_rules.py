@@ -12,8 +12,9 @@ A document is kept if it passes the base rules (20 words at least; no more than
 half of its word characters.
 
 Edge cases: a null, empty or blank text has no words and fails the base rules;
-repeated rows are judged each; an empty table gives no rows; further columns are
-ignored by ``judge`` and kept by ``clean``.
+repeated rows are judged each; there are no ties, since lines are judged one by one; a
+very long text is judged whole by one task, in memory of some 100 times its size; an
+empty table gives no rows; further columns are ignored by ``judge`` and kept by ``clean``.
 """
 
 from __future__ import annotations

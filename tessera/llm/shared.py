@@ -90,6 +90,14 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         small_batches(spark)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,6 +7,7 @@ bytes of a slice of documents at once, so no Python code runs per word.
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -137,12 +138,40 @@ def window_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+#: Bytes from which a text is shingled in stretches.
+LONG_BYTES = 8 << 20
+
+
+def _long_shingles(text: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of one long text, in stretches that end between words and share ``n - 1`` of them."""
+    at, found, stretch = 0, np.zeros(0, dtype=np.uint64), LONG_BYTES // 2
+    while at < len(text):
+        cut = re.compile(rb"[ \t-\r]").search(text, min(at + stretch, len(text)))
+        end = cut.start() if cut else len(text)
+        words = Words([text[at:end]])
+        if len(words.start) < 2 * n and end < len(text):  # a giant word
+            stretch *= 2
+            continue
+        if not at and end == len(text):
+            return _shingles([text], n)
+        found = np.union1d(found, window_hashes(words.hashes(), n))
+        at = at + int(words.start[-(n - 1)]) if end < len(text) else end
+        stretch = LONG_BYTES // 2
+    return found, np.array([0, len(found)])
+
+
 def shingles(texts: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each document's ``n``-word shingles, and where each document's begin.
 
     Equal shingles of one document appear once, sorted. A document of fewer
     than ``n`` words, but at least one, has the one shingle of all its words.
     """
+    if len(texts) == 1 and len(texts[0]) > LONG_BYTES:
+        return _long_shingles(texts[0], n)
+    return _shingles(texts, n)
+
+
+def _shingles(texts: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     words = Words(texts)
     h, first = words.hashes(), words.first
     count = np.diff(first)

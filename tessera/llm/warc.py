@@ -9,7 +9,8 @@ Of records with equal payloads of at least ``REVISIT_BYTES``, the one with the
 largest id is stored as response; the others are revisit records without payload.
 
 Edge cases: a null payload is empty; a null URL leaves out WARC-Target-URI; a
-null id never is a keeper; rows that repeat the keeper's id are responses too;
+null id never is a keeper; rows that repeat the keeper's id are responses too, which
+is all there is of ties; a very long payload is one record, compressed and read whole;
 an empty table gives an empty index; further columns are ignored.
 
 A task names its files after its attempt, and only files of attempts that

@@ -77,6 +77,16 @@ def test_empty(nothing):
     assert found(nothing) == []
 
 
+def test_long_texts_in_stretches(monkeypatch):
+    from tessera.llm import textkit
+
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(50)}" for _ in range(400)).encode(), b"x" * 900 + b" a b c d e f " + b"y" * 700, b"one two", b"z" * 1000, b"  " + b"p q " * 300 + b"\n"]
+    want = [textkit.shingles([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(textkit, "LONG_BYTES", 100)
+    assert [textkit.shingles([t])[0].tolist() for t in texts] == want
+
+
 def test_null_id_takes_no_part(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard_join.classes(df).collect()), key=str) == [(1, 1, 1), (2, 1, 1), (None, None, 0)]

@@ -53,5 +53,34 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).select("sequence_id").distinct().count() > 10
 
 
+def odd_rows(spark, empty=False):
+    """Real documents with null and blank texts, null ids and sources, repeated rows, and columns of working names."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0 if empty else 120)
+    nulls = docs.filter("doc_id % 7 = 0").withColumn("text", F.lit(None).cast("string"))
+    blanks = docs.filter("doc_id % 7 = 1").withColumn("text", F.lit(" \n"))
+    loose = docs.filter("doc_id % 7 = 2").withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)).withColumn("source", F.lit(None).cast("string"))
+    out = docs.unionByName(nulls).unionByName(blanks).unionByName(loose).unionByName(docs.filter("doc_id % 7 = 3"))
+    for name in ("row", "doc", "whole", "cuts", "use", "node", "_node", "_keeps", "lang_pred", "score", "same", "copy", "skey"):
+        out = out.withColumn(name, F.lit("clash"))
+    return out
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows_through_all_stages(spark, tmp_path, empty):
+    kept = [odd_rows(spark, empty)]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, kept[-1], FOLDER).write.parquet(str(tmp_path / name))
+        kept.append(spark.read.parquet(str(tmp_path / name)))
+    assert all(k.columns == kept[0].columns for k in kept[:-1])
+    if empty:
+        assert all(k.count() == 0 for k in kept)
+        return
+    assert kept[1].filter("text is null or trim(text) = ''").count() == 0
+    assert kept[2].filter("doc_id is null").count() == kept[1].filter("doc_id is null").count() > 0
+    assert kept[2].filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").count() == 0
+    assert kept[4].filter("row != 'clash'").count() == 0 < kept[4].count()
+    assert kept[5].agg(F.sum("length")).first()[0] > 0
+
+
 def test_copies_are_dropped(documents):
     assert jaccard_join.one_of_each(documents).count() < documents.count()

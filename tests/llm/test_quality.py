@@ -105,3 +105,15 @@ def test_scores_are_exact_cosine_votes():
         near = np.argsort(-row)[: quality_classifier.NEIGHBOURS]
         weight = np.maximum(row[near], 0) ** quality_classifier.SHARPNESS
         assert abs((weight * labels[near]).sum() / weight.sum() - got) < 1e-5
+
+
+def test_the_model_does_not_depend_on_the_order_of_repeated_ids(spark):
+    """Rows that share an id: the least text is learnt from, whatever comes first; the sample holds one row an id."""
+    from tessera.llm import quality_classifier
+
+    texts = ["good prose about rivers and stones " * 3, "buy now!!! cheap $$$ " * 5]
+    rows = [(i, texts[i % 2]) for i in range(40)] + [(i, f"other text {i} " * 4) for i in range(0, 40, 3)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    one, two = (spark.createDataFrame(x, "doc_id long, text string").coalesce(1) for x in (rows, rows[::-1]))
+    scores = [{(r.doc_id, round(r.score, 9)) for r in quality_classifier.classify(df, labels).collect()} for df in (one, two)]
+    assert scores[0] == scores[1]
