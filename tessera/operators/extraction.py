@@ -17,6 +17,7 @@ from ..functions.identifiers import content_hash, slug, triple_id
 from ..functions.responses import FACTS, candidate_facts, parsed, truncated
 from ..functions.vocabulary import ALL_PREDICATES
 from ..session import ship_package
+from .hosted import SERVICES, hosted, is_there
 
 #: Shorter messages hold no facts.
 MIN_LENGTH = 30
@@ -52,31 +53,31 @@ PROVIDERS: dict[str, Callable[[], Provider]] = {"scripted": ScriptedProvider}
 
 
 def register_provider(name: str, factory: Callable[[], Provider]) -> None:
-    """Adapters of hosted models are registered by the application that has their client."""
+    """A provider of the application's own; it takes the place of a hosted one of that name."""
     PROVIDERS[name] = factory
 
 
-#: Settings that name a hosted model, and its provider, by priority.
-PROVIDER_KEYS = (("GEMINI_API_KEY", "gemini"), ("OPENAI_API_KEY", "openai"), ("ANTHROPIC_API_KEY", "anthropic"))
-
-
 def list_providers() -> list[str]:
-    return list(PROVIDERS)
+    return [*PROVIDERS, *(name for name in SERVICES if name not in PROVIDERS)]
 
 
-def detect_provider(environment: dict[str, str] | None = None) -> str:
-    """The provider named by TESSERA_PROVIDER, else the first registered one whose key is set, else the offline one."""
+def detect_provider(environment: dict[str, str] | None = None, local: Callable[[], bool] = is_there) -> str:
+    """The provider named by TESSERA_PROVIDER, else the first hosted one whose key is set, else
+    the local service if a model is named and it answers, else the offline one."""
     known = os.environ if environment is None else environment
     if known.get("TESSERA_PROVIDER"):
         return known["TESSERA_PROVIDER"]
-    return next((name for key, name in PROVIDER_KEYS if known.get(key) and name in PROVIDERS), "scripted")
+    by_key = next((name for name, (_, _, key) in SERVICES.items() if key and known.get(key)), None)
+    return by_key or ("ollama" if known.get("TESSERA_MODEL") and local() else "scripted")
 
 
-def get_provider(name: str | None = None) -> Callable[[], Provider]:
-    name = (name or detect_provider()).lower()
-    if name not in PROVIDERS:
-        raise ValueError(f"unknown provider {name}; known: {', '.join(PROVIDERS)}")
-    return PROVIDERS[name]
+def get_provider(name: str | None = None, environment: dict[str, str] | None = None) -> Callable[[], Provider]:
+    name = (name or detect_provider(environment)).lower()
+    if name in PROVIDERS:
+        return PROVIDERS[name]
+    if name in SERVICES:
+        return hosted(name, environment)
+    raise ValueError(f"unknown provider {name}; known: {', '.join(list_providers())}")
 
 
 #: What is asked of a model; the text of the message follows.

@@ -16,6 +16,7 @@ MIN_SESSIONS = 2
 CONFIDENCE = 0.7
 CONTEXT_FACTS = 5
 KEPT_ALIASES = 5
+KEPT_OTHERS = 3
 CANDIDATE = T.StructType([T.StructField("query_label", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("qid", T.StringType()), T.StructField("label", T.StringType()), T.StructField("description", T.StringType()), T.StructField("aliases", T.ArrayType(T.StringType()))])
 
 
@@ -75,6 +76,13 @@ def ambiguous(candidates: DataFrame) -> DataFrame:
     return tech.filter(F.size("qids") > 1)
 
 
+def ambiguity_report(candidates: DataFrame, keep: int = KEPT_OTHERS) -> DataFrame:
+    """(query_label, selected, others): the selected item of each ambiguous label and the first other ones."""
+    chosen = best_match(candidates).select("query_label", F.col("qid").alias("selected"))
+    others = F.slice(F.filter("qids", lambda q: q != F.col("selected")), 1, keep)
+    return ambiguous(candidates).join(chosen, "query_label").select("query_label", "selected", others.alias("others"))
+
+
 def linked(best: DataFrame, threshold: float = CONFIDENCE) -> DataFrame:
     return best.filter(F.col("qid").isNotNull() & (F.col("confidence") >= threshold))
 

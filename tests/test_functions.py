@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import entities, identifiers, register, responses, timestamps
+from tessera.functions import EXPRESSIONS, entities, identifiers, register, responses, timestamps
 from tessera.functions.vocabulary import ALL_PREDICATES, CANONICAL, EXTENSIONS, LINK_EXTENSIONS, WHITELIST
 
 
@@ -153,3 +153,12 @@ def test_sql_functions(spark):
     register(spark)
     row = spark.sql("SELECT kg_slug('A b') AS s, kg_normalize_entity(' A  b. ') AS n, length(kg_triple_id('a', 'uses', 'b', 'm')) AS t").first()
     assert tuple(row) == ("a-b", "a b", 12)
+
+
+def test_sql_functions_of_expressions(spark):
+    register(spark)
+    names = ["flask", "#x", "foo.py", "K8S", " postgres ", "x/y/z", "it's", "a b c d", "10%", "dépôt", "js", "zz", "a_b_c", "a=b", "a software", "", None]
+    spark.createDataFrame([(n,) for n in names], "name string").createOrReplaceTempView("names")
+    for function, (_, expression) in EXPRESSIONS.items():
+        rows = spark.table("names").select(F.expr(f"{function}(name)").alias("a"), expression(F.col("name")).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows], function

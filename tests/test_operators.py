@@ -1,4 +1,6 @@
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +129,8 @@ def test_best_match_tiers(spark):
     best = {r.query_label: (r.qid, r.confidence) for r in linking.best_match(df).collect()}
     assert best == {"python": ("Q3", 1.0), "alias": ("Q5", 0.5), "keyword": ("Q6", 0.8), "nothing": ("Q8", 0.5), "twin": ("Q3", 1.0)}
     assert {r.query_label: r.qids for r in linking.ambiguous(df).collect()} == {"keyword": ["Q6", "Q7"]}
+    more = spark.createDataFrame([*CANDIDATES, *[("keyword", n, f"Q{n}", "x", "a tool", []) for n in range(20, 30)]], linking.CANDIDATE)
+    assert [tuple(r) for r in linking.ambiguity_report(more).collect()] == [("keyword", "Q6", ["Q7", "Q20", "Q21"])]  # "capital" holds "api"
     links = linking.linked(linking.best_match(df))
     assert sorted(r.query_label for r in links.collect()) == ["keyword", "python", "twin"]
     assert [tuple(r) for r in linking.same_item(links).collect()] == [("twin", "python", "Q3")]
@@ -266,14 +270,58 @@ def test_answers_are_asked_for_once(spark, tmp_path):
 
 
 def test_provider_order():
+    there = lambda: True
     assert extraction.detect_provider({}) == "scripted" and extraction.detect_provider({"TESSERA_PROVIDER": "x"}) == "x"
-    extraction.register_provider("anthropic", extraction.ScriptedProvider)
-    try:
-        assert extraction.detect_provider({"OPENAI_API_KEY": "k", "ANTHROPIC_API_KEY": "k"}) == "anthropic" in extraction.list_providers()
-    finally:
-        del extraction.PROVIDERS["anthropic"]
+    assert extraction.detect_provider({"OPENAI_API_KEY": "k", "ANTHROPIC_API_KEY": "k"}) == "openai"
+    assert extraction.detect_provider({"ANTHROPIC_API_KEY": "k", "TESSERA_MODEL": "m"}, there) == "anthropic"
+    assert extraction.detect_provider({"TESSERA_MODEL": "m"}, there) == "ollama"
+    assert extraction.list_providers() == ["scripted", "gemini", "openai", "anthropic", "ollama"]
     with pytest.raises(ValueError, match="unknown provider"):
         extraction.get_provider("none")
+    with pytest.raises(ValueError, match="gemini needs GEMINI_API_KEY and TESSERA_MODEL"):
+        extraction.get_provider("gemini", {})
+
+
+ANSWER = '[{"subject": "flask", "predicate": "uses", "object": "werkzeug"}]'
+REPLIES = {
+    "/v1beta/models/m:generateContent": {"candidates": [{"content": {"parts": [{"text": ANSWER}]}}]},
+    "/v1/chat/completions": {"choices": [{"message": {"content": f'{{"facts": {ANSWER}}}'}}]},
+    "/v1/messages": {"content": [{"type": "text", "text": ANSWER}]},
+    "/api/generate": {"response": ANSWER},
+}
+
+
+@pytest.fixture
+def model_service():
+    """A local stand-in of all services: (address, requests met)."""
+    met = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            met.append((self.path, dict(self.headers), json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(REPLIES[self.path]).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", met
+    server.shutdown()
+
+
+@pytest.mark.parametrize("service", ["gemini", "openai", "anthropic", "ollama"])
+def test_hosted_providers(spark, model_service, service):
+    address, met = model_service
+    settings = {"TESSERA_PROVIDER": service, "TESSERA_MODEL": "m", "TESSERA_ADDRESS": address, "GEMINI_API_KEY": "key", "OPENAI_API_KEY": "key", "ANTHROPIC_API_KEY": "key"}
+    provider = extraction.get_provider(environment=settings)
+    rows = extraction.extract(messages(spark, [TEXT]), provider=provider).collect()
+    assert [(f.subject, f.predicate, f.object) for r in rows for f in r.facts] == [("flask", "uses", "werkzeug")]
+    ((_, headers, body),) = met
+    assert TEXT in json.dumps(body) and "0.2" in json.dumps(body) and "8192" in json.dumps(body)
+    assert (service == "ollama") != any("key" in v for v in headers.values())
 
 
 def test_link_into(spark, tmp_path):
