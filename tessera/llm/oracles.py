@@ -6,8 +6,11 @@ against brute force, held-out accuracy or a round trip.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from .hamming_search import K, QUERY_STEP
 from .jaccard_join import WORDS
+from .line_dedup import MIN_CHARS, MIN_DOCS
 from .mixing import BLOCK_WORDS, FEWEST, SEED, SHARD_ROWS, WEIGHTS
 from .quality_rules import BOILERPLATE, BOILERPLATE_WORDS, MAX_LOSS_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NAVIGATION_WORDS, SHORT_LINE_WORDS, WINDOW
 from .warc import REVISIT_BYTES
@@ -109,10 +112,23 @@ SELECT query_id, rank::INT AS rank, vec_id, distance::BIGINT AS distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= {K}
 """
 
+_AZ = f"'{ascii_uppercase}', '{ascii_lowercase}'"
+OP11 = f"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+split AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS num FROM rows),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), {_AZ}) AS key FROM split),
+repeated AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= {MIN_CHARS} GROUP BY 1 HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+judged AS (SELECT k.*, keeper IS NOT NULL AND doc_id != keeper AS gone FROM keyed k LEFT JOIN repeated USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(gone, false)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY num) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256
+FROM judged GROUP BY r
+"""
+
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": OP2,
     "op3_warc": OP3,
     "op4_quality_rules": OP4,
     "op8_source_mixing": OP8,
     "op9_exact_top_k": OP9,
+    "op11_line_dedup": OP11,
 }

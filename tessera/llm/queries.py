@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import hamming_search, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, suffix_dedup, surrogates, warc
+from . import hamming_search, jaccard_join, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, suffix_dedup, surrogates, warc
 from .shared import table
 
 
@@ -54,6 +55,10 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.redact(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -65,4 +70,5 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_line_dedup": op11_line_dedup,
 }
