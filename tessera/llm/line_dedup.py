@@ -62,17 +62,18 @@ class Layout:
 
     segments: int
     segment_bits: int
+    slice_bits: int
 
     @classmethod
     def of(cls, keys: int) -> Layout:
         bits = SEGMENT_BITS
         while bits < SLICE_BITS and keys * BITS > bits * SEGMENTS:
             bits *= 2
-        return cls(max(1, -(-keys * BITS // bits)), bits)
+        return cls(max(1, -(-keys * BITS // bits)), bits, SLICE_BITS)
 
     @property
     def slice_segments(self) -> int:
-        return max(1, SLICE_BITS // self.segment_bits)
+        return max(1, self.slice_bits // self.segment_bits)
 
     @property
     def slices(self) -> int:

@@ -100,7 +100,7 @@ def test_filters_hold_all_repeats_and_few_others():
 
 
 def test_layout_grows_with_the_keys():
-    assert Layout.of(0) == Layout(1, line_dedup.SEGMENT_BITS)
+    assert Layout.of(0) == Layout(1, line_dedup.SEGMENT_BITS, line_dedup.SLICE_BITS)
     large = Layout.of(10**11)
     assert large.segments <= line_dedup.SEGMENTS and large.segments * large.segment_bits >= 16 * 10**11
     assert large.slice_segments * large.segment_bits == line_dedup.SLICE_BITS
