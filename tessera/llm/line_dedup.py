@@ -233,8 +233,11 @@ def losses(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return gone
 
 
-def dedup(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the kept text of every row."""
+def dedup(documents: DataFrame, min_docs: int = MIN_DOCS, hashed: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the kept text of every row; ``hashed``: ``kept_sha256``
+    in place of the text, taken where the lines are joined, so that texts don't return from the tasks."""
+    last = "kept_sha256" if hashed else "kept"
+    of = (lambda text: hashlib.sha256(text).hexdigest()) if hashed else (lambda text: text.decode("utf-8", "replace"))
     texts = documents.select("doc_id", "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -249,9 +252,9 @@ def dedup(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
                     left = [x for x in lines if (key := key_of(x)) is None or digest(key) not in lost] if lost else lines
                     n_lines.append(len(lines))
                     n_dropped.append(len(lines) - len(left))
-                    kept.append(b"\n".join(left).decode("utf-8", "replace") if n_dropped[-1] else texts[i].decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+                    kept.append(of(b"\n".join(left) if n_dropped[-1] else texts[i]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", last])
 
     joined = join_counted(texts, losses(documents, min_docs), "doc_id", "left").select("doc_id", "text", "gone")
     small_batches(documents.sparkSession)
-    return joined.mapInArrow(lean(run), f"doc_id {kind}, n_lines long, n_dropped long, kept string")
+    return joined.mapInArrow(lean(run), f"doc_id {kind}, n_lines long, n_dropped long, {last} string")

@@ -12,6 +12,7 @@ from .hamming_search import K, QUERY_STEP
 from .jaccard_join import WORDS
 from .line_dedup import MIN_CHARS, MIN_DOCS
 from .mixing import BLOCK_WORDS, FEWEST, SEED, SHARD_ROWS, WEIGHTS
+from .prefix_trie import FAMILY, OPENING
 from .quality_rules import BOILERPLATE, BOILERPLATE_WORDS, MAX_LOSS_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NAVIGATION_WORDS, SHORT_LINE_WORDS, WINDOW
 from .warc import REVISIT_BYTES
 
@@ -124,6 +125,34 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (coales
 FROM judged GROUP BY r
 """
 
+# crc32 byte by byte, by the usual table of 256 remainders
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda x: list_reduce([x] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table)"
+_CRC = "xor(list_reduce([4294967295] || {0}, lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+_ASCII_BYTES = "list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)"
+
+OP12 = f"""
+WITH tab AS {_CRC_TABLE},
+clean AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || text)) AS turns FROM clean GROUP BY 1),
+opened AS (SELECT conv_id, turns, {_CRC.format(_ASCII_BYTES.format("conv_id::VARCHAR"))} % {OPENING} AS h FROM convs, tab),
+rebuilt AS (
+  SELECT c.conv_id, CASE WHEN c.conv_id % {FAMILY} = 0 THEN c.turns ELSE list_concat(coalesce(b.turns, [])[1:h], c.turns[h + 1:]) END AS t
+  FROM opened c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % {FAMILY}),
+steps AS (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt),
+paths AS (SELECT conv_id, d, t[1:d] AS p, len(t) = d AS last, CASE WHEN d > 0 THEN octet_length(encode(t[d].text)) ELSE 0 END AS n_bytes FROM steps),
+nodes AS (SELECT d, p, min(conv_id) AS m, count(*) AS n_convs, any_value(n_bytes) AS n_bytes, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last) AS ends FROM paths GROUP BY 1, 2),
+visits AS (SELECT conv_id, d, m FROM paths JOIN nodes USING (d, p)),
+edges AS (SELECT n.d, n.m, v.m AS parent FROM nodes n JOIN visits v ON v.conv_id = n.m AND v.d = n.d - 1),
+children AS (SELECT d - 1 AS d, parent AS m, count(*) AS n_children FROM edges GROUP BY 1, 2),
+full_nodes AS (SELECT n.d, n.m, n_convs, n_bytes, ends, parent, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN edges USING (d, m) LEFT JOIN children USING (d, m)),
+below AS (SELECT DISTINCT a.d, a.m, b.d AS bd, b.m AS bm FROM visits a JOIN visits b ON a.conv_id = b.conv_id AND b.d >= a.d),
+totals AS (
+  SELECT below.d, below.m, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n_bytes)::BIGINT AS saved_tokens FROM below JOIN full_nodes f ON f.d = bd AND f.m = bm GROUP BY 1, 2)
+SELECT m AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM full_nodes JOIN totals USING (d, m)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": OP2,
     "op3_warc": OP3,
@@ -131,4 +160,5 @@ ORACLES: dict[str, str] = {
     "op8_source_mixing": OP8,
     "op9_exact_top_k": OP9,
     "op11_line_dedup": OP11,
+    "op12_prefix_trie": OP12,
 }

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import hamming_search, jaccard_join, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, suffix_dedup, surrogates, warc
+from . import hamming_search, jaccard_join, language_id, line_dedup, mixing, packing, prefix_trie, quality_classifier, quality_rules, suffix_dedup, surrogates, warc
 from .shared import table
 
 
@@ -56,7 +55,11 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), hashed=True)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), rebuild=True)
 
 
 QUERIES = {
@@ -71,4 +74,5 @@ QUERIES = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_line_dedup": op11_line_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
 }

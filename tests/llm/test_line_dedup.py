@@ -61,6 +61,11 @@ def test_equals_brute_force(spark, rows_):
     assert found(spark.createDataFrame(rows_, SCHEMA)) == want
 
 
+def test_hashed_where_joined(spark, rows_):
+    out = line_dedup.dedup(spark.createDataFrame(rows_, SCHEMA), hashed=True)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(rows_)
+
+
 def test_corpus(documents, rows_of):
     assert found(documents) == brute([r[:2] for r in rows_of])
 
