@@ -14,6 +14,8 @@ from .line_dedup import MIN_CHARS, MIN_DOCS
 from .mixing import BLOCK_WORDS, FEWEST, SEED, SHARD_ROWS, WEIGHTS
 from .prefix_trie import FAMILY, OPENING
 from .quality_rules import BOILERPLATE, BOILERPLATE_WORDS, MAX_LOSS_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NAVIGATION_WORDS, SHORT_LINE_WORDS, WINDOW
+from .spelling import ALTERED, MIN_COUNT, TIMES
+from .spelling import MIN_CHARS as MIN_CHARS_WORD
 from .warc import REVISIT_BYTES
 
 _WORDS = "regexp_extract_all(coalesce({0}, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -153,6 +155,27 @@ SELECT m AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children,
 FROM full_nodes JOIN totals USING (d, m)
 """
 
+_LATIN_BYTES = "flatten(list_transform(string_split({0}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] END))"
+OP13 = f"""
+WITH RECURSIVE tab AS {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{{MIN_CHARS_WORD},}}')) AS run FROM documents),
+hashed AS (SELECT run, n, {_CRC.format(_LATIN_BYTES.format("doc_id::VARCHAR || ':' || run"))} AS h FROM (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY 1, 2), tab),
+altered AS (SELECT CASE WHEN h % {ALTERED} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM altered WHERE length(word) >= {MIN_CHARS_WORD} GROUP BY 1 HAVING sum(n) >= {MIN_COUNT}),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+cuts AS (SELECT word, i, substr(word, 1, i - 1) AS front, substr(word, i + 1) AS back FROM places),
+near AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.i = b.i AND a.front = b.front AND a.back = b.back AND a.word != b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word = c.front || c.back
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.front || c.back),
+best AS (SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place FROM near JOIN words o ON o.word = other),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {TIMES} * w.n THEN other END AS form, CASE WHEN other_n >= {TIMES} * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (word)),
+follow AS (SELECT word, word AS reached, form AS next FROM formed UNION ALL SELECT f.word, g.word, g.form FROM follow f JOIN formed g ON g.word = f.next)
+SELECT word, form, reached AS root, n, n_near, form_n FROM formed JOIN (SELECT word, reached FROM follow WHERE next IS NULL) USING (word)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": OP2,
     "op3_warc": OP3,
@@ -161,4 +184,5 @@ ORACLES: dict[str, str] = {
     "op9_exact_top_k": OP9,
     "op11_line_dedup": OP11,
     "op12_prefix_trie": OP12,
+    "op13_spelling_variants": OP13,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming_search, jaccard_join, language_id, line_dedup, mixing, packing, prefix_trie, quality_classifier, quality_rules, suffix_dedup, surrogates, warc
+from . import hamming_search, jaccard_join, language_id, line_dedup, mixing, packing, prefix_trie, quality_classifier, quality_rules, spelling, suffix_dedup, surrogates, warc
 from .shared import table
 
 
@@ -62,6 +62,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"), rebuild=True)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -75,4 +79,5 @@ QUERIES = {
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_line_dedup": op11_line_dedup,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
