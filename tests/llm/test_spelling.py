@@ -59,7 +59,7 @@ def texts(seed=2, docs=60):
             words += [s, s[:k] + s[k + 1 :], s[:k] + c + s[k + 1 :], s[:k] + c + s[k:]][r.integers(4) :][:1] * 2
         out.append((i, " 1,\n".join(words).upper() if i % 7 == 0 else "-".join(words)))
     long = "".join(r.choice(list("abc"), 3000))
-    out += [(900, f"{long} {long} {long[:1500]}d{long[1500:]} {long[1:]} {long[1:]}"), (901, f"{long[:1500]}d{long[1500:]}"), (902, None), (903, ""), (904, "12 çat")]
+    out += [(900, f"{long} {long} {long[:1500]}d{long[1500:]} {long[1:]} {long[1:]}"), (901, f"{long[:1500]}d{long[1500:]}"), (902, None), (903, ""), (904, "12 çat"), (905, "rootword " * 500 + "rootwords " * 40 + "rootwordsy " * 3)]
     return out
 
 
