@@ -255,6 +255,6 @@ def dedup(documents: DataFrame, min_docs: int = MIN_DOCS, hashed: bool = False)
                     kept.append(of(b"\n".join(left) if n_dropped[-1] else texts[i]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", last])
 
-    joined = join_counted(texts, losses(documents, min_docs), "doc_id", "left").select("doc_id", "text", "gone")
+    joined = join_counted(texts, losses(documents, min_docs), "doc_id", "left", F.size("gone")).select("doc_id", "text", "gone")
     small_batches(documents.sparkSession)
     return joined.mapInArrow(lean(run), f"doc_id {kind}, n_lines long, n_dropped long, {last} string")

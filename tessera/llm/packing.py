@@ -19,7 +19,7 @@ counts of tasks added up, so equal lengths or ids gather nowhere.
 
 Edge cases: a null or empty text is the one id 0; repeated rows are documents of
 their own; equal lengths are interchangeable; a very long text is cut into pieces by one
-task, in memory of a few times its size; an empty table gives no rows; further columns
+task, in stretches of 4 MB that end between words; an empty table gives no rows; further columns
 are ignored.
 """
 
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import join_counted, small_batches, written
-from .textkit import kept, lean, utf8
+from .textkit import kept, lean, slices, stretches, utf8
 
 CAPACITY = 2048
 #: Nodes of the search for the fillings of one sequence, and of all together.
@@ -47,6 +47,8 @@ NODES = 4000
 BUDGET = 400_000
 #: Words that a worker remembers; those met first stay, the frequent ones among them.
 CACHE_WORDS = 400_000
+#: Bytes from which a text is encoded in stretches.
+STRETCH = 4 << 20
 
 
 class _Codes(dict):
@@ -161,21 +163,22 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     the table), lot and place (task and number there among the pieces of the length) and, if wanted, the ids."""
     schema = f"{key} {documents.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, document long, lot int, place long" + ", ids array<int>" * with_ids
 
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         lot, rows, placed = TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, begin = encode(utf8(batch.column(1)))
+
+        def emit(keys: pa.Array, ids: np.ndarray, begin: np.ndarray, before: int = 0) -> pa.RecordBatch:
+            """The pieces of texts whose ids are given, from the piece numbered ``before`` on."""
+            nonlocal placed
             n = -(-np.diff(begin) // capacity)
-            doc = np.repeat(np.arange(batch.num_rows), n)
+            doc = np.repeat(np.arange(len(n)), n)
             first = np.zeros(len(n), dtype=np.int64)
             first[1:] = np.cumsum(n)[:-1]
             piece = np.arange(len(doc)) - first[doc]
-            start = piece * capacity
-            length = np.minimum(capacity, (begin[1:] - begin[:-1])[doc] - start)
-            at = begin[doc] + start
+            at = begin[doc] + piece * capacity
+            length = np.minimum(capacity, begin[1:][doc] - at)
             raw = ids.astype("<u4")
             crc = [zlib.crc32(raw[a : a + m]) for a, m in zip(at.tolist(), length.tolist(), strict=True)]
             order = np.argsort(length, kind="stable")
@@ -183,12 +186,28 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             place = np.empty_like(length)
             place[order] = placed[ranked] + np.arange(len(ranked)) - np.searchsorted(ranked, ranked)
             placed += np.bincount(length, minlength=capacity + 1)
-            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            piece += before
+            columns = [keys.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())]
             columns += [pa.array((lot << 33) + rows + doc), pa.array(np.full(len(doc), lot, dtype=np.int32)), pa.array(place)]
-            rows += batch.num_rows
             if with_ids:  # pieces follow each other as their ids do
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, begin[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            texts = utf8(batch.column(1))
+            for a, b in slices(texts):
+                keys = batch.column(0).slice(a, b - a)
+                if b - a > 1 or len(texts[a]) <= STRETCH:
+                    yield emit(keys, *encode(texts[a:b]))
+                else:
+                    left, before = np.zeros(0, dtype=np.uint32), 0
+                    for stretch, last in stretches(texts[a], STRETCH):
+                        ids = np.concatenate([left, encode([stretch])[0][: None if last else -1]])
+                        whole = len(ids) if last else len(ids) // capacity * capacity
+                        if whole:
+                            yield emit(keys, ids[:whole], np.array([0, whole]), before)
+                        left, before = ids[whole:], before + whole // capacity
+                rows += b - a
 
     small_batches(documents.sparkSession)
     return documents.select(key, "text").mapInArrow(lean(cut, keeps=tokenizer_path), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import small_batches
-from .textkit import _INVERSE, _PRIME, Words, lean, mix64, powers, slices, utf8, window_hashes
+from .textkit import Words, digest64, lean, mix64, slices, utf8, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -55,7 +55,7 @@ def _table(members: bytes) -> np.ndarray:
 
 
 def _sums(mask: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(mask) + 1, dtype=np.int64)
+    out = np.zeros(len(mask) + 1, dtype=np.int32 if len(mask) < 1 << 31 else np.int64)
     np.cumsum(mask, out=out[1:])
     return out
 
@@ -110,16 +110,14 @@ def measure(texts: list[bytes]) -> tuple[dict[str, np.ndarray], list[np.ndarray]
     words = np.searchsorted(w.start, stop) - first_word
     real = np.flatnonzero(words)
     start, stop, line_doc, words, last_word = start[real], stop[real], line_doc[real], words[real], first_word[real] + words[real] - 1
-    up, down = powers(_PRIME, len(data)), powers(_INVERSE, len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    line_hash = mix64((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)) ^ salt[line_doc]
+    raw = data.tobytes()
+    line_hash = np.fromiter((digest64(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), dtype=np.uint64, count=len(start)) ^ salt[line_doc]
     dup = _later(line_hash)
 
     line_chars = chars[stop] - chars[start]
     bars, bangs = (_sums(data == ord(c)) for c in "|!")
     bars, bangs = bars[stop] - bars[start], bangs[stop] - bangs[start]
-    failed = (10 * (symbols[stop] - symbols[start]) > line_chars) | ((words >= 3) & (bangs >= words))
+    failed = (10 * (symbols[stop] - symbols[start]).astype(np.int64) > line_chars) | ((words >= 3) & (bangs >= words))
     closed = np.zeros(len(start), dtype=bool)
     end = w.end[last_word] if len(last_word) else last_word
     for mark in (t.encode() for t in TERMINALS):
@@ -129,7 +127,7 @@ def measure(texts: list[bytes]) -> tuple[dict[str, np.ndarray], list[np.ndarray]
         closed |= hit
     failed |= (words < SHORT_LINE_WORDS) & ~closed
     failed |= (bars >= 2) & (words - bars <= NAVIGATION_WORDS * (bars + 1))
-    lower, stock = data.tobytes().lower(), np.zeros(len(start), dtype=bool)
+    lower, stock = raw.lower(), np.zeros(len(start), dtype=bool)
     for phrase in (p.encode() for p in BOILERPLATE):
         spot = lower.find(phrase)
         while spot >= 0:
@@ -141,10 +139,10 @@ def measure(texts: list[bytes]) -> tuple[dict[str, np.ndarray], list[np.ndarray]
     per_doc = lambda weights=None, pick=slice(None): np.bincount(line_doc[pick], weights=weights, minlength=n_docs).astype(np.int64)
     out = {
         "n_words": n_words,
-        "word_chars": chars[doc_at[1:]] - chars[doc_at[:-1]],
-        "n_symbols": symbols[doc_at[1:]] - symbols[doc_at[:-1]],
+        "word_chars": (chars[doc_at[1:]] - chars[doc_at[:-1]]).astype(np.int64),
+        "n_symbols": (symbols[doc_at[1:]] - symbols[doc_at[:-1]]).astype(np.int64),
         "n_dup_lines": per_doc(pick=dup),
-        "n_repeat_words": covered[w.first[1:]] - covered[w.first[:-1]],
+        "n_repeat_words": (covered[w.first[1:]] - covered[w.first[:-1]]).astype(np.int64),
         "n_lines": per_doc(),
         "n_lines_removed": per_doc(pick=failed),
         "chars_removed": per_doc(line_chars[failed], failed),

@@ -58,10 +58,12 @@ def written(df: DataFrame, name: str, rows: int | None = None, by: str | None =
     return kept
 
 
-def join_counted(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+def join_counted(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner", weight: Column | None = None) -> DataFrame:
     """``df`` joined with a narrow ``side`` (a written table, so that counting is cheap):
-    by broadcast up to ``BROADCAST_ROWS`` counted rows, by shuffle beyond."""
-    return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
+    by broadcast up to ``BROADCAST_ROWS`` counted rows, by shuffle beyond. ``weight``: for how
+    many rows one counts, where it holds a list."""
+    rows = side.count() if weight is None else side.agg(F.sum(weight)).first()[0] or 0
+    return df.join(F.broadcast(side) if rows <= BROADCAST_ROWS else side, on, how)
 
 
 def erase(*tables: DataFrame) -> None:

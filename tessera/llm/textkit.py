@@ -7,6 +7,7 @@ bytes of a slice of documents at once, so no Python code runs per word.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -73,6 +74,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return kept[:n]
 
 
+def digest64(data: bytes) -> int:
+    """A 64-bit hash by which different bytes may be told apart, whoever wrote them."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
@@ -115,51 +121,75 @@ class Words:
         self.first = np.searchsorted(self.start, self.doc_start)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word's bytes."""
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
-        up, down = powers(_PRIME, len(self.data)), powers(_INVERSE, len(self.data))
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-        return mix64((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of every word's bytes: up to eight bytes are mixed as they are, longer words hashed with BLAKE2."""
+        n = self.end - self.start
+        packed = np.zeros(len(n), dtype=np.uint64)
+        for k in range(8):
+            at = np.flatnonzero(n > k)
+            packed[at] |= self.data[self.start[at] + k].astype(np.uint64) << np.uint64(8 * k)
+        out = mix64(mix64(packed) + n.astype(np.uint64))
+        long = np.flatnonzero(n > 8)
+        if len(long):
+            raw, known = self.data.tobytes(), {}
+            for i, a, b in zip(long.tolist(), self.start[long].tolist(), self.end[long].tolist(), strict=True):
+                word = raw[a:b]
+                h = known.get(word)
+                if h is None:
+                    h = known[word] = digest64(word)
+                out[i] = h
+        return out
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
 def window_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of ``n`` words, by the run's first word."""
+    """A hash of each run of ``n`` words, by the run's first word; each step mixes what came before."""
     m = len(word_hashes) - n + 1
     if m <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(m, dtype=np.uint64)
+    out = np.full(m, n, dtype=np.uint64)
     for k in range(n):
-        out += word_hashes[k : k + m] * np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
-    return mix64(out)
+        out = mix64((out + np.uint64(_PRIME)) ^ word_hashes[k : k + m])
+    return out
 
 
 #: Bytes from which a text is shingled in stretches.
 LONG_BYTES = 8 << 20
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+def stretches(text: bytes, size: int) -> Iterator[tuple[bytes, bool]]:
+    """``text`` in parts of about ``size`` bytes that end between words, and whether each is the last."""
+    at = 0
+    while at + size < len(text):
+        cut = _BLANK.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()], False
+        at = cut.start()
+    yield text[at:], True
 
 
 def _long_shingles(text: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``shingles`` of one long text, in stretches that end between words and share ``n - 1`` of them."""
-    at, found, stretch = 0, np.zeros(0, dtype=np.uint64), LONG_BYTES // 2
-    while at < len(text):
-        cut = re.compile(rb"[ \t-\r]").search(text, min(at + stretch, len(text)))
-        end = cut.start() if cut else len(text)
-        words = Words([text[at:end]])
-        if len(words.start) < 2 * n and end < len(text):  # a giant word
-            stretch *= 2
-            continue
-        if not at and end == len(text):
-            return _shingles([text], n)
-        found = np.union1d(found, window_hashes(words.hashes(), n))
-        at = at + int(words.start[-(n - 1)]) if end < len(text) else end
-        stretch = LONG_BYTES // 2
+    """``shingles`` of one long text, by stretches; the last ``n - 1`` words of one open the next."""
+    found, before, count = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), 0
+    for stretch, _ in stretches(text, LONG_BYTES // 2):
+        words = Words([stretch]).hashes()
+        count += len(words)
+        run = np.concatenate([before, words])
+        found = np.union1d(found, window_hashes(run, n))
+        before = run[max(0, len(run) - n + 1) :]
+    if 0 < count < n:
+        found = _short(before)
     return found, np.array([0, len(found)])
 
 
+def _short(words: np.ndarray) -> np.ndarray:
+    """The one shingle of a text of fewer words than a shingle has."""
+    return mix64(window_hashes(words, len(words)) ^ np.uint64(len(words)))
+
+
 def shingles(texts: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each document's ``n``-word shingles, and where each document's begin.
 
@@ -185,8 +215,7 @@ def _shingles(texts: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(begin[-1], dtype=np.uint64)
     out[long] = runs[at[long]]
     for i in np.flatnonzero((count < n) & (count > 0)):
-        word = h[first[i] : first[i + 1]]
-        out[begin[i]] = mix64(window_hashes(word, len(word)) ^ np.uint64(len(word)))[0]
+        out[begin[i]] = _short(h[first[i] : first[i + 1]])[0]
     order = np.lexsort((out, doc))
     out, doc = out[order], doc[order]
     keep = np.ones(len(out), dtype=bool)

@@ -45,3 +45,14 @@ def clashing(documents):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def lookalikes(n):
+    """Two strings of n letters that differ everywhere, yet whose polynomial hashes modulo 2**64 are equal for any odd base from 1,024 on."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.fixture(params=[1024, 4096])
+def lookalike(request):
+    return lookalikes(request.param)

@@ -150,3 +150,11 @@ def test_large_group_of_near_copies_among_texts_of_one_passage(spark, monkeypatc
     sample = [*range(0, 5000, 250), 5000, 5001, 5002]
     assert [got[i][2] for i in sample] == [sum(9 * len(sets[i] & s) >= 4 * (len(sets[i]) + len(s)) for s in sets) - 1 for i in sample]
     assert {c for i, c, n in got[:5000] if n} == {0} and [c for _, c, _ in got[5000:5003]] == [5000, 5000, 5002]
+
+
+def test_words_that_polynomials_confuse(spark, lookalike):
+    """Documents of different words are not linked, whatever their words' polynomial hashes."""
+    one, other = lookalike
+    rows = [(0, " ".join([one] * 8)), (1, " ".join([other] * 8)), (2, " ".join([one] * 8))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (0, 1), 1: (1, 0), 2: (0, 1)}

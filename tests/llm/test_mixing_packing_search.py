@@ -236,6 +236,17 @@ def test_ids(documents, rows_of):
     assert zlib.crc32(np.array(row.ids, "<u4").tobytes()) == row.ids_crc32 and row.ids[-1] == 0
 
 
+def test_long_text_in_stretches(spark):
+    """Texts beyond the bytes of a stretch are cut as if encoded whole, and keep their ids."""
+    words = [f"word{i % 977}x" for i in range(1_000_000)]
+    rows = [(0, "short one"), (1, " ".join(words)), (2, None), (3, "\n".join(words[:700_000]))]
+    assert all(len(t) > packing.STRETCH for t in (rows[1][1], rows[3][1]))
+    found = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), tokenizer_file()).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == pieces_of(rows)
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in found[::50])
+    assert len({r.document for r in found}) == 4 and len({(r.length, r.place) for r in found}) == len(found)
+
+
 def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 

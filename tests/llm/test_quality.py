@@ -117,3 +117,12 @@ def test_the_model_does_not_depend_on_the_order_of_repeated_ids(spark):
     one, two = (spark.createDataFrame(x, "doc_id long, text string").coalesce(1) for x in (rows, rows[::-1]))
     scores = [{(r.doc_id, round(r.score, 9)) for r in quality_classifier.classify(df, labels).collect()} for df in (one, two)]
     assert scores[0] == scores[1]
+
+
+def test_lines_that_polynomials_confuse(spark, lookalike):
+    """Lines and words that differ everywhere are not taken for equal."""
+    one, other = lookalike
+    rows = [(0, f"{one}\n{other}"), (1, " ".join([*[one, "x"] * 4, *[other, "x"] * 4])), (2, f"{one}\n{one}")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_dup_lines for i in range(3)] == [0, 0, 1]
+    assert got[1].n_repeat_words == 0
