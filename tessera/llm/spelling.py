@@ -55,7 +55,7 @@ LETTERS = "A-Za-zÀ-ÿ"  # all within Latin-1, so a code point is a byte of it
 GROUP_BYTES = 1 << 18
 STEP_BYTES = 1 << 20
 #: Bytes of words that a task gets on average.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 2 << 20
 #: Rectangles that one descent handles.
 RECTANGLES = 1 << 19
 #: Distinct words a task counts before it sends them on.
