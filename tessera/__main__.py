@@ -17,6 +17,12 @@ from .sources import exports, jsonl
 from .streaming.ingest import Store, process, start
 
 
+def model(command: argparse.ArgumentParser) -> None:
+    command.add_argument("--skip-extraction", action="store_true", help="do not ask a provider for facts")
+    command.add_argument("--provider", default="scripted", help="who is asked for facts: scripted (offline), auto (by the settings), or a service's name")
+    command.add_argument("--rate", type=float, help="requests a second of each task")
+
+
 def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="tessera", description="Session knowledge graph on Spark")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -28,12 +34,13 @@ def arguments() -> argparse.ArgumentParser:
     ingest.add_argument("--include-subagents", action="store_true")
     ingest.add_argument("--force", action="store_true", help="read files the ledger knows too")
     ingest.add_argument("--dry-run", action="store_true", help="only list what would be read")
-    ingest.add_argument("--skip-extraction", action="store_true", help="do not ask a provider for facts")
+    model(ingest)
     watch = commands.add_parser("watch", help="keep reading session files as they arrive")
     watch.add_argument("inbox")
     watch.add_argument("store")
     watch.add_argument("checkpoint")
     watch.add_argument("--once", action="store_true", help="take what is there and stop")
+    model(watch)
     link = commands.add_parser("link", help="link the entities of a store's facts to items of a catalogue (label, rank, qid, ...)")
     link.add_argument("store")
     link.add_argument("catalogue", help="Parquet table of candidates")
@@ -57,12 +64,19 @@ def arguments() -> argparse.ArgumentParser:
     return parser
 
 
+def asking(options: argparse.Namespace) -> dict:
+    """Who is asked for facts, if anyone: never an outside service unless it is named."""
+    if options.skip_extraction:
+        return {}
+    return {"provider": extraction.get_provider(None if options.provider == "auto" else options.provider), "rate": options.rate}
+
+
 def read_new(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
     """The session files to read: found, in order, less what the ledger knows, up to the limit."""
     store = Store(spark, options.store)
     found = jsonl.find_sessions(spark, options.folder, options.include_subagents, options.sort, with_text=True)
     if not options.force:
-        found = changed(found, store.read("ledger", LEDGER_SCHEMA))
+        found = changed(found, store.current("ledger", LEDGER_SCHEMA))
     order = {"name": [F.col("source")], "newest": [F.col("modified").desc(), F.col("source")], "oldest": [F.col("modified"), F.col("source")]}[options.sort]
     found = found.orderBy(*order)
     return found.limit(options.limit) if options.limit is not None else found
@@ -74,15 +88,7 @@ def ingest(spark: SparkSession, options: argparse.Namespace) -> int:
     if options.dry_run:
         found.select("source", "size").show(1000, truncate=False)
         return 0
-    last = store.read("ledger", LEDGER_SCHEMA).agg(F.max("batch")).first()[0]
-    batch = 0 if last is None else last + 1
-    process(found.select("source", "text"), store, batch)
-    if not options.skip_extraction:
-        new = store.read("messages").filter(F.col("batch") == batch)
-        roles = extraction.EXTRACT_ROLES["claude-code"]
-        asked = new.filter(F.col("role").isin(*roles)).select("message_id", "session", F.col("full_text").alias("content"))
-        answers = extraction.extract_into(store, asked, batch, extraction.get_provider())
-        store.append(extraction.facts_of(answers, asked), "facts", batch)
+    process(found.select("source", "text"), store, store.next_batch(), force=options.force, **asking(options))
     return 0
 
 
@@ -111,7 +117,7 @@ def main(args: list[str] | None = None) -> int:
         batches.request_lines(messages).write.text(options.out)
         return 0
     if options.command == "watch":
-        start(spark, options.inbox, Store(spark, options.store), options.checkpoint, once=options.once).awaitTermination()
+        start(spark, options.inbox, Store(spark, options.store), options.checkpoint, once=options.once, **asking(options)).awaitTermination()
         return 0
     if options.command == "list":
         exports.listing(exports.tree_messages(exports.trees(exports.read_zips(spark, options.zip)))).show(1000, truncate=60)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import time
 from collections.abc import Callable, Iterator
 from typing import Protocol, runtime_checkable
 
@@ -17,6 +16,7 @@ from ..functions.identifiers import content_hash, slug, triple_id
 from ..functions.responses import FACTS, candidate_facts, parsed, truncated
 from ..functions.vocabulary import ALL_PREDICATES
 from ..session import ship_package
+from .calls import IN_FLIGHT, BusyError, ConfigurationError, TokenBucket, bucket, in_flight
 from .hosted import SERVICES, hosted, is_there
 
 #: Shorter messages hold no facts.
@@ -62,7 +62,7 @@ def list_providers() -> list[str]:
 
 
 def detect_provider(environment: dict[str, str] | None = None, local: Callable[[], bool] = is_there) -> str:
-    """The provider named by TESSERA_PROVIDER, else the first hosted one whose key is set, else
+    """Which provider the settings speak of: the one named by TESSERA_PROVIDER, else the first hosted one whose key is set, else
     the local service if a model is named and it answers, else the offline one."""
     known = os.environ if environment is None else environment
     if known.get("TESSERA_PROVIDER"):
@@ -94,22 +94,26 @@ def build_prompt(text, length: int = FIRST_LENGTH):
     return F.concat(F.lit(PROMPT_HEAD), F.substring(text, 1, length))
 
 
-def ask(provider: Provider, text: str, rate: float | None = None) -> tuple[str | None, int]:
+def ask(provider: Provider, text: str, turns: TokenBucket | None = None) -> tuple[str | None, int]:
     """(the first readable answer about ``text`` or null, truncated answers met).
 
     A failed call or an answer that cannot be read is asked again with less text, with
-    less still if the answer was cut off.
+    less still if the answer was cut off. A service that is busy is waited for.
     """
+    turns = turns or TokenBucket(None)
     length, cut_off = FIRST_LENGTH, 0
     for _ in range(ATTEMPTS):
+        turns.take()
         try:
             answer = provider.generate(PROMPT_HEAD + text[:length]).strip()
+        except ConfigurationError:
+            raise
+        except BusyError as error:
+            turns.pause(error.seconds)
+            continue
         except Exception:  # a provider's failure costs this attempt only
             length = RETRY_LENGTH
             continue
-        finally:
-            if rate:
-                time.sleep(1 / rate)
         was_cut = truncated(answer)
         cut_off += was_cut
         if candidate_facts(answer, was_cut) is not None:
@@ -118,14 +122,14 @@ def ask(provider: Provider, text: str, rate: float | None = None) -> tuple[str |
     return None, cut_off
 
 
-def _asked(make: Callable[[], Provider], rate: float | None):
-    """Iterator of answers: one provider per partition."""
+def _asked(make: Callable[[], Provider], rate: float | None, most: int):
+    """Iterator of answers: one provider per partition, several requests in flight."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = None
+        provider, turns = None, bucket("model", rate)
         for batch in batches:
             provider = provider or make()
-            answers = [ask(provider, text, rate) for text in batch["content"]]
+            answers = [answer for _, answer, failure in in_flight(batch["content"], lambda text: ask(provider, text, turns), turns, most)]
             yield batch[["message_id", "text_hash"]].assign(raw=[a for a, _ in answers], truncations=[n for _, n in answers])
 
     return run
@@ -134,38 +138,42 @@ def _asked(make: Callable[[], Provider], rate: float | None):
 CACHE = f"message_id string, text_hash string, facts {FACTS.simpleString()}, truncations int"
 
 
-def extract(messages: DataFrame, cache: DataFrame | None = None, provider: Callable[[], Provider] = ScriptedProvider, concurrency: int | None = None, rate: float | None = None) -> DataFrame:
-    """(message_id, text_hash, facts, truncations) of every message long enough.
+def extract(
+    messages: DataFrame, cache: DataFrame | None = None, provider: Callable[[], Provider] = ScriptedProvider, concurrency: int | None = None, rate: float | None = None, in_flight: int = IN_FLIGHT
+) -> DataFrame:
+    """(message_id, text_hash, facts, truncations) of every message long enough; null facts: no attempt gave a readable answer.
 
-    Answers in ``cache`` (the same columns) are used where the text is the same; only
-    the rest reaches the provider, ``concurrency`` partitions at a time, each at
-    ``rate`` requests a second. Every action on the result asks anew:
-    ``extract_into`` keeps the answers.
+    Answers in ``cache`` (the same columns) are used where the text is the same, unless
+    they are null; only the rest reaches the provider, ``concurrency`` partitions at a
+    time, each with ``in_flight`` requests at once and ``rate`` requests a second. Every
+    action on the result asks anew: ``extract_into`` keeps the answers.
     """
     ship_package(messages.sparkSession)
     asked = messages.filter(F.char_length(F.btrim("content")) >= MIN_LENGTH).select("message_id", "content", content_hash(F.col("content")).alias("text_hash"))
     hits = None
     if cache is not None:
+        cache = cache.filter("facts IS NOT NULL")
         hits = cache.join(asked.select("message_id", "text_hash"), ["message_id", "text_hash"], "left_semi").select("message_id", "text_hash", "facts", "truncations")
         asked = asked.join(cache.select("message_id", "text_hash"), ["message_id", "text_hash"], "left_anti")
     if concurrency:
         asked = asked.repartition(concurrency)
     schema = T.StructType([asked.schema["message_id"], T.StructField("text_hash", T.StringType()), T.StructField("raw", T.StringType()), T.StructField("truncations", T.IntegerType())])
-    answers = asked.mapInPandas(_asked(provider, rate), schema)
-    fresh = parsed(answers, "message_id", "text_hash", "truncations").select("message_id", "text_hash", F.coalesce("facts", F.array().cast(FACTS)).alias("facts"), "truncations")
+    answers = asked.mapInPandas(_asked(provider, rate, in_flight), schema)
+    fresh = parsed(answers, "message_id", "text_hash", "truncations").select("message_id", "text_hash", F.col("facts").cast(FACTS).alias("facts"), "truncations")
     return fresh if hits is None else hits.unionByName(fresh)
 
 
 def extract_into(store, messages: DataFrame, batch: int, provider: Callable[[], Provider] = ScriptedProvider, **options) -> DataFrame:
     """``extract`` with the cache table of ``store``: new answers are written to it, once, as
-    ``batch``; then the answers about ``messages``, known and new, are read back."""
-    cache = store.read("cache", f"{CACHE}, batch long").filter(F.col("batch") != batch)
-    known = latest(cache, ["message_id", "text_hash"], "batch").drop("batch")
+    ``batch``; then the answers about ``messages``, known and new, are read back.
+
+    A failure is written too, as null facts, but counts as no answer: a later batch asks again.
+    """
+    known = store.current("cache", CACHE, before=batch).filter("facts IS NOT NULL")
     fresh = extract(messages.join(_same_text(messages, known), "message_id", "left_anti"), None, provider, **options)
-    store.append(fresh, "cache", batch)
-    everything = latest(store.read("cache"), ["message_id", "text_hash"], "batch").drop("batch")
+    store.replace(fresh, "cache", batch)
     wanted = messages.select("message_id", content_hash(F.col("content")).alias("text_hash"))
-    return everything.join(wanted, ["message_id", "text_hash"], "left_semi")
+    return store.current("cache").join(wanted, ["message_id", "text_hash"], "left_semi")
 
 
 def _same_text(messages: DataFrame, cache: DataFrame) -> DataFrame:

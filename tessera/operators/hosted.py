@@ -2,7 +2,7 @@
 
 An adapter holds plain strings only, so that a driver can make it from its settings
 and send it to the workers. A failed request raises; ``extraction.ask`` counts it
-as an attempt.
+as an attempt, but a refused one, as for a wrong key, ends the job.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ import json
 import os
 import urllib.request
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial, reduce
 
+from .calls import ConfigurationError, opened
+
 TEMPERATURE = 0.2
 MAX_TOKENS = 8192
 TIMEOUT = 120
@@ -57,14 +59,14 @@ class Hosted:
 
     service: str
     model: str
-    key: str = ""
+    key: str = field(default="", repr=False)
     address: str = ""
 
     def generate(self, prompt: str) -> str:
         request, address, _ = SERVICES[self.service]
         path, headers, body, answer = request(self.model, self.key, prompt)
         call = urllib.request.Request((self.address or address) + path, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
-        with urllib.request.urlopen(call, timeout=TIMEOUT) as reply:
+        with opened(call, TIMEOUT) as reply:
             return reduce(lambda found, step: found[step], answer, json.load(reply))
 
 
@@ -75,7 +77,7 @@ def hosted(service: str, environment: dict[str, str] | None = None) -> Callable[
     key = SERVICES[service][2]
     missing = [name for name in (key, "TESSERA_MODEL") if name and not known.get(name)]
     if missing:
-        raise ValueError(f"{service} needs {' and '.join(missing)}")
+        raise ConfigurationError(f"{service} needs {' and '.join(missing)}")
     return partial(Hosted, service, known["TESSERA_MODEL"], known[key] if key else "", known.get("TESSERA_ADDRESS", ""))
 
 

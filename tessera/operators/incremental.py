@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEDGER_SCHEMA = "source string, sha256 string, batch long"
+LEDGER_SCHEMA = "source string, sha256 string"
 
 
 def changed(sources: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Rows of ``sources`` (source, sha256, ...) that are new or not as the ledger last saw them."""
-    order = Window.partitionBy("source").orderBy(F.col("batch").desc())
-    last = ledger.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select("source", "sha256")
-    return sources.join(last, ["source", "sha256"], "left_anti")
+    """Rows of ``sources`` (source, sha256, ...) that are new or not as the ledger, a row per source, knows them."""
+    return sources.join(ledger.select("source", "sha256"), ["source", "sha256"], "left_anti")
 
 
 def without_subagents(sources: DataFrame, column: str = "source") -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions.entities import has_tech_keyword, is_linkable_entity, normalize_label, strip
 from ..session import ship_package
+from . import calls
+from .calls import IN_FLIGHT, bucket
 
 MIN_SESSIONS = 2
 CONFIDENCE = 0.7
@@ -103,8 +105,9 @@ def snapshot(labels: DataFrame, cache: DataFrame, threshold: float = CONFIDENCE)
     )
 
 
-def search(labels: DataFrame, provider: Callable[[], Callable], concurrency: int | None = None) -> DataFrame:
-    """Candidates from a search provider, one made per partition; failures give none.
+def search(labels: DataFrame, provider: Callable[[], Callable], concurrency: int | None = None, rate: float | None = None, in_flight: int = IN_FLIGHT, with_failures: bool = False) -> DataFrame:
+    """Candidates from a search provider, one made per partition, with ``in_flight`` requests
+    at once and ``rate`` a second; failures give none, or a row without a rank if wanted.
 
     Where ``labels`` has a column ``context`` (see ``contexts``), the provider is
     called with the label and its context, as an agent needs it.
@@ -112,18 +115,21 @@ def search(labels: DataFrame, provider: Callable[[], Callable], concurrency: int
     ship_package(labels.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = None
+        find, turns = None, bucket("search", rate)
         for batch in batches:
             find = find or provider()
+
+            def one(asked, find=find):
+                turns.take()
+                return find(*asked)
+
             rows = []
-            for asked in batch.itertuples(index=False, name=None):
-                label = asked[0]
-                try:
-                    found = find(*asked)
-                except Exception:  # a failed lookup is an empty one
-                    found = []
-                rows += [(label, i, x.get("id"), x.get("label"), x.get("description"), x.get("aliases", [])) for i, x in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=CANDIDATE.names)
+            for asked, found, failure in calls.in_flight(batch.itertuples(index=False, name=None), one, turns, in_flight):
+                rows += [(asked[0], i, x.get("id"), x.get("label"), x.get("description"), x.get("aliases", [])) for i, x in enumerate(found or [], 1)]
+                if failure is not None and with_failures:
+                    rows.append((asked[0], None, None, None, None, None))
+            out = pd.DataFrame(rows, columns=CANDIDATE.names)
+            yield out.assign(rank=out["rank"].astype("Int32"))
 
     asked = labels.select("label", *["context"] * ("context" in labels.columns))
     return (asked.repartition(concurrency) if concurrency else asked).mapInPandas(run, CANDIDATE)
@@ -132,31 +138,49 @@ def search(labels: DataFrame, provider: Callable[[], Callable], concurrency: int
 LINK_CACHE = "label string, qid string, confidence double, description string, aliases array<string>"
 
 
-def link_into(store, facts: DataFrame, provider: Callable[[], Callable[[str], list[dict]]], batch: int, minimum: int = MIN_SESSIONS, threshold: float = CONFIDENCE, concurrency: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Linking with the cache table of ``store``: (links, counters).
+def link_names(facts: DataFrame, minimum: int = MIN_SESSIONS) -> DataFrame:
+    """The frequent canonical names that a catalogue could hold."""
+    return frequent(label_sources(facts), minimum).filter(is_linkable_entity(F.col("canonical"))).select(F.col("canonical").alias("label"))
 
-    Names that the cache does not know are searched once; the best candidate of each, or
-    null where there is none, is written to the cache as ``batch`` before anything
-    is read from it. Links (label, canonical, qid, confidence, same) are the cache's above the
-    threshold; ``canonical`` is the least label of the item, ``same`` whether it is another label.
-    """
-    names = frequent(label_sources(facts), minimum).filter(is_linkable_entity(F.col("canonical"))).select(F.col("canonical").alias("label"))
-    old = store.read("link_cache", f"{LINK_CACHE}, batch long").filter(F.col("batch") != batch)
-    misses = names.join(old.select(F.col("label").alias("known")), F.lower("label") == F.col("known"), "left_anti")
-    best = best_match(search(misses, provider, concurrency)).select(F.lower("query_label").alias("label"), "qid", "confidence", "description", "aliases")
-    lowered = misses.select(F.lower("label").alias("label")).distinct()
-    store.append(lowered.join(best, "label", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))), "link_cache", batch)
-    cache = store.read("link_cache").drop("batch").dropDuplicates(["label"])
-    split = cache_split(names, cache)
-    found = linked(split, threshold)
+
+def unknown(store, names: DataFrame, batch: int) -> DataFrame:
+    """Names that the link cache of ``store`` doesn't hold, as ``batch`` finds it."""
+    old = store.current("link_cache", LINK_CACHE, before=batch)
+    return names.join(old.select(F.col("label").alias("known")), F.lower("label") == F.col("known"), "left_anti")
+
+
+def cached_links(store, names: DataFrame, threshold: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """(links, counters) from the cache of ``store``: links (label, canonical, qid, confidence,
+    same) above the threshold; ``canonical`` is the least label of the item, ``same`` whether it is another label."""
+    cache = store.current("link_cache", LINK_CACHE)
+    found = linked(cache_split(names, cache), threshold)
     links = found.withColumn("canonical", F.min("label").over(Window.partitionBy("qid"))).select("label", "canonical", "qid", "confidence", (F.col("label") != F.col("canonical")).alias("same"))
     return links, snapshot(names, cache, threshold)
 
 
+def link_into(store, facts: DataFrame, provider: Callable[[], Callable[[str], list[dict]]], batch: int, minimum: int = MIN_SESSIONS, threshold: float = CONFIDENCE, **options) -> tuple[DataFrame, DataFrame]:
+    """Linking with the cache table of ``store``: (links, counters) as ``cached_links``.
+
+    Names that the cache does not know are searched once; what was found is written as
+    ``batch`` before anything is read from it, and the best candidate of each, or null
+    where there is none, becomes the cache's. A failed search is no answer: its name is
+    searched again by a later batch.
+    """
+    names = link_names(facts, minimum)
+    misses = unknown(store, names, batch)
+    store.replace(search(misses, provider, with_failures=True, **options), "candidates", batch)
+    found = store.read("candidates").filter(F.col("batch") == batch).drop("batch")
+    failed = found.filter("rank IS NULL").select(F.lower("query_label").alias("label"))
+    best = best_match(found.filter("rank IS NOT NULL")).select(F.lower("query_label").alias("label"), "qid", "confidence", "description", "aliases")
+    lowered = misses.select(F.lower("label").alias("label")).distinct().join(failed, "label", "left_anti")
+    store.replace(lowered.join(best, "label", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))), "link_cache", batch)
+    return cached_links(store, names, threshold)
+
+
 def link(facts: DataFrame, candidates: DataFrame, cache: DataFrame | None = None, minimum: int = MIN_SESSIONS, threshold: float = CONFIDENCE) -> DataFrame:
     """The whole of linking: frequent canonical names that a catalogue could hold, the
     cache's answers, the best candidates of the rest, above the threshold."""
-    names = frequent(label_sources(facts), minimum).filter(is_linkable_entity(F.col("canonical"))).select(F.col("canonical").alias("label"))
+    names = link_names(facts, minimum)
     columns = ("query_label", "qid", "confidence")
     fresh = names
     parts = []

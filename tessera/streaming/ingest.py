@@ -1,80 +1,70 @@
 """Continuous ingestion of session files.
 
 A file source offers new files; each micro-batch parses them, replaces their
-sessions in the tables, sends what cannot be read to dead letters, and writes the
-ledger last. Tables are partitioned by micro-batch and written with dynamic
-overwrite, so a batch that is replayed after a failure replaces itself: with the
-stream's checkpoint this gives every file exactly one effect. Readers see, per
-session, the rows of its latest batch.
+sessions in the tables, sends what cannot be read to dead letters and notes the files
+in the ledger, all in one change of the store (``store.py``). A batch that is replayed
+after a failure replaces itself: with the stream's checkpoint this gives every file
+exactly one effect. Readers see, per session, the rows of its latest batch.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
+from ..operators import extraction
 from ..operators.incremental import LEDGER_SCHEMA, changed, without_subagents
 from ..sources import jsonl
+from .store import Store
 
 FILES_PER_BATCH = 1000
-TABLES = ("messages", "sessions", "ledger", "dead_letter")
 
 
-@dataclass
-class Store:
-    """Tables under one folder."""
+def process(files: DataFrame, store: Store, batch: int, refused: DataFrame | None = None, provider: Callable[[], extraction.Provider] | None = None, force: bool = False, **options) -> None:
+    """One micro-batch of (source, text) rows into the store.
 
-    spark: SparkSession
-    folder: str
-
-    def path(self, table: str) -> str:
-        return f"{self.folder}/{table}"
-
-    def append(self, df: DataFrame, table: str, batch: int) -> None:
-        rows = df.withColumn("batch", F.lit(batch).cast("long"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path(table))
-
-    def read(self, table: str, schema: str | None = None) -> DataFrame:
-        try:
-            return self.spark.read.parquet(self.path(table))
-        except AnalysisException as error:  # a table that is there but cannot be read is an error
-            if schema is None or error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def current(self, table: str, key: str = "session") -> DataFrame:
-        """The rows of each session's latest batch."""
-        latest = F.max("batch").over(Window.partitionBy(key))
-        return self.read(table).withColumn("_latest", latest).filter("batch = _latest").drop("_latest", "batch")
-
-
-def process(files: DataFrame, store: Store, batch: int) -> None:
-    """One micro-batch of (source, text) rows into the store."""
+    ``refused``: (source, sha256, reason) of what never became a file. ``provider``: who is
+    asked for facts of the sessions' messages, with ``options`` of ``extraction.extract``; the
+    cache of answers is the store's, so only messages that are new or changed are asked
+    about, also when a batch comes again. ``force``: read what the ledger knows too.
+    """
     sources = without_subagents(files.withColumn("sha256", F.sha2("text", 256)))
-    ledger = store.read("ledger", LEDGER_SCHEMA).filter(F.col("batch") < batch)
-    fresh = changed(sources, ledger).select("source", "text", "sha256").persist()
+    fresh = sources if force else changed(sources, store.current("ledger", LEDGER_SCHEMA, before=batch))
+    fresh = fresh.select("source", "text", "sha256").persist()
     try:
         entries = jsonl.entries(fresh.select("source", "text"))
-        store.append(jsonl.messages(entries), "messages", batch)
-        store.append(jsonl.sessions(entries), "sessions", batch)
-        bad = fresh.select("source", "sha256").join(entries.select("source").distinct(), "source", "left_anti")
-        store.append(bad.withColumn("reason", F.lit("no readable user or assistant line")), "dead_letter", batch)
-        store.append(fresh.select("source", "sha256"), "ledger", batch)
+        bad = fresh.select("source", "sha256").join(entries.select("source").distinct(), "source", "left_anti").withColumn("reason", F.lit("no readable user or assistant line"))
+        messages = jsonl.messages(entries)
+        with store.change(batch) as change:
+            change.replace(messages, "messages")
+            change.replace(jsonl.sessions(entries), "sessions")
+            change.append(bad if refused is None else bad.unionByName(refused), "dead_letter")
+            change.replace(fresh.select("source", "sha256"), "ledger")
     finally:
         fresh.unpersist()
+    if provider is not None:
+        add_facts(store, batch, provider, **options)
+
+
+def add_facts(store: Store, batch: int, provider: Callable[[], extraction.Provider], platform: str = "claude-code", **options) -> None:
+    """Facts of the messages that ``batch`` brought, in place of those their sessions had."""
+    new = store.read("messages").filter(F.col("batch") == batch)
+    asked = new.filter(F.col("role").isin(*extraction.EXTRACT_ROLES[platform])).select("message_id", "session", F.col("full_text").alias("content"))
+    answers = extraction.extract_into(store, asked, batch, provider, **options)
+    with store.change(batch) as change:
+        change.replace(extraction.facts_of(answers, asked), "facts", new.select("session").distinct())
 
 
-def start(spark: SparkSession, inbox: str, store: Store, checkpoint: str, once: bool = True, files_per_batch: int = FILES_PER_BATCH) -> StreamingQuery:
-    """Watch ``inbox`` for session files; ``once`` takes what is there and stops."""
+def start(spark: SparkSession, inbox: str, store: Store, checkpoint: str, once: bool = True, files_per_batch: int = FILES_PER_BATCH, **options) -> StreamingQuery:
+    """Watch ``inbox`` for session files; ``once`` takes what is there and stops. ``options``: of ``process``."""
     stream = (
         spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_batch)
         .load(inbox).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
     )
-    writer = stream.writeStream.foreachBatch(lambda df, n: process(df, store, n)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, n: process(df, store, n, **options)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 

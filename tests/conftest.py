@@ -7,6 +7,15 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
 
+@pytest.fixture(autouse=True)
+def no_settings(monkeypatch):
+    """Tests don't depend on the keys and settings of the machine."""
+    import os
+
+    for name in [n for n in os.environ if n.startswith("TESSERA_") or n in ("GEMINI_API_KEY", "OPENAI_API_KEY", "ANTHROPIC_API_KEY")]:
+        monkeypatch.delenv(name)
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
