@@ -38,7 +38,7 @@ BROADCAST_KEYS = 1_000_000
 #: Attempts to put a manifest in place beside other writers.
 COMMITS = 20
 #: What a table is hashed and replaced by.
-KEYS = {"ledger": "source", "dead_letter": "source", "cache": "message_id", "link_cache": "label", "links": "label", "candidates": "query_label", "rounds": "label"}
+KEYS = {"ledger": "source", "dead_letter": "source", "cache": "message_id", "link_cache": "label", "links": "label", "candidates": "query_label", "round": "label"}
 
 
 class Conflict(Exception):
@@ -105,7 +105,7 @@ class Store:
         return f"{self.folder}/{table}"
 
     def key(self, table: str) -> str:
-        return KEYS.get(table, "session")
+        return KEYS.get(table.rsplit("_", 1)[0] if table.startswith("round_") else table, "session")
 
     # manifests
 
