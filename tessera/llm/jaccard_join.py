@@ -12,7 +12,7 @@ A larger bucket is split again. Tokens that most of it has (a passage in a third
 of all texts, the body of a large group of near copies) would not split it, so
 they are found by the votes of ``LEADERS`` random members and left out of the
 further choice, which is dense enough for the tokens that remain to keep the
-recall. A node whose sample is common to the bucket in more than ``CORE`` of it has
+recall, with as many runs as that needs (``runs_within``). A node whose sample is common to the bucket in more than ``CORE`` of it has
 too little left to choose from: such nodes, near copies of each other, are
 compared in pairs of blocks, and with those that have more than ``ZONE``. At the
 last depth a large bucket is compared in pairs of blocks altogether, so none is
@@ -77,6 +77,16 @@ def runs_for(recall: float = RECALL, similarity: float = float(SIMILARITY)) -> i
     return math.ceil(math.log(1 / (1 - recall)))
 
 
+def runs_within(runs: int, recall: float = RECALL) -> int:
+    """Runs within each large bucket that keep ``recall``.
+
+    A pair at the threshold shares ``runs`` buckets in expectation, and k runs within a
+    bucket find it there with 1 - exp(-k); so all miss it with exp(-runs * (1 - exp(-k))).
+    """
+    needed = math.log(1 / (1 - recall)) / runs
+    return max(1, math.ceil(-math.log(1 - needed))) if needed < 1 else runs
+
+
 def sketch(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """128 one-bit min-hashes per set, as two words; zero for an empty set."""
     out = np.zeros((len(begin) - 1, 2), dtype=np.uint64)
@@ -307,7 +317,7 @@ def candidate_edges(nodes: DataFrame, runs: int) -> DataFrame:
         samples = join_counted(nodes.select("node", "sample"), leaders, "node").groupBy("path").agg(F.collect_list("sample").alias("samples"))
         common = written(_common(samples), "common", rows=1)
         members = written(join_counted(large, common, "path"), "members", rows=expected)
-        split = written(_split(join_counted(nodes.select("node", "sample"), members, "node"), runs), "split", rows=expected)
+        split = written(_split(join_counted(nodes.select("node", "sample"), members, "node"), runs_within(runs)), "split", rows=expected)
         found.append(_compare(_in_core_blocks(split.filter("kind > 0")), "path", "low", "high"))
         rows = split.filter("kind = 0").drop("kind")
         tables += [leaders, common, members, split]
