@@ -168,7 +168,7 @@ def test_runs_within_keep_the_recall():
     shared = r.poisson(runs, 2_000_000)
     lower = r.poisson(within, (shared.sum()))
     owner = np.repeat(np.arange(len(shared)), shared)
-    two = r.random(len(lower)) < 1 - np.exp(-lower * (1 - np.exp(-within)))
+    two = r.random(len(lower)) < 1 - np.exp(-within * lower)
     for found in (lower > 0, two):
         met = np.bincount(owner[found], minlength=len(shared)) > 0
         assert 1 - met.mean() < 1.2 * (1 - jaccard_join.RECALL)
