@@ -148,13 +148,8 @@ ORACLES: dict[str, str] = {
     "c18_link_lookup": w(CANDIDATES, LINKS) + f"SELECT label, same_as FROM links WHERE starts_with(same_as, '{CATALOGUE}') AND contains(lower(label), 'plate')",
     "c19_federated_description": w(CANDIDATES, LINKS) + f"SELECT l.label, l.same_as, c.description FROM links l JOIN (SELECT qid, min(description) AS description FROM candidates WHERE rank = 1 GROUP BY qid) c ON l.same_as = '{CATALOGUE}' || c.qid WHERE contains(lower(l.label), 'plate')",
     "c20_triple_count": w(FACTS, NAMES, FACT_ROWS) + "SELECT count(*) AS triples FROM rows",
-    "a04_parent_resolution": w(MESSAGES) + "SELECT m.message_id, p.message_id AS parent_id FROM messages m LEFT JOIN messages p ON m.session = p.session AND p.seq = m.seq - 1",
-    "a05_session_bounds": "SELECT user_id AS session, arg_min(ts, event_id) AS created, CASE WHEN count(ts) > 1 THEN arg_max(ts, event_id) END AS modified FROM events GROUP BY 1",
-    "a07_models": "SELECT DISTINCT user_id AS session, event_type AS tool_name FROM events",
     "a15_linear_parents": w(MESSAGES) + "SELECT session, seq, message_id, lag(message_id) OVER (PARTITION BY session ORDER BY seq) AS parent_id FROM messages WHERE role IN ('user', 'assistant')",
     "a19_quality_gate": w(MESSAGES) + "SELECT session FROM messages GROUP BY 1 HAVING count(*) FILTER (length(trim(content)) > 30) >= 2",
-    "a20_conversation_listing": w(MESSAGES) + "SELECT session, count(*) AS messages, min(seq) AS first_seq, max(seq) AS last_seq, substring(arg_min(content, seq), 1, 60) AS preview FROM messages GROUP BY 1",
-    "a22_message_nodes": w(MESSAGES) + "SELECT message_id, CASE WHEN role = 'user' THEN 'UserMessage' ELSE 'AssistantMessage' END AS msg_class, CASE WHEN length(content) > 2000 THEN substring(content, 1, 2000) || '...' ELSE content END AS content FROM messages",
     "a23_reify_triples": w(FACTS, NAMES, FACT_ROWS) + "SELECT p, o_kind, count(*) AS n, count(DISTINCT s) AS subjects, min(o) AS least_object FROM rows GROUP BY 1, 2",
     "a24_ntriples": w(STATIC) + f"SELECT DISTINCT '<{DATA}entity/' || {slug('subj_name')} || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || subj_name || '\" .' AS value FROM static_facts",
     "a26_extractable_messages": w(MESSAGES) + "SELECT message_id, length(content) AS length FROM messages WHERE role IN ('user', 'assistant') AND length(trim(content, ' ')) >= 30",
@@ -174,7 +169,7 @@ ORACLES: dict[str, str] = {
 LEFT JOIN (SELECT message_id, trim(split_part(sentence, ' provides ', 1)) AS subj, trim(split_part(sentence, ' provides ', 2)) AS obj FROM (
   SELECT message_id, unnest(string_split(substring('In this order ' || max(content) || ' applies. ' || string_agg(lower(replace(subj_name, '#', ' ')) || ' provides ' || obj_name, '. ' ORDER BY lower(replace(subj_name, '#', ' ')) || ' provides ' || obj_name), 1, 1500), '.')) AS sentence
   FROM facts GROUP BY message_id) WHERE trim(split_part(sentence, ' provides ', 2)) != '') b ON a.message_id = b.message_id AND ({valid("b.subj")}) AND ({valid("b.obj")}) GROUP BY 1, 2""",
-    "b12_cache_misses": w(MESSAGES) + "SELECT message_id, substring(sha256(content), 1, 16) AS text_hash FROM messages WHERE role IN ('user', 'assistant') AND length(trim(content, ' ')) >= 30 AND session % 3 != 0",
+    "b12_cache_misses": w(MESSAGES) + "SELECT message_id, substring(sha256(content), 1, 16) AS text_hash FROM messages WHERE role IN ('user', 'assistant') AND length(trim(content, ' ')) >= 30 AND (session % 3 != 0 OR session % 2 != 0)",
     "b_cap10": w(FACTS) + "SELECT session, triple_id, place::INT AS place FROM (SELECT session, triple_id, row_number() OVER (PARTITION BY session ORDER BY triple_id) AS place FROM facts) WHERE place <= 10",
     "b18_requests": w(MESSAGES) + "SELECT message_id, 8192::BIGINT AS max_tokens FROM messages WHERE role IN ('user', 'assistant') AND length(trim(content, ' ')) >= 30",
     "d01_alias_normalize": f"SELECT label, coalesce({MAP}[lower(trim(label))], trim(label)) AS canonical FROM (SELECT ' ' || upper(k) || ' ' AS label FROM (SELECT unnest(map_keys({MAP})) AS k) UNION ALL SELECT DISTINCT p_name FROM part)",
@@ -198,6 +193,8 @@ LEFT JOIN (SELECT message_id, trim(split_part(sentence, ' provides ', 1)) AS sub
     "f07_ledger_delta": "SELECT 'page/' || page_id AS source, sha256(html) AS sha256 FROM pages WHERE page_id % 2 != 0 OR page_id % 4 = 0",
     "f_latest_per_session": "SELECT user_id AS session, max(event_id) AS tool_id, arg_max(event_type, event_id) AS tool_name FROM events GROUP BY 1",
     "f_replace_sessions": w(MESSAGES) + "SELECT session, message_id, content FROM messages WHERE session % 2 != 0 UNION ALL SELECT session, min(message_id), 'again' FROM messages WHERE session % 2 = 0 GROUP BY 1",
+    "f_store_replace": w(MESSAGES) + "SELECT session, message_id, content FROM messages WHERE session % 2 != 0 UNION ALL SELECT session, min(message_id), 'again' FROM messages WHERE session % 2 = 0 GROUP BY 1",
+    "f_store_append": "SELECT user_id AS session, event_id % 4 AS batch, count(*) AS n, min(event_type) AS least FROM events GROUP BY 1, 2",
     "f_stream_ingest": w(MESSAGES) + "SELECT 'conv-' || session AS session, message_id, role, CASE WHEN length(content) > 2000 THEN substring(content, 1, 2000) || '...' ELSE content END AS content FROM messages WHERE role IN ('user', 'assistant')",
     "x_paths": w(STATIC) + """SELECT 1 AS hops, subj_name || ' ' || predicate || ' ' || obj_name AS path, obj_name AS end_name FROM static_facts WHERE subj_name = 'Supplier#000000001'
 UNION ALL SELECT 2, a.subj_name || ' ' || a.predicate || ' ' || a.obj_name || ' ' || b.predicate || ' ' || b.obj_name, b.obj_name FROM static_facts a JOIN static_facts b ON a.obj_name = b.subj_name WHERE a.subj_name = 'Supplier#000000001'

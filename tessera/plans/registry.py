@@ -55,12 +55,12 @@ def c05_tool_usage(t: Star) -> DataFrame:
 
 @query
 def c06_entity_relations(t: Star) -> DataFrame:
-    return graph_queries.entity_relations(t.facts(), SUBJECT)
+    return graph_queries.entity_relations(t.facts(F.lower("subj_name") == SUBJECT.lower()), SUBJECT)
 
 
 @query
 def c07_relation_between(t: Star) -> DataFrame:
-    return graph_queries.relation_between(t.facts(), SUBJECT, OBJECT)
+    return graph_queries.relation_between(t.facts(F.lower("subj_name") == SUBJECT.lower(), F.lower("obj_name") == OBJECT.lower()), SUBJECT, OBJECT)
 
 
 @query
@@ -105,7 +105,7 @@ def c15_hub_entities(t: Star) -> DataFrame:
 
 @query
 def c16_relates_contains(t: Star) -> DataFrame:
-    return graph_queries.relates_contains(t.facts(), "000001", "plate")
+    return graph_queries.relates_contains(t.facts(F.contains(F.lower("subj_name"), F.lit("000001")), F.contains(F.lower("obj_name"), F.lit("plate"))), "000001", "plate")
 
 
 @query
@@ -129,26 +129,6 @@ def c20_triple_count(t: Star) -> DataFrame:
     return graph_model.fact_row_count(t.facts())
 
 
-@query
-def a04_parent_resolution(t: Star) -> DataFrame:
-    """The turn before is the parent if it is of another role and came earlier."""
-    m = t.messages()
-    parent = m.select(F.col("session").alias("p_session"), F.col("seq").alias("p_seq"), F.col("message_id").alias("parent_id"))
-    earlier = (F.col("session") == F.col("p_session")) & (F.col("seq") - 1 == F.col("p_seq")) & (F.col("p_seq") < F.col("seq"))
-    return m.join(parent, earlier, "left").select("message_id", "parent_id")
-
-
-@query
-def a05_session_bounds(t: Star) -> DataFrame:
-    """First and last event of a user in file (id) order; last only with two or more."""
-    return t.tool_calls().groupBy("session").agg(F.min_by("created", "tool_id").alias("created"), F.when(F.count("created") > 1, F.max_by("created", "tool_id")).alias("modified"))
-
-
-@query
-def a07_models(t: Star) -> DataFrame:
-    return t.tool_calls().select("session", "tool_name").distinct()
-
-
 @query
 def a15_linear_parents(t: Star) -> DataFrame:
     before = F.lag("message_id").over(Window.partitionBy("session").orderBy("seq"))
@@ -161,17 +141,6 @@ def a19_quality_gate(t: Star) -> DataFrame:
     return terminal.worth_keeping(t.messages(), 2)
 
 
-@query
-def a20_conversation_listing(t: Star) -> DataFrame:
-    return t.messages().groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.substring(F.min_by("content", "seq"), 1, 60).alias("preview"))
-
-
-@query
-def a22_message_nodes(t: Star) -> DataFrame:
-    """Stored content: at most 2000 code points and dots."""
-    return t.messages().select("message_id", F.when(F.col("role") == "user", "UserMessage").otherwise("AssistantMessage").alias("msg_class"), identifiers.cut(F.col("content"), 2000).alias("content"))
-
-
 @query
 def a23_reify_triples(t: Star) -> DataFrame:
     return graph_model.fact_row_summary(t.facts())
@@ -258,10 +227,12 @@ def b11_extract(t: Star) -> DataFrame:
 
 @query
 def b12_cache_misses(t: Star) -> DataFrame:
-    """Long messages of user and assistant that a cache of every third conversation does not hold."""
+    """What reaches the provider beside a cache that knows every third conversation, half of it with other texts."""
     m = extraction.extractable(t.messages())
-    known = m.filter("session % 3 = 0").select("message_id")
-    return m.join(known, "message_id", "left_anti").select("message_id", identifiers.content_hash(F.col("content")).alias("text_hash"))
+    known = m.filter("session % 3 = 0")
+    text = F.when(F.col("session") % 2 == 0, F.col("content")).otherwise(F.concat(F.lit("old "), F.col("content")))
+    cache = known.select("message_id", identifiers.content_hash(text).alias("text_hash"), F.array().cast(extraction.FACTS).alias("facts"), F.lit(-1).alias("truncations"))
+    return extraction.extract(m.select("message_id", "content"), cache).filter("truncations >= 0").select("message_id", "text_hash")
 
 
 @query
@@ -407,6 +378,28 @@ def f_stream_ingest(t: Star) -> DataFrame:
     return store.current("messages").select("session", "message_id", "role", "content")
 
 
+@query
+def f_store_replace(t: Star) -> DataFrame:
+    """Turns in the store; then every second conversation again, with one turn, twice as after a failure."""
+    store = ingest.Store(t.spark, f"{scratch(t.spark)}/store-{uuid.uuid4().hex}")
+    old = t.messages().select("session", "message_id", "content")
+    store.replace(old, "messages", 0)
+    again = old.filter("session % 2 = 0").groupBy("session").agg(F.min("message_id").alias("message_id"))
+    for attempt in ("lost", "again"):
+        store.replace(again.withColumn("content", F.lit(attempt)), "messages", 1)
+    return store.current("messages")
+
+
+@query
+def f_store_append(t: Star) -> DataFrame:
+    """Events by day of the month as batches that add to each other, one of them twice; rows by session and batch."""
+    store = ingest.Store(t.spark, f"{scratch(t.spark)}/store-{uuid.uuid4().hex}")
+    calls = t.tool_calls().select("session", "tool_id", "tool_name").withColumn("part", F.col("tool_id") % 4)
+    for n in (0, 1, 1, 2, 3):
+        store.append(calls.filter(F.col("part") == n).drop("part"), "tool_calls", n)
+    return store.read("tool_calls").groupBy("session", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("tool_name").alias("least"))
+
+
 def term_rows(t: Star) -> DataFrame:
     """Facts and the sessions' platforms as terms, for SPARQL."""
     session = identifiers.iri("session", identifiers.slug(F.col("session").cast("string")))

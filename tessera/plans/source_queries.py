@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timestamps
-from ..operators import linking
+from ..operators import agentic, extraction, incremental, linking
 from ..session import ship_package
-from ..sources import exports, jsonl, terminal
-from ..streaming import ingest
+from ..sources import exports, jsonl, lines, terminal
+from ..streaming import ingest, jobs
+from . import graph_model
 from .oracles import MESSAGES, slug, w
 from .registry import scratch
 from .star import Star
@@ -176,6 +177,160 @@ def f02_dead_letters(t: Star) -> DataFrame:
     return store.read("dead_letter").select("source", "reason")
 
 
+def _session_files(t: Star) -> DataFrame:
+    """Conversations as session files: lines in order, the line before as parent, times by turn, models of assistants."""
+    time = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = F.to_json(F.struct(
+        F.col("role").alias("type"), F.concat(F.lit("Conv "), F.col("session").cast("string")).alias("sessionId"), F.col("message_id").alias("uuid"),
+        F.when(F.col("seq") > 0, F.concat_ws("-", F.col("session").cast("string"), (F.col("seq") - 1).cast("string"))).alias("parentUuid"), time.alias("timestamp"),
+        F.struct("content", F.when(F.col("role") == "assistant", F.concat(F.lit("m"), (F.col("session") % 3).cast("string"))).alias("model")).alias("message"),
+    ))
+    listed = t.messages().groupBy("session").agg(F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))).alias("lines"))
+    path = F.concat(F.lit("home/projects/p"), (F.col("session") % 5).cast("string"), F.lit("/c"), F.col("session").cast("string"), F.lit(".jsonl"))
+    return listed.select(path.alias("source"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+
+
+_SPOKEN = "spoken AS (SELECT *, lag(role) OVER (PARTITION BY session ORDER BY seq) AS before FROM messages)"
+
+
+@query(w(MESSAGES) + f", {_SPOKEN} SELECT message_id, CASE WHEN before IN ('user', 'assistant') THEN session || '-' || (seq - 1) END AS parent_id FROM spoken WHERE role IN ('user', 'assistant')")
+def a04_parent_resolution(t: Star) -> DataFrame:
+    """The line before is the parent where it is a message; a parent of another kind is not there."""
+    return jsonl.messages(jsonl.entries(_session_files(t))).select("message_id", "parent_id")
+
+
+@query(w(MESSAGES) + """SELECT 'conv-' || session AS session, 'p' || (session % 5) AS project, strftime(make_timestamp((1700000000 + 60 * min(seq)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created,
+  CASE WHEN count(*) > 1 THEN strftime(make_timestamp((1700000000 + 60 * max(seq)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS modified FROM messages WHERE role IN ('user', 'assistant') GROUP BY messages.session""")
+def a05_session_bounds(t: Star) -> DataFrame:
+    """First and last time of a session's lines, the last only of two or more; the project of its path."""
+    return jsonl.sessions(jsonl.entries(_session_files(t))).select("session", "project", "created", "modified")
+
+
+@query("SELECT 'projects/p' || (page_id % 7) || '/f' || page_id AS source, 'p' || (page_id % 7) AS project FROM pages WHERE page_id % 3 = 0")
+def a06_projects(t: Star) -> DataFrame:
+    """The project in a file's path, for pages as files of every third of which lies in one."""
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("projects/p"), (F.col("page_id") % 7).cast("string"), F.lit("/f"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("other/x"), F.col("page_id").cast("string")))
+    return t.table("pages").select(path.alias("source")).select("source", jsonl.detect_project(F.col("source")).alias("project")).filter("project IS NOT NULL")
+
+
+@query(w(MESSAGES) + "SELECT DISTINCT 'conv-' || session AS session, 'm' || (session % 3) AS model FROM messages WHERE role = 'assistant'")
+def a07_models(t: Star) -> DataFrame:
+    return jsonl.models(jsonl.messages(jsonl.entries(_session_files(t))))
+
+
+@query(w(MESSAGES) + f"""SELECT {slug("'Conv ' || session")} AS session, count(*) AS messages, arg_min(substring(content, 1, 60), seq) AS preview FROM messages WHERE role IN ('user', 'assistant') GROUP BY 1""")
+def a20_conversation_listing(t: Star) -> DataFrame:
+    """Conversations of tree exports: number of messages and the start of the first."""
+    return exports.listing(exports.tree_messages(exports.trees(_zips(t, _tree)))).select("session", "messages", "preview")
+
+
+@query(w(MESSAGES) + f"""SELECT message_id, CASE WHEN role = 'user' THEN 'UserMessage' ELSE 'AssistantMessage' END AS msg_class,
+  CASE WHEN length(content) > 2000 THEN substring(content, 1, 2000) || '...' ELSE content END AS content FROM messages WHERE role IN ('user', 'assistant')""")
+def a22_message_nodes(t: Star) -> DataFrame:
+    """Class and stored content of each message's node among the statements about session files."""
+    rows = jsonl.graph_rows(jsonl.entries(_session_files(t)))
+    value = lambda p, name: rows.filter(F.col("p") == p).select("s", F.col("o").alias(name))
+    ids, kinds, texts = value(f"{graph_model.TERM}hasMessageId", "message_id"), value(graph_model.RDF_TYPE, "kind"), value(graph_model.CONTENT, "content")
+    return ids.join(kinds, "s").join(texts, "s", "left").select("message_id", F.element_at(F.split("kind", "[/#]"), -1).alias("msg_class"), "content")
+
+
+@query(w(MESSAGES) + """, kept AS (SELECT *, 'w-' || session AS wsession FROM messages WHERE trim(content, ' ') != ''),
+good AS (SELECT wsession FROM kept GROUP BY 1 HAVING count(*) FILTER (length(trim(content, ' ')) > 30) >= 5)
+SELECT count(*) AS messages, count(DISTINCT wsession) AS sessions FROM kept SEMI JOIN good USING (wsession)""")
+def a18_terminal_graph(t: Star) -> DataFrame:
+    """Messages and sessions among the statements about terminal exchanges worth keeping."""
+    kept = t.messages().filter(F.btrim("content") != "").select(F.concat(F.lit("w-"), F.col("session").cast("string")).alias("session"), "message_id", F.lit("user").alias("role"), "content", F.lit("2025-01-01T00:00:00Z").alias("created"), F.lit(None).cast("string").alias("model"), F.lit("/home").alias("working_directory"))
+    rows = terminal.graph(kept)
+    per = lambda p: F.countDistinct(F.when(F.col("p") == p, F.col("s")))
+    return rows.agg(per(f"{graph_model.TERM}hasMessageId").alias("messages"), per(f"{graph_model.TERM}hasSourcePlatform").alias("sessions"))
+
+
+@query("SELECT DISTINCT lower(p_name) AS label FROM part")
+def a27_entity_list(t: Star) -> DataFrame:
+    """Part names written as a list, a line each, with blanks around and lines between, and read back."""
+    path = f"{scratch(t.spark)}/list-{uuid.uuid4().hex}"
+    names = t.table("part").select(F.lower("p_name").alias("n")).distinct()
+    names.select(F.concat(F.lit("  "), "n", F.lit(" \t\n  ")).alias("value")).write.text(path)
+    return lines.read_entities(t.spark, path)
+
+
+@query(w(MESSAGES) + "SELECT message_id, length(content) AS length, substring(content, 1, 1500) AS asked FROM messages WHERE role IN ('user', 'assistant') AND length(trim(content, ' ')) >= 30")
+def b06_prompts(t: Star) -> DataFrame:
+    """The texts of requests: what the model is told stands first, the message's first code points last."""
+    m = extraction.extractable(t.messages()).select("message_id", "content", extraction.build_prompt(F.col("content")).alias("prompt"))
+    told = m.filter(F.startswith("prompt", F.lit(extraction.PROMPT_HEAD)))
+    return told.select("message_id", F.char_length("content").alias("length"), F.substring("prompt", len(extraction.PROMPT_HEAD) + 1, 1_000_000).alias("asked"))
+
+
+@query(w(MESSAGES) + "SELECT 'conv-' || session AS session, message_id FROM messages WHERE role = 'assistant' AND length(trim(content, ' ')) >= 30")
+def b17_extracted_sessions(t: Star) -> DataFrame:
+    """Session files into a store, their assistants' messages asked about once: whom the store's cache then knows."""
+    store = ingest.Store(t.spark, f"{scratch(t.spark)}/asked-{uuid.uuid4().hex}")
+    for _ in range(2):
+        ingest.process(_session_files(t), store, 0, provider=extraction.ScriptedProvider)
+    known = store.read("cache").filter("facts IS NOT NULL").select("message_id")
+    return store.current("messages").join(known, "message_id").select("session", "message_id")
+
+
+@query("SELECT '/home/u/projects/p' || (page_id % 9) || '/f' || page_id AS path, '/data/p' || (page_id % 9) || '/f' || page_id AS translated FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT '/home/u/f' || page_id, '/home/u/f' || page_id FROM pages WHERE page_id % 2 != 0")
+def f03_translate_paths(t: Star) -> DataFrame:
+    """Paths of pages below a folder of projects, every second, as a container sees them."""
+    number = F.col("page_id").cast("string")
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/home/u/projects/p"), (F.col("page_id") % 9).cast("string"), F.lit("/f"), number)).otherwise(F.concat(F.lit("/home/u/f"), number))
+    return t.table("pages").select(path.alias("path")).select("path", incremental.translate_path(F.col("path"), "/data").alias("translated"))
+
+
+@query(w(MESSAGES) + """SELECT 'conv-' || session AS session, count(*) FILTER (role IN ('user', 'assistant')) AS messages FROM messages WHERE session % 4 = 0 GROUP BY messages.session HAVING count(*) FILTER (role IN ('user', 'assistant')) > 0
+  UNION ALL SELECT 'malformed job', count(DISTINCT session) FROM messages WHERE session % 4 = 1 UNION ALL SELECT 'transcript not found', count(DISTINCT session) FROM messages WHERE session % 4 = 2""")
+def f01_jobs(t: Star) -> DataFrame:
+    """A job for every conversation: of four, one's transcript is there, one's body is broken, one's transcript is lost, one is of a sub-agent."""
+    spark, root = t.spark, f"{scratch(t.spark)}/jobs-{uuid.uuid4().hex}"
+    number = F.regexp_extract("source", r"c(\d+)\.jsonl", 1).cast("long")
+    files = _session_files(t).withColumn("n", number)
+    files.filter("n % 4 = 0").select(F.col("text").alias("value"), F.col("n").cast("string").alias("n")).write.partitionBy("n").text(root)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_extract("path", r"n=(\d+)/", 1).cast("long").alias("n"), "path")
+    rest = files.filter("n % 4 != 0").select("n", F.concat(F.lit(root), F.when(F.col("n") % 4 == 3, "/subagents/").otherwise("/none/"), F.col("n").cast("string")).alias("path"))
+    queued = there.unionByName(rest).select(
+        F.col("n").alias("position"), F.lit("{}").alias("body"), F.when(F.col("n") % 4 != 1, F.col("path")).alias("transcript_path"), F.lit("").alias("session_id"), (F.col("n") % 4 == 1).alias("malformed"),
+    )
+    store = ingest.Store(spark, f"{root}-store")
+    jobs.take(queued, store, 0)
+    read = store.current("messages").groupBy("session").agg(F.count(F.lit(1)).alias("messages"))
+    return read.unionByName(store.read("dead_letter").groupBy(F.col("reason").alias("session")).agg(F.count(F.lit(1)).alias("messages")))
+
+
+def _round_search() -> Callable[[str], list[dict]]:
+    """A search that only finds names of up to two words."""
+    import hashlib
+
+    return lambda query: [{"id": "Q" + hashlib.md5(query.encode()).hexdigest()[:8], "label": query, "description": "tool"}] if query.count(" ") < 2 else []
+
+
+class _RoundJudge:
+    """Takes what was found; otherwise searches the name without its first word, then without one more."""
+
+    def generate(self, prompt: str) -> str:
+        part = lambda name: prompt.split(f"{name}: ")[1].split("\n")[0]
+        searched, found = part("Searched so far").split(", "), prompt.split("Found:\n- ")[1].split("\n")[0]
+        if found != "nothing":
+            return json.dumps({"qid": found.split(":")[0], "confidence": 1 - 0.1 * len(searched), "label": searched[-1], "description": "tool", "reasoning": "found"})
+        return json.dumps({"qid": "none", "confidence": 0, "search": searched[-1].split(" ", 1)[1], "reasoning": "too long"})
+
+
+@query("""WITH names AS (SELECT DISTINCT p_type AS label FROM part UNION SELECT DISTINCT p_name || ' ' || p_type FROM part),
+words AS (SELECT label, string_split(label, ' ') AS w FROM names),
+settled AS (SELECT label, greatest(1, len(w) - 1) AS searches, array_to_string(w[greatest(1, len(w) - 1):], ' ') AS query FROM words)
+SELECT label, CASE WHEN searches <= 3 THEN 'Q' || substring(md5(query), 1, 8) END AS qid, least(searches, 3)::INT AS searches,
+  CASE WHEN searches <= 3 THEN round(10 * (1 - 0.1 * searches))::INT ELSE 0 END AS tenths FROM settled""")
+def d11_rounds(t: Star) -> DataFrame:
+    """Names of parts linked by rounds of search and judgement; names of five words or more stay open after three searches."""
+    part = t.table("part")
+    names = part.select(F.col("p_type").alias("label")).distinct().union(part.select(F.concat_ws(" ", "p_name", "p_type").alias("label")).distinct())
+    store = ingest.Store(t.spark, f"{scratch(t.spark)}/rounds-{uuid.uuid4().hex}")
+    rows = agentic.link_by_rounds(store, names.distinct().withColumn("context", F.lit("a part")), 0, _round_search, _RoundJudge)
+    return rows.select("label", "qid", "searches", F.round(F.col("confidence") * 10).cast("int").alias("tenths"))
+
+
 def _catalogue() -> Callable[[str], list[dict]]:
     """A search service that fails on names with a "q", and otherwise finds two items made of the name."""
 

@@ -6,7 +6,7 @@ part), a tool call an event, a message a turn of a conversation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import CATALOGUE, slug, triple_id
@@ -42,19 +42,23 @@ class Star:
     def tool_calls(self) -> DataFrame:
         return self.table("events").select(F.col("event_id").alias("tool_id"), F.col("event_type").alias("tool_name"), F.col("user_id").alias("session"), F.col("ts").alias("created"), F.col("props").alias("description"))
 
-    def _named(self, table: str, key: str, name: str, role: str) -> DataFrame:
-        """Per key of a dimension: one key for all that share its name, the name and its slug, made once per name."""
-        names = self.table(table).groupBy(F.col(name).alias(f"{role}_name")).agg(F.min(key).alias(f"{role}_key"), F.collect_list(key).alias("keys"))
-        return names.select(f"{role}_key", f"{role}_name", slug(F.col(f"{role}_name")).alias(role), F.explode("keys").alias(key))
+    def _named(self, table: str, key: str, name: str, role: str, only: Column | None = None) -> DataFrame:
+        """Per key of a dimension (where ``only`` holds of its name): one key for all that share its name, the name and its slug."""
+        rows = self.table(table).select(key, F.col(name).alias(f"{role}_name"))
+        rows = rows if only is None else rows.filter(only)
+        names = rows.groupBy(f"{role}_name").agg(F.min(key).alias(f"{role}_key"))
+        return rows.join(names, f"{role}_name").select(f"{role}_key", f"{role}_name", slug(F.col(f"{role}_name")).alias(role), key)
 
-    def facts(self) -> DataFrame:
-        """Knowledge facts: distinct by triple id (subject, predicate, object and message).
+    def facts(self, subjects: Column | None = None, objects: Column | None = None) -> DataFrame:
+        """Knowledge facts: distinct by triple id (subject, predicate, object and message);
+        only those whose ``subj_name`` and ``obj_name`` meet the conditions, if given.
 
-        Facts are made distinct as three numbers, before they get their names and texts.
+        Facts are made distinct as three numbers, before they get their names and texts;
+        conditions on names select keys before that, so that they reach the deliveries.
         Dimensions are small beside lineitem; Spark broadcasts them only below its
         size threshold.
         """
-        subjects, objects = self._named("supplier", "s_suppkey", "s_name", "subj"), self._named("part", "p_partkey", "p_name", "obj")
+        subjects, objects = self._named("supplier", "s_suppkey", "s_name", "subj", subjects), self._named("part", "p_partkey", "p_name", "obj", objects)
         keys = (
             self.table("lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
             .join(subjects.select("s_suppkey", "subj_key"), F.col("l_suppkey") == F.col("s_suppkey"))

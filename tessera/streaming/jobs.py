@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -150,7 +151,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for path in batch.column(1).to_pylist():
-            system, at = fs.FileSystem.from_uri(path if "://" in path else Path(path).absolute().as_uri())
+            plain = re.sub("^file:/+", "/", path)
+            system, at = fs.FileSystem.from_uri(plain if "://" in plain else Path(plain).absolute().as_uri())
             try:
                 with system.open_input_file(at) as file:
                     out.append(file.read().decode("utf-8", "replace"))
@@ -165,6 +167,7 @@ def take(jobs: DataFrame, store: Store, batch: int, container: str | None = None
     ``container``: where the folder of all projects is mounted, if not where the hook saw
     it. A session queued more than once in a batch is read once. ``options``: of ``process``.
     """
+    ship_package(store.spark)
     path = F.col("transcript_path")
     refused = F.when(F.col("malformed"), "malformed job")
     idle = F.when(path == "", "no transcript").when(F.contains(path, F.lit(SUBAGENTS)), "sub-agent session")

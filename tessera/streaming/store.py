@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 BUCKETS = 16
 #: Parts of a bucket before the next change rewrites it.
 PARTS = 8
-#: Keys of replaced rows that are sent to every task; more are shuffled.
+#: Rows that name replaced keys up to which the keys are sent to every task; more are shuffled.
 BROADCAST_KEYS = 1_000_000
 #: Attempts to put a manifest in place beside other writers.
 COMMITS = 20
@@ -52,9 +52,9 @@ class Part:
     folder: str
     batch: int
     buckets: list[int]
-    gone: str | None = None  # folder of the keys that the batch replaces
+    gone: str | None = None  # folder of rows with the keys that the batch replaces
     gone_buckets: list[int] = field(default_factory=list)
-    gone_keys: int = 0
+    gone_rows: int = 0
     rewritten: bool = False
 
 
@@ -84,12 +84,14 @@ class Change:
         folder = store.path(f"{table}/{self.batch}-{uuid.uuid4().hex}")
         written = store._write(df.withColumn("batch", F.lit(self.batch).cast("long")), table, folder)
         part = Part(folder, self.batch, written)
-        if replaces:
-            own = store.spark.read.schema(df.select(key).schema).option("recursiveFileLookup", "true").parquet(folder) if written else df.select(key).limit(0)
-            own = own if keys is None else own.unionByName(keys.select(key))
+        if replaces and keys is None:  # its own rows tell which keys it replaces
+            part.gone, part.gone_buckets = folder, written
+        elif replaces:
+            own = df.select(key).limit(0) if not written else store.spark.read.schema(df.select(key).schema).option("recursiveFileLookup", "true").parquet(folder)
             part.gone = f"{folder}-keys"
-            part.gone_buckets = store._write(own.distinct().withColumn("batch", F.lit(self.batch).cast("long")), table, part.gone)
-            part.gone_keys = store.spark.read.schema(own.schema).option("recursiveFileLookup", "true").parquet(part.gone).count() if part.gone_buckets else 0
+            part.gone_buckets = store._write(own.unionByName(keys.select(key)).distinct().withColumn("batch", F.lit(self.batch).cast("long")), table, part.gone)
+        if part.gone_buckets:
+            part.gone_rows = store.spark.read.schema("batch long").option("recursiveFileLookup", "true").parquet(part.gone).count()
         self.parts[table] = df.schema.json(), part
 
 
@@ -273,7 +275,7 @@ class Store:
             return rows
         schema = T.StructType([rows.schema[key], T.StructField("batch", T.LongType())])
         gone = self.spark.read.schema(schema).parquet(*paths).groupBy(F.col(key).alias("_key")).agg(F.max("batch").alias("_since"))
-        gone = F.broadcast(gone) if sum(p.gone_keys for p in later) <= BROADCAST_KEYS else gone
+        gone = F.broadcast(gone) if sum(p.gone_rows for p in later) <= BROADCAST_KEYS else gone
         return rows.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left").filter("_since IS NULL OR batch >= _since").drop("_key", "_since")
 
     def _table(self, table: str, schema: str | None) -> dict | None:
