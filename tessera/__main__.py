@@ -8,13 +8,16 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import batches, extraction, linking
+from .operators import agentic, batches, extraction, linking
+from .operators.hosted import catalogue_search
 from .operators.incremental import LEDGER_SCHEMA, changed
 from .plans import graph_model
 from .plans.sparql import encoded, sparql
 from .session import local_session
-from .sources import exports, jsonl
-from .streaming.ingest import Store, process, start
+from .sources import exports, jsonl, lines, terminal
+from .streaming import jobs
+from .streaming.ingest import process, start
+from .streaming.store import Store
 
 
 def model(command: argparse.ArgumentParser) -> None:
@@ -41,16 +44,41 @@ def arguments() -> argparse.ArgumentParser:
     watch.add_argument("checkpoint")
     watch.add_argument("--once", action="store_true", help="take what is there and stop")
     model(watch)
-    link = commands.add_parser("link", help="link the entities of a store's facts to items of a catalogue (label, rank, qid, ...)")
+    jobs_ = commands.add_parser("jobs", help="work on the jobs of a queue that a hook fills as sessions end")
+    jobs_.add_argument("queue")
+    jobs_.add_argument("store")
+    jobs_.add_argument("checkpoint")
+    jobs_.add_argument("--once", action="store_true", help="take what is there and stop")
+    jobs_.add_argument("--container", help="where the folder of projects is mounted, if not where the hook saw it")
+    model(jobs_)
+    ended = commands.add_parser("session-ended", help="queue a job for a finished session; its description comes as JSON on standard input")
+    ended.add_argument("queue")
+    ended.add_argument("--outputs", help="folder of the sessions' files: none is queued whose file is newer")
+    link = commands.add_parser("link", help="link the entities of a store's facts, or of a list, to items of a catalogue")
     link.add_argument("store")
-    link.add_argument("catalogue", help="Parquet table of candidates")
+    link.add_argument("--catalogue", help="Parquet table of candidates (query_label, rank, qid, ...)")
+    link.add_argument("--search", help="address of a catalogue's search service, asked where no table is given")
+    link.add_argument("--entities", help="text file of names, a line each, in place of the store's")
+    link.add_argument("--agentic", action="store_true", help="let the provider judge what is found, in rounds")
     link.add_argument("--min-sessions", type=int, default=linking.MIN_SESSIONS)
     link.add_argument("--threshold", type=float, default=linking.CONFIDENCE)
+    link.add_argument("--provider", default="auto")
+    link.add_argument("--rate", type=float, help="requests a second of each task")
     snapshot = commands.add_parser("snapshot", help="counts of a store's links")
     snapshot.add_argument("store")
     batch = commands.add_parser("batch", help="write requests about a store's messages for an offline batch run")
     batch.add_argument("store")
     batch.add_argument("out")
+    collected = commands.add_parser("collect", help="read the answers of finished batch jobs into a store")
+    collected.add_argument("store")
+    collected.add_argument("jobs", help="Parquet table of jobs: job_id, state, requests")
+    collected.add_argument("answers", help="folder with a folder job_id=... of lines for each job")
+    imported = commands.add_parser("import", help="read the exports of other platforms into a store's statements")
+    imported.add_argument("platform", choices=("deepseek", "grok", "warp"))
+    imported.add_argument("source", help="zips, or a terminal's database")
+    imported.add_argument("out")
+    imported.add_argument("--developer", default="developer")
+    imported.add_argument("--min-exchanges", type=int, default=terminal.MIN_EXCHANGES)
     listing = commands.add_parser("list", help="conversations of a zipped tree export")
     listing.add_argument("zip")
     export = commands.add_parser("export", help="write the statements about session files as N-Triples")
@@ -93,23 +121,60 @@ def ingest(spark: SparkSession, options: argparse.Namespace) -> int:
 
 
 def link(spark: SparkSession, options: argparse.Namespace) -> int:
-    """Links from a table of candidates, kept in the store as its link table."""
+    """Names linked through the store's cache; its link table becomes what the cache then holds."""
     store = Store(spark, options.store)
-    links = linking.link(store.current("facts"), spark.read.parquet(options.catalogue), None, options.min_sessions, options.threshold)
-    store.append(links, "links", 0)
-    store.read("links").drop("batch").orderBy("query_label").show(1000, truncate=False)
+    batch = store.next_batch()
+    facts = None if options.entities else store.current("facts")
+    names = lines.read_entities(spark, options.entities).distinct() if options.entities else linking.link_names(facts, options.min_sessions)
+    if options.agentic:
+        told = names.withColumn("context", F.lit(agentic.NO_CONTEXT)) if facts is None else names.join(linking.contexts(facts).withColumnRenamed("label", "lowered"), F.lower("label") == F.col("lowered"), "left").drop("lowered")
+        agentic.link_into(store, told, batch, catalogue_search(options.search), extraction.get_provider(None if options.provider == "auto" else options.provider), rate=options.rate)
+    else:
+        found = spark.read.parquet(options.catalogue) if options.catalogue else None
+        linking.search_into(store, names, batch, None if options.catalogue else catalogue_search(options.search), found, rate=options.rate)
+    links, counts = linking.cached_links(store, names, options.threshold)
+    with store.change(batch) as change:
+        change.overwrite(links, "links")
+    store.current("links").orderBy("label").show(1000, truncate=False)
+    if not options.agentic:
+        linking.ambiguity_report(store.current("candidates").filter("rank IS NOT NULL")).show(100, truncate=False)
+    counts.show()
     return 0
 
 
+def other_platform(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    """The statements about another platform's export."""
+    if options.platform == "deepseek":
+        return exports.tree_graph(exports.trees(exports.read_zips(spark, options.source)), options.developer)
+    if options.platform == "grok":
+        return exports.response_graph(exports.responses(exports.read_zips(spark, options.source)), options.developer)
+    return terminal.graph(terminal.messages(terminal.read(spark, options.source, "ai_queries")), options.developer, options.min_exchanges)
+
+
 def main(args: list[str] | None = None) -> int:
     options = arguments().parse_args(args)
+    if options.command == "session-ended":  # a hook's: no Spark
+        jobs.session_ended(options.queue, sys.stdin.read(), options.outputs)
+        return 0
     spark = SparkSession.getActiveSession() or local_session()
     if options.command == "ingest":
         return ingest(spark, options)
     if options.command == "link":
         return link(spark, options)
+    if options.command == "jobs":
+        jobs.start(spark, options.queue, Store(spark, options.store), options.checkpoint, options.once, options.container, **asking(options)).awaitTermination()
+        return 0
+    if options.command == "collect":
+        store = Store(spark, options.store)
+        messages = store.current("messages").select("message_id", "session", F.col("full_text").alias("content"))
+        answers = spark.read.schema("value string, job_id string").text(options.answers)
+        batches.collect_jobs(store, spark.read.parquet(options.jobs), answers, messages, store.next_batch()).show(1000, truncate=False)
+        return 0
+    if options.command == "import":
+        graph_model.n_triples(other_platform(spark, options)).write.text(options.out)
+        return 0
     if options.command == "snapshot":
-        links = Store(spark, options.store).read("links")
+        links = Store(spark, options.store).current("links")
         links.agg(F.count(F.lit(1)).alias("linked"), F.countDistinct("qid").alias("items"), (F.count(F.lit(1)) - F.countDistinct("qid")).alias("duplicates")).show()
         return 0
     if options.command == "batch":

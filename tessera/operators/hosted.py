@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import urllib.parse
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -81,6 +82,30 @@ def hosted(service: str, environment: dict[str, str] | None = None) -> Callable[
     return partial(Hosted, service, known["TESSERA_MODEL"], known[key] if key else "", known.get("TESSERA_ADDRESS", ""))
 
 
+#: The public catalogue's search service, and how many items a search gives.
+CATALOGUE_ADDRESS = "https://www.wikidata.org/w/api.php"
+SEARCH_LIMIT = 5
+
+
+@dataclass(frozen=True)
+class CatalogueSearch:
+    """Finds items by name through a catalogue's search service."""
+
+    address: str = CATALOGUE_ADDRESS
+
+    def __call__(self, name: str) -> list[dict]:
+        query = urllib.parse.urlencode({"action": "wbsearchentities", "search": name, "language": "en", "format": "json", "type": "item", "limit": SEARCH_LIMIT})
+        call = urllib.request.Request(f"{self.address}?{query}", headers={"User-Agent": "tessera/1.0"})
+        with opened(call, TIMEOUT) as reply:
+            found = json.load(reply).get("search", [])
+        return [{"id": x["id"], "label": x.get("label", ""), "description": x.get("description", ""), "aliases": x.get("aliases", [])} for x in found]
+
+
+def catalogue_search(address: str | None = None) -> Callable[[], CatalogueSearch]:
+    """What makes a search on a worker."""
+    return partial(CatalogueSearch, address or CATALOGUE_ADDRESS)
+
+
 def is_there(address: str = LOCAL) -> bool:
     """Whether a local service answers."""
     try:

@@ -158,22 +158,25 @@ def cached_links(store, names: DataFrame, threshold: float = CONFIDENCE) -> tupl
     return links, snapshot(names, cache, threshold)
 
 
-def link_into(store, facts: DataFrame, provider: Callable[[], Callable[[str], list[dict]]], batch: int, minimum: int = MIN_SESSIONS, threshold: float = CONFIDENCE, **options) -> tuple[DataFrame, DataFrame]:
-    """Linking with the cache table of ``store``: (links, counters) as ``cached_links``.
-
-    Names that the cache does not know are searched once; what was found is written as
-    ``batch`` before anything is read from it, and the best candidate of each, or null
-    where there is none, becomes the cache's. A failed search is no answer: its name is
-    searched again by a later batch.
-    """
-    names = link_names(facts, minimum)
+def search_into(store, names: DataFrame, batch: int, provider: Callable[[], Callable[[str], list[dict]]] | None = None, candidates: DataFrame | None = None, **options) -> None:
+    """Names that the link cache of ``store`` doesn't know, searched once, or looked up in a
+    table of candidates; what was found is written as ``batch`` before anything is read from it, and the
+    best candidate of each, or null where there is none, becomes the cache's. A failed
+    search is no answer: its name is searched again by a later batch."""
     misses = unknown(store, names, batch)
-    store.replace(search(misses, provider, with_failures=True, **options), "candidates", batch)
+    found = candidates.join(misses.select(F.col("label").alias("query_label")), "query_label", "left_semi").select(*CANDIDATE.names) if provider is None else search(misses, provider, with_failures=True, **options)
+    store.replace(found, "candidates", batch)
     found = store.read("candidates").filter(F.col("batch") == batch).drop("batch")
     failed = found.filter("rank IS NULL").select(F.lower("query_label").alias("label"))
     best = best_match(found.filter("rank IS NOT NULL")).select(F.lower("query_label").alias("label"), "qid", "confidence", "description", "aliases")
     lowered = misses.select(F.lower("label").alias("label")).distinct().join(failed, "label", "left_anti")
     store.replace(lowered.join(best, "label", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))), "link_cache", batch)
+
+
+def link_into(store, facts: DataFrame, provider: Callable[[], Callable[[str], list[dict]]], batch: int, minimum: int = MIN_SESSIONS, threshold: float = CONFIDENCE, **options) -> tuple[DataFrame, DataFrame]:
+    """Linking of the names in facts with the cache table of ``store``: (links, counters) as ``cached_links``."""
+    names = link_names(facts, minimum)
+    search_into(store, names, batch, provider, **options)
     return cached_links(store, names, threshold)
 
 
