@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import entities, identifiers, responses
 from ..operators import batches, extraction, incremental, linking
-from ..session import ship_package
+from ..session import scratch, ship_package
 from ..sources import terminal
 from ..streaming import ingest
 from . import graph_model, graph_queries
-from .sparql import encoded, sparql
+from .sparql import Stored, encoded, sparql, stored
 from .star import Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,11 +399,11 @@ def f_store_append(t: Star) -> DataFrame:
     return store.read("tool_calls").groupBy("session", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("tool_name").alias("least"))
 
 
-def term_rows(t: Star) -> DataFrame:
-    """Facts and the sessions' platforms as terms, for SPARQL."""
+def term_rows(t: Star) -> Stored:
+    """Facts and the sessions' platforms as terms, for SPARQL: written once, by predicate."""
     session = identifiers.iri("session", identifiers.slug(F.col("session").cast("string")))
     platforms = t.sessions().select(session.alias("s"), F.lit(f"{identifiers.TERM}hasSourcePlatform").alias("p"), F.col("platform").alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"))
-    return encoded(graph_model.fact_rows(t.facts()).unionByName(platforms))
+    return stored(encoded(graph_model.fact_rows(t.facts()).unionByName(platforms)), f"{scratch(t.spark)}/terms-{uuid.uuid4().hex}")
 
 
 PREFIXES = f"PREFIX kg: <{identifiers.TERM}> PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#> "
@@ -436,14 +435,3 @@ def x_tool_usage_windows(t: Star) -> DataFrame:
     """Extension: uses of tools per hour of event time."""
     calls = t.tool_calls().withColumn("created", F.col("created").cast("timestamp"))
     return ingest.tool_usage_windows(calls).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "tool_name", "uses")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")

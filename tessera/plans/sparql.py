@@ -7,12 +7,20 @@ HAVING, aggregates, ORDER BY, LIMIT, OFFSET.
 A term is one string, as in N-Triples: ``<iri>``, ``"text"``, ``"text"@lang`` or
 ``"text"^^<type>``; so joins compare whole terms, and a language tag tells literals
 apart. Solutions are bags over the set of triples. Results hold lexical values.
-A variable left unbound by OPTIONAL joins nothing afterwards.
+A variable that OPTIONAL or UNION leaves unbound is compatible with any value, as the
+standard has it: solutions join by the variables that are bound. But solutions that share
+no bound variable are not multiplied: under OPTIONAL they stay as they are, elsewhere
+they are left out.
+
+``stored`` writes the view once, a folder per predicate, with the number of triples of
+each: a pattern with a predicate then reads that folder alone, and patterns are joined
+from the smallest on.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -302,9 +310,50 @@ class Value:
         return self.column if self.kind == "num" else self.text().try_cast("double")
 
 
+@dataclass
+class Stored:
+    """Triples by predicate, and how many of each."""
+
+    triples: DataFrame
+    sizes: dict[str, int]
+
+
+def stored(triples: DataFrame, folder: str) -> Stored:
+    """Terms (s, p, o) written to ``folder`` by predicate. There are as many sizes as predicates, a
+    vocabulary's; a large predicate is split into several files, small ones are one."""
+    triples.select("s", "o", "p").hint("rebalance", "p").write.mode("overwrite").partitionBy("p").parquet(folder)
+    read = triples.sparkSession.read.schema("s string, o string, p string").parquet(folder).select("s", "p", "o")
+    return Stored(read, {r["p"]: r["n"] for r in read.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()})
+
+
 class Compiler:
-    def __init__(self, triples: DataFrame, services: dict[str, DataFrame] | None = None):
-        self.triples, self.services = triples, services or {}
+    def __init__(self, triples: DataFrame, services: dict[str, DataFrame] | None = None, sizes: dict[str, int] | None = None):
+        self.triples, self.services, self.sizes = triples, services or {}, sizes
+        self.maybe: set[str] = set()  # variables that some solution may leave unbound
+
+    def size(self, pattern: tuple) -> float:
+        """How many triples a pattern matches at most; a given subject or object counts as a hundredth."""
+        if self.sizes is None:
+            return 0.0
+        (s, _), (p, name), (o, _) = pattern
+        n = self.sizes.get(name, 0) if p == "term" else sum(self.sizes.values())
+        return n * 0.01 ** ((s == "term") + (o == "term"))
+
+    def joined(self, rows: DataFrame, other: DataFrame, how: str = "inner", conditions: Callable[[], list[Column]] = list) -> DataFrame:
+        """Join of compatible solutions: equal where both are bound."""
+        common = [c for c in other.columns if c in rows.columns]
+        sure = [c for c in common if c not in self.maybe]
+        if not sure and len(common) == 1:
+            sure = common
+        elif not sure:
+            raise SparqlError(f"solutions that share only variables which may be unbound: {', '.join(common)}")
+        if sure == common and how == "inner":
+            return rows.join(other, common)
+        renamed = other.select(*[F.col(c).alias(f"_{c}") if c in common else F.col(c) for c in other.columns])
+        on = [F.col(c) == F.col(f"_{c}") if c in sure else (F.col(c) == F.col(f"_{c}")) | F.col(c).isNull() | F.col(f"_{c}").isNull() for c in common] + conditions()
+        both = rows.join(renamed, reduce(lambda a, b: a & b, on), how)
+        merged = [F.coalesce(c, f"_{c}").alias(c) if c in common and c not in sure else F.col(c) for c in rows.columns]
+        return both.select(*merged, *[c for c in renamed.columns if c not in {f"_{x}" for x in common}])
 
     def pattern(self, triples: DataFrame, pattern: tuple) -> DataFrame:
         rows, names = triples, {}
@@ -321,10 +370,11 @@ class Compiler:
 
     def group(self, group: Group, triples: DataFrame, filtered: bool = True) -> tuple[DataFrame, dict[str, str]]:
         """(solutions, kind of each variable). Patterns that share variables are joined first."""
-        parts = [self.pattern(triples, p) for p in group.patterns]
+        parts = [self.pattern(triples, p) for p in sorted(group.patterns, key=self.size)]
         kinds: dict[str, str] = {c: "term" for p in parts for c in p.columns}
         for union in group.unions:
             sides = [self.group(g, triples) for g in union]
+            self.maybe |= {c for s, _ in sides for c in s.columns if any(c not in x.columns for x, _ in sides)}
             parts.append(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s for s, _ in sides]))
             for _, k in sides:
                 kinds |= k
@@ -341,8 +391,7 @@ class Compiler:
             i = next((i for i, p in enumerate(parts) if set(p.columns) & set(rows.columns)), None)
             if i is None:
                 raise SparqlError("patterns that share no variable")
-            other = parts.pop(i)
-            rows = rows.join(other, [c for c in other.columns if c in rows.columns])
+            rows = self.joined(rows, parts.pop(i))
         for optional in group.optionals:
             rows = self.optional(rows, kinds, optional, triples)
         for name, value in group.binds:
@@ -355,12 +404,12 @@ class Compiler:
 
     def optional(self, rows: DataFrame, kinds: dict[str, str], inner: Group, triples: DataFrame) -> DataFrame:
         """Left join; the group's filters are part of the join's condition."""
+        before = set(rows.columns)
         other, k = self.group(inner, triples, filtered=False)
-        common = [c for c in other.columns if c in rows.columns]
-        renamed = other.select(*[F.col(c).alias(f"_{c}") if c in common else F.col(c) for c in other.columns])
         kinds |= k
-        on = [F.col(c) == F.col(f"_{c}") for c in common] + [self.value(f, kinds).column for f in inner.filters]
-        return rows.join(renamed, reduce(lambda a, b: a & b, on), "left").drop(*[f"_{c}" for c in common])
+        out = self.joined(rows, other, "left", lambda: [self.value(f, kinds).column for f in inner.filters])
+        self.maybe |= set(other.columns) - before
+        return out
 
     def value(self, e: tuple, kinds: dict[str, str]) -> Value:
         kind = e[0]
@@ -480,6 +529,7 @@ def _has_aggregate(e) -> bool:
     return isinstance(e, tuple) and (e[:1] == ("aggregate",) or any(_has_aggregate(x) for x in e[1:])) or isinstance(e, list) and any(map(_has_aggregate, e))
 
 
-def sparql(triples: DataFrame, text: str, services: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Run a SELECT over terms (s, p, o), as ``encoded`` gives them."""
-    return Compiler(triples, services).select(Parser(text).select())
+def sparql(triples: DataFrame | Stored, text: str, services: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Run a SELECT over terms (s, p, o), as ``encoded`` gives them, or ``stored`` ones."""
+    rows, sizes = (triples.triples, triples.sizes) if isinstance(triples, Stored) else (triples, None)
+    return Compiler(rows, services, sizes).select(Parser(text).select())

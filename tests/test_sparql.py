@@ -4,7 +4,7 @@ import pytest
 
 from tessera.functions.identifiers import CATALOGUE, DATA, TERM
 from tessera.plans import graph_model, graph_queries
-from tessera.plans.sparql import Parser, SparqlError, encoded, sparql
+from tessera.plans.sparql import Compiler, Parser, SparqlError, encoded, sparql, stored
 
 PREFIXES = f"""PREFIX kg: <{TERM}>
 PREFIX data: <{DATA}>
@@ -104,3 +104,70 @@ def test_errors(text):
 def test_unconnected_patterns_are_refused(triples):
     with pytest.raises(SparqlError):
         sparql(triples, "SELECT ?x WHERE { ?x a <b> . ?y a <c> }")
+
+
+def test_stored_by_predicate(spark, triples, tmp_path):
+    """Each pattern reads its predicate's folder alone, the smallest first; results are those of the view."""
+    kept = stored(triples, str(tmp_path / "terms"))
+    assert sum(kept.sizes.values()) == triples.count()
+    for text in (
+        "SELECT ?l (COUNT(DISTINCT ?f) AS ?n) WHERE { ?f a kg:KnowledgeTriple ; kg:tripleSubject ?e . ?e rdfs:label ?l } GROUP BY ?l ORDER BY ?l",
+        "SELECT DISTINCT ?p ?l WHERE { ?f kg:extractedInSession ?s ; kg:tripleObject ?e . ?s kg:hasSourcePlatform ?p . ?e rdfs:label ?l } ORDER BY ?p ?l",
+        f"SELECT ?o WHERE {{ <{DATA}entity/a> ?p ?o }} ORDER BY ?o",
+    ):
+        assert ask(kept, text) == ask(triples, text)
+    compiler = Compiler(kept.triples, None, kept.sizes)
+    compiled = compiler.select(Parser(PREFIXES + "SELECT ?l WHERE { ?f kg:tripleSubject ?e . ?e rdfs:label ?l . ?f kg:triplePredicateLabel \"isPartOf\" }").select())
+    plan = compiled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(p") == 3
+    assert compiler.size((("var", "f"), ("term", f"<{TERM}triplePredicateLabel>"), ("term", '"isPartOf"'))) < 1
+
+
+def brute(triples, *steps):
+    """Solutions of ("join" | "left", pattern) steps or ("union", patterns) under compatibility, as dictionaries."""
+
+    def matches(pattern):
+        for t in triples:
+            found = {}
+            for want, got in zip(pattern, t, strict=True):
+                if want.startswith("?"):
+                    if found.setdefault(want, got) != got:
+                        break
+                elif want != got:
+                    break
+            else:
+                yield found
+
+    def meet(a, b):
+        return {**a, **b} if all(a[k] == b[k] for k in a.keys() & b.keys()) else None
+
+    out = [{}]
+    for kind, what in steps:
+        sides = list(what) if kind == "union" else list(matches(what))
+        met = [[m for m in (meet(a, b) for b in sides) if m is not None] or ([a] if kind == "left" else []) for a in out]
+        out = [m for found in met for m in found]
+    return out
+
+
+def test_unbound_variables_are_compatible(spark):
+    """OPTIONAL or UNION first, then a join: against solutions worked out one by one."""
+    base = [("<a>", "<p>", "<b>"), ("<a>", "<p>", "<c>"), ("<d>", "<p>", "<b>"), ("<b>", "<q>", "<x>"), ("<a>", "<r>", "<x>"), ("<a>", "<r>", "<y>"), ("<d>", "<r>", "<x>"), ("<d>", "<r>", "<z>"), ("<e>", "<r>", "<w>")]
+    terms = spark.createDataFrame(base, "s string, p string, o string")
+
+    def run(text, *names):
+        return sorted(((tuple(r[n] for n in names)) for r in sparql(terms, text).collect()), key=repr)
+
+    def want(solutions, *names):
+        strip = lambda x: None if x is None else x.strip("<>")
+        return sorted((tuple(strip(s.get(f"?{n}")) for n in names) for s in solutions), key=repr)
+
+    left = brute(base, ("join", ("?s", "<p>", "?o")), ("left", ("?o", "<q>", "?v")))
+    other = brute(base, ("join", ("?s", "<p>", "?o")))
+    got = run("SELECT ?s ?o ?v WHERE { { ?s <p> ?o OPTIONAL { ?o <q> ?v } } UNION { ?s <p> ?o } ?s <r> ?v }", "s", "o", "v")
+    assert got == want(brute(base, ("union", left + other), ("join", ("?s", "<r>", "?v"))), "s", "o", "v")
+    assert len(got) == 10
+    got = run("SELECT ?s ?o ?v WHERE { ?s <p> ?o OPTIONAL { ?o <q> ?v } OPTIONAL { ?s <r> ?v } }", "s", "o", "v")
+    assert got == want(brute(base, ("join", ("?s", "<p>", "?o")), ("left", ("?o", "<q>", "?v")), ("left", ("?s", "<r>", "?v"))), "s", "o", "v")
+    # two variables that may both be unbound join nothing by themselves
+    with pytest.raises(SparqlError, match="may be unbound"):
+        run("SELECT ?s WHERE { ?s <p> ?o OPTIONAL { ?o <q> ?v } OPTIONAL { ?o <r> ?u } OPTIONAL { ?u <p> ?v } }", "s")
