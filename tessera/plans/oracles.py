@@ -196,6 +196,25 @@ LEFT JOIN (SELECT message_id, trim(split_part(sentence, ' provides ', 1)) AS sub
     "f_store_replace": w(MESSAGES) + "SELECT session, message_id, content FROM messages WHERE session % 2 != 0 UNION ALL SELECT session, min(message_id), 'again' FROM messages WHERE session % 2 = 0 GROUP BY 1",
     "f_store_append": "SELECT user_id AS session, event_id % 4 AS batch, count(*) AS n, min(event_type) AS least FROM events GROUP BY 1, 2",
     "f_stream_ingest": w(MESSAGES) + "SELECT 'conv-' || session AS session, message_id, role, CASE WHEN length(content) > 2000 THEN substring(content, 1, 2000) || '...' ELSE content END AS content FROM messages WHERE role IN ('user', 'assistant')",
+    "x_shortest_connections": w(FACTS, STATIC).replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT DISTINCT * FROM (SELECT subj_name AS a, predicate AS p, obj_name AS b FROM facts UNION ALL SELECT subj_name, predicate, obj_name FROM static_facts) WHERE subj_name != obj_name),
+steps AS (SELECT a AS from_name, p AS predicate, b AS to_name, true AS forward FROM e UNION ALL SELECT b, p, a, false FROM e),
+links AS (SELECT DISTINCT from_name, to_name FROM steps),
+near AS (SELECT 'Supplier#000000001' AS name, 0 AS d UNION SELECT to_name, d + 1 FROM near JOIN links ON from_name = name WHERE d < 3),
+far AS (SELECT 'ASIA' AS name, 0 AS d UNION SELECT from_name, d + 1 FROM far JOIN links ON to_name = name WHERE d < 3),
+n AS (SELECT name, min(d) AS d FROM near GROUP BY 1), f AS (SELECT name, min(d) AS d FROM far GROUP BY 1),
+best AS (SELECT min(n.d + f.d) AS d FROM n JOIN f USING (name)),
+sides AS (SELECT s.*, x.d + 1 AS step, (SELECT min(y.d) FROM f y WHERE y.name = s.to_name) AS rest FROM steps s JOIN n x ON x.name = s.from_name)
+SELECT step, from_name, predicate, to_name, forward FROM sides, best WHERE step + rest = best.d""",
+    "x_entailed": w(STATIC).replace("WITH ", "WITH RECURSIVE ", 1) + """, within AS (SELECT DISTINCT subj_name AS a, obj_name AS b FROM static_facts WHERE predicate IN ('isPartOf', 'deployedOn')),
+own AS (SELECT a AS subj_name, 'isPartOf' AS predicate, b AS obj_name FROM within UNION SELECT subj_name, 'broader', obj_name FROM static_facts WHERE predicate = 'isTypeOf'),
+reach AS (SELECT a, b FROM within UNION SELECT r.a, w.b FROM reach r JOIN within w ON r.b = w.a),
+up AS (SELECT subj_name AS a, obj_name AS b FROM own WHERE predicate = 'broader'),
+ups AS (SELECT a, b FROM up UNION SELECT r.a, u.b FROM ups r JOIN up u ON r.b = u.a)
+SELECT * FROM own UNION SELECT a, 'dcterms:isPartOf', b FROM reach UNION SELECT b, 'dcterms:hasPart', a FROM reach UNION SELECT a, 'skos:broader', b FROM up UNION SELECT b, 'skos:narrower', a FROM up UNION SELECT a, 'skos:broaderTransitive', b FROM ups""",
+    "x_stored_graph": w(STATIC) + f""", said AS (SELECT DISTINCT '{DATA}entity/' || {slug('subj_name')} AS s, 'http://www.w3.org/2000/01/rdf-schema#label' AS p, subj_name AS o, 'literal' AS o_kind FROM static_facts
+  UNION SELECT '{DATA}entity/' || {slug('subj_name')}, '{TERM}' || predicate, '{DATA}entity/' || {slug('obj_name')}, 'iri' FROM static_facts
+  UNION SELECT '{DATA}entity/' || {slug('subj_name')}, 'http://rdfs.org/sioc/ns#content', '"' || obj_name || '"\\' || chr(10), 'literal' FROM static_facts)
+SELECT p, o_kind, count(*) AS n, min(o) AS least, count(DISTINCT s) AS subjects FROM said GROUP BY 1, 2 UNION ALL SELECT 'unreadable', '<broken> line .', 1, NULL, 1""",
     "x_paths": w(STATIC) + """SELECT 1 AS hops, subj_name || ' ' || predicate || ' ' || obj_name AS path, obj_name AS end_name FROM static_facts WHERE subj_name = 'Supplier#000000001'
 UNION ALL SELECT 2, a.subj_name || ' ' || a.predicate || ' ' || a.obj_name || ' ' || b.predicate || ' ' || b.obj_name, b.obj_name FROM static_facts a JOIN static_facts b ON a.obj_name = b.subj_name WHERE a.subj_name = 'Supplier#000000001'
 UNION ALL SELECT 3, a.subj_name || ' ' || a.predicate || ' ' || a.obj_name || ' ' || b.predicate || ' ' || b.obj_name || ' ' || c.predicate || ' ' || c.obj_name, c.obj_name FROM static_facts a JOIN static_facts b ON a.obj_name = b.subj_name JOIN static_facts c ON b.obj_name = c.subj_name WHERE a.subj_name = 'Supplier#000000001'""",

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import entities, identifiers, responses
 from ..operators import batches, extraction, incremental, linking
 from ..session import scratch, ship_package
-from ..sources import terminal
+from ..sources import stored_graphs, terminal
 from ..streaming import ingest
-from . import graph_model, graph_queries
+from . import connections, graph_model, graph_queries, reasoning
 from .sparql import Stored, encoded, sparql, stored
 from .star import Star
 
@@ -430,6 +430,44 @@ def x_paths(t: Star) -> DataFrame:
     return graph_model.paths(t.static_facts(), SUBJECT)
 
 
+def mixed_edges(t: Star) -> DataFrame:
+    """Deliveries and static facts as edges between names."""
+    return t.facts().select("subj_name", "predicate", "obj_name").unionByName(t.static_facts())
+
+
+@query
+def x_shortest_connections(t: Star) -> DataFrame:
+    """Extension: the edges on shortest connections between a supplier and a region."""
+    return connections.shortest(mixed_edges(t), SUBJECT, "ASIA")
+
+
+@query
+def x_entailed(t: Star) -> DataFrame:
+    """What the vocabulary entails of places that lie in each other, a supplier's nation and region among them."""
+    static = t.static_facts()
+    places = static.filter("predicate = 'isPartOf'")
+    within = static.filter("predicate = 'deployedOn'").withColumn("predicate", F.lit("isPartOf"))
+    kinds = static.filter("predicate = 'isTypeOf'").withColumn("predicate", F.lit("broader"))
+    return reasoning.entailed(places.unionByName(within).unionByName(kinds))
+
+
+@query
+def x_stored_graph(t: Star) -> DataFrame:
+    """The export of static facts read back: statements by predicate and kind, and a line that can't be read."""
+    path = f"{scratch(t.spark)}/graph-{uuid.uuid4().hex}"
+    facts = t.static_facts()
+    subject = identifiers.iri("entity", identifiers.slug(F.col("subj_name")))
+    said = facts.select(subject.alias("s"), F.explode(F.array(
+        F.struct(F.lit(graph_model.LABEL).alias("p"), F.col("subj_name").alias("o"), F.lit("literal").alias("o_kind")),
+        F.struct(F.concat(F.lit(identifiers.TERM), F.col("predicate")).alias("p"), identifiers.iri("entity", identifiers.slug(F.col("obj_name"))).alias("o"), F.lit("iri").alias("o_kind")),
+        F.struct(F.lit(graph_model.CONTENT).alias("p"), F.concat(F.lit('"'), F.col("obj_name"), F.lit('"\\\n')).alias("o"), F.lit("literal").alias("o_kind")),
+    )).alias("t")).select("s", "t.*", F.lit(None).cast("string").alias("o_datatype")).distinct()
+    graph_model.n_triples(said).unionByName(t.spark.range(1).select(F.lit("<broken> line .").alias("value"))).write.text(path)
+    rows, refused = stored_graphs.read_n_triples(t.spark, path)
+    summed = rows.groupBy("p", "o_kind").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("least"), F.countDistinct("s").alias("subjects"))
+    return summed.unionByName(refused.select(F.lit("unreadable").alias("p"), F.col("value").alias("o_kind"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("least"), F.lit(1).cast("long").alias("subjects")))
+
+
 @query
 def x_tool_usage_windows(t: Star) -> DataFrame:
     """Extension: uses of tools per hour of event time."""
