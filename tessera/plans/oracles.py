@@ -196,7 +196,7 @@ LEFT JOIN (SELECT message_id, trim(split_part(sentence, ' provides ', 1)) AS sub
     "f_store_replace": w(MESSAGES) + "SELECT session, message_id, content FROM messages WHERE session % 2 != 0 UNION ALL SELECT session, min(message_id), 'again' FROM messages WHERE session % 2 = 0 GROUP BY 1",
     "f_store_append": "SELECT user_id AS session, event_id % 4 AS batch, count(*) AS n, min(event_type) AS least FROM events GROUP BY 1, 2",
     "f_stream_ingest": w(MESSAGES) + "SELECT 'conv-' || session AS session, message_id, role, CASE WHEN length(content) > 2000 THEN substring(content, 1, 2000) || '...' ELSE content END AS content FROM messages WHERE role IN ('user', 'assistant')",
-    "x_shortest_connections": w(FACTS, STATIC).replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT DISTINCT * FROM (SELECT subj_name AS a, predicate AS p, obj_name AS b FROM facts UNION ALL SELECT subj_name, predicate, obj_name FROM static_facts) WHERE subj_name != obj_name),
+    "x_shortest_connections": w(FACTS, STATIC).replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT DISTINCT * FROM (SELECT subj_name AS a, predicate AS p, obj_name AS b FROM facts UNION ALL SELECT subj_name, predicate, obj_name FROM static_facts) WHERE a != b),
 steps AS (SELECT a AS from_name, p AS predicate, b AS to_name, true AS forward FROM e UNION ALL SELECT b, p, a, false FROM e),
 links AS (SELECT DISTINCT from_name, to_name FROM steps),
 near AS (SELECT 'Supplier#000000001' AS name, 0 AS d UNION SELECT to_name, d + 1 FROM near JOIN links ON from_name = name WHERE d < 3),
