@@ -20,34 +20,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard_join, language_id, mixing, packing, surrogates
 from tessera.llm.queries import tokenizer_file
-from tessera.llm.shared import table, written
+from tessera.llm.shared import fewer_files, table, written
+
+#: Words whose ids a worker keeps in the last stage, where it lives on beside the others.
+REMEMBERED = 150_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go."""
-    return language_id.accepted(docs)
+    return fewer_files(language_id.accepted(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
-    return jaccard_join.one_of_each(docs)
+    return fewer_files(jaccard_join.one_of_each(docs), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities in the texts become surrogates."""
-    return surrogates.with_surrogates(docs)
+    return fewer_files(surrogates.with_surrogates(docs), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources appear by their target weights: rows are repeated, cut to chosen blocks or left out."""
-    return mixing.mixed_documents(docs)
+    return fewer_files(mixing.mixed_documents(docs), docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in their sequences, with their ids; ``document`` tells apart the uses the mixture makes of one doc_id."""
-    return packing.pack(packing.pieces(docs, tokenizer_file()))
+    return fewer_files(packing.pack(packing.pieces(docs, tokenizer_file(), remembered=REMEMBERED)), docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

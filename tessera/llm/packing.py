@@ -86,9 +86,10 @@ class WordEncoder:
 
     SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?%&$#*|]*)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
         self.code = _Codes()
@@ -143,8 +144,8 @@ class WordEncoder:
         at = np.repeat(start[codes] - total[:-1], count) + np.arange(total[-1])
         begin = np.zeros(len(texts) + 1, dtype=np.int64)
         begin[1:] = total[doc_end + np.arange(1, len(texts) + 1)]
-        if len(code) > CACHE_WORDS:  # the words met last are forgotten
-            for word in code.new[max(0, len(code.new) - (len(code) - CACHE_WORDS)) :]:
+        if len(code) > self.remembered:  # the words met last are forgotten
+            for word in code.new[max(0, len(code.new) - (len(code) - self.remembered)) :]:
                 del code[word]
             self.begin = self.begin[: len(code) + 1]
             self.flat = self.flat[: self.begin[-1]]
@@ -152,21 +153,22 @@ class WordEncoder:
         return flat[at], begin
 
 
-def encoder(path: str) -> Callable:
+def encoder(path: str, remembered: int = CACHE_WORDS) -> Callable:
     if path not in kept:
-        kept[path] = WordEncoder(path)
+        kept[path] = WordEncoder(path, remembered)
     return kept[path]
 
 
-def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = True, key: str = "doc_id") -> DataFrame:
+def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = True, key: str = "doc_id", remembered: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, document (a number of the row, unique in
-    the table), lot and place (task and number there among the pieces of the length) and, if wanted, the ids."""
+    the table), lot and place (task and number there among the pieces of the length) and, if wanted, the ids.
+    ``remembered``: words that a worker keeps the ids of."""
     schema = f"{key} {documents.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, document long, lot int, place long" + ", ids array<int>" * with_ids
 
     names = [x.split()[0] for x in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, remembered)
         lot, rows, placed = TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, dtype=np.int64)
 
         def emit(keys: pa.Array, ids: np.ndarray, begin: np.ndarray, before: int = 0) -> pa.RecordBatch:

@@ -43,6 +43,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of texts for which a table gets one file, beyond two files a core.
+FILE_BYTES = 64 << 20
+
+
+def fewer_files(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """``df``, made of the table ``docs``, in no more partitions than the bytes of ``docs`` need
+    as files, so that many small partitions don't become many small files. Partitions of Spark's
+    usual size hold more, so of a large table none are put together."""
+    spark = df.sparkSession
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / FILE_BYTES)))
+
+
 def written(df: DataFrame, name: str, rows: int | None = None, by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, in folders by the column ``by`` if given: cuts lineage, survives lost executors.
 
