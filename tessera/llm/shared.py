@@ -52,7 +52,7 @@ def fewer_files(df: DataFrame, docs: DataFrame) -> DataFrame:
     as files, so that many small partitions don't become many small files. Partitions of Spark's
     usual size hold more, so of a large table none are put together."""
     spark = df.sparkSession
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / FILE_BYTES)))
 
 
