@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,15 +163,27 @@ def extract(
     return fresh if hits is None else hits.unionByName(fresh)
 
 
+def counters() -> list[Column]:
+    """What is counted of answers while they pass: messages asked about, failures, truncated answers, facts."""
+    return [
+        F.count(F.lit(1)).alias("asked"), F.coalesce(F.sum(F.col("facts").isNull().cast("long")), F.lit(0)).alias("failed"),
+        F.coalesce(F.sum("truncations"), F.lit(0)).alias("truncated"), F.coalesce(F.sum(F.when(F.col("facts").isNotNull(), F.size("facts"))), F.lit(0)).alias("facts"),
+    ]
+
+
 def extract_into(store, messages: DataFrame, batch: int, provider: Callable[[], Provider] = ScriptedProvider, **options) -> DataFrame:
     """``extract`` with the cache table of ``store``: new answers are written to it, once, as
     ``batch``; then the answers about ``messages``, known and new, are read back.
 
     A failure is written too, as null facts, but counts as no answer: a later batch asks again.
+    What the batch did is counted as its answers are written, without another scan, and kept in the
+    table ``counters``.
     """
     known = store.current("cache", CACHE, before=batch).filter("facts IS NOT NULL")
     fresh = extract(messages.join(_same_text(messages, known), "message_id", "left_anti"), None, provider, **options)
-    store.replace(fresh, "cache", batch)
+    met = Observation("asked")
+    store.replace(fresh.observe(met, *counters()), "cache", batch)
+    store.append(store.spark.createDataFrame([(name, n) for name, n in met.get.items()], "name string, n long"), "counters", batch)
     wanted = messages.select("message_id", content_hash(F.col("content")).alias("text_hash"))
     return store.current("cache").join(wanted, ["message_id", "text_hash"], "left_semi")
 

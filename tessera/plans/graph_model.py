@@ -20,7 +20,7 @@ ASSOCIATED = "http://www.w3.org/ns/prov#wasAssociatedWith"
 DATE_TIME = "http://www.w3.org/2001/XMLSchema#dateTime"
 
 
-def _rows(df: DataFrame, subject, triples: list[tuple]) -> DataFrame:
+def _rows(df: DataFrame, subject, triples: list[tuple], also: tuple[str, ...] = ()) -> DataFrame:
     """Long rows (s, p, o, o_kind, o_datatype) of several statements about each row, in one scan.
 
     A statement with a null object is left out.
@@ -29,7 +29,8 @@ def _rows(df: DataFrame, subject, triples: list[tuple]) -> DataFrame:
         F.struct(subject.alias("s"), F.lit(p).alias("p") if isinstance(p, str) else p.alias("p"), o.cast("string").alias("o"), F.lit("iri" if kind == "iri" else "literal").alias("o_kind"), F.lit(DATE_TIME if kind == "time" else None).cast("string").alias("o_datatype"))
         for p, o, kind in triples
     ]
-    return df.select(F.explode(F.array(*parts)).alias("t")).select("t.*").filter("s is not null and o is not null")
+    kept = [c for c in also if c in df.columns]
+    return df.select(*kept, F.explode(F.array(*parts)).alias("t")).select(*kept, "t.*").filter("s is not null and o is not null")
 
 
 def _fact_parts(facts: DataFrame) -> list[tuple]:
@@ -110,14 +111,14 @@ def slug_collisions(facts: DataFrame) -> DataFrame:
     return named.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("names"), F.min("name").alias("label")).filter("names > 1")
 
 
-def n_triples(rows: DataFrame) -> DataFrame:
-    """One N-Triples line per long row."""
+def n_triples(rows: DataFrame, *also: str) -> DataFrame:
+    """One N-Triples line per long row, beside the columns ``also``."""
     escaped = F.col("o")
     for char, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
         escaped = F.replace(escaped, F.lit(char), F.lit(code))
     literal = F.concat(F.lit('"'), escaped, F.lit('"'), F.coalesce(F.concat(F.lit("^^<"), F.col("o_datatype"), F.lit(">")), F.lit("")))
     resource = F.concat(F.lit("<"), F.col("o"), F.lit(">"))
-    return rows.select(F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), F.when(F.col("o_kind") == "iri", resource).otherwise(literal), F.lit(" .")).alias("value"))
+    return rows.select(*also, F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), F.when(F.col("o_kind") == "iri", resource).otherwise(literal), F.lit(" .")).alias("value"))
 
 
 def paths(edges: DataFrame, start: str, hops: int = 3) -> DataFrame:

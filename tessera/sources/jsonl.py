@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -131,14 +132,16 @@ def tool_results(entries: DataFrame) -> DataFrame:
     return found.select(F.get_json_object("block", "$.tool_use_id").alias("tool_id"), F.when(F.coalesce(text, F.lit("")) != "", cut(text, TOOL_LENGTH)).alias("content"))
 
 
-def graph_rows(entries: DataFrame, developer: str = "developer", platform: str = "claude-code") -> DataFrame:
-    """The statements about sessions, messages, tools, models and the developer, as long rows. A set."""
-    return session_graph(sessions(entries, platform), messages(entries), developer, tool_calls(entries), tool_results(entries))
+def graph_rows(entries: DataFrame, developer: str = "developer", platform: str = "claude-code", by_session: bool = False) -> DataFrame:
+    """The statements about sessions, messages, tools, models and the developer, as long rows. A set, or one per session."""
+    return session_graph(sessions(entries, platform), messages(entries), developer, tool_calls(entries), tool_results(entries), by_session)
 
 
-def session_graph(s: DataFrame, m: DataFrame, developer: str = "developer", calls: DataFrame | None = None, results: DataFrame | None = None) -> DataFrame:
-    """The same for the sessions and messages of any platform; columns it does not have say nothing."""
-    spark = s.sparkSession
+def session_graph(s: DataFrame, m: DataFrame, developer: str = "developer", calls: DataFrame | None = None, results: DataFrame | None = None, by_session: bool = False) -> DataFrame:
+    """The same for the sessions and messages of any platform; columns it does not have say nothing.
+    ``by_session``: with the session, and what several sessions say is said of each."""
+    also = ("session",) if by_session else ()
+    rows_ = partial(G._rows, also=also)
     s = s.select(*[F.col(c) if c in s.columns else F.lit(None).cast("string").alias(c) for c in ("session", "platform", "created", "modified", "source_file", "project", "title")])
     m = m.select(*[F.col(c) if c in m.columns else F.lit(None).cast("string").alias(c) for c in ("session", "message_id", "role", "created", "content", "parent_id", "model", "working_directory")])
     term = lambda x: f"{G.TERM}{x}"
@@ -151,20 +154,22 @@ def session_graph(s: DataFrame, m: DataFrame, developer: str = "developer", call
     role = F.when(F.col("role") == "user", kind("UserMessage")).otherwise(kind("AssistantMessage"))
     tool = G.iri("toolcall", F.col("tool_id"))
     parts = [
-        G._rows(spark.range(1), dev, [(G.RDF_TYPE, kind("Developer"), "iri"), (G.LABEL, F.lit(developer), "text")]),
-        G._rows(s, session, [(G.RDF_TYPE, kind("Session"), "iri"), (term("hasSourcePlatform"), F.col("platform"), "text"), (G.CREATED, F.col("created"), "time"), (G.MODIFIED, F.col("modified"), "time"), (term("hasSourceFile"), F.col("source_file"), "text"), (G.ASSOCIATED, dev, "iri"), (term("belongsToProject"), project, "iri"), (G.TITLE, F.col("title"), "text")]),
-        G._rows(s.filter("project is not null"), project, [(G.RDF_TYPE, kind("Project"), "iri"), (G.LABEL, F.col("project"), "text")]),
-        G._rows(models(m), model, [(G.RDF_TYPE, kind("AIModel"), "iri"), (term("hasModel"), F.col("model"), "text"), (G.LABEL, F.col("model"), "text")]),
-        G._rows(models(m), session, [(G.ASSOCIATED, model, "iri")]),
-        G._rows(m, message, [(G.RDF_TYPE, role, "iri"), (term("hasMessageId"), F.col("message_id"), "text"), (term("usedInSession"), session, "iri"), (G.CONTAINER, session, "iri"), (G.CREATED, F.col("created"), "time"), (G.CONTENT, F.col("content"), "text"), (term("hasParentMessage"), G.message_iri(F.col("parent_id")), "iri"), (G.CREATOR, F.when(F.col("role") == "user", dev), "iri"), (term("hasWorkingDirectory"), F.col("working_directory"), "text")]),
+        rows_(s.select("session").distinct() if by_session else s.sparkSession.range(1), dev, [(G.RDF_TYPE, kind("Developer"), "iri"), (G.LABEL, F.lit(developer), "text")]),
+        rows_(s, session, [(G.RDF_TYPE, kind("Session"), "iri"), (term("hasSourcePlatform"), F.col("platform"), "text"), (G.CREATED, F.col("created"), "time"), (G.MODIFIED, F.col("modified"), "time"), (term("hasSourceFile"), F.col("source_file"), "text"), (G.ASSOCIATED, dev, "iri"), (term("belongsToProject"), project, "iri"), (G.TITLE, F.col("title"), "text")]),
+        rows_(s.filter("project is not null"), project, [(G.RDF_TYPE, kind("Project"), "iri"), (G.LABEL, F.col("project"), "text")]),
+        rows_(models(m), model, [(G.RDF_TYPE, kind("AIModel"), "iri"), (term("hasModel"), F.col("model"), "text"), (G.LABEL, F.col("model"), "text")]),
+        rows_(models(m), session, [(G.ASSOCIATED, model, "iri")]),
+        rows_(m, message, [(G.RDF_TYPE, role, "iri"), (term("hasMessageId"), F.col("message_id"), "text"), (term("usedInSession"), session, "iri"), (G.CONTAINER, session, "iri"), (G.CREATED, F.col("created"), "time"), (G.CONTENT, F.col("content"), "text"), (term("hasParentMessage"), G.message_iri(F.col("parent_id")), "iri"), (G.CREATOR, F.when(F.col("role") == "user", dev), "iri"), (term("hasWorkingDirectory"), F.col("working_directory"), "text")]),
     ]
     parts += [] if calls is None else [
-        G._rows(calls, tool, [(G.RDF_TYPE, kind("ToolCall"), "iri"), (term("hasToolName"), F.col("tool_name"), "text"), (term("usedInSession"), session, "iri"), (G.CREATED, F.col("created"), "time"), (G.DESCRIPTION, F.col("description"), "text")]),
-        G._rows(calls, message, [(term("invokedTool"), tool, "iri")]),
+        rows_(calls, tool, [(G.RDF_TYPE, kind("ToolCall"), "iri"), (term("hasToolName"), F.col("tool_name"), "text"), (term("usedInSession"), session, "iri"), (G.CREATED, F.col("created"), "time"), (G.DESCRIPTION, F.col("description"), "text")]),
+        rows_(calls, message, [(term("invokedTool"), tool, "iri")]),
     ]
+    if results is not None and by_session:
+        results = results.join(calls.select("tool_id", "session").distinct(), "tool_id")
     parts += [] if results is None else [
-        G._rows(results, G.iri("toolresult", F.col("tool_id")), [(G.RDF_TYPE, kind("ToolResult"), "iri"), (G.CONTENT, F.col("content"), "text")]),
-        G._rows(results, tool, [(term("hasToolResult"), G.iri("toolresult", F.col("tool_id")), "iri")]),
+        rows_(results, G.iri("toolresult", F.col("tool_id")), [(G.RDF_TYPE, kind("ToolResult"), "iri"), (G.CONTENT, F.col("content"), "text")]),
+        rows_(results, tool, [(term("hasToolResult"), G.iri("toolresult", F.col("tool_id")), "iri")]),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -38,7 +38,7 @@ BROADCAST_KEYS = 1_000_000
 #: Attempts to put a manifest in place beside other writers.
 COMMITS = 20
 #: What a table is hashed and replaced by.
-KEYS = {"ledger": "source", "dead_letter": "source", "cache": "message_id", "link_cache": "label", "links": "label", "candidates": "query_label", "round": "label"}
+KEYS = {"ledger": "source", "dead_letter": "source", "cache": "message_id", "link_cache": "label", "links": "label", "candidates": "query_label", "round": "label", "counters": "name"}
 
 
 class Conflict(Exception):
