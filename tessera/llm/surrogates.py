@@ -1,6 +1,6 @@
 """Personal data and secrets replaced by keyed surrogates of the same type and format.
 
-Detected entities: e-mail addresses, phone numbers, IPv4 addresses, payment card
+Detected entities: e-mail addresses, phone numbers, IP addresses, payment card
 numbers (issuer prefix and check digit right), social security numbers, IBANs,
 secrets, and names: after a title, after words that introduce a name, before an
 address in angle brackets, and then every further mention of such a name's words in
@@ -15,8 +15,9 @@ with nothing to look up or to shuffle. Cards keep issuer and check digit, IBANs
 country and checksum, addresses octets in range; letters stay in their script. A
 word of a name is numbered among all words of its script, the number permuted and
 spelt in syllables, as many as that domain needs, with an ending for the gender that
-a title in the document shows; so one person has one surrogate under any title and
-bare, and two words never share one, at any number of names.
+the mention's title shows, or for a bare mention the last title before it, else the
+first behind; so a name has one stem everywhere, whatever its title, and two words never
+share one, at any number of names.
 
 Collision check: surrogates that equal another entity of the document, which is then
 replaced itself, are counted in n_clashes; they are left as they are, since moving
@@ -59,6 +60,8 @@ NUMBER = re.compile(
     r"|(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]))",
     re.ASCII,
 )
+#: IPv6 addresses of eight groups, or shortened ones that begin with a group of three digits or more, one of them decimal.
+IPV6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f]*\d)[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])", re.ASCII)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII)
 SECRET = re.compile(
     r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9_/+=.-]{8,})"
@@ -67,7 +70,7 @@ SECRET = re.compile(
 )
 #: Titles and the gender that a surrogate name takes ("" where the title shows none).
 TITLES = {
-    "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f",
+    "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Sr": "m", "Sra": "f", "Srta": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f",
     "Señor": "m", "Señora": "f", "Señorita": "f", "Don": "m", "Doña": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
 }
 #: Words that introduce a name.
@@ -75,7 +78,7 @@ INTRODUCTIONS = (
     "my name is", "mein Name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут", "με λένε",
     "name:", "full name:", "contact:", "author:", "signed:", "nom:", "auteur:", "nombre:", "autor:", "kontakt:", "имя:", "автор:", "όνομα:",
 )
-_WORD_OF_NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]{1,20}"
+_WORD_OF_NAME = r"(?:[A-Z]['’])?[^\W\d_a-zа-яα-ω][^\W\d_]{1,20}"
 _NAME = rf"(?P<name>{_WORD_OF_NAME}(?:[ -]{_WORD_OF_NAME}){{0,2}})"
 PERSON = re.compile(r"\b(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\.? {_NAME}")
 INTRODUCED = re.compile(r"(?<!\w)(?i:" + "|".join(map(re.escape, sorted(INTRODUCTIONS, key=len, reverse=True))) + rf") {_NAME}")
@@ -207,6 +210,10 @@ class Surrogates:
         value = int.from_bytes(bytes(map(int, entity.split("."))), "big")
         return ".".join(map(str, self.permute(value, 1 << 32, tweak).to_bytes(4, "big")))
 
+    def _ipv6(self, entity: str, tweak: bytes) -> str:
+        low = entity.lower()
+        return self.permute.text(low, tweak, [c if c == ":" else _HEX for c in low])
+
     def _phone(self, entity: str, tweak: bytes) -> str:
         m = re.match(r"\+\d{1,3}(?=\D)", entity)
         head = m[0] if m else ""
@@ -259,9 +266,8 @@ class Surrogates:
     _name_m = lambda self, word, tweak: self._name(word, b"name", "m")
     _name_f = lambda self, word, tweak: self._name(word, b"name", "f")
 
-    def person(self, name: str, genders: dict[str, str]) -> str:
-        """A surrogate of each word; ``genders``: as titles of the document show them."""
-        gender = next((genders[w] for w in re.split("[ -]", name.lower()) if genders.get(w)), "")
+    def person(self, name: str, gender: str) -> str:
+        """A surrogate of each word, in the form of the gender."""
         kind = f"name_{gender}" if gender else "name"
         return "".join(w if w in " -" else self.of(kind, w) for w in re.split(r"([ -])", name))
 
@@ -280,6 +286,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
                     continue
             spans.append((m.start(), m.end(), kind))
         spans += [(m.start(), m.end(), "iban") for m in IBAN.finditer(text) if _iban_ok(m[0])]
+        if text.count(":") > 1:
+            spans += [(m.start(), m.end(), "ipv6") for m in IPV6.finditer(text)]
         for m in SECRET.finditer(text):
             group = m.lastgroup
             spans.append((m.start(group), m.end(group), "secret"))
@@ -294,7 +302,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if "@" in text and "<" in text:
         people += [(m.start("name"), m.end("name"), "person_") for m in ADDRESSED.finditer(text)]
     if people:
-        words = {x for a, b, _ in people for w in re.split("[ -]", text[a:b]) for x in (w, w.upper())}
+        words = {x for a, b, _ in people for w in re.split("[ -]", text[a:b]) for x in (w, w.upper(), w.capitalize())}
         again = re.compile(r"(?<![\w@])(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?![\w@])")
         spans += people + [(m.start(), m.end(), "person_") for m in again.finditer(text)]
     spans.sort(key=lambda s: (s[0], -s[1]))
@@ -311,22 +319,26 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, Counter, int, int]:
     spans = find(text)
     if not spans:
         return text, Counter(), 0, 0
-    genders: dict[str, str] = {}
-    for a, b, kind in spans:
-        if kind.startswith("person_") and kind != "person_":
-            for w in re.split("[ -]", text[a:b].lower()):
-                genders.setdefault(w, kind.partition("_")[2])
-    given: dict[tuple[str, str], str] = {}
+    genders: dict[str, str] = {}  # of a word, as the last title before shows it, or the first behind
+    titled = [(text[a:b].lower(), kind.partition("_")[2]) for a, b, kind in spans if kind.startswith("person_") and kind != "person_"]
+    for name, gender in titled:
+        for w in re.split("[ -]", name):
+            genders.setdefault(w, gender)
+    given: dict[tuple[str, str, str], str] = {}
     parts, at, counts = [], 0, Counter()
     for a, b, kind in spans:
-        kind, entity = kind.partition("_")[0], text[a:b]
-        if (kind, entity) not in given:
-            given[kind, entity] = surrogates.person(entity, genders) if kind == "person" else surrogates.of(kind, entity)
+        (kind, _, gender), entity = kind.partition("_"), text[a:b]
+        if kind == "person":
+            words = re.split("[ -]", entity.lower())
+            genders |= dict.fromkeys(words, gender) if gender else {}
+            gender = next((genders[w] for w in words if w in genders), "")
+        if (kind, entity, gender) not in given:
+            given[kind, entity, gender] = surrogates.person(entity, gender) if kind == "person" else surrogates.of(kind, entity)
         counts[kind] += 1
-        parts += [text[at:a], given[kind, entity]]
+        parts += [text[at:a], given[kind, entity, gender]]
         at = b
-    entities = {e for _, e in given}
-    return "".join([*parts, text[at:]]), counts, len(given), sum(new in entities for new in given.values())
+    entities = {e for _, e, _ in given}
+    return "".join([*parts, text[at:]]), counts, len({key[:2] for key in given}), sum(new in entities for new in given.values())
 
 
 def _each(batches: Iterator[pa.RecordBatch], at: int, key: bytes, build) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, small_batches
+from .shared import BROADCAST_ROWS, erase, join_counted, new_path, small_batches, written
 from .storage import RangeReader, create
 from .textkit import lean, utf8
 
@@ -44,11 +44,17 @@ INDEX_SCHEMA = "file string, offset long, length long, url string, digest string
 def revisits(pages: DataFrame) -> DataFrame:
     """(page_id, digest, keeper) of the records that repeat another's payload.
 
-    Works on ids and digests only; groups are counted with map-side combine.
+    Works on ids and digests only, which are written, as are the groups, counted with
+    map-side combine: so the join's sides are plain, and a payload of a third of all pages is
+    sent to or split over many tasks.
     """
     narrow = pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).filter(F.col("n") >= REVISIT_BYTES)
+    narrow = written(narrow, "payloads")
     groups = narrow.groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 and keeper is not null")
-    return narrow.join(groups, ["digest", "n"]).filter("not page_id <=> keeper").select("page_id", "digest", "keeper").distinct()
+    groups = written(groups, "payload-groups")
+    found = written(join_counted(narrow, groups, ["digest", "n"]).filter("not page_id <=> keeper").select("page_id", "digest", "keeper").distinct(), "revisits")
+    erase(narrow, groups)
+    return found
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
@@ -95,7 +101,8 @@ def write(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T0
     again = revisits(pages)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"))
     again = again.select(F.col("page_id").cast("long").alias("again_id"), F.col("digest").alias("again_digest"), F.col("keeper").cast("long").alias("keeper"))
-    joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "html", "keeper")
+    few = again.count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(again) if few else again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "html", "keeper")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()

@@ -183,3 +183,33 @@ def test_table(spark, nothing):
     assert out.columns == df.columns
     assert all(r.n_chars is None or r.n_chars == len(r.text) for r in out.collect())
     assert surrogates.redact(nothing).count() == 0
+
+
+def replaced(text):
+    return surrogates.replace(text, surrogates.Surrogates())
+
+
+def test_names_in_all_case_forms():
+    out, counts, _, _ = replaced("Dr. JONES came. Jones left, and JONES wrote.")
+    assert "ones" not in out and "ONES" not in out and counts["person"] == 3
+    first, second, third = re.match(r"Dr\. (\w+) came\. (\w+) left, and (\w+) wrote\.", out).groups()
+    assert first == third == second.upper()
+
+
+def test_gender_of_each_mention():
+    out = replaced("Mr. Smith and Mrs. Smith met. Smith left.")[0]
+    him, her, bare = re.match(r"Mr\. (\w+) and Mrs\. (\w+) met\. (\w+) left\.", out).groups()
+    assert him[:-2] == her[:-2] and him != her == bare  # one stem
+    same = replaced("Ms. Smith met. Smith left.")[0]
+    assert re.match(rf"Ms\. {her} met\. {her} left\.", same)
+
+
+@pytest.mark.parametrize(("text", "gone"), [("Mr. O'Brien called.", "O'Brien"), ("Sra. García llamó.", "García"), ("Sr. López llamó.", "López"), ("Prof. Weber schrieb.", "Weber"), ("from 2001:db8:85a3::8a2e:370:7334 on", "8a2e"), ("at 1:22:333:4444:5:6:7:8 now", "4444")])
+def test_titles_apostrophes_and_long_addresses(text, gone):
+    out, counts, distinct, _ = replaced(text)
+    assert gone not in out and sum(counts.values()) == distinct == 1
+
+
+@pytest.mark.parametrize("text", ["std::vector and abc::def", "at 12:30:45 and 10:20", "a::b 1::2", "ratio 3:4:5", "Dr. Smith's".replace("Dr. Smith's", "Smith's shop")])
+def test_what_is_no_address_or_name(text):
+    assert replaced(text)[0] == text
