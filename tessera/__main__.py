@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,9 @@ from .operators import agentic, batches, extraction, linking
 from .operators.hosted import catalogue_search
 from .operators.incremental import LEDGER_SCHEMA, changed
 from .plans import graph_model
-from .plans.sparql import encoded, sparql
-from .session import local_session
-from .sources import exports, jsonl, lines, terminal
+from .plans.sparql import encoded, sparql, stored
+from .session import local_session, scratch
+from .sources import exports, jsonl, lines, session_files, terminal
 from .streaming import jobs
 from .streaming.ingest import process, start
 from .streaming.store import Store
@@ -85,6 +86,7 @@ def arguments() -> argparse.ArgumentParser:
     export.add_argument("files")
     export.add_argument("out")
     export.add_argument("--developer", default="developer")
+    export.add_argument("--by-session", action="store_true", help="a file per session, which replaces the session's former one")
     ask = commands.add_parser("sparql", help="run a SELECT over the statements about session files and a store's facts")
     ask.add_argument("files")
     ask.add_argument("query")
@@ -187,13 +189,18 @@ def main(args: list[str] | None = None) -> int:
     if options.command == "list":
         exports.listing(exports.tree_messages(exports.trees(exports.read_zips(spark, options.zip)))).show(1000, truncate=60)
         return 0
-    rows = jsonl.graph_rows(jsonl.entries(jsonl.read_files(spark, options.files)), getattr(options, "developer", "developer"))
+    entries = jsonl.entries(jsonl.read_files(spark, options.files))
+    if options.command == "export" and options.by_session:
+        session_files.write(jsonl.graph_rows(entries, options.developer, by_session=True), options.out)
+        return 0
+    rows = jsonl.graph_rows(entries, getattr(options, "developer", "developer"))
     if options.command == "export":
         graph_model.n_triples(rows).write.text(options.out)
         return 0
     if options.store:
         rows = rows.unionByName(graph_model.fact_rows(Store(spark, options.store).current("facts")))
-    sparql(encoded(rows), options.query).show(1000, truncate=False)
+    terms = stored(encoded(rows), f"{scratch(spark)}/terms-{uuid.uuid4().hex}")
+    sparql(terms, options.query).show(1000, truncate=False)
     return 0
 
 

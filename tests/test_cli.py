@@ -36,6 +36,8 @@ def test_export(spark, tmp_path):
     main(["export", str(tmp_path / "in" / "s1.jsonl"), str(tmp_path / "out")])
     lines = [line for p in (tmp_path / "out").glob("part-*") for line in p.read_text().splitlines()]
     assert len(lines) == len(set(lines)) > 15 and all(line.endswith(" .") for line in lines)
+    main(["export", str(tmp_path / "in" / "s1.jsonl"), str(tmp_path / "sessions"), "--by-session"])
+    assert sorted((tmp_path / "sessions" / "s1.ttl").read_text().splitlines()) == sorted(lines)
 
 
 def test_link_with_a_cache(spark, tmp_path, capfd):
