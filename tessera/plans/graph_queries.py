@@ -15,6 +15,11 @@ from ..functions.identifiers import CATALOGUE
 TOP = 20
 
 
+def _dealt(rows: DataFrame, tasks: int | None, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` to so many tasks, if a number is given: what is distinct or grouped by the key and more needs no other shuffle."""
+    return rows.repartition(tasks, key) if tasks else rows
+
+
 def sessions(sessions: DataFrame) -> DataFrame:
     return sessions.select("session", "platform", "created", "modified").orderBy(F.col("created").asc_nulls_first(), "session")
 
@@ -48,10 +53,10 @@ def relation_between(facts: DataFrame, subject: str, object_: str, length: int =
     return facts.filter(both).select("predicate", F.substring("content", 1, length).alias("snippet"))
 
 
-def cooccurrence(facts: DataFrame, top: int = TOP) -> DataFrame:
+def cooccurrence(facts: DataFrame, top: int = TOP, tasks: int | None = None) -> DataFrame:
     """Directed pairs of different entities, by the number of facts."""
-    pairs = facts.filter("subj != obj").groupBy(F.col("subj_name").alias("label1"), F.col("obj_name").alias("label2"))
-    return pairs.agg(F.countDistinct("triple_id").alias("cooccurrences")).orderBy(F.col("cooccurrences").desc(), "label1", "label2").limit(top)
+    pairs = _dealt(facts.filter("subj != obj").select("triple_id", F.col("subj_name").alias("label1"), F.col("obj_name").alias("label2")), tasks, "triple_id").distinct()
+    return pairs.groupBy("label1", "label2").agg(F.count("triple_id").alias("cooccurrences")).orderBy(F.col("cooccurrences").desc(), "label1", "label2").limit(top)
 
 
 def sessions_by_platform(sessions: DataFrame) -> DataFrame:
@@ -85,10 +90,11 @@ def sessions_by_project(sessions: DataFrame) -> DataFrame:
     return sessions.filter("project is not null").groupBy(F.col("project").alias("project_label")).agg(F.count(F.lit(1)).alias("sessions")).orderBy(F.col("sessions").desc(), "project_label")
 
 
-def hubs(facts: DataFrame, top: int = TOP) -> DataFrame:
+def hubs(facts: DataFrame, top: int = TOP, tasks: int | None = None) -> DataFrame:
     """The entities in most facts, in either role: both roles from one scan."""
-    roles = facts.select("triple_id", F.explode(F.array("subj_name", "obj_name")).alias("label"))
-    return roles.groupBy("label").agg(F.countDistinct("triple_id").alias("degree")).orderBy(F.col("degree").desc(), "label").limit(top)
+    dealt = _dealt(facts.select("triple_id", "subj_name", "obj_name"), tasks, "triple_id")
+    roles = dealt.select("triple_id", F.explode(F.array("subj_name", "obj_name")).alias("label")).distinct()
+    return roles.groupBy("label").agg(F.count("triple_id").alias("degree")).orderBy(F.col("degree").desc(), "label").limit(top)
 
 
 def relates_contains(facts: DataFrame, subject: str, object_: str, length: int = 150) -> DataFrame:
