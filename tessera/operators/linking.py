@@ -22,9 +22,11 @@ KEPT_OTHERS = 3
 CANDIDATE = T.StructType([T.StructField("query_label", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("qid", T.StringType()), T.StructField("label", T.StringType()), T.StructField("description", T.StringType()), T.StructField("aliases", T.ArrayType(T.StringType()))])
 
 
-def label_sources(facts: DataFrame, source: str = "session") -> DataFrame:
-    """(label, sources): in how many sources each entity label occurs, in either role."""
-    roles = facts.select(F.col(source).alias("source"), F.explode(F.array("subj_name", "obj_name")).alias("label")).distinct()
+def label_sources(facts: DataFrame, source: str = "session", tasks: int | None = None) -> DataFrame:
+    """(label, sources): in how many sources each entity label occurs, in either role; sources are dealt to ``tasks`` tasks, if given."""
+    named = facts.select(F.col(source).alias("source"), "subj_name", "obj_name")
+    named = named.repartition(tasks, "source") if tasks else named
+    roles = named.select("source", F.explode(F.array("subj_name", "obj_name")).alias("label")).distinct()
     return roles.groupBy("label").agg(F.count(F.lit(1)).alias("sources"))
 
 
@@ -40,7 +42,9 @@ def frequent(labels: DataFrame, minimum: int = MIN_SESSIONS) -> DataFrame:
 def contexts(facts: DataFrame, keep: int = CONTEXT_FACTS) -> DataFrame:
     """(label, context): for each lower-cased label its first facts in order, as a phrase."""
     text = F.concat_ws(" ", strip(F.col("subj_name")), "predicate", strip(F.col("obj_name")))
-    roles = facts.select(text.alias("fact"), F.explode(F.array(F.lower(strip(F.col("subj_name"))), F.lower(strip(F.col("obj_name"))))).alias("label")).filter("label != ''").distinct()
+    # the same fact of many messages is one before it is spelt out
+    said = facts.select("subj_name", "predicate", "obj_name").distinct()
+    roles = said.select(text.alias("fact"), F.explode(F.array(F.lower(strip(F.col("subj_name"))), F.lower(strip(F.col("obj_name"))))).alias("label")).filter("label != ''").distinct()
     place = F.row_number().over(Window.partitionBy("label").orderBy("fact"))
     first = roles.withColumn("place", place).filter(F.col("place") <= keep)
     quoted = F.transform(F.sort_array(F.collect_list("fact")), lambda f: F.concat(F.lit('"'), f, F.lit('"')))
@@ -138,9 +142,9 @@ def search(labels: DataFrame, provider: Callable[[], Callable], concurrency: int
 LINK_CACHE = "label string, qid string, confidence double, description string, aliases array<string>"
 
 
-def link_names(facts: DataFrame, minimum: int = MIN_SESSIONS) -> DataFrame:
+def link_names(facts: DataFrame, minimum: int = MIN_SESSIONS, tasks: int | None = None) -> DataFrame:
     """The frequent canonical names that a catalogue could hold."""
-    return frequent(label_sources(facts), minimum).filter(is_linkable_entity(F.col("canonical"))).select(F.col("canonical").alias("label"))
+    return frequent(label_sources(facts, tasks=tasks), minimum).filter(is_linkable_entity(F.col("canonical"))).select(F.col("canonical").alias("label"))
 
 
 def unknown(store, names: DataFrame, batch: int) -> DataFrame:
@@ -180,10 +184,10 @@ def link_into(store, facts: DataFrame, provider: Callable[[], Callable[[str], li
     return cached_links(store, names, threshold)
 
 
-def link(facts: DataFrame, candidates: DataFrame, cache: DataFrame | None = None, minimum: int = MIN_SESSIONS, threshold: float = CONFIDENCE) -> DataFrame:
+def link(facts: DataFrame, candidates: DataFrame, cache: DataFrame | None = None, minimum: int = MIN_SESSIONS, threshold: float = CONFIDENCE, tasks: int | None = None) -> DataFrame:
     """The whole of linking: frequent canonical names that a catalogue could hold, the
     cache's answers, the best candidates of the rest, above the threshold."""
-    names = link_names(facts, minimum)
+    names = link_names(facts, minimum, tasks)
     columns = ("query_label", "qid", "confidence")
     fresh = names
     parts = []
