@@ -7,6 +7,7 @@ order are fixed values.
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -32,11 +33,11 @@ def _map(pairs: dict[str, str]) -> Column:
 
 def normalize_predicate(name: Column) -> Column:
     """A vocabulary predicate: as written, in camel case, or in any case; else the fallback."""
-    parts = F.filter(F.split(F.lower(name), r"[_\s-]+"), lambda p: p != "")
-    camel = F.concat(F.coalesce(F.get(parts, F.lit(0)), F.lit("")), F.array_join(F.transform(F.slice(parts, 2, 1000), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000))), ""))
+    spelt = F.btrim(F.regexp_replace(F.lower(name), r"[_\s-]+", "-"), F.lit("-"))
+    camel = F.element_at(_map({re.sub("([A-Z])", r"-\1", p).lower(): p for p in ALL_PREDICATES}), spelt)
     any_case = _map({p.lower(): p for p in ALL_PREDICATES})
     known = name.isin(*ALL_PREDICATES)
-    return F.when(known, name).when(camel.isin(*ALL_PREDICATES), camel).otherwise(F.coalesce(F.element_at(any_case, F.lower(name)), F.lit(FALLBACK)))
+    return F.when(known, name).otherwise(F.coalesce(camel, F.element_at(any_case, F.lower(name)), F.lit(FALLBACK)))
 
 
 def normalize_label(label: Column) -> Column:
@@ -52,38 +53,35 @@ def _extension(names: tuple[str, ...]) -> str:
     return "|".join(n.replace(".", r"\.") for n in names)
 
 
+#: What no concept's name begins with, or is as a whole: one pattern, so that a name is handed to it once and not once a rule.
+_NOISE = "^(?:" + "|".join([
+    r"[#@$*!~.:-]",
+    r"/",
+    rf"(?Ui:[\w@./-][\w./-]*\.(?:{_extension(EXTENSIONS)})$)",  # file names
+    r"(?Ui:[a-z]\d{2,}(\.\d+)?$)",  # classification codes
+    r"(?Ui:[a-z]+_\d{3}_\d{3}$)",
+    r"(?Ui:[a-z]+_\d+$)",
+    r"[a-z][a-z0-9]*(_[a-z0-9]+){2,}$",  # identifiers of three parts or more
+    r"(?U:\d+\s)",
+    r"(?U:\d+\.\d+)",
+    r"(?U:\d+px)",
+    r"(?U:\d+$)",
+    r"(?U:\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$)",
+    r"(?Ui:\d+\s*(seconds?|minutes?|hours?|days?|ms|s|m|h|kb|mb|gb|tb)\b)",
+    r"(?i:[0-9a-f]{6,}$)",  # hashes
+    r"(?U:\d+\s+\w+s$)",
+    r"(?Ui:\d+(st|nd|rd|th)\b)",
+    r"(?U:\d+/\d+)",
+    r"(?U:\s*+\S++(?:\s++\S++){3})",  # more than three words
+]) + ")"
+#: What no concept's name holds anywhere.
+_NOISE_WITHIN = r"[\\%\[\]()]|(?Ui:\d+(px|vh|vw|em|rem|pt|%)\b)"
+
+
 def is_valid_entity(name: Column) -> Column:
     """First filter, on normalised names: is this a concept rather than noise?"""
-    u, ui = "(?U)", "(?U)(?i)"
-    reject_first = [
-        F.substring(name, 1, 1).isin("#", "@", "$", "*", "!", "~", ".", ":", "-"),
-        name.startswith("/") | name.contains("\\"),
-        name.rlike(ui + rf"^[\w@./-][\w./-]*\.({_extension(EXTENSIONS)})$"),  # file names
-        name.rlike(ui + r"^[a-z]\d{2,}(\.\d+)?$"),  # classification codes
-        name.rlike(ui + r"^[a-z]+_\d{3}_\d{3}$"),
-        name.rlike(ui + r"^[a-z]+_\d+$"),
-        name.rlike(r"^[a-z][a-z0-9]*(_[a-z0-9]+){2,}$"),  # identifiers of three parts or more
-        name.rlike(u + r"^\d+\s"),
-        name.rlike(u + r"^\d+\.\d+"),
-        name.rlike(u + r"^\d+px"),
-        name.rlike(u + r"^\d+$"),
-        name.rlike(u + r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"),
-        name.rlike(ui + r"^\d+\s*(seconds?|minutes?|hours?|days?|ms|s|m|h|kb|mb|gb|tb)\b"),
-        name.rlike(r"(?i)^[0-9a-f]{6,}$"),  # hashes
-        name.rlike(u + r"^\d+\s+\w+s$"),
-        name.rlike(ui + r"^\d+(st|nd|rd|th)\b"),
-        name.rlike(u + r"^\d+/\d+"),
-        name.rlike(ui + r"\d+(px|vh|vw|em|rem|pt|%)\b"),
-        name.contains("%"),
-        name.rlike(r"[\[\]]"),
-        name.rlike(r"[()]"),
-        F.char_length(name) == 2,
-        _words(name) > 3,
-    ]
     ladder = F.when(name.isNull() | (F.char_length(name) <= 1) | name.isin(*STOPWORDS), False).when(name.isin(*WHITELIST), True)
-    for rule in reject_first:
-        ladder = ladder.when(rule, False)
-    return ladder.otherwise(True)
+    return ladder.when((F.char_length(name) == 2) | name.rlike(_NOISE) | name.rlike(_NOISE_WITHIN), False).otherwise(True)
 
 
 def is_linkable_entity(label: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.responses import parse_response
+from ..functions.responses import parsed
 from .extraction import build_prompt, facts_of
 
 TEMPERATURE = 0.2
@@ -29,10 +29,10 @@ def read_answers(lines: DataFrame, drop_empty: bool = False) -> DataFrame:
     """
     raw = F.get_json_object("value", "$.response.candidates[0].content.parts[0].text")
     meta = F.get_json_object("value", "$.metadata")
-    out = lines.select(
-        F.get_json_object(meta, "$.message_id").alias("message_id"), F.get_json_object(meta, "$.session_id").alias("session_id"), F.get_json_object(meta, "$.source_file").alias("source_file"), raw.alias("raw"),
-    ).filter("message_id is not null and raw is not null")
-    out = out.select("message_id", "session_id", "source_file", parse_response(F.col("raw")).alias("facts")).filter("facts is not null")
+    keys = ("message_id", "session_id", "source_file")
+    out = lines.select(*[F.get_json_object(meta, f"$.{k}").alias(k) for k in keys], raw.alias("raw")).filter("message_id is not null and raw is not null")
+    # lines are told apart by their place: the same message may be answered twice
+    out = parsed(out.withColumn("line", F.monotonically_increasing_id()), "line", *keys).filter("facts is not null").drop("line")
     return out.filter(F.size("facts") > 0) if drop_empty else out
 
 
