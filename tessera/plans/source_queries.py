@@ -10,7 +10,8 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timestamps
@@ -37,23 +38,31 @@ def query(sql: str) -> Callable:
     return add
 
 
+#: Turns and events whose texts one task gathers, and conversations that are made into archives at once.
+TURNS, EVENTS, AT_ONCE = 50_000, 50_000, 64
+
+
 def _zips(t: Star, entries: Callable[[int, list], dict[str, str]]) -> DataFrame:
     """(source, content): one zip per conversation, of the named texts that ``entries`` makes of its turns."""
     ship_package(t.spark)
-    turns = t.messages().groupBy("session").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "content"))).alias("turns"))
+    turns = t.messages().select("session", F.struct("seq", "role", "content").alias("turn")).repartition(t.tasks("conversations", TURNS), "session")
+    turns = turns.groupBy("session").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for session, listed in zip(batch["session"], batch["turns"], strict=True):
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w") as z:
-                    for name, text in entries(int(session), list(listed)).items():
-                        z.writestr(name, text)
-                rows.append((f"export-{session}.zip", out.getvalue()))
-            yield pd.DataFrame(rows, columns=["source", "content"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE).to_pydict()
+                sources, contents = [], []
+                for session, listed in zip(part["session"], part["turns"], strict=True):
+                    out = io.BytesIO()
+                    with zipfile.ZipFile(out, "w") as z:
+                        for name, text in entries(session, listed).items():
+                            z.writestr(name, text)
+                    sources.append(f"export-{session}.zip")
+                    contents.append(out.getvalue())
+                yield pa.RecordBatch.from_pydict({"source": pa.array(sources, pa.string()), "content": pa.array(contents, pa.binary())})
 
-    return turns.mapInPandas(run, "source string, content binary")
+    return turns.mapInArrow(run, "source string, content binary")
 
 
 def _tree(session: int, turns: list) -> dict[str, str]:
@@ -142,15 +151,24 @@ def a16_sqlite_messages(t: Star) -> DataFrame:
 
 
 def _tool_files(t: Star) -> DataFrame:
-    """Session files of tool uses and results, a file per user, a line each per event."""
-    use = F.to_json(F.struct(F.lit("assistant").alias("type"), F.concat(F.lit("u"), F.col("session").cast("string")).alias("sessionId"), F.concat(F.lit("m"), F.col("tool_id").cast("string")).alias("uuid"),
-                             F.struct(F.array(F.struct(F.lit("text").alias("type"), F.lit("using").alias("text"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<k:long,what:string>").alias("input")),
-                                              F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("t"), F.col("tool_id").cast("string")).alias("id"), F.when(F.col("tool_id") % 5 != 0, F.col("tool_name")).alias("name"),
-                                                       F.struct(F.col("tool_id").alias("k"), F.repeat(F.col("tool_name"), 150).alias("what")).alias("input"))).alias("content")).alias("message")))
-    result = F.to_json(F.struct(F.lit("user").alias("type"), F.concat(F.lit("u"), F.col("session").cast("string")).alias("sessionId"), F.concat(F.lit("r"), F.col("tool_id").cast("string")).alias("uuid"),
-                                F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), F.col("tool_id").cast("string")).alias("tool_use_id"), F.concat(F.lit("done "), F.col("description")).alias("content"))).alias("content")).alias("message")))
-    lines = t.tool_calls().select("session", F.struct("tool_id", F.concat_ws("\n", use, result).alias("lines")).alias("x"))
-    return lines.groupBy("session").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["lines"]), "\n").alias("text")).select(F.concat(F.lit("inbox/u"), F.col("session").cast("string"), F.lit(".jsonl")).alias("source"), "text")
+    """Session files of tool uses and results, a file per user, a line each per event; lines are spelt out after events are gathered by file."""
+
+    def use(x: Column) -> Column:
+        tool = x["tool_id"].cast("string")
+        return F.to_json(F.struct(F.lit("assistant").alias("type"), F.concat(F.lit("u"), F.col("session").cast("string")).alias("sessionId"), F.concat(F.lit("m"), tool).alias("uuid"),
+                         F.struct(F.array(F.struct(F.lit("text").alias("type"), F.lit("using").alias("text"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<k:long,what:string>").alias("input")),
+                                          F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("t"), tool).alias("id"), F.when(x["tool_id"] % 5 != 0, x["tool_name"]).alias("name"),
+                                                   F.struct(x["tool_id"].alias("k"), F.repeat(x["tool_name"], 150).alias("what")).alias("input"))).alias("content")).alias("message")))
+
+    def result(x: Column) -> Column:
+        tool = x["tool_id"].cast("string")
+        return F.to_json(F.struct(F.lit("user").alias("type"), F.concat(F.lit("u"), F.col("session").cast("string")).alias("sessionId"), F.concat(F.lit("r"), tool).alias("uuid"),
+                         F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), tool).alias("tool_use_id"), F.concat(F.lit("done "), x["description"]).alias("content"))).alias("content")).alias("message")))
+
+    source = F.concat(F.lit("inbox/u"), F.col("session").cast("string"), F.lit(".jsonl"))
+    calls = t.tool_calls().select(source.alias("source"), "session", F.struct("tool_id", "tool_name", "description").alias("x")).repartition(t.tasks("events", EVENTS), "source")
+    listed = calls.groupBy("source").agg(F.min("session").alias("session"), F.sort_array(F.collect_list("x")).alias("calls"))
+    return listed.select("source", F.array_join(F.transform("calls", lambda x: F.concat_ws("\n", use(x), result(x))), "\n").alias("text"))
 
 
 _INPUT = """'{"k": ' || event_id || ', "what": "' || repeat(event_type, 150) || '"}'"""

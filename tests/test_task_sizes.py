@@ -29,3 +29,36 @@ def test_facts_of_large_dimensions(spark, small, monkeypatch):
     few = sorted(t.facts().select("triple_id", "subj_name", "obj_name").collect())
     monkeypatch.setattr(star, "BROADCAST_ROWS", 5)
     assert sorted(t.facts().select("triple_id", "subj_name", "obj_name").collect()) == few
+
+
+def test_names_are_judged_by_few_patterns(spark):
+    from tessera.functions.entities import is_valid_entity, normalize_predicate
+
+    plan = spark.range(1).select(F.col("id").cast("string").alias("n")).select(is_valid_entity(F.col("n")).alias("v"), normalize_predicate(F.col("n")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 2
+    assert "lambda" not in plan
+
+
+def test_answers_to_one_message_stay_apart(spark):
+    """Two lines about one message, the same or not, are two answers."""
+    import json
+
+    from tessera.operators import batches
+
+    def line(*objects):
+        text = json.dumps([{"subject": "flask", "predicate": "uses", "object": o} for o in objects])
+        return (json.dumps({"response": {"candidates": [{"content": {"parts": [{"text": text}]}}]}, "metadata": {"message_id": "m", "session_id": "s", "source_file": "f"}}),)
+
+    lines = spark.createDataFrame([line("werkzeug"), line("werkzeug"), line("jinja", "werkzeug")], "value string")
+    assert sorted(len(r.facts) for r in batches.read_answers(lines).collect()) == [1, 1, 2]
+    assert [tuple(r) for r in batches.by_source(batches.read_answers(lines)).collect()] == [("f", 3, 4)]
+
+
+def test_files_and_archives_are_dealt_by_their_rows(spark, monkeypatch):
+    from tessera.plans import source_queries
+
+    t = star.Star(spark, FOLDER)
+    monkeypatch.setattr(source_queries, "EVENTS", 50)
+    monkeypatch.setattr(source_queries, "TURNS", 5)
+    assert source_queries._tool_files(t).rdd.getNumPartitions() == -(-t.table("events").count() // 50)
+    assert source_queries._zips(t, source_queries._tree).rdd.getNumPartitions() == max(4, -(-t.table("conversations").count() // 5))
