@@ -13,13 +13,15 @@ no bound variable are not multiplied: under OPTIONAL they stay as they are, else
 they are left out.
 
 ``stored`` writes the view once, a folder per predicate, with the number of triples of
-each: a pattern with a predicate then reads that folder alone, and patterns are joined
-from the smallest on.
+each, dealt by subject into buckets: a pattern with a predicate then reads that folder
+alone, patterns of one subject are joined where they lie, and those that are small by
+their number are broadcast. Subjects are joined from the smallest on.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -33,6 +35,8 @@ _TOKEN = re.compile(
     |(?P<num>\d+(?:\.\d+)?)|(?P<prefixed>(?:[A-Za-z_][\w-]*)?:[\w-]*)|(?P<word>[A-Za-z_]\w*)|(?P<op>\^\^|&&|\|\||!=|<=|>=|[{}().;,=<>!+*/-]))""",
     re.X,
 )
+#: Triples of a stored pattern up to which it is sent to every executor.
+BROADCAST_ROWS = 200_000
 _AGGREGATES = {"COUNT", "SUM", "MIN", "MAX", "AVG", "GROUP_CONCAT", "SAMPLE"}
 
 
@@ -279,12 +283,34 @@ class Parser:
         return query
 
 
+def resource(name: Column) -> Column:
+    """The term of an IRI."""
+    return F.concat(F.lit("<"), name, F.lit(">"))
+
+
+def predicates(text: str) -> set[str] | None:
+    """IRIs of the predicates that a SELECT's patterns name, services apart; None if one is a variable. The
+    solutions depend on no other triples."""
+
+    def patterns(group: Group) -> list[tuple]:
+        inner = [*group.optionals, *(g for union in group.unions for g in union)]
+        return [*group.patterns, *(p for g in inner for p in patterns(g))]
+
+    named = [p for _, p, _ in patterns(Parser(text).select()["where"])]
+    return {value[1:-1] for _, value in named} if all(kind == "term" for kind, _ in named) else None
+
+
 def encoded(rows: DataFrame) -> DataFrame:
     """Long rows (s, p, o, o_kind, o_datatype [, o_lang]) as a set of terms (s, p, o)."""
+    return spelt(rows).distinct()
+
+
+def spelt(rows: DataFrame) -> DataFrame:
+    """Long rows as terms, each row for itself: a set if no two rows say the same."""
     lang = F.concat(F.lit("@"), F.col("o_lang")) if "o_lang" in rows.columns else F.lit(None).cast("string")
     literal = F.concat(F.lit('"'), F.col("o"), F.lit('"'), F.coalesce(lang, F.concat(F.lit("^^<"), F.col("o_datatype"), F.lit(">")), F.lit("")))
-    iri = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
-    return rows.select(iri("s").alias("s"), iri("p").alias("p"), F.when(F.col("o_kind") == "iri", iri("o")).otherwise(literal).alias("o")).distinct()
+    iri = lambda c: resource(F.col(c))
+    return rows.select(iri("s").alias("s"), iri("p").alias("p"), F.when(F.col("o_kind") == "iri", iri("o")).otherwise(literal).alias("o"))
 
 
 def lexical(term: Column) -> Column:
@@ -318,11 +344,26 @@ class Stored:
     sizes: dict[str, int]
 
 
-def stored(triples: DataFrame, folder: str) -> Stored:
-    """Terms (s, p, o) written to ``folder`` by predicate. There are as many sizes as predicates, a
-    vocabulary's; a large predicate is split into several files, small ones are one."""
-    triples.select("s", "o", "p").hint("rebalance", "p").write.mode("overwrite").partitionBy("p").parquet(folder)
-    read = triples.sparkSession.read.schema("s string, o string, p string").parquet(folder).select("s", "p", "o")
+def stored(triples: DataFrame, folder: str, buckets: int | None = None) -> Stored:
+    """Terms (s, p, o), a set, written to ``folder`` by predicate, each in ``buckets`` by subject. There are
+    as many sizes as predicates, a vocabulary's."""
+    buckets = buckets or triples.sparkSession.sparkContext.defaultParallelism
+    return _kept(triples.repartition(buckets, "s"), folder, buckets)
+
+
+def stored_parts(parts: list[tuple[DataFrame, Column, Callable[[DataFrame], DataFrame]]], folder: str, buckets: int) -> Stored:
+    """``stored`` of parts (compact rows, the subject's term, what makes terms of the rows): the compact
+    rows are dealt by subject and spelt out where they are written, so that no term is shuffled. All terms
+    of a row have its subject, and no two rows say the same."""
+    dealt = [spell(rows.repartition(buckets, subject)) for rows, subject, spell in parts]
+    return _kept(reduce(lambda a, b: a.unionByName(b), dealt), folder, buckets)
+
+
+def _kept(dealt: DataFrame, folder: str, buckets: int) -> Stored:
+    """A task has one bucket's rows, so a bucket is one file for each predicate and part."""
+    spark, name = dealt.sparkSession, f"terms_{uuid.uuid4().hex}"
+    dealt.select("s", "o", "p").write.partitionBy("p").bucketBy(buckets, "s").option("path", folder).format("parquet").saveAsTable(name)
+    read = spark.table(name).select("s", "p", "o")
     return Stored(read, {r["p"]: r["n"] for r in read.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()})
 
 
@@ -368,9 +409,19 @@ class Compiler:
             raise SparqlError("a pattern without a variable")
         return rows.select(*[F.col(c).alias(n) for n, c in names.items()])
 
+    def by_subject(self, patterns: list[tuple], triples: DataFrame) -> list[DataFrame]:
+        """Solutions of patterns; those of one subject are joined, since stored triples lie by subject."""
+        if self.sizes is None or triples is not self.triples:
+            return [self.pattern(triples, p) for p in patterns]
+        stars: dict[tuple, list[tuple]] = {}
+        for p in patterns:
+            stars.setdefault(p[0] if p[0][0] == "var" else p, []).append(p)
+        alone = lambda p: F.broadcast(self.pattern(triples, p)) if self.size(p) <= BROADCAST_ROWS else self.pattern(triples, p)
+        return [alone(star[0]) if len(star) == 1 else reduce(self.joined, [self.pattern(triples, p) for p in star]) for star in stars.values()]
+
     def group(self, group: Group, triples: DataFrame, filtered: bool = True) -> tuple[DataFrame, dict[str, str]]:
-        """(solutions, kind of each variable). Patterns that share variables are joined first."""
-        parts = [self.pattern(triples, p) for p in sorted(group.patterns, key=self.size)]
+        """(solutions, kind of each variable). Patterns of one subject are joined first, then those that share variables."""
+        parts = self.by_subject(sorted(group.patterns, key=self.size), triples)
         kinds: dict[str, str] = {c: "term" for p in parts for c in p.columns}
         for union in group.unions:
             sides = [self.group(g, triples) for g in union]

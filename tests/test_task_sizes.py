@@ -62,3 +62,34 @@ def test_files_and_archives_are_dealt_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(source_queries, "TURNS", 5)
     assert source_queries._tool_files(t).rdd.getNumPartitions() == -(-t.table("events").count() // 50)
     assert source_queries._zips(t, source_queries._tree).rdd.getNumPartitions() == max(4, -(-t.table("conversations").count() // 5))
+
+
+@pytest.mark.parametrize("name", ["s15_sparql_hubs", "s17_sparql_platform_lists"])
+def test_patterns_of_one_subject_are_joined_where_they_lie(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning(" in plan
+    assert "Exchange hashpartitioning(fact" not in plan
+
+
+def test_parts_stored_by_subject(spark, tmp_path):
+    """Stored parts are the terms of their long rows, each bucket of a predicate in one file."""
+    from pathlib import Path
+
+    from tessera.plans import graph_model
+    from tessera.plans.sparql import encoded, predicates, resource, spelt, stored_parts
+
+    facts = star.Star(spark, FOLDER).facts()
+    parts = lambda named=None: [(r, resource(s), lambda d, spell=spell: spelt(spell(d))) for r, s, spell in graph_model.fact_row_parts(facts, named)]
+    want = encoded(graph_model.fact_rows(facts))
+    kept = stored_parts(parts(), str(tmp_path / "all"), 3)
+    assert kept.triples.exceptAll(want).count() == want.exceptAll(kept.triples).count() == 0
+    assert max(len(list(p.glob("*.parquet"))) for p in Path(tmp_path / "all").iterdir() if p.name.startswith("p=")) <= 6
+    named = predicates("PREFIX kg: <http://tessera.local/terms#> SELECT ?f WHERE { { ?f kg:tripleSubject ?e } UNION { ?f kg:tripleObject ?e OPTIONAL { ?e a kg:Entity } } }")
+    some = stored_parts(parts(named), str(tmp_path / "some"), 3).triples
+    asked = want.filter(F.col("p").isin(*[f"<{p}>" for p in named]))
+    assert len(named) == 3 and asked.count() and some.exceptAll(asked).count() == asked.exceptAll(some).count() == 0
+    assert predicates("SELECT ?s WHERE { ?s ?p ?o }") is None
