@@ -2,7 +2,8 @@
 
 Every step is a join on an aggregate with map-side combine; between steps the
 edges are a table in the shared folder, so lineage stays short and a lost executor
-costs one step. Edges that change nothing are dropped, so tables only shrink.
+costs one step. Edges that change nothing are dropped, so tables only shrink. What the
+driver holds of a step's shuffles is let go before the next, however many steps there are.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import erase, written
+from .shared import erase, release, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,6 +35,8 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         moved = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         last, stars = stars, written(moved.unionByName(low.withColumnRenamed("m", "b")).distinct(), name, rows=2 * before[0])
         erase(last)
+        del last, both, least, large, low, moved
+        release(edges.sparkSession)
         now = _state(stars)
         if now == before:
             break

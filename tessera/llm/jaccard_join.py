@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import batches_of, erase, join_counted, small_batches, unused, written
+from .shared import batches_of, erase, join_counted, release, small_batches, unused, written
 from .textkit import lean, mix64, shingles, slices, utf8
 
 WORDS = 5
@@ -321,11 +321,13 @@ def candidate_edges(nodes: DataFrame, runs: int) -> DataFrame:
         found.append(_compare(_in_core_blocks(split.filter("kind > 0")), "path", "low", "high"))
         rows = split.filter("kind = 0").drop("kind")
         tables += [leaders, common, members, split]
+        release(nodes.sparkSession)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     edges = written(out.distinct(), "edges", rows=expected)
     erase(*tables)
+    release(nodes.sparkSession)
     return edges
 
 
@@ -465,6 +467,7 @@ def _classed(documents: DataFrame, recall: float = RECALL) -> DataFrame:
     sets = _in_blocks(_with_tokens(documents, wanted)).repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
     with batches_of(spark, 64):  # token sets of long documents are large
         checked = written(_verified(sets), "links")
+    release(spark)
     links = checked.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labels = components(checked.filter("b is not null").select("a", "b"), "classes")
     known = (
@@ -509,6 +512,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     rows with null doc_id, stay whatever befalls their namesakes.
     """
     decided = written(_classed(documents), "classes")
+    release(documents.sparkSession)
     linked = decided.filter("n_links > 0")
     repeated = decided.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_links").alias("links")).filter("rows > 1 and links > 0").select("doc_id")
     dropped = linked.filter("doc_id != class_id").select("doc_id").distinct()

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, join_counted, written
+from .shared import WORD, join_counted, release, written
 
 #: Words of a block, about, and rows of a shard on average.
 BLOCK_WORDS = 128
@@ -131,6 +131,7 @@ def _dealt(rows: DataFrame, block: int, shard_rows: int, seed: str, weights: tup
         .withColumn("cell_target", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
     )
     cells = written(cells, "cells", rows=total)
+    release(cells.sparkSession)
     cell = Window.partitionBy("shard", "skey")
     start_of = lambda j: F.expr(f"({j} * cell_size) div blocks")
     chosen = (

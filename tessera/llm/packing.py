@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_counted, small_batches, written
+from .shared import join_counted, release, small_batches, written
 from .textkit import kept, lean, slices, stretches, utf8
 
 CAPACITY = 2048
@@ -344,6 +344,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to the rows of ``pieces()``, which are written to the shared folder first."""
     rows = written(cut, "pieces")
+    release(cut.sparkSession)
     names = [n for n in rows.columns if n not in ("lot", "place")]
     counts = written(rows.groupBy("length", "lot").agg(F.count(F.lit(1)).alias("n")), "lengths", rows=1)
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
